@@ -21,8 +21,10 @@ def otsu_threshold(pixels: DataFrame, group: str = "image_id", value: str = "val
         F.sum("n").over(whole).alias("n_all"), F.sum(mass).over(whole).alias("s_all"))
     n1 = F.col("n_all") - F.col("n0")
     # n0 * n1 * (mean0 - mean1)^2 written over whole numbers, so that equal splits tie exactly.
-    gap = F.col("s0") * F.col("n_all") - F.col("s_all") * F.col("n0")
-    between = F.when(n1 > 0, gap.cast("double") * gap / (F.col("n0") * n1)).otherwise(0.0)
+    whole_number = lambda c: F.col(c).cast("decimal(19,0)")
+    gap = (whole_number("s0") * whole_number("n_all")
+           - whole_number("s_all") * whole_number("n0")).cast("double")
+    between = F.when(n1 > 0, gap * gap / (F.col("n0").cast("double") * n1)).otherwise(0.0)
     best = F.max(F.struct(between.alias("score"), (-F.col("level")).alias("neg")))
     return sums.groupBy(group).agg(best.alias("b"), F.count("*").alias("levels")).select(
         group, F.when(F.col("levels") > 1, -F.col("b.neg")).otherwise(0).cast("int").alias("threshold"))

@@ -157,10 +157,8 @@ def _(spark, sf):
 
 @query("b3_recognizer_resize_plan", with_views("""
   SELECT file_id, CAST(nw AS INTEGER) AS new_width, CAST(100 - nw AS INTEGER) AS pad
-  FROM (SELECT file_id, least(trunc(32 * (width::DOUBLE / nullif(height, 0))), 100) AS nw FROM files_fx)
-  """.replace("least(trunc(32 * (width::DOUBLE / nullif(height, 0))), 100)",
-              "CASE WHEN height > 0 THEN least(trunc(32 * (width::DOUBLE / height)), 100) ELSE 100 END"),
-    "files_fx"))
+  FROM (SELECT file_id, CASE WHEN height > 0 THEN least(trunc(32 * (width::DOUBLE / height)), 100)
+                             ELSE 100 END AS nw FROM files_fx)""", "files_fx"))
 def _(spark, sf):
     plan = G.recognizer_resize_plan(F.col("width"), F.col("height"))
     return fx.files_fx(spark, sf).select("file_id", plan.alias("p")).select(
@@ -171,7 +169,7 @@ _OTSU = """
   SELECT image_id, CAST(CASE WHEN count(*) > 1 THEN arg_min(level, struct_pack(s := -score, l := level))
                              ELSE 0 END AS INTEGER) AS threshold
   FROM (SELECT a.image_id, a.level,
-               coalesce(max(CASE WHEN b.n1 > 0 THEN b.n0 * b.n1 * power(b.s0 / b.n0 - b.s1 / b.n1, 2) END), 0) AS score
+               coalesce(max(CASE WHEN b.n1 > 0 THEN power(b.s0 * b.n1 - b.s1 * b.n0, 2) / (b.n0 * b.n1) END), 0) AS score
         FROM (SELECT DISTINCT image_id, value AS level FROM pixels_fx) a
         JOIN (SELECT l.image_id, l.level,
                      sum(CASE WHEN p.value <= l.level THEN 1.0::DOUBLE ELSE 0 END) AS n0,

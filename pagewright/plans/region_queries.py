@@ -153,9 +153,6 @@ def _(spark, sf):
     return documents.filter(F.col("labels") != "")
 
 
-_BEST = """
-  SELECT region_id, t, arg_max(cls, logit) AS idx, max(logit) AS top FROM (
-    SELECT * FROM logits_fx ORDER BY region_id, t, cls) GROUP BY ALL"""
 _BEST = """
   SELECT region_id, t, min(cls) AS idx, any_value(top) AS top FROM (
     SELECT *, max(logit) OVER (PARTITION BY region_id, t) AS top FROM logits_fx)
@@ -229,10 +226,9 @@ def _(spark, sf):
 
 
 def _charset_sql() -> str:
-    quoted = {n: c.replace("'", "''") for n, c in CHARSETS.items()}
     return " UNION ALL ".join(
-        f"SELECT '{n}' AS name, c.unnest AS ch, CAST(instr('{c}', c.unnest) AS INTEGER) AS idx "
-        f"FROM (SELECT unnest(string_split('{c}', ''))) c" for n, c in quoted.items())
+        f"SELECT '{n}' AS name, ch, CAST(instr('{c}', ch) AS INTEGER) AS idx "
+        f"FROM (SELECT unnest(string_split('{c}', '')) AS ch)" for n, c in CHARSETS.items())
 
 
 @query("d7_charset", with_views(f"""
