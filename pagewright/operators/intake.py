@@ -124,27 +124,27 @@ def validate_documents(documents: DataFrame, pages: DataFrame) -> tuple[DataFram
     return valid, checked.filter(F.col("reason").isNotNull())
 
 
-def classify_files(files: DataFrame, max_mb: int = 100) -> DataFrame:
+def classify_files(files: DataFrame, max_mb: int = 100, validate_types: bool = True) -> DataFrame:
     """Add ``error_class`` (null if accepted) and ``error_message``; the first failing check wins.
 
     Checks run in the order size, format, no pages, page too small, on one pass over the
-    manifest, whose width and height hold for each of a file's pages.
+    manifest, whose width and height hold for each of a file's pages. A manifest without
+    page facts gets the first two checks only.
     """
-    w, h = F.col("width"), F.col("height")
-    no_pages = F.col("page_count") < 1
-    too_small = (w < MIN_SIDE) | (h < MIN_SIDE)
-    empty = w.isNull() | h.isNull() | (w == 0) | (h == 0)
-    checked = check_extension(check_size(files, max_mb))
-    size = F.concat(w.cast("string"), F.lit("x"), h.cast("string"))
+    checked = check_extension(check_size(files, max_mb), validate_types)
+    problem = F.lit(None).cast("string")
+    if "page_count" in files.columns:
+        w, h = F.col("width"), F.col("height")
+        size = F.concat(w.cast("string"), F.lit("x"), h.cast("string"))
+        problem = (
+            F.when(F.col("page_count") < 1, "Document has no pages")
+            .when(w.isNull() | h.isNull() | (w == 0) | (h == 0), "Page 1 has invalid image")
+            .when((w < MIN_SIDE) | (h < MIN_SIDE), F.concat(F.lit("Page 1 is too small: "), size)))
     return checked.withColumns({
         "error_class": F.when(~F.col("size_ok"), "FileSizeException")
         .when(~F.col("format_ok"), "UnsupportedFormatException")
-        .when(no_pages | empty | too_small, "InvalidDocumentException"),
-        "error_message": F.coalesce(
-            F.col("size_message"), F.col("format_message"),
-            F.when(no_pages, "Document has no pages")
-            .when(empty, "Page 1 has invalid image")
-            .when(too_small, F.concat(F.lit("Page 1 is too small: "), size))),
+        .when(problem.isNotNull(), "InvalidDocumentException"),
+        "error_message": F.coalesce(F.col("size_message"), F.col("format_message"), problem),
     }).drop("size_ok", "size_message", "format_ok", "format_message")
 
 

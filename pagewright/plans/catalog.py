@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pagewright.operators import reading as R
 from pagewright.plans import fixtures as fx
 from pagewright.plans import (  # noqa: F401
-    intake_queries, layout_queries, metering_queries, reading_queries, region_queries)
+    intake_queries, layout_queries, metering_queries, reading_queries, region_queries,
+    streaming_queries)
 from pagewright.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES", "flagship"]

@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The same table as a file stream."""
+    return (spark.readStream.schema(table(spark, sf, name).schema)
+            .option("pathGlobFilter", f"{name}.parquet").parquet(sf))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores when the scan has fewer splits than there are cores.
 
@@ -69,9 +75,13 @@ SUFFIXES = [".pdf", ".PNG", ".jpg", ".jpeg", ".tiff", ".bmp", ".webp", ".xyz", "
 
 
 def files_fx(spark, sf):
+    return files_of(table(spark, sf, "pages"))
+
+
+def files_of(pages):
     p = F.col("page_id")
     suffix = F.element_at(F.array(*map(F.lit, SUFFIXES)), (p % 9 + 1).cast("int"))
-    return table(spark, sf, "pages").select(
+    return pages.select(
         p.alias("file_id"),
         F.concat(F.lit("/in/f"), F.floor(p / 2).cast("string"), suffix).alias("path"),
         ((p * 7919 % 160) * 1048576 + F.when(p % 3 == 0, 1).otherwise(0)).alias("length"),
@@ -143,7 +153,11 @@ def step_lengths_fx(spark, sf):
 
 
 def usage_fx(spark, sf):
-    return table(spark, sf, "events").select(
+    return usage_of(table(spark, sf, "events"))
+
+
+def usage_of(events):
+    return events.select(
         "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_type").alias("doc_type"),
         (1 + F.col("event_id") % 7).cast("int").alias("pages"),
@@ -163,12 +177,16 @@ def licenses_fx(spark, sf):
 
 
 def job_files_fx(spark, sf):
+    return job_files_of(table(spark, sf, "events"))
+
+
+def job_files_of(events):
     status = (
         F.when(F.col("event_type") == "error", "failed")
         .when(F.col("event_type").isin("purchase", "signup", "view"), "completed")
         .otherwise("processing")
     )
-    return table(spark, sf, "events").select(
+    return events.select(
         F.floor(F.col("event_id") / 5).cast("bigint").alias("job_id"),
         F.col("event_id").alias("file_id"), status.alias("file_status"),
         F.col("ts").cast("timestamp").alias("ts"),

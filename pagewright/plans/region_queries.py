@@ -232,7 +232,7 @@ def _charset_sql() -> str:
 
 
 @query("d7_charset", with_views(f"""
-  SELECT name, idx, s.ch, count(*) AS uses FROM steps_fx s JOIN ({_charset_sql()}) c ON c.ch = s.ch
+  SELECT name, c.idx, s.ch, count(*) AS uses FROM steps_fx s JOIN ({_charset_sql()}) c ON c.ch = s.ch
   GROUP BY ALL""", "steps_fx"))
 def _(spark, sf):
     uses = fx.steps_fx(spark, sf).groupBy("ch").agg(F.count("*").alias("uses"))
