@@ -63,6 +63,13 @@ def _priority(node: str) -> Column:
     return F.struct(F.xxhash64("page_id", node).alias("p"), F.col(node).alias("v"))
 
 
+def _follow(roots: DataFrame, further: DataFrame) -> DataFrame:
+    """Roots replaced by their own root where ``further`` knows one."""
+    step = further.select("page_id", F.col("run").alias("root"), F.col("root").alias("top"))
+    return roots.join(step, ["page_id", "root"], "left").select(
+        "page_id", "run", F.coalesce("top", "root").alias("root"))
+
+
 def _contract(edges: DataFrame) -> DataFrame | None:
     """(page_id, run, root) for every run that has an edge; None without any edge."""
     levels = []
@@ -72,8 +79,9 @@ def _contract(edges: DataFrame) -> DataFrame | None:
             F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
         both = both.select("page_id", "e.a", "e.b")
         nearest = both.groupBy("page_id", "a").agg(F.min(_priority("b")).alias("m"))
-        target = cut_lineage(nearest.select(
-            "page_id", F.col("a").alias("run"), F.least(_priority("a"), F.col("m"))["v"].alias("root")))
+        pointed = nearest.select(
+            "page_id", F.col("a").alias("run"), F.least(_priority("a"), F.col("m"))["v"].alias("root"))
+        target = cut_lineage(_follow(_follow(pointed, pointed), pointed))
         levels.append(target)
         end = lambda side: target.select(
             "page_id", F.col("run").alias(side), F.col("root").alias(f"root_{side}"))
@@ -83,11 +91,7 @@ def _contract(edges: DataFrame) -> DataFrame | None:
                             .select("page_id", low.alias("a"), high.alias("b")).distinct())
     roots = None
     for level in reversed(levels):  # later levels only know the runs that were still targets
-        if roots is not None:
-            upper = roots.select("page_id", F.col("run").alias("root"), F.col("root").alias("top"))
-            level = level.join(upper, ["page_id", "root"], "left").select(
-                "page_id", "run", F.coalesce("top", "root").alias("root"))
-        roots = level
+        roots = level if roots is None else _follow(level, roots)
     return roots
 
 
