@@ -240,12 +240,14 @@ def _(spark, sf):
 
 
 def _toy_model():
-    """Reads words aloud; fails on any batch with a word of more than 12 letters."""
-    def read(batch: pd.DataFrame):
-        if (batch["word"].str.len() > 12).any():
-            raise ValueError("word too long")
-        return [(w.upper(), min(len(w) / 8, 1.0), [1.0] * len(w)) for w in batch["word"]]
-    return read
+    """Loader of a model that fails on any batch with a word of more than 12 letters."""
+    def load():
+        def read(batch: pd.DataFrame):
+            if (batch["word"].str.len() > 12).any():
+                raise ValueError("word too long")
+            return [(w.upper(), min(len(w) / 8, 1.0), [1.0] * len(w)) for w in batch["word"]]
+        return read
+    return load
 
 
 @query("d8_apply_recognizer", with_views("""
@@ -256,7 +258,7 @@ def _toy_model():
 def _(spark, sf):
     words = fx.regions_fx(spark, sf).filter(F.col("text").rlike("^[a-zA-Z]+$")).select(
         *R.PAGE, "region_ord", F.col("text").alias("word"))
-    return D.apply_recognizer(words, _toy_model).select(
+    return D.apply_recognizer(words, _toy_model()).select(
         *R.PAGE, "region_ord", "text", "rec_confidence", F.size("char_confidences").alias("steps"))
 
 

@@ -81,22 +81,21 @@ _JOB_STATE = "total long, done long, failed long, last_ms long"
 _JOB_PART = "job_id long, total long, done long, failed long, ts timestamp"
 
 
-def _job_parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts per job of each Arrow batch, so that a huge job sends few rows to its task."""
-    for frame in frames:
-        counted = frame.assign(done=(frame.file_status != "processing").astype("int64"),
-                               failed=(frame.file_status == "failed").astype("int64"))
-        parts = counted.groupby("job_id", as_index=False).agg(
-            total=("total", "max"), done=("done", "sum"), failed=("failed", "sum"), ts=("ts", "max"))
-        yield parts[["job_id", "total", "done", "failed", "ts"]]
-
-
 def stream_jobs(job_files: DataFrame, idle_seconds: int = 3600, delay: str = "10 minutes") -> DataFrame:
     """Progress of each job whenever its files change: processing, completed or failed.
 
     Input rows are file outcomes (job_id, total, file_status, ts). A job that is still
     processing when event time has passed its last file by ``idle_seconds`` fails as idle.
     """
+    def count_parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Counts per job of each Arrow batch, so that a huge job sends few rows to its task."""
+        for frame in frames:
+            counted = frame.assign(done=(frame.file_status != "processing").astype("int64"),
+                                   failed=(frame.file_status == "failed").astype("int64"))
+            parts = counted.groupby("job_id", as_index=False).agg(
+                total=("total", "max"), done=("done", "sum"), failed=("failed", "sum"), ts=("ts", "max"))
+            yield parts[["job_id", "total", "done", "failed", "ts"]]
+
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         total, done, failed, last_ms = state.get if state.exists else (0, 0, 0, 0)
         if state.hasTimedOut:
@@ -123,7 +122,7 @@ def stream_jobs(job_files: DataFrame, idle_seconds: int = 3600, delay: str = "10
                             "done": [done], "failed": [failed], "error": [error]})
 
     parts = (job_files.select("job_id", "total", "file_status", "ts")
-             .mapInPandas(_job_parts, _JOB_PART).withWatermark("ts", delay))
+             .mapInPandas(count_parts, _JOB_PART).withWatermark("ts", delay))
     return parts.groupBy("job_id").applyInPandasWithState(
         advance, JOB_UPDATE, _JOB_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
