@@ -17,6 +17,7 @@ from pagewright.config import Config
 from pagewright.functions.errors import ExportError
 from pagewright.operators import intake, reading
 from pagewright.operators.decode import Recognizer, apply_recognizer
+from pagewright.session import cut_lineage
 from pagewright.sources import sinks
 from pagewright.sources.files import scan_documents
 
@@ -64,23 +65,28 @@ class Engine:
         return opened.unionByName(failed, allowMissingColumns=True)
 
     def process_batch(self, path: str) -> Batch:
-        """All files of a folder. A rejected file keeps its row and gives no pages."""
-        checked = self.load(path)
-        accepted = checked.filter(F.col("error_class").isNull())
-        keyed = accepted.withColumn("doc_id", F.col("path"))
-        pages = keyed.withColumn(
-            "page_number", F.explode(F.sequence(F.lit(1), F.col("page_count"))))
-        regions = self.detector(pages)
+        """All files of a folder. A rejected file keeps its row and gives no pages.
+
+        Files are opened once for their facts and once for their boxes. Both are written to
+        working tables, so that no later step or export runs the models again.
+        """
+        checked = self.load(path).withColumn("doc_id", F.col("path"))
+        ok = F.col("error_class").isNull()
+        number = F.explode(F.sequence(F.lit(1), F.col("page_count"))).alias("page_number")
+        files = cut_lineage(checked.drop("content").withColumn(
+            "status", F.when(ok, "ok").otherwise("failed")))
+
+        regions = self.detector(checked.filter(ok).select("*", number))
         if self.recognizer is not None:
             regions = apply_recognizer(regions, self.recognizer, self.config.ocr.batch_size)
-        kept = reading.gate_recognition(regions, self.config.ocr.recognition_threshold)
-        results = reading.page_results(pages.select("doc_id", "page_number"), kept)
+        kept = cut_lineage(reading.gate_recognition(regions, self.config.ocr.recognition_threshold))
+
+        accepted = files.filter(ok)
+        results = reading.page_results(accepted.select("doc_id", number), kept)
         if self.reader is not None:  # one point per pixel, for the searchable layer
             sizes = [F.col(side).alias(f"{sheet}_{side}")
                      for sheet in ("image", "sheet") for side in ("width", "height")]
-            results = results.join(keyed.select("doc_id", *sizes), "doc_id")
-        status = F.when(F.col("error_class").isNull(), "ok").otherwise("failed")
-        files = checked.drop("content").withColumns({"status": status, "doc_id": F.col("path")})
+            results = results.join(accepted.select("doc_id", *sizes), "doc_id")
         return Batch(files, results, kept)
 
     def process(self, path: str) -> Batch:
