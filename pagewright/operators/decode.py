@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pagewright.functions.decoding import ALPHANUMERIC, CHARSETS, index_char
-from pagewright.operators.ordering import _sorted_join
 
 #: Steps per band when a sequence is split over tasks.
 BAND = 4096
+#: More than any character set has labels.
+LABELS = 1 << 20
 
 
 def charset(spark: SparkSession, name: str | None = None) -> DataFrame:
@@ -27,7 +28,7 @@ def ctc_best_path(logits: DataFrame) -> DataFrame:
     """Label of the greatest score per step, the lowest label on ties, with its probability."""
     top = F.max(F.struct("logit", (-F.col("cls")).alias("neg")))
     steps = logits.groupBy("region_id", "t").agg(
-        top.alias("top"), F.array_sort(F.collect_list("logit")).alias("all"))
+        top.alias("top"), F.sort_array(F.collect_list("logit")).alias("all"))
     total = F.aggregate("all", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("top.logit")))
     return steps.select("region_id", "t", (-F.col("top.neg")).alias("idx"), (1.0 / total).alias("prob"))
 
@@ -36,26 +37,29 @@ def ctc_collapse(steps: DataFrame, remove_duplicates: bool = True,
                  charset: str = ALPHANUMERIC) -> DataFrame:
     """Text per sequence: repeats joined, blanks (0) dropped. Steps count from 0 without gaps.
 
-    Sequences are cut into bands of steps. The last step of a band is also sent to the next
-    band, which needs it to see a repeat, so no task holds a whole sequence.
+    Sequences are cut into bands of steps, each collapsed as if it stood alone. Where a band
+    starts with the label the band before ended with, its first character goes.
     """
-    band = F.floor(F.col("t") / BAND)
-    own = F.struct(band.alias("band"), F.lit(True).alias("own"))
-    ahead = F.struct((band + 1).alias("band"), F.lit(False).alias("own"))
-    homes = F.when(F.col("t") % BAND == BAND - 1, F.array(own, ahead)).otherwise(F.array(own))
-    sent = steps.select("region_id", "t", "idx", F.explode(homes).alias("h"))
-    sent = sent.select("region_id", "t", "idx", "h.band", "h.own")
-    kept = F.col("idx") != 0
-    if remove_duplicates:
-        along = W.partitionBy("region_id", "band").orderBy("t")
-        sent = sent.withColumn("prev", F.lag("idx").over(along))
-        kept = kept & (F.col("prev").isNull() | (F.col("idx") != F.col("prev")))
-    # Left null where nothing is kept: collect_list skips it, and the sequence keeps its row.
-    ch = F.when(kept & F.col("own"), F.struct("t", index_char(F.col("idx"), charset).alias("ch")))
-    chars = F.array_sort(F.collect_list(ch))
-    pieces = sent.groupBy("region_id", "band").agg(
-        F.array_join(F.transform(chars, lambda c: c["ch"]), "").alias("piece"))
-    return pieces.groupBy("region_id").agg(_sorted_join(["band"], "piece", "").alias("text"))
+    # Step and label share one number that sorts by step.
+    packed = F.col("t").cast("long") * LABELS + F.col("idx")
+    label = lambda i: F.get("_s", i) % LABELS
+    def shown(step, i):
+        idx = step % LABELS
+        repeated = (i > 0) & (label(i - 1) == idx) if remove_duplicates else F.lit(False)
+        return F.when((idx == 0) | repeated, "").otherwise(index_char(idx.cast("int"), charset))
+    pieces = (steps.groupBy("region_id", F.floor(F.col("t") / BAND).alias("band"))
+              .agg(F.sort_array(F.collect_list(packed)).alias("_s"))
+              .select("region_id", "band", label(F.lit(0)).alias("first"),
+                      label(F.size("_s") - 1).alias("last"),
+                      F.array_join(F.transform("_s", shown), "").alias("piece")))
+    bands = F.sort_array(F.collect_list(F.struct("band", "piece", "first", "last")))
+
+    def trimmed(piece, i):
+        goes_on = (i > 0) & (piece["first"] != 0) & (F.get("_b", i - 1)["last"] == piece["first"])
+        return F.when(goes_on, F.substr(piece["piece"], F.lit(2))).otherwise(piece["piece"])
+    joined = F.transform("_b", trimmed if remove_duplicates else lambda p: p["piece"])
+    return pieces.groupBy("region_id").agg(bands.alias("_b")).select(
+        "region_id", F.array_join(joined, "").alias("text"))
 
 
 def decode_with_lengths(steps: DataFrame, lengths: DataFrame, **options) -> DataFrame:
@@ -71,7 +75,7 @@ def ctc_confidence(logits: DataFrame) -> DataFrame:
 
     The list has one entry per step of a crop, whose width the recogniser fixes.
     """
-    steps = F.array_sort(F.collect_list(F.struct("t", "prob")))
+    steps = F.sort_array(F.collect_list(F.struct("t", "prob")))
     return ctc_best_path(logits).groupBy("region_id").agg(
         F.coalesce(F.avg(F.when(F.col("idx") != 0, F.col("prob"))), F.lit(0.0)).alias("confidence"),
         F.transform(steps, lambda s: s["prob"]).alias("char_confidences"))

@@ -80,7 +80,7 @@ def document_info(pages: DataFrame) -> DataFrame:
     size = F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string"))
     part = F.floor(F.col("page_number") / 100)
     ordered = lambda key, text: F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct(key, F.col(text).alias("v")))), lambda r: r["v"]), ",")
+        F.sort_array(F.collect_list(F.struct(key, F.col(text).alias("v")))), lambda r: r["v"]), ",")
     parts = (pages.withColumns({"_part": part, "_size": size})
              .groupBy("file_id", "path", "_part")
              .agg(F.count("*").alias("_n"), ordered("page_number", "_size").alias("_sizes"),

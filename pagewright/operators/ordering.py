@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def _offsets(df: DataFrame, group: Sequence[str], bands: Sequence[str], measure) -> DataFrame:
@@ -51,10 +51,11 @@ def joined_in_order(df: DataFrame, group: Sequence[str], bands: Sequence[str],
     The pieces of a band are joined first, so the last step sees one string per band.
     """
     pieces = df.groupBy(*group, *bands).agg(
-        _sorted_join(order, text, separator).alias("_piece"))
-    return pieces.groupBy(*group).agg(_sorted_join(bands, "_piece", separator).alias(name))
+        sorted_join(order, text, separator).alias("_piece"))
+    return pieces.groupBy(*group).agg(sorted_join(bands, "_piece", separator).alias(name))
 
 
-def _sorted_join(order, text, separator):
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
+def sorted_join(order: Sequence[str], text: str, separator: str) -> Column:
+    """Aggregate: the group's strings joined in order. For groups of bounded size."""
+    rows = F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
     return F.array_join(F.transform(rows, lambda r: r["_text"]), separator)

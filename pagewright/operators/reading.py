@@ -71,7 +71,7 @@ def _line_breaks(regions: DataFrame) -> DataFrame:
         return F.struct(
             F.when(opens, r["y"]).otherwise(state["line_y"]).alias("line_y"),
             F.concat(state["done"], F.array(opens)).alias("done"))
-    sorted_rows = F.array_sort(F.col("_rows"))
+    sorted_rows = F.sort_array(F.col("_rows"))
     opens = F.aggregate(
         sorted_rows,
         F.struct(F.lit(None).cast(regions.schema["y"].dataType).alias("line_y"),
@@ -111,7 +111,7 @@ def assign_lines(regions: DataFrame, legacy_first_box: bool = False) -> DataFram
 def _word_runs(regions: DataFrame, legacy_first_box: bool, *extra: Column) -> DataFrame:
     """Words of one line, y and x band joined: the unit the page text is put together from."""
     lined = assign_lines(regions, legacy_first_box).withColumn("_xb", _band())
-    words = F.array_sort(F.collect_list(F.struct("x", "region_ord", "text")))
+    words = F.sort_array(F.collect_list(F.struct("x", "region_ord", "text")))
     return lined.groupBy(*PAGE, "y", "_xb", "line_no").agg(
         F.array_join(F.transform(words, lambda w: w["text"]), " ").alias("text"), *extra)
 
@@ -126,7 +126,7 @@ def _page_text(runs: Column) -> Column:
 
 
 def _sorted_runs(*lead: str) -> Column:
-    return F.array_sort(F.collect_list(F.struct(*lead, "y", "_xb", "text")))
+    return F.sort_array(F.collect_list(F.struct(*lead, "y", "_xb", "text")))
 
 
 def line_texts(regions: DataFrame, legacy_first_box: bool = False) -> DataFrame:

@@ -217,9 +217,9 @@ def grid_fx(spark, sf):
     from pagewright.operators.ordering import ranked
 
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    li = table(spark, sf, "lineitem").select(*keys)
-    rows = ranked(li, ["l_orderkey"], ["l_linenumber", "l_partkey"],
-                  ["l_suppkey", "l_quantity", "l_extendedprice"], "row")
+    li = table(spark, sf, "lineitem").select(*keys, F.floor(F.col("l_partkey") / 64).alias("_part_band"))
+    rows = ranked(li, ["l_orderkey"], ["l_linenumber", "_part_band"],
+                  ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], "row")
     cell = lambda n, x, c: F.struct(
         F.lit(n).alias("n"), F.lit(x).alias("x"), c.cast("bigint").cast("string").alias("text"))
     cells = rows.select(
