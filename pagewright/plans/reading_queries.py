@@ -132,26 +132,29 @@ _PAGE_JSON = T.StructType([
 
 
 def _flat_regions(pages, **extra):
-    """Parsed page objects, one row per region."""
-    region = F.posexplode_outer("p.text_regions").alias("place", "r")
-    flat = pages.select("doc_id", *[c.alias(n) for n, c in extra.items()], "p", region)
-    return flat.select(
-        "doc_id", *extra, "p.page_number", F.length("p.full_text").alias("n_chars"), "p.num_regions",
-        F.col("place").cast("bigint").alias("place"), "r.text", "r.confidence",
+    """Parsed page objects, one row per region. The page text itself is not repeated per region."""
+    named = [c.alias(n) for n, c in extra.items()]
+    page = pages.select("doc_id", *named, "p.page_number", F.length("p.full_text").alias("n_chars"),
+                        "p.num_regions", F.col("p.text_regions").alias("regions"))
+    head = ["doc_id", *extra, "page_number", "n_chars", "num_regions"]
+    return page.select(*head, F.posexplode_outer("regions").alias("place", "r")).select(
+        *head, F.col("place").cast("bigint").alias("place"), "r.text", "r.confidence",
         "r.bounding_box.x", "r.bounding_box.width", F.get(F.get("r.points", F.lit(2)), F.lit(1)).alias("bottom"))
 
 
 _FLAT = """
-  SELECT p.doc_id, p.page_number, CAST(length(p.full_text) AS INTEGER) AS n_chars, p.num_regions,
+  SELECT p.doc_id, p.page_number, p.n_chars, p.num_regions,
          row_number() OVER (PARTITION BY p.doc_id, p.page_number ORDER BY k.region_ord) - 1 AS place,
          k.text, k.confidence, k.x, k.w AS width, k.y, k.h
-  FROM page_results_fx p LEFT JOIN kept_fx k USING (doc_id, page_number)"""
+  FROM (SELECT doc_id, page_number, CAST(length(full_text) AS INTEGER) AS n_chars, num_regions
+        FROM page_results_fx) p LEFT JOIN kept_fx k USING (doc_id, page_number)"""
 _FLAT = f"SELECT * EXCLUDE (place), CASE WHEN text IS NOT NULL THEN place END AS place FROM ({_FLAT})"
 
+_TOTALS = "(SELECT doc_id, count(*) AS total_pages FROM page_base_fx GROUP BY 1) USING (doc_id)"
+
 
 @query("f2_export_json", with_views(f"""
-  SELECT * EXCLUDE (y, h), CAST(y + h AS DOUBLE) AS bottom,
-         count(DISTINCT page_number) OVER (PARTITION BY doc_id) AS total_pages FROM ({_FLAT})""",
+  SELECT * EXCLUDE (y, h), CAST(y + h AS DOUBLE) AS bottom FROM ({_FLAT}) JOIN {_TOTALS}""",
     "page_results_fx"))
 def _(spark, sf):
     doc = T.StructType([T.StructField("total_pages", T.LongType()),
@@ -268,8 +271,8 @@ def _(spark, sf):
 
 @query("f11_api_response", with_views(f"""
   SELECT * EXCLUDE (y, h), CAST(NULL AS DOUBLE) AS bottom, 'job-' || doc_id AS job_id, 'completed' AS status,
-         '/download/job-' || doc_id || '/job-' || doc_id || '.txt' AS download_url,
-         count(DISTINCT page_number) OVER (PARTITION BY doc_id) AS total_pages FROM ({_FLAT})""",
+         '/download/job-' || doc_id || '/job-' || doc_id || '.txt' AS download_url
+  FROM ({_FLAT}) JOIN {_TOTALS}""",
     "page_results_fx"))
 def _(spark, sf):
     jobs = fx.table(spark, sf, "documents").select(

@@ -1,0 +1,69 @@
+"""What the plans must and must not contain."""
+
+import pytest
+
+import __spark_entry__ as entry_points
+from pagewright.operators import reading as R
+from pagewright.plans import fixtures as fx
+from pagewright.plans.reading_queries import kept
+
+QUERIES = entry_points.queries()
+#: A user model and per-job state are the only Python in tasks.
+PYTHON = {"d8_apply_recognizer", "h4_stream_jobs"}
+#: Joins of one-row aggregates.
+ONE_ROW_JOINS = {"g5_usage_stats", "i6_search"}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if "_stream_" not in n))
+def test_no_python_and_no_pair_joins(spark, sf, name):
+    text = plan(QUERIES[name](spark, sf))
+    if name not in PYTHON:
+        for node in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
+            assert node not in text
+    assert "CartesianProduct" not in text
+    if name not in ONE_ROW_JOINS:
+        assert "BroadcastNestedLoopJoin" not in text
+
+
+def test_only_needed_columns_are_scanned(spark, sf):
+    text = plan(QUERIES["g6_usage_by_type_day"](spark, sf))
+    assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,event_type:string>" in text
+    text = plan(QUERIES["a2_route_format"](spark, sf))
+    assert "html" not in text and "url" not in text
+
+
+def test_language_filter_reaches_the_scan(spark, sf):
+    documents = fx.table(spark, sf, "documents")
+    text = plan(documents.filter(documents.lang == "fr").select("doc_id"))
+    assert "EqualTo(lang,fr)" in text
+
+
+def test_words_are_shuffled_twice_for_page_text(spark, sf):
+    """Once to meet their line, once as joined runs to their page."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(R.assemble_text(kept(spark, sf)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    carrying_text = [line for line in text.splitlines()
+                     if "Exchange hashpartitioning" in line and "ENSURE_REQUIREMENTS" in line]
+    assert len(carrying_text) == 4  # words, runs, (y, h) pairs, lines per y
+    assert text.count("SortMergeJoin") == 1
+
+
+def test_top_k_is_not_a_full_sort(spark, sf):
+    assert "TakeOrderedAndProject" in plan(QUERIES["g4_usage_history"](spark, sf))
+    assert "WindowGroupLimit" in plan(QUERIES["g4_usage_history_per_user"](spark, sf))
+
+
+@pytest.mark.parametrize("name, band", [("g3_usage_running_total", "_minute"), ("g10_rate_limit", "_second"),
+                                        ("e1_reading_order", "_xb"), ("f3_export_csv", "_band")])
+def test_row_windows_are_banded(spark, sf, name, band):
+    """Windows over rows are partitioned by a band; windows over a whole key see only band totals."""
+    windows = [line for line in plan(QUERIES[name](spark, sf)).splitlines() if "Window [" in line]
+    per_row = [line for line in windows if "sum(_m#" not in line]
+    assert per_row and all(band in line.rsplit("], [", 2)[-2] for line in per_row)

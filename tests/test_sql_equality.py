@@ -13,8 +13,8 @@ QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
 
 
 @pytest.fixture(scope="module")
-def sql(sf):
-    con = duckdb.connect()
+def sql(sf, tmp_path_factory):
+    con = duckdb.connect(config={"temp_directory": str(tmp_path_factory.mktemp("duckdb"))})
     con.execute("SET TimeZone = 'UTC'")
     for file in pathlib.Path(sf).glob("*.parquet"):
         con.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM '{file}'")
