@@ -12,6 +12,8 @@ PRO = BASIC + ["ocr_advanced", "batch_processing", "priority_support"]
 ENTERPRISE = PRO + ["on_prem_deployment", "custom_models"]
 FEATURES = {"free": BASIC, "pro": PRO, "enterprise": ENTERPRISE}
 HISTORY_CAP = 1000
+#: Fixed value: year, month, day (either may lack its leading zero) and what is left over.
+EXPIRY = r"(?s)^(\d{4})(1[0-2]|0[1-9]|[1-9])(3[01]|[12]\d|0[1-9]|[1-9]| [1-9])(.*)$"
 RATE_PER_MINUTE = 60
 
 
@@ -107,12 +109,18 @@ def validate_license(licenses: DataFrame, as_of: str) -> DataFrame:
     """
     parts = F.split("license_key", "-")
     expiry_text = F.get(parts, F.lit(1))
-    real = F.when(expiry_text.rlike(r"^\d{8}$"), F.try_to_timestamp(expiry_text, F.lit("yyyyMMdd")))
+    piece = lambda i: F.regexp_extract(expiry_text, EXPIRY, i)
+    shaped, rest = piece(1) != "", piece(4)
+    day = F.try_to_timestamp(
+        F.concat_ws("-", piece(1), piece(2), F.trim(piece(3))), F.lit("yyyy-M-d"))
     no_key = F.col("license_key").isNull() | (F.col("license_key") == "")
-    bad_date = F.concat(F.lit("time data '"), expiry_text, F.lit("' does not match format '%Y%m%d'"))
-    reason = (F.when(no_key, None).when(F.size(parts) < 2, "Invalid key format")
-              .when(real.isNull(), bad_date)
-              .when(F.lit(as_of).cast("timestamp") > real, "expired"))
+    reason = (
+        F.when(no_key, None).when(F.size(parts) < 2, "Invalid key format")
+        .when(~shaped, F.concat(F.lit("time data '"), expiry_text,
+                                F.lit("' does not match format '%Y%m%d'")))
+        .when(rest != "", F.concat(F.lit("unconverted data remains: "), rest))
+        .when(day.isNull(), "day is out of range for month")
+        .when(F.lit(as_of).cast("timestamp") > day, "expired"))
     checked = licenses.withColumn("reason", reason)
     valid = F.col("reason").isNull()
     plan = F.when(valid & ~no_key, F.lower(F.get(parts, F.lit(0)))).otherwise("free")

@@ -24,22 +24,23 @@ def ranked(df: DataFrame, group: Sequence[str], bands: Sequence[str], order: Seq
            name: str) -> DataFrame:
     """Add the 1-based rank of each row in ``group``, sorted by ``bands`` then ``order``.
 
-    ``bands`` are columns that lead the sort order; key columns must not be null.
+    ``bands`` are columns that lead the sort order. A row with a null group or band key has
+    no place in an order: it is kept, with a null rank.
     """
     group, bands = list(group), list(bands)
     inside = W.partitionBy(*group, *bands).orderBy(*order)
-    return (df.join(_offsets(df, group, bands, F.count("*")), group + bands)
+    return (df.join(_offsets(df, group, bands, F.count("*")), group + bands, "left")
             .withColumn(name, F.row_number().over(inside) + F.col("_offset"))
             .drop("_offset"))
 
 
 def running_sum(df: DataFrame, group: Sequence[str], bands: Sequence[str], order: Sequence[str],
                 value: str, name: str) -> DataFrame:
-    """Add the running sum of ``value`` in ``group``, in ``bands`` then ``order``."""
+    """Add the running sum of ``value`` in ``group``, in ``bands`` then ``order``; see ``ranked``."""
     group, bands = list(group), list(bands)
     inside = (W.partitionBy(*group, *bands).orderBy(*order)
               .rowsBetween(W.unboundedPreceding, W.currentRow))
-    return (df.join(_offsets(df, group, bands, F.sum(value)), group + bands)
+    return (df.join(_offsets(df, group, bands, F.sum(value)), group + bands, "left")
             .withColumn(name, F.sum(value).over(inside) + F.col("_offset"))
             .drop("_offset"))
 

@@ -8,6 +8,8 @@ from pagewright.operators import export_shapes as X, reading as R
 from pagewright.plans import fixtures as fx
 from pagewright.plans.fixtures import with_views
 from pagewright.plans.registry import query
+from pagewright.session import scratch_path
+from pagewright.sources import sinks
 
 r9 = lambda c: F.round(c, 9)
 
@@ -286,3 +288,14 @@ def _(spark, sf):
     pages = parsed.select("doc_id", "a", F.explode("a.pages").alias("p"))
     named = {n: F.col(f"a.{n}") for n in ("job_id", "status", "total_pages", "download_url")}
     return _flat_regions(pages, **named)
+
+
+@query("f12_export", with_views(f"""
+  SELECT line, count(*) AS n FROM (
+    SELECT unnest(string_split(substr(content, 1, length(content) - 1), chr(10))) AS line FROM ({_TXT}))
+  GROUP BY line""", "page_results_fx"))
+def _(spark, sf):
+    """The text export written by the format dispatcher and read back, line by line."""
+    path = sinks.export(results(spark, sf), kept(spark, sf), scratch_path(spark, "export"), "txt")
+    return spark.read.option("lineSep", "\n").text(path).groupBy(F.col("value").alias("line")).agg(
+        F.count("*").alias("n"))

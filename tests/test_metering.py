@@ -15,7 +15,10 @@ def licensed(spark, key, as_of):
     (None, "free", True, None),
     ("", "free", True, None),
     ("PRO", "free", False, "Invalid key format"),
-    ("pro-20241301-S", "free", False, "time data '20241301' does not match format '%Y%m%d'"),
+    ("pro-20241301-S", "free", False, "unconverted data remains: 1"),
+    ("pro-soon-S", "free", False, "time data 'soon' does not match format '%Y%m%d'"),
+    ("pro-20300230-S", "free", False, "day is out of range for month"),
+    ("pro-2030115-S", "pro", True, None),
     ("PRO-20240115-S", "free", False, "expired"),
     ("gold-20300101", "gold", True, None),
     ("Enterprise-20300101-S", "enterprise", True, None),

@@ -65,3 +65,8 @@ def test_rate_limit_flags_what_is_past_the_limit(spark):
     want = {r.event_id for r in df.withColumn("n", F.row_number().over(w)).filter("n > 2").collect()}
     got = {r.event_id for r in M.rate_limit(df, 2).filter("limited").collect()}
     assert got == want
+
+
+def test_rows_without_a_key_are_kept(spark):
+    df = spark.createDataFrame([(1, 1, 1), (None, 1, 2)], "g int, b int, i int")
+    assert {r.i: r.r for r in ranked(df, ["g"], ["b"], ["i"], "r").collect()} == {1: 1, 2: None}
