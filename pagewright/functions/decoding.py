@@ -37,5 +37,9 @@ def index_char(idx: Column, charset: str = ALPHANUMERIC) -> Column:
 
 def ctc_encode(text: Column | str, charset: str = ALPHANUMERIC) -> Column:
     """Labels of a text as an array: lower-cased characters, unknown ones left out."""
-    labels = F.transform(characters(text), lambda c: char_index(F.lower(c), charset))
-    return F.filter(labels, lambda i: i >= 0)
+    col = F.col(text) if isinstance(text, str) else text
+    # Lower-cased alone, the dotted capital I is two characters and so in no set.
+    lowered = F.lower(F.replace(col, F.lit("\u0130"), F.lit("")))
+    unknown = "[^" + "".join(c if c.isalnum() else "\\" + c for c in BLANK + charset) + "]"
+    known = characters(F.regexp_replace(lowered, unknown, ""))
+    return F.transform(known, lambda c: char_index(c, charset))

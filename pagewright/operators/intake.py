@@ -162,7 +162,7 @@ def intake_report(files: DataFrame, max_mb: int = 100) -> DataFrame:
 def failures_by_ancestor(failures: DataFrame) -> DataFrame:
     """Failure rows counted under their class and under each ancestor of it.
 
-    Rows are counted per class before they meet the (fixed, 33-class) taxonomy.
+    Rows are counted per class before they meet the taxonomy, which is fixed.
     """
     counts = failures.groupBy("error_class").agg(F.count("*").alias("n"))
     pairs = error_taxonomy(failures.sparkSession)

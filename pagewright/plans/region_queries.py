@@ -149,7 +149,8 @@ _CHARS = "'0123456789abcdefghijklmnopqrstuvwxyz'"
   FROM steps_fx WHERE idx > 0 OR ch = '-' GROUP BY region_id""", "steps_fx"))
 def _(spark, sf):
     labels = F.array_join(F.transform(ctc_encode("text"), lambda i: i.cast("string")), ",")
-    documents = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("region_id"), labels.alias("labels"))
+    texts = fx.spread(fx.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    documents = texts.select(F.col("doc_id").alias("region_id"), labels.alias("labels"))
     return documents.filter(F.col("labels") != "")
 
 

@@ -53,6 +53,15 @@ def test_encode(spark):
     assert df.select(ctc_encode("t")).first()[0] == [11, 12, 0, 10]
 
 
+def test_encode_with_symbols(spark):
+    text = "A]^b\\-z \u0130`"
+    df = spark.createDataFrame([(text,)], "t string")
+    for name, chars in CHARSETS.items():
+        labels = {c: i for i, c in enumerate("-" + chars)}
+        want = [labels[c.lower()] for c in text if c.lower() in labels]
+        assert df.select(ctc_encode("t", chars)).first()[0] == want, name
+
+
 def test_charsets(spark):
     assert D.charset(spark, "digits").count() == 10
     assert D.charset(spark).count() == sum(map(len, CHARSETS.values()))
