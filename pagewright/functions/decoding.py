@@ -26,8 +26,10 @@ def char_index(ch: Column, charset: str = ALPHANUMERIC) -> Column:
 
     Where the set itself holds the blank symbol its place in the set wins.
     """
+    if BLANK not in charset:
+        return F.instr(F.lit(BLANK + charset), ch) - 1
     place = F.instr(F.lit(charset), ch)
-    return F.when(place > 0, place).when(ch == BLANK, 0).otherwise(-1)
+    return F.when(place > 0, place).otherwise(-1)
 
 
 def index_char(idx: Column, charset: str = ALPHANUMERIC) -> Column:
@@ -41,5 +43,5 @@ def ctc_encode(text: Column | str, charset: str = ALPHANUMERIC) -> Column:
     # Lower-cased alone, the dotted capital I is two characters and so in no set.
     lowered = F.lower(F.replace(col, F.lit("\u0130"), F.lit("")))
     unknown = "[^" + "".join(c if c.isalnum() else "\\" + c for c in BLANK + charset) + "]"
-    known = characters(F.regexp_replace(lowered, unknown, ""))
-    return F.transform(known, lambda c: char_index(c, charset))
+    # Every character that is left has a label.
+    return F.transform(characters(F.regexp_replace(lowered, unknown, "")), lambda c: char_index(c, charset))

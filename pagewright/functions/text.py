@@ -6,9 +6,9 @@ from pyspark.sql import Column, functions as F
 
 
 def characters(text: Column | str) -> Column:
-    """The characters of a string, in order, as an array."""
+    """The characters of a string, in order, as an array; none for the empty string."""
     col = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(col, ""), lambda c: c != "")
+    return F.array_remove(F.split(col, ""), "")
 
 
 def suffix(path: Column | str) -> Column:

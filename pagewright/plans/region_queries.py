@@ -144,14 +144,14 @@ def _(spark, sf):
 _CHARS = "'0123456789abcdefghijklmnopqrstuvwxyz'"
 
 
-@query("d1_ctc_encode", with_views(f"""
-  SELECT region_id, string_agg(CAST(CASE WHEN idx > 0 THEN idx ELSE 0 END AS VARCHAR), ',' ORDER BY t) AS labels
-  FROM steps_fx WHERE idx > 0 OR ch = '-' GROUP BY region_id""", "steps_fx"))
+@query("d1_ctc_encode", with_views("""
+  SELECT doc_id AS region_id, coalesce(labels, '') AS labels FROM documents LEFT JOIN (
+    SELECT region_id, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY t) AS labels
+    FROM steps_fx WHERE idx > 0 OR ch = '-' GROUP BY region_id) ON region_id = doc_id""", "steps_fx"))
 def _(spark, sf):
-    labels = F.array_join(F.transform(ctc_encode("text"), lambda i: i.cast("string")), ",")
     texts = fx.spread(fx.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    documents = texts.select(F.col("doc_id").alias("region_id"), labels.alias("labels"))
-    return documents.filter(F.col("labels") != "")
+    labels = F.array_join(ctc_encode("text").cast("array<string>"), ",")
+    return texts.select(F.col("doc_id").alias("region_id"), labels.alias("labels"))
 
 
 _BEST = """
