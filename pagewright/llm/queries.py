@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import mixing, tokens, url_filters, vector_topk
+from pagewright.llm import decontaminate, lz_dedup, mixing, quality, simhash, tokens, url_filters, vector_topk
 from pagewright.llm.common import table
 from pagewright.session import scratch_path
 
@@ -28,6 +28,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op2_token_files")
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "tokens")
@@ -35,6 +40,21 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(manifest, folder)
 
 
+@query("op3_decontaminate")
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_repeated_windows")
+def op4_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@query("op5_simhash")
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 _OP6 = """
 WITH rows AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -88,7 +108,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, doc_no, start, n_tokens, closed: counts found in unindexed files of all documents."""
     folder = scratch_path(spark, "flat")
     manifest = tokens.write_tokens(
-        table(spark, sf_dir, "documents"), folder, tokenizer_path(), end_id=END_OF_TEXT)
+        table(spark, sf_dir, "documents"), folder, tokenizer_path(), end_id=END_OF_TEXT, ordered=False)
     counts = tokens.scan_tokens(spark, folder, END_OF_TEXT)
     return tokens.document_numbers(manifest, folder).join(counts, "doc_no")
 

@@ -11,6 +11,7 @@ A token folder holds, for every part ``p`` in ascending document order:
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -20,15 +21,15 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from pagewright.llm.common import NULL_ID, keyed, public_id, text_slices
+from pagewright.llm.common import keyed, public_id, text_slices
 from pagewright.session import cut_lineage
 
-#: Distinct chunks whose ids a task remembers; at the limit the memory starts anew.
-CACHE_ENTRIES = 400_000
+#: Distinct chunks whose ids a process remembers; at the limit the memory starts anew.
+CACHE_ENTRIES = 800_000
 #: Ids in one block of the separator scan.
 BLOCK_IDS = 1 << 20
 
-_ODD_SPACE = re.compile(r"\s \S|\S \s|\s \s|^\s|\s$")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -69,20 +70,46 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
+        [self.separator] = self.tokenizer.encode("\r", add_special_tokens=False).ids
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        if _ODD_SPACE.search(text):
+        if ("  " in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n"
+                or _OTHER_SPACE.search(text)):
             return _CUT.split(text)
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
+    def _learn(self, new: list[str]) -> None:
+        """Encode new chunks, most of them many at a time with a separator that stays a token of its own.
+
+        Between a chunk's end and the space before the next, a carriage return is a piece by itself.
+        """
+        fast = lambda texts: self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        plain = [c for c in new if c[0] == " " and len(c) > 1 and not c[1].isspace() and not c[-1].isspace()
+                 and "\r" not in c]
+        for at in range(0, len(plain), 256):
+            some = plain[at:at + 256]
+            ids = np.array(fast(["".join([c + "\r" for c in some]) + " ."])[0].ids, self.dtype)
+            ends = np.flatnonzero(ids == self.separator)
+            if len(ends) != len(some):
+                raise AssertionError("separator is not a token of its own")
+            start, raw, width = 0, ids.tobytes(), ids.itemsize
+            for chunk, end in zip(some, ends.tolist()):
+                self.known[chunk] = raw[start * width:end * width]
+                start = end + 1
+        known = self.known
+        rest = [c for c in new if c not in known]
+        for chunk, found in zip(rest, fast(rest)):
+            known[chunk] = np.array(found.ids, self.dtype).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(t) if t else [] for t in texts]
         known = self.known
@@ -90,14 +117,21 @@ class Encoder:
         if len(known) + len(new) > CACHE_ENTRIES:
             known.clear()
             new = list({c for chunks in cut for c in chunks})
-        for at in range(0, len(new), 10_000):
-            some = new[at:at + 10_000]
-            for chunk, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[chunk] = np.array(found.ids, self.dtype).tobytes()
+        self._learn(new)
         return [b"".join([known[c] for c in chunks]) for chunks in cut]
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> DataFrame:
+def encoder_of(path: str) -> Encoder:
+    """This process's encoder. Worker processes outlive tasks, so what one task learned helps the next."""
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_pagewright_encoders", {})
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
+
+
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, ordered: bool = True) -> DataFrame:
     """Encode every row of ``docs`` (doc_id, text) into a token folder; returns its manifest.
 
     The manifest has a row per part: part, n_docs, n_tokens, base (ids in earlier parts), dtype.
@@ -105,16 +139,17 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
     written. A null or empty text is its end id alone. An empty table gives no part. Other columns
     are ignored. Rows are dealt by ranges of (doc_id, hash of text, row), so neither a doc_id nor
     a text that fills a third of the rows makes a large part. Parts are written by tasks
-    that can be run again; memory is bounded by a slice of rows, or by one document.
+    that can be run again; memory is bounded by a slice of rows, or by one document. Without ``ordered``
+    the rows are written as they are read, in no promised order and with no shuffle.
     """
     key = keyed(docs).withColumn("_n", F.monotonically_increasing_id())
     # monotonically_increasing_id differs between equal rows only, whose files are equal in any order
-    ordered = key.repartitionByRange("_id", "_th", "_n").sortWithinPartitions("_id", "_th", "_text")
+    rows = key.repartitionByRange("_id", "_th", "_n").sortWithinPartitions("_id", "_th", "_text") if ordered else key
 
     def write(batches):
         fs, root = _store(folder)
         fs.create_dir(root, recursive=True)
-        part, encoder = TaskContext.get().partitionId(), Encoder(tokenizer)
+        part, encoder = TaskContext.get().partitionId(), encoder_of(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
         ids, sizes = [], []
 
@@ -140,7 +175,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
             "part": pa.array([part], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()),
             "n_tokens": pa.array([int(offsets[-1])], pa.int64()), "dtype": [encoder.dtype]})
 
-    counted = cut_lineage(ordered.mapInArrow(write, "part int, n_docs long, n_tokens long, dtype string"))
+    counted = cut_lineage(rows.mapInArrow(write, "part int, n_docs long, n_tokens long, dtype string"))
     # one row per part: a window over them is a prefix sum of a few thousand rows
     bases = counted.withColumn("base", F.coalesce(F.sum("n_tokens").over(
         W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
@@ -267,6 +302,3 @@ def document_numbers(manifest: DataFrame, folder: str) -> DataFrame:
 
     return firsts.repartition("part").mapInArrow(read, "doc_no long, _id long").select(
         "doc_no", public_id().alias("doc_id"))
-
-
-__all__ = ["Encoder", "NULL_ID", "document_numbers", "read_tokens", "scan_tokens", "write_tokens"]
