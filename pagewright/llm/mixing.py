@@ -129,3 +129,9 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, peri
         "doc_id", "source", "block", "release",
         F.expr(f"((block + 1) * {period} + _per - 1) div _per").alias("deadline"), "slot",
         F.coalesce(F.col("slot") < horizon, F.lit(False)).alias("in_mix"))
+
+
+def in_mix(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without the rows outside the mix (see ``mix``), all columns as they are; rows of one doc_id go together."""
+    kept = mix(docs, **options).filter("in_mix").select(F.col("doc_id").alias("_keep")).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")

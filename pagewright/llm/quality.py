@@ -66,7 +66,7 @@ class Model:
 
 def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 32,
                epochs: int = 60, least_steps: int = 600, batch: int = 1_024, rate: float = 5e-3,
-               decay: float = 1e-4, seed: int = 7) -> Model:
+               decay: float = 1e-2, seed: int = 7) -> Model:
     """Minimise the non-negative risk (sigmoid loss) over a one-layer network with Adam."""
     both = np.concatenate([positive, unlabelled]).astype(np.float64)
     mean, scale = both.mean(0), both.std(0) + 1e-3

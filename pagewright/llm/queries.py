@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import decontaminate, lz_dedup, mixing, quality, simhash, tokens, url_filters, vector_topk
+from pagewright.llm import (
+    decontaminate, lz_dedup, mixing, quality, simhash, suffix_dedup, tokens, url_filters, vector_topk)
 from pagewright.llm.common import table
 from pagewright.session import scratch_path
 
@@ -113,6 +114,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.document_numbers(manifest, folder).join(counts, "doc_no")
 
 
+@query("op9_later_copies")
+def op9_later_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_later_copies(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op10_source_mix")
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))

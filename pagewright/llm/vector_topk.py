@@ -65,7 +65,7 @@ def block_topk(queries: np.ndarray, query_ids: np.ndarray, docs: np.ndarray, ids
             top_s, top_i = top_s[best], top_i[best]
             if len(top_s) == k:
                 kth = top_s[-1]
-        out += [(int(query_id), int(i), int(s)) for i, s in zip(top_i, top_s)]
+        out += [(int(query_id), int(i), max(-2 ** 63, min(2 ** 63 - 1, int(s)))) for i, s in zip(top_i, top_s)]
     return out, scored
 
 
@@ -76,7 +76,7 @@ def exact_topk(vectors: DataFrame, k: int = 10, query_every: int = 100, id_col:
     Queries are the rows whose id is divisible by ``query_every``; candidates all rows with another
     id; ties go to the smaller vec_id; fewer candidates than k give all. Vectors that are null or hold
     null or non-finite components take no part, nor do rows without an id; a shorter vector counts as
-    padded with zeros, an empty one scores zero. Repeated rows: one id is one candidate and one
+    padded with zeros, an empty one scores zero. Scores beyond 64 bits are given as the nearest 64-bit number. Repeated rows: one id is one candidate and one
     query, its vector the largest in array order. Tables without queries or candidates give no rows.
     Other columns are ignored.
 
