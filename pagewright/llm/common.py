@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagewright.session import cut_lineage
@@ -33,20 +34,23 @@ def public_id(name: str = "_id") -> Column:
     return F.when(F.col(name) != NULL_ID, F.col(name))
 
 
-def text_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, UTF-8 texts) for runs of rows with about ``limit`` bytes, or one row if that is longer.
+def text_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20,
+                as_bytes: bool = True) -> Iterator[tuple[int, list]]:
+    """(first row, texts as UTF-8 bytes or strings) for runs of rows with about ``limit`` bytes, or one longer row.
 
     Keeps the memory of vectorised work per slice bounded whatever the texts' lengths.
     """
-    texts = batch.column(column).cast(pa.binary()).to_pylist()
+    texts = batch.column(column)
+    if as_bytes:
+        texts = texts.cast(pa.binary())
     first, size = 0, 0
-    for row, text in enumerate(texts):
-        if size and size + len(text) > limit:
-            yield first, texts[first:row]
+    for row, length in enumerate(pc.binary_length(texts).to_pylist()):
+        if size and size + length > limit:
+            yield first, texts.slice(first, row - first).to_pylist()
             first, size = row, 0
-        size += len(text)
+        size += length
     if first < len(texts):
-        yield first, texts[first:]
+        yield first, texts.slice(first).to_pylist()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

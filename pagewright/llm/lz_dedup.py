@@ -23,7 +23,7 @@ from pagewright.session import cut_lineage
 
 WINDOW, GRAM = 35, 8
 #: Word hashes a task remembers; at the limit the memory starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 class WordHashes:
@@ -131,7 +131,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 
     def run(batches):
         for batch in batches:
-            for first, texts in text_slices(batch, "_text", 1 << 20):
+            for first, texts in text_slices(batch, "_text"):
                 out = []
                 for n, text in enumerate(texts, first):
                     words = text.split()
