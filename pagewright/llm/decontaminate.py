@@ -4,7 +4,8 @@ Every passage of every document is a query. Weights are scaled so that an item's
 sum to 1; a passage must reach ``threshold`` of that. Items stand in blocks; every posting list has its maximum per
 block. Terms whose block maxima together stay below the threshold can't lift an item by
 themselves, so only the other, essential terms open a block: a block whose bound (essential block maxima
-found in the passage plus all the others') is below the threshold is skipped, the rest is scored in full.
+found in the passage plus all the others') is below the threshold is skipped; open blocks' items are bounded by
+their own weights in the same way, and what is left is scored in full.
 Items found are then checked for overlap of their question and of their answer with the passage.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +23,18 @@ from pagewright.llm.common import keyed, public_id, text_slices
 
 K1, B, THRESHOLD, OVERLAP, NGRAM, MIN_WORDS = 1.2, 0.75, 0.5, 0.5, 3, 5
 #: Items per index block, and about the most items in one index shard (what a task holds and is sent).
-BLOCK_ITEMS, SHARD_ITEMS = 8, 3_000
-_WORD = re.compile(r"\w+")
+BLOCK_ITEMS, SHARD_ITEMS = 8, 1_000
+#: ASCII characters that are no letter or digit part words.
+_PARTS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def words_of(text: str) -> list[bytes]:
+    """Lower-cased words as UTF-8, split at ASCII characters other than letters and digits."""
+    return text.lower().encode().translate(_PARTS).split()
 
 
-def question_and_answer(text: str) -> tuple[list[str], list[str]]:
+def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     """Words of the question and of the answer: after the last ``?``, else the last sentence, else the last third."""
     head, mark, tail = text.rpartition("?")
     if mark and words_of(tail) and words_of(head):
@@ -43,7 +47,7 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
-def overlap(part: list[str], passage: list[str]) -> float:
+def overlap(part: list[bytes], passage: list[bytes]) -> float:
     """Share of the part's word n-grams (n up to 3) that stand in the passage; 1 for an empty part."""
     if not part:
         return 1.0
@@ -55,22 +59,26 @@ def overlap(part: list[str], passage: list[str]) -> float:
 @dataclass
 class Shard:
     """The index of one shard of items."""
-    terms: dict[str, int]
+    terms: dict[bytes, int]
     item_ids: np.ndarray
     texts: list[str]
     weights: list[dict[int, float]]
-    essential: np.ndarray        # per term
+    essential: dict[bytes, int]  # terms that open blocks, with their numbers
     first: np.ndarray            # per term: its slice of the block postings
     blocks: np.ndarray           # block of a posting
     block_max: np.ndarray        # the most a term gives an item of that block
     rest: np.ndarray             # per block: sum of the maxima of terms that aren't essential
+    item_first: np.ndarray       # per term: its slice of the item postings
+    items: np.ndarray            # item of a posting
+    item_weight: np.ndarray      # what the term gives the item
+    item_rest: np.ndarray        # per item: sum of its weights of terms that aren't essential
 
     @staticmethod
     def build(postings, items: dict[int, str], threshold: float) -> Shard:
         """postings: (item_id, term, weight) of all items of the shard."""
         ids = np.array(sorted(items), np.int64)
         number = {int(i): n for n, i in enumerate(ids)}
-        terms: dict[str, int] = {}
+        terms: dict[bytes, int] = {}
         weights: list[dict[int, float]] = [{} for _ in ids]
         for item, term, weight in sorted(postings):
             weights[number[item]][terms.setdefault(term, len(terms))] = weight
@@ -87,46 +95,70 @@ class Shard:
                 more[b] += w
             if more.max(initial=0) < threshold / 2:
                 essential[t], rest = False, more
-        flat = [(b, w) for own in best for b, w in sorted(own.items())]
-        return Shard(terms, ids, [items[int(i)] for i in ids], weights, essential,
-                     np.concatenate([[0], np.cumsum([len(x) for x in best])]).astype(np.int64),
-                     np.array([b for b, _ in flat], np.int64), np.array([w for _, w in flat]), rest)
+        lists: list[list[tuple[int, float]]] = [[] for _ in terms]
+        item_rest = np.zeros(len(ids))
+        for n, own in enumerate(weights):
+            for t, w in own.items():
+                lists[t].append((n, w))
+                item_rest[n] += 0.0 if essential[t] else w
+        flat = lambda rows: (np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64),
+                             np.array([i for r in rows for i, _ in sorted(r)], np.int64),
+                             np.array([w for r in rows for _, w in sorted(r)]))
+        first, blocks, block_max = flat([own.items() for own in best])
+        item_first, item, item_weight = flat(lists)
+        return Shard(terms, ids, [items[int(i)] for i in ids], weights,
+                     {t: n for t, n in terms.items() if essential[n]}, first, blocks, block_max, rest,
+                     item_first, item, item_weight, item_rest)
 
-    def search(self, documents: list[list[str]], stride: int, threshold: float):
+    @staticmethod
+    def _sums(rows, term, width, first, target, weight) -> np.ndarray:
+        """(rows, width) sums of the postings of (row, term) pairs."""
+        size = first[term + 1] - first[term]
+        posting = np.repeat(first[term] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        key = np.repeat(rows, size) * width + target[posting]
+        n = int(rows.max(initial=-1)) + 1
+        return np.bincount(key, weight[posting], minlength=n * width).reshape(n, width)
+
+    def search(self, documents: list[list[bytes]], stride: int, threshold: float):
         """(document, item number, score, passage words) of all items at or above the threshold in any passage.
 
-        Passage j of a document is its words [j * stride, (j + 2) * stride).
+        Passage j of a document is its words [j * stride, (j + 2) * stride). Blocks are bounded for all
+        passages at once; where a block stays open its items are bounded, and items still open are scored.
         """
-        lookup = self.terms.get
-        counts = [max(1, -(-len(d) // stride) - 1) for d in documents]
-        firsts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        found = []
-        for n, words in enumerate(documents):
-            t = np.fromiter((lookup(w, -1) for w in words), np.int64, len(words))
-            at = np.flatnonzero(t >= 0)
-            at = at[self.essential[t[at]]]
-            j = at // stride
-            for shift in (0, 1):
-                ok = (j - shift >= 0) & (j - shift < counts[n])
-                found.append(((firsts[n] + j[ok] - shift) * len(self.terms) + t[at[ok]]))
-        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        if not len(pairs):
+        sizes = np.array([len(d) for d in documents], np.int64)
+        counts = np.maximum(1, -(-sizes // stride) - 1)
+        firsts = np.concatenate([[0], np.cumsum(counts)])
+        every = list(chain.from_iterable(documents))
+        t = np.fromiter(map(self.essential.get, every, repeat(-1)), np.int64, len(every))
+        at = np.flatnonzero(t >= 0)
+        if not len(at) or not len(self.rest):
+            return
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        doc = np.searchsorted(begin, at, "right") - 1
+        j, t = (at - begin[doc]) // stride, t[at]
+        kinds = len(self.terms)
+        pairs = [((firsts[doc] + j - shift) * kinds + t)[(j >= shift) & (j - shift < counts[doc])] for shift in (0, 1)]
+        passage, term = np.divmod(np.unique(np.concatenate(pairs)), kinds)
+        least = threshold - 1e-9
+        bound = self._sums(passage, term, len(self.rest), self.first, self.blocks, self.block_max) + self.rest
+        opened = (bound >= least).any(1)
+        number = np.cumsum(opened) - 1
+        kept = opened[passage]
+        if not kept.any():
             return
-        passage, term = np.divmod(pairs, len(self.terms))
-        size = self.first[term + 1] - self.first[term]
-        posting = np.repeat(self.first[term] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        key = np.repeat(passage, size) * len(self.rest) + self.blocks[posting]
-        bound = np.bincount(key, self.block_max[posting], minlength=int(firsts[-1]) * len(self.rest))
-        bound = bound.reshape(-1, len(self.rest)) + self.rest
-        for p, b in zip(*np.nonzero(bound >= threshold - 1e-9)):
+        scores = self._sums(number[passage[kept]], term[kept], len(self.item_ids), self.item_first, self.items,
+                            self.item_weight) + self.item_rest
+        blocks = np.repeat(bound[opened] >= least, BLOCK_ITEMS, axis=1)[:, :len(self.item_ids)]
+        originals = np.flatnonzero(opened)
+        for row, i in zip(*np.nonzero((scores >= least) & blocks)):
+            p = originals[row]
             n = int(np.searchsorted(firsts, p, "right")) - 1
             start = int(p - firsts[n]) * stride
             words = documents[n][start:start + 2 * stride]
-            own = {lookup(w) for w in words}
-            for i in range(b * BLOCK_ITEMS, min(len(self.weights), (b + 1) * BLOCK_ITEMS)):
-                score = sum(w for t, w in self.weights[i].items() if t in own)
-                if score >= threshold - 1e-9:
-                    yield n, i, score, words
+            own = {self.terms.get(w) for w in words}
+            score = sum(w for t, w in self.weights[i].items() if t in own)
+            if score >= least:
+                yield n, i, score, words
 
 
 def item_index(items: DataFrame, k1: float = K1, b: float = B, min_words: int = MIN_WORDS) -> DataFrame:
@@ -135,7 +167,6 @@ def item_index(items: DataFrame, k1: float = K1, b: float = B, min_words: int =
     Items of fewer than ``min_words`` words name nothing in particular and are left out, as are null
     ids and texts; of items with one id the first text in order counts.
     """
-    spark = items.sparkSession
     texts = (items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
              .groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text")))
 
@@ -151,9 +182,9 @@ def item_index(items: DataFrame, k1: float = K1, b: float = B, min_words: int =
                         out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, pa.schema([
                 ("item_id", pa.int64()), ("text", pa.string()), ("words", pa.int64()),
-                ("term", pa.string()), ("tf", pa.int64())]))
+                ("term", pa.binary()), ("tf", pa.int64())]))
 
-    terms = texts.mapInArrow(split, "item_id long, text string, words long, term string, tf long")
+    terms = texts.mapInArrow(split, "item_id long, text string, words long, term binary, tf long")
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     totals = terms.select("item_id", "words").distinct().agg(F.count("*").alias("n"), F.avg("words").alias("mean")).first()
     n, mean = totals["n"], totals["mean"] or 1.0
@@ -192,8 +223,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
             parts = [question_and_answer(t) for t in shard.texts]
             for batch in batches:
                 ids, out = batch.column("_id").to_pylist(), []
-                for first, some in text_slices(batch, "_text", 1 << 20):
-                    documents = [words_of(t.decode()) for t in some]
+                for first, some in text_slices(batch, "_text", as_bytes=False):
+                    documents = [words_of(t) for t in some]
                     for n, i, score, words in shard.search(documents, stride, threshold):
                         q, a = overlap(parts[i][0], words), overlap(parts[i][1], words)
                         if q >= min_overlap and a >= min_overlap:
