@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,32 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from pagewright.llm.common import keyed, public_id, text_slices
+from pagewright.llm.storage import put, store
 from pagewright.session import cut_lineage
 
-#: Distinct chunks whose ids a process remembers; at the limit the memory starts anew.
+#: Distinct words whose ids a process remembers; at the limit the memory starts anew.
 CACHE_ENTRIES = 800_000
 #: Ids in one block of the separator scan.
 BLOCK_IDS = 1 << 20
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-
-
-def _store(folder: str):
-    """(file system, path) of a folder given as a path or URI, as executors see it."""
-    if folder.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + folder[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
-
-
-def _put(fs, path: str, pieces) -> None:
-    """Write under a name of this attempt, then move into place: a rerun task just replaces the file."""
-    context = TaskContext.get()
-    draft = f"{path}.{context.taskAttemptId() if context else 0}.draft"
-    with fs.open_output_stream(draft) as out:
-        for piece in pieces:
-            out.write(piece)
-    fs.move(draft, path)
 
 
 def _ids(fs, path: str, dtype: str, start: int = 0, stop: int | None = None) -> np.ndarray:
@@ -62,11 +46,11 @@ def _ids(fs, path: str, dtype: str, start: int = 0, stop: int | None = None) ->
 
 
 class Encoder:
-    """Ids of whole texts through the ``tokenizers`` library, each distinct chunk encoded once.
+    """Ids of whole texts through the ``tokenizers`` library, each distinct word encoded once.
 
-    Byte-level BPE never joins across "non-space, one space, non-space", so a text's ids are
-    its chunks' ids in a row, cut before such spaces. Special-token strings in a text are
-    ordinary text.
+    Byte-level BPE never joins across "non-space, one space, non-space". A text whose spaces all stand so is the ids of
+    its first word and of every further word with the space before it; others are encoded whole.
+    Special-token strings in a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -76,49 +60,56 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
-        [self.separator] = self.tokenizer.encode("\r", add_special_tokens=False).ids
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        if ("  " in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n"
-                or _OTHER_SPACE.search(text)):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode new chunks, most of them many at a time with a separator that stays a token of its own.
-
-        Between a chunk's end and the space before the next, a carriage return is a piece by itself.
-        """
-        fast = lambda texts: self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        plain = [c for c in new if c[0] == " " and len(c) > 1 and not c[1].isspace() and not c[-1].isspace()
-                 and "\r" not in c]
-        for at in range(0, len(plain), 256):
-            some = plain[at:at + 256]
-            ids = np.array(fast(["".join([c + "\r" for c in some]) + " ."])[0].ids, self.dtype)
-            ends = np.flatnonzero(ids == self.separator)
-            if len(ends) != len(some):
-                raise AssertionError("separator is not a token of its own")
-            start, raw, width = 0, ids.tobytes(), ids.itemsize
-            for chunk, end in zip(some, ends.tolist()):
-                self.known[chunk] = raw[start * width:end * width]
-                start = end + 1
-        known = self.known
-        rest = [c for c in new if c not in known]
-        for chunk, found in zip(rest, fast(rest)):
-            known[chunk] = np.array(found.ids, self.dtype).tobytes()
+        self.known: dict[str, bytes] = {}  # word: ids of " word"
+        signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+        self.signs = dict(zip(signs, [i.tobytes() for i in self._ids(signs)]))
+        # byte-level vocabularies spell a byte that is no visible Latin-1 character as the next one past 255
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.spell = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words. Letters alone are one piece of the vocabulary's splitter, and a sign after them another, so
+        such words go straight to its model; the rest is encoded as text."""
+        known, signs, model = self.known, self.signs, self.tokenizer.model.tokenize
+        space, table, rest = self.spell[32], self.spell, []
+        kind = "H" if self.dtype == "<u2" else "I"
+
+        def letters(word: str) -> bytes:
+            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(table)
+            return array(kind, [t.id for t in model(space + spelt)]).tobytes()
+
+        for word in words:
+            if word.isalpha():
+                known[word] = letters(word)
+            elif word[-1:] in signs and word[:-1].isalpha():
+                base = word[:-1]
+                ids = known.get(base)
+                if ids is None:
+                    ids = known[base] = letters(base)
+                known[word] = ids + signs[word[-1]]
+            else:
+                rest.append(word)
+        known.update(zip(rest, [i.tobytes() for i in self._ids([" " + w for w in rest])]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.chunks(t) if t else [] for t in texts]
-        known = self.known
-        new = list({c for chunks in cut for c in chunks if c not in known})
-        if len(known) + len(new) > CACHE_ENTRIES:
-            known.clear()
-            new = list({c for chunks in cut for c in chunks})
-        self._learn(new)
-        return [b"".join([known[c] for c in chunks]) for chunks in cut]
+        even = [bool(t) and not ("  " in t or " \n" in t or "\n " in t or t[0] in " \n" or t[-1] in " \n"
+                                 or _OTHER_SPACE.search(t)) for t in texts]
+        words = [t.split(" ") for t, e in zip(texts, even) if e]
+        seen = set().union(*words)
+        new = seen.difference(self.known)
+        if len(self.known) + len(new) > CACHE_ENTRIES:
+            self.known.clear()
+            new = seen
+        self._learn(list(new))
+        firsts = iter(self._ids([w[0] for w in words]))
+        others = iter(self._ids([t for t, e in zip(texts, even) if not e]))
+        rows, find = iter(words), self.known.__getitem__
+        return [next(firsts).tobytes() + b"".join(map(find, next(rows)[1:])) if e else next(others).tobytes()
+                for e in even]
 
 
 def encoder_of(path: str) -> Encoder:
@@ -147,7 +138,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     rows = key.repartitionByRange("_id", "_th", "_n").sortWithinPartitions("_id", "_th", "_text") if ordered else key
 
     def write(batches):
-        fs, root = _store(folder)
+        fs, root = store(folder)
         fs.create_dir(root, recursive=True)
         part, encoder = TaskContext.get().partitionId(), encoder_of(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
@@ -156,8 +147,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
         def pieces():
             for batch in batches:
                 ids.extend(batch.column("_id").to_pylist())
-                for _, texts in text_slices(batch, "_text", 1 << 20):
-                    found = encoder.encode([t.decode() for t in texts])
+                for _, texts in text_slices(batch, "_text", as_bytes=False):
+                    found = encoder.encode(texts)
                     sizes.extend(len(x) // len(end) + 1 for x in found)
                     yield b"".join(x + end for x in found)
 
@@ -166,11 +157,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
         if first is None:
             return
         name = f"{root}/part-{part:05d}"
-        _put(fs, f"{name}.bin", (p for chunk in ([first], stream) for p in chunk))
-        _put(fs, f"{name}.ids", [np.array(ids, "<i8").tobytes()])
+        put(fs, f"{name}.bin", (p for chunk in ([first], stream) for p in chunk))
+        put(fs, f"{name}.ids", [np.array(ids, "<i8").tobytes()])
         offsets = np.zeros(len(sizes) + 1, "<u8")
         np.cumsum(sizes, out=offsets[1:])
-        _put(fs, f"{name}.off", [offsets.tobytes()])
+        put(fs, f"{name}.off", [offsets.tobytes()])
         yield pa.RecordBatch.from_pydict({
             "part": pa.array([part], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()),
             "n_tokens": pa.array([int(offsets[-1])], pa.int64()), "dtype": [encoder.dtype]})
@@ -181,14 +172,19 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
         W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
 
     def shift(batches):
-        fs, root = _store(folder)
+        fs, root = store(folder)
         for batch in batches:
             for part, base in zip(batch.column("part").to_pylist(), batch.column("base").to_pylist()):
                 name = f"{root}/part-{part:05d}"
-                _put(fs, f"{name}.idx", [(_ids(fs, f"{name}.off", "<u8") + np.uint64(base)).tobytes()])
+                put(fs, f"{name}.idx", [(_ids(fs, f"{name}.off", "<u8") + np.uint64(base)).tobytes()])
             yield batch
 
-    return cut_lineage(bases.repartition("part").mapInArrow(shift, bases.schema))
+    return cut_lineage(_dealt(bases).mapInArrow(shift, bases.schema))
+
+
+def _dealt(parts: DataFrame) -> DataFrame:
+    """One task for every few parts, whatever the rows' size in the manifest."""
+    return parts.repartition(max(1, parts.count() // 2), "part")
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
@@ -197,7 +193,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     ``ids_crc32`` is the unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers.
     """
     def read(batches):
-        fs, root = _store(folder)
+        fs, root = store(folder)
         for batch in batches:
             for part, dtype in zip(batch.column("part").to_pylist(), batch.column("dtype").to_pylist()):
                 name = f"{root}/part-{part:05d}"
@@ -211,7 +207,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                         "_id": pa.array(ids[at:to], pa.int64()), "start": pa.array(offsets[at:to], pa.int64()),
                         "n_tokens": pa.array(np.diff(local), pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
 
-    rows = manifest.repartition("part").mapInArrow(read, "_id long, start long, n_tokens long, ids_crc32 long")
+    rows = _dealt(manifest).mapInArrow(read, "_id long, start long, n_tokens long, ids_crc32 long")
     return rows.select(public_id().alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
@@ -226,7 +222,7 @@ def scan_tokens(spark: SparkSession, folder: str, end_id: int, dtype: str = "<u2
     cross blocks and files. Ids after the last separator are a document with ``closed`` false.
     Empty files and an empty or missing folder give no rows.
     """
-    fs, root = _store(folder)
+    fs, root = store(folder)
     width = np.dtype(dtype).itemsize
     infos = sorted((i for i in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
                     if i.path.endswith(".bin")), key=lambda i: i.path)
@@ -245,7 +241,7 @@ def scan_tokens(spark: SparkSession, folder: str, end_id: int, dtype: str = "<u2
         return np.flatnonzero(ids == end_id) + (base + block * block_ids)
 
     def summarise(batches):
-        fs, _ = _store(folder)
+        fs, _ = store(folder)
         for batch in batches:
             seen = [found(r["path"], r["base"], r["n"], r["block"], fs) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -267,7 +263,7 @@ def scan_tokens(spark: SparkSession, folder: str, end_id: int, dtype: str = "<u2
         (F.greatest(F.coalesce(F.max("last").over(in_file), F.lit(-1)), F.col("_open")) + 1).alias("first_start"))
 
     def cut(batches):
-        fs, _ = _store(folder)
+        fs, _ = store(folder)
         for batch in batches:
             for r in batch.to_pylist():
                 ends = found(r["path"], r["base"], r["n"], r["block"], fs) + 1
@@ -293,12 +289,12 @@ def document_numbers(manifest: DataFrame, folder: str) -> DataFrame:
         W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
 
     def read(batches):
-        fs, root = _store(folder)
+        fs, root = store(folder)
         for batch in batches:
             for part, first in zip(batch.column("part").to_pylist(), batch.column("_first").to_pylist()):
                 ids = _ids(fs, f"{root}/part-{part:05d}.ids", "<i8")
                 yield pa.RecordBatch.from_pydict({
                     "doc_no": pa.array(first + np.arange(len(ids)), pa.int64()), "_id": pa.array(ids, pa.int64())})
 
-    return firsts.repartition("part").mapInArrow(read, "doc_no long, _id long").select(
+    return _dealt(firsts).mapInArrow(read, "doc_no long, _id long").select(
         "doc_no", public_id().alias("doc_id"))
