@@ -4,7 +4,9 @@
    split among content-chosen anchors (``windows``), and neighbours with one anchor form a block.
    Blocks deal the suffixes out: equal 50-byte strings always lie in blocks of one anchor.
 2. Anchors that stand in one block of the corpus only are left out (short anchor keys are compared by bucket).
-3. Equal blocks are one block: all but those of the smallest doc_id are duplicates as a whole.
+3. Equal blocks are one block: all but those of the smallest doc_id are duplicates as a whole. Blocks travel packed, as
+   records in binary values dealt by anchor; those of an anchor met in very many slices travel as rows instead,
+   which aggregate before the shuffle and split in joins.
 4. Where an anchor still has different blocks, their suffixes are sorted: the sampled triples of the difference
    cover {1, 2} mod 3 are sorted and named, names are sorted by recursion, the remaining suffixes are merged
    in, and neighbours of the suffix array are compared on their first 50 bytes.
@@ -29,13 +31,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagewright.llm.common import keyed, public_id, text_slices
 from pagewright.llm.storage import put, store
-from pagewright.llm.windows import Spans, covered, runs_of
+from pagewright.llm.windows import covered, runs_of
 from pagewright.session import cut_lineage, scratch_path
 
 SIZE, GRAM = 50, 16
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Bytes of anchor keys in a bucket; bytes of text sorted at once; different blocks from which an anchor is cut up.
 BUCKET_BYTES, SORT_BYTES, CROWD = 4 << 20, 1 << 19, 2_000
+#: Bytes of block records in a bucket if all were shared; slices from which an anchor's blocks travel as rows.
+RECORD_BYTES, HOT_SLICES = 16 << 20, 4_096
 _KEY_BYTES = 5
 _BYTE_HASH = np.random.default_rng(50).integers(1, 2 ** 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -164,12 +168,49 @@ def _read(fs, path: str) -> bytes:
         return f.read()
 
 
-def _shared_runs(slices: DataFrame, size: int, gram: int) -> DataFrame:
-    """(slice, ord, _id, start, count, anchor, block) of the blocks whose anchor key occurs more than once."""
-    spark = slices.sparkSession
-    total = slices.agg(F.sum("bytes").alias("b")).first()["b"] or 0
+_RUN = np.dtype([("anchor", "<u8"), ("block", "<u8"), ("_id", "<i8"), ("ord", "<i4"), ("start", "<i4"), ("count", "<i4")])
+_WANTED = np.dtype([("ord", "<i4"), ("start", "<i4"), ("count", "<i4"), ("_id", "<i8"), ("anchor", "<u8")])
+_MARK = np.dtype([("ord", "<i4"), ("start", "<i4"), ("count", "<i4")])
+#: Kinds of packed values: covered runs, blocks to be sorted, blocks to be cut up, blocks that travel as rows.
+MARKS, WANTED, CROWDED, HOT = range(4)
+_KIND = {MARKS: _MARK, WANTED: _WANTED, CROWDED: _WANTED, HOT: _RUN}
+
+
+def _by_slice(kind: int, slices: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
+    """(kind, slice, data): records as bytes, one value per slice."""
+    order = np.argsort(slices, kind="stable")
+    found, cuts = np.unique(slices[order], return_index=True)
+    wanted = np.zeros(len(records), _KIND[kind])
+    for name in wanted.dtype.names:
+        wanted[name] = records[name]
+    parts = np.split(wanted[order], cuts[1:]) if len(found) else []
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.full(len(found), kind), pa.int32()), pa.array(found, pa.int64()),
+        pa.array([x.tobytes() for x in parts], pa.binary())], ["kind", "slice", "data"])
+
+
+_PACKED = "kind int, slice long, data binary"
+
+
+def _pack(rows: DataFrame, kind: int) -> DataFrame:
+    """Rows with ``slice`` and the fields of the kind, packed."""
+    names = _KIND[kind].names
+
+    def run(batches):
+        for batch in batches:
+            records = np.zeros(batch.num_rows, _KIND[kind])
+            for name in names:
+                column = batch.column(name).to_numpy(zero_copy_only=False)
+                records[name] = column.view("<u8") if records[name].dtype == "<u8" else column
+            yield _by_slice(kind, batch.column("slice").to_numpy(zero_copy_only=False), records)
+
+    return rows.select("slice", *names).mapInArrow(run, _PACKED)
+
+
+def _shared_anchors(slices: DataFrame, size: int, gram: int, total: int) -> tuple[str, int]:
+    """Writes, per slice, how often its anchor keys occur (once, more, in very many slices); (folder, buckets)."""
     buckets = max(1, int(total * 2 / (size - gram + 2) * _KEY_BYTES) // BUCKET_BYTES + 1)
-    folder = scratch_path(spark, "shared")
+    folder = scratch_path(slices.sparkSession, "shared")
 
     def emit(batches):
         for s, _, texts in _each(batches):
@@ -187,133 +228,183 @@ def _shared_runs(slices: DataFrame, size: int, gram: int) -> DataFrame:
         wide = np.zeros((sizes.sum(), 8), np.uint8)
         wide[:, :_KEY_BYTES] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, _KEY_BYTES)
         _, back, times = np.unique(wide.view("<u8").ravel(), return_inverse=True, return_counts=True)
-        shared = np.split(times[back] > 1, np.cumsum(sizes)[:-1])
+        ends = np.cumsum(sizes)[:-1]
+        levels = [np.split(times[back] > n, ends) for n in (1, HOT_SLICES)]
         head = zip(table.column("bucket").to_pylist(), sizes.tolist())
         return pa.table({
             "slice": table.column("slice"), "bucket": table.column("bucket"),
-            "data": pa.array([struct.pack("<ii", b, n) + np.packbits(x).tobytes() for (b, n), x in zip(head, shared)],
-                             pa.binary())})
+            "data": pa.array([struct.pack("<ii", b, n) + np.packbits(x).tobytes() + np.packbits(y).tobytes()
+                              for (b, n), x, y in zip(head, *levels)], pa.binary())})
 
     _per_slice(slices.mapInArrow(emit, "bucket int, slice long, keys binary").groupBy("bucket").applyInArrow(
         compare, "slice long, bucket int, data binary"), folder, ["bucket"])
+    return folder, buckets
+
+
+def _judge(slice_: np.ndarray, r: np.ndarray):
+    """[(kind, slices, records)]: whole duplicates, and blocks whose anchor has other blocks of smaller documents."""
+    order = np.lexsort((r["_id"], r["block"], r["anchor"]))
+    r, slice_ = r[order], slice_[order]
+    new_anchor = np.ones(len(r), bool)
+    new_anchor[1:] = r["anchor"][1:] != r["anchor"][:-1]
+    new_block = new_anchor.copy()
+    new_block[1:] |= r["block"][1:] != r["block"][:-1]
+    block = np.cumsum(new_block) - 1
+    least = r["_id"][new_block]                       # ids are sorted inside a block
+    anchor = np.cumsum(new_anchor[new_block]) - 1     # anchor of a block
+    starts = np.flatnonzero(new_anchor[new_block])
+    kinds = np.bincount(anchor)
+    mixed = np.minimum.reduceat(least, starts) < np.maximum.reduceat(least, starts)
+    late = r["_id"] > least[block]
+    open_ = ~late & mixed[anchor[block]]
+    crowded = kinds[anchor[block]] > CROWD
+    return [(kind, slice_[k], r[k]) for kind, k in (
+        (MARKS, late), (WANTED, open_ & ~crowded), (CROWDED, open_ & crowded))]
+
+
+def _judged(slices: DataFrame, size: int, gram: int) -> DataFrame:
+    """(kind, slice, data) over all blocks of shared anchors."""
+    total = slices.agg(F.sum("bytes").alias("b")).first()["b"] or 0
+    folder, buckets = _shared_anchors(slices, size, gram, total)
+    deals = max(1, int(total * 2 / (size - gram + 2) * _RUN.itemsize) // RECORD_BYTES + 1)
 
     def keep(batches):
         fs, root = store(folder)
         for s, ids, texts in _each(batches):
             r = _runs(texts, size, gram)
             keys, _, back = _keys(r.anchor, buckets)
-            data, at, masks = _read(fs, f"{root}/{s}"), 0, []
+            data, at, levels = _read(fs, f"{root}/{s}"), 0, ([], [])
             while at < len(data):
                 _, n = struct.unpack_from("<ii", data, at)
                 width = (n + 7) // 8
-                masks.append(np.unpackbits(np.frombuffer(data, np.uint8, width, at + 8), count=n))
-                at += 8 + width
-            shared = np.concatenate(masks).astype(bool) if masks else np.zeros(0, bool)
+                for i, level in enumerate(levels):
+                    level.append(np.unpackbits(np.frombuffer(data, np.uint8, width, at + 8 + i * width), count=n))
+                at += 8 + 2 * width
+            shared, hot = (np.concatenate(x).astype(bool) if x else np.zeros(0, bool) for x in levels)
             shared = shared | (np.bincount(back, minlength=len(keys)) > 1)
             k = np.flatnonzero(shared[back])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(k), s), pa.int64()), pa.array(r.doc[k], pa.int32()),
-                pa.array(ids[r.doc[k]], pa.int64()), pa.array(r.start[k], pa.int32()), pa.array(r.count[k], pa.int32()),
-                pa.array(r.anchor[k].view(np.int64), pa.int64()), pa.array(r.block[k].view(np.int64), pa.int64())],
-                ["slice", "ord", "_id", "start", "count", "anchor", "block"])
-
-    return cut_lineage(slices.select("slice", "ids", "texts").mapInArrow(
-        keep, "slice long, ord int, _id long, start int, count int, anchor long, block long"))
-
-
-_WANTED = np.dtype([("ord", "<i4"), ("start", "<i4"), ("count", "<i4"), ("crowded", "<i4"), ("_id", "<i8"),
-                    ("anchor", "<i8")])
-_MARK = np.dtype([("ord", "<i4"), ("start", "<i4"), ("count", "<i4")])
-
-
-def _packed(rows: DataFrame, kind: np.dtype) -> DataFrame:
-    """(slice, data): rows as records of ``kind``, many to a binary value."""
-    def run(batches):
-        for batch in batches:
-            records = np.zeros(batch.num_rows, kind)
-            for name in kind.names:
-                records[name] = batch.column(name).to_numpy(zero_copy_only=False)
-            slices = batch.column("slice").to_numpy(zero_copy_only=False)
-            order = np.argsort(slices, kind="stable")
-            found, cuts = np.unique(slices[order], return_index=True)
+            records = np.zeros(len(k), _RUN)
+            for name, column in (("anchor", r.anchor), ("block", r.block), ("ord", r.doc), ("start", r.start), ("count", r.count)):
+                records[name] = column[k]
+            records["_id"] = ids[r.doc[k]]
+            deal = np.where(hot[back[k]], -1 - s % deals, ((records["anchor"] >> np.uint64(20)) % np.uint64(deals)).astype(np.int64))
+            order = np.argsort(deal, kind="stable")
+            found, cuts = np.unique(deal[order], return_index=True)
             parts = np.split(records[order], cuts[1:]) if len(found) else []
             yield pa.RecordBatch.from_arrays([
-                pa.array(found, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "data"])
-
-    return rows.select("slice", *kind.names).mapInArrow(run, "slice long, data binary")
-
+                pa.array(found, pa.int32()), pa.array(np.full(len(found), s), pa.int64()),
+                pa.array([x.tobytes() for x in parts], pa.binary())], ["deal", "slice", "data"])
+
+    def judge(table: pa.Table) -> pa.Table:
+        blobs = table.column("data").to_pylist()
+        records = np.frombuffer(b"".join(blobs), _RUN)
+        owner = np.repeat(table.column("slice").to_numpy(), [len(b) // _RUN.itemsize for b in blobs])
+        if table.column("deal")[0].as_py() < 0:
+            return pa.Table.from_batches([_by_slice(HOT, owner, records)])
+        return pa.Table.from_batches([_by_slice(*found) for found in _judge(owner, records)])
+
+    packed = cut_lineage(slices.select("slice", "ids", "texts").mapInArrow(
+        keep, "deal int, slice long, data binary").groupBy("deal").applyInArrow(judge, _PACKED))
+    hot = packed.filter(F.col("kind") == HOT)
+    return packed.union(_judged_rows(hot)) if not hot.isEmpty() else packed
+
+
+def _judged_rows(hot: DataFrame) -> DataFrame:
+    """``_judge`` for anchors of very many slices, as rows: aggregated before the shuffle, joins split where skewed."""
+    def unpack(batches):
+        for batch in batches:
+            for s, data in zip(batch.column("slice").to_pylist(), batch.column("data").to_pylist()):
+                r = np.frombuffer(data, _RUN)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(r), s), pa.int64()),
+                    *[pa.array(np.ascontiguousarray(r[c])) for c in ("ord", "start", "count", "_id")],
+                    *[pa.array(np.ascontiguousarray(r[c]).view(np.int64)) for c in ("anchor", "block")]],
+                    ["slice", "ord", "start", "count", "_id", "anchor", "block"])
 
-def _marks(slices: DataFrame, size: int, gram: int) -> DataFrame:
-    """(slice, ord, start, count): runs of windows that also start in a document of a smaller id."""
-    spark = slices.sparkSession
-    runs = _shared_runs(slices, size, gram)
+    runs = hot.mapInArrow(unpack, "slice long, ord int, start int, count int, _id long, anchor long, block long")
     kinds = cut_lineage(runs.groupBy("anchor", "block").agg(F.min("_id").alias("least")))
     mixed = (kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.min("least").alias("lo"), F.max("least").alias("hi"))
-             .filter("n > 1 and lo < hi").select("anchor", (F.col("n") > CROWD).cast("int").alias("crowded")))
-    flagged = kinds.join(mixed, "anchor", "left")
-    judged = runs.join(flagged, ["anchor", "block"]).select(
-        "slice", "ord", "_id", "start", "count", "anchor", "crowded", (F.col("_id") > F.col("least")).alias("late")
-    ).filter("late or crowded is not null")
-    judged = cut_lineage(judged)
-    whole = judged.filter("late").select("slice", "ord", "start", "count")
-    wanted = scratch_path(spark, "wanted")
-    _per_slice(_packed(judged.filter("not late"), _WANTED), wanted, [])
+             .filter("n > 1 and lo < hi").select("anchor", (F.col("n") > CROWD).alias("crowded")))
+    judged = cut_lineage(runs.join(kinds.join(mixed, "anchor", "left"), ["anchor", "block"])
+                         .withColumn("late", F.col("_id") > F.col("least")).filter("late or crowded is not null"))
+    return (_pack(judged.filter("late"), MARKS)
+            .union(_pack(judged.filter("not late and not crowded"), WANTED))
+            .union(_pack(judged.filter("not late and crowded"), CROWDED)))
+
 
-    def texts_of(batches):
-        fs, root = store(wanted)
+def _texts(slices: DataFrame, folder: str, size: int, windows: bool) -> DataFrame:
+    """(slice, ord, start, count, _id, anchor, text) of the wanted blocks, or of each of their windows."""
+    def run(batches):
+        fs, root = store(folder)
         for s, _, texts in _each(batches):
             w = np.frombuffer(_read(fs, f"{root}/{s}"), _WANTED)
-            if not len(w):
-                continue
-            crowd, plain = w[w["crowded"] == 1], w[w["crowded"] == 0]
-            if len(crowd):  # one row a window
-                again = np.repeat(crowd, crowd["count"])
-                again["start"] += (np.arange(len(again)) - np.repeat(
-                    np.cumsum(crowd["count"]) - crowd["count"], crowd["count"])).astype(np.int32)
-                again["count"] = 1
-                crowd = again
-            plain = np.concatenate([plain, crowd])
-            cut = [texts[o][a:a + c + size - 1] for o, a, c in zip(plain["ord"], plain["start"], plain["count"])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(plain), s), pa.int64()),
-                 *[pa.array(np.ascontiguousarray(plain[c])) for c in ("ord", "start", "count", "crowded", "_id", "anchor")],
-                 pa.array(cut, pa.binary())],
-                ["slice", "ord", "start", "count", "crowded", "_id", "anchor", "text"])
-
-    blocks = cut_lineage(slices.select("slice", "ids", "texts").mapInArrow(
-        texts_of, "slice long, ord int, start int, count int, crowded int, _id long, anchor long, text binary"))
-
-    def sort(batches):
-        rows, bytes_ = [], 0
-
-        def done():
-            number, offset = later_windows(
-                [r[4] for r in rows], np.array([r[3] for r in rows]), np.array([r[5] for r in rows]), size)
-            return pa.RecordBatch.from_arrays([
-                pa.array([rows[n][0] for n in number], pa.int64()), pa.array([rows[n][1] for n in number], pa.int32()),
-                pa.array(np.array([r[2] for r in rows])[number] + offset, pa.int32()),
-                pa.array(np.ones(len(number)), pa.int32())], ["slice", "ord", "start", "count"])
-
-        last = None
+            if windows:
+                counts = w["count"]
+                w = np.repeat(w, counts)
+                w["start"] += (np.arange(len(w)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+                w["count"] = 1
+            for at in range(0, len(w), 20_000):
+                some = w[at:at + 20_000]
+                cut = [texts[o][a:a + c + size - 1] for o, a, c in zip(
+                    some["ord"].tolist(), some["start"].tolist(), some["count"].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(some), s), pa.int64()),
+                     *[pa.array(np.ascontiguousarray(some[c])) for c in ("ord", "start", "count", "_id")],
+                     pa.array(np.ascontiguousarray(some["anchor"]).view(np.int64)), pa.array(cut, pa.binary())],
+                    ["slice", "ord", "start", "count", "_id", "anchor", "text"])
+
+    return slices.select("slice", "ids", "texts").mapInArrow(
+        run, "slice long, ord int, start int, count int, _id long, anchor long, text binary")
+
+
+def _sorted_marks(blocks: DataFrame, size: int) -> DataFrame:
+    """Marks from the suffix arrays of blocks, whole anchors at a time."""
+    def flush(rows) -> pa.RecordBatch:
+        slices, ords, starts, counts, texts, ids = (list(c) for c in zip(*rows))
+        number, offset = later_windows(texts, np.array(counts), np.array(ids), size)
+        order = np.lexsort((offset, number))
+        number, offset = number[order], offset[order]
+        first = np.ones(len(number), bool)
+        first[1:] = (number[1:] != number[:-1]) | (offset[1:] != offset[:-1] + 1)
+        at = np.flatnonzero(first)
+        records = np.zeros(len(at), _MARK)
+        records["ord"], records["start"] = np.array(ords)[number[at]], np.array(starts)[number[at]] + offset[at]
+        records["count"] = np.diff(np.append(at, len(number)))
+        return _by_slice(MARKS, np.array(slices)[number[at]], records)
+
+    def run(batches):
+        rows, bytes_, last = [], 0, None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("slice", "ord", "start", "count", "text", "_id", "anchor")]
-            for row in zip(*columns):
-                if bytes_ >= SORT_BYTES and row[6] != last:  # an anchor's blocks stay together
-                    yield done()
+            anchors = batch.column("anchor").to_pylist()
+            columns = [batch.column(c).to_pylist() for c in ("slice", "ord", "start", "count", "text", "_id")]
+            for anchor, row in zip(anchors, zip(*columns)):
+                if bytes_ >= SORT_BYTES and anchor != last:  # an anchor's blocks stay together
+                    yield flush(rows)
                     rows, bytes_ = [], 0
-                last = row[6]
+                last = anchor
                 rows.append(row)
                 bytes_ += len(row[4]) + 1
         if rows:
-            yield done()
+            yield flush(rows)
 
-    sorted_ = blocks.filter("crowded = 0").repartition("anchor").sortWithinPartitions("anchor").select(
-        "slice", "ord", "start", "count", "text", "_id", "anchor").mapInArrow(
-        sort, "slice long, ord int, start int, count int")
-    crowd = blocks.filter("crowded = 1").select("slice", "ord", "start", "count", "_id", "text")
-    values = crowd.groupBy("text").agg(F.min("_id").alias("least"))
-    apart = crowd.join(values, "text").filter("_id > least").select("slice", "ord", "start", "count")
-    return whole.union(sorted_).union(apart)
+    return blocks.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _PACKED)
+
+
+def _marks(slices: DataFrame, size: int, gram: int) -> DataFrame:
+    """(kind, slice, data): packed runs of windows that also start in a document of a smaller id."""
+    spark = slices.sparkSession
+    judged = _judged(slices, size, gram)
+    of = lambda kind: judged.filter(F.col("kind") == kind)
+    wanted = scratch_path(spark, "wanted")
+    _per_slice(of(WANTED), wanted, [])
+    marks = of(MARKS).union(_sorted_marks(_texts(slices, wanted, size, False), size))
+    if of(CROWDED).isEmpty():
+        return marks
+    folder = scratch_path(spark, "crowded")
+    _per_slice(of(CROWDED), folder, [])
+    rows = _texts(slices, folder, size, True)
+    values = rows.groupBy("text").agg(F.min("_id").alias("least"))
+    return marks.union(_pack(rows.join(values, "text").filter("_id > least"), MARKS))
 
 
 def remove_later_copies(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
@@ -327,7 +418,7 @@ def remove_later_copies(docs: DataFrame, size: int = SIZE, gram: int = GRAM) ->
     """
     slices = _slices(docs)
     folder = scratch_path(docs.sparkSession, "marks")
-    _per_slice(_packed(_marks(slices, size, gram), _MARK), folder, [])
+    _per_slice(_marks(slices, size, gram), folder, [])
 
     def run(batches):
         fs, root = store(folder)
@@ -352,6 +443,3 @@ def remove_later_copies(docs: DataFrame, size: int = SIZE, gram: int = GRAM) ->
     done = slices.select("slice", "ids", "texts").mapInArrow(
         run, "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done.select(public_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-
-
-__all__ = ["Spans", "later_windows", "remove_later_copies", "suffix_array"]

@@ -20,39 +20,47 @@ PIECE = 1 << 22
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit mixing of unsigned integers (splitmix64's finalizer)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
-def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every k-gram of the token hashes ``h``."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = h[:n].copy()
-    for j in range(1, k):
-        out *= _BASE
-        out += h[j:n + j]
-    return mixed(out)
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0 ... base ** (n - 1) modulo 2**64, worked out once a task."""
+    have = _TABLES.get(name)
+    if have is None or len(have) < n:
+        have = np.full(max(n, 1 << 16), base, np.uint64)
+        have[0] = 1
+        np.cumprod(have, out=have)
+        _TABLES[name] = have
+    return have[:n]
 
 
 class Spans:
     """Hashes of any spans of one token stream, by prefix sums modulo 2**64."""
 
     def __init__(self, h: np.ndarray):
-        power = np.full(len(h) + 1, _BASE, np.uint64)
-        power[0] = 1
-        np.cumprod(power, out=power)
         self.sums = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * power[:-1], out=self.sums[1:])
+        np.multiply(h, _powers("up", _BASE, len(h)), out=self.sums[1:])
+        np.cumsum(self.sums, out=self.sums)
 
     def hash(self, start: np.ndarray, length) -> np.ndarray:
-        back = np.full(int(start.max(initial=0)) + 1, _UNBASE, np.uint64)
-        back[0] = 1
-        np.cumprod(back, out=back)
+        back = _powers("down", _UNBASE, int(start.max(initial=0)) + 1)
         return mixed((self.sums[start + length] - self.sums[start]) * back[start])
 
+    def grams(self, k: int) -> np.ndarray:
+        """Hash of every k-gram."""
+        n = max(0, len(self.sums) - k)
+        out = self.sums[k:k + n] - self.sums[:n]
+        out *= _powers("down", _UNBASE, n)
+        return mixed(out)
+
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` neighbours, by doubling."""
@@ -100,8 +108,10 @@ def _runs(hashes, group, window, gram) -> Runs:
     h = np.concatenate([hashes[n][at:at + length] for n, at, length in group])
     lengths = np.array([g[2] for g in group])
     begin = np.concatenate([[0], np.cumsum(lengths)])
-    grams = gram_hashes(h, gram)
-    key = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
+    spans = Spans(h)
+    grams = spans.grams(gram)
+    key = grams & ~_LOW
+    key |= np.arange(len(grams), dtype=np.uint64)
     anchor = (sliding_min(key, window - gram + 1) & _LOW).astype(np.int64)
     windows = lengths - window + 1
     own = np.repeat(begin[:-1] - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
@@ -111,7 +121,7 @@ def _runs(hashes, group, window, gram) -> Runs:
     count = np.diff(np.concatenate([first, [len(own)]]))
     start, at = own[first], a[first]
     piece = np.searchsorted(begin, start, "right") - 1
-    text = Spans(h).hash(start, count + window - 1)
+    text = spans.hash(start, count + window - 1)
     place = at - start
     block = mixed(text ^ (place * 4096 + count).astype(np.uint64))
     docs, offsets = np.array([g[0] for g in group]), np.array([g[1] for g in group])

@@ -20,9 +20,12 @@ def rows_of(df):
     return key(tuple(r)[:5] for r in df.drop("kept").collect())
 
 
-@pytest.mark.parametrize("seed,crowd,sort", [(1, 2_000, 1 << 19), (2, 1, 1 << 19), (3, 2_000, 100)])
-def test_equals_brute_force(spark, monkeypatch, seed, crowd, sort):
+@pytest.mark.parametrize("seed,crowd,sort,hot", [(1, 2_000, 1 << 19, 4_096), (2, 1, 1 << 19, 4_096), (3, 2_000, 100, 2),
+                                                 (4, 3, 1 << 19, 1)])
+def test_equals_brute_force(spark, monkeypatch, seed, crowd, sort, hot):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "HOT_SLICES", hot)
+    monkeypatch.setattr(suffix_dedup, "RECORD_BYTES", 4_000)
     monkeypatch.setattr(suffix_dedup, "SORT_BYTES", sort)
     monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 2_000)
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 500)
