@@ -27,7 +27,7 @@ from pagewright.llm.storage import put, store
 from pagewright.session import cut_lineage
 
 #: Distinct words whose ids a process remembers; at the limit the memory starts anew.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 1_500_000
 #: Ids in one block of the separator scan.
 BLOCK_IDS = 1 << 20
 
