@@ -96,19 +96,22 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     joins by anchor, if skewed, are split at run time.
     """
     runs = cut_lineage(_all_runs(docs, window, gram))
-    shared = runs.groupBy("anchor").count().filter("count > 1").select("anchor")
+    # counts are written before they are joined, so that both sides of a join are plain shuffles it can split
+    shared = cut_lineage(runs.groupBy("anchor").count().filter("count > 1").select("anchor"))
     runs = cut_lineage(runs.join(shared, "anchor"))
     row = F.struct("_id", "_th", "start", "count")
     blocks = cut_lineage(runs.groupBy("anchor", "block").agg(F.count("*").alias("copies"), F.min(row).alias("one")))
     whole = runs.join(blocks.filter("copies > 1").select("anchor", "block"), ["anchor", "block"]).select(
         "_id", "_th", "start", "count")
     # anchors with a block found once and another block: its windows may still stand in the other
-    open_ = (blocks.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least"))
-             .filter("kinds > 1 and least = 1").select("anchor"))
+    open_ = cut_lineage(
+        blocks.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least"))
+        .filter("kinds > 1 and least = 1").select("anchor"))
     wanted = blocks.join(open_, "anchor").select("anchor", "copies", "one.*")
     found = cut_lineage(_boundary_windows(docs, wanted, window))
-    again = (found.groupBy("anchor", "hash").agg(F.sum("copies").alias("all"), F.min("copies").alias("least"))
-             .filter("all > 1 and least = 1").select("anchor", "hash"))
+    again = cut_lineage(
+        found.groupBy("anchor", "hash").agg(F.sum("copies").alias("all"), F.min("copies").alias("least"))
+        .filter("all > 1 and least = 1").select("anchor", "hash"))
     parts = found.filter("copies = 1").join(again, ["anchor", "hash"]).select(
         "_id", "_th", F.col("at").alias("start"), F.lit(1).alias("count"))
     return whole.union(parts)
