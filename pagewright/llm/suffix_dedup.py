@@ -7,7 +7,7 @@
 3. Equal blocks are one block: all but those of the smallest doc_id are duplicates as a whole. Blocks travel packed, as
    records in binary values dealt by anchor; those of an anchor met in very many slices travel as rows instead,
    which aggregate before the shuffle and split in joins.
-4. Where an anchor still has different blocks, their suffixes are sorted: the sampled triples of the difference
+4. Where an anchor still has different blocks that agree on half a window on one side of it, their suffixes are sorted: the sampled triples of the difference
    cover {1, 2} mod 3 are sorted and named, names are sorted by recursion, the remaining suffixes are merged
    in, and neighbours of the suffix array are compared on their first 50 bytes.
    An anchor with very many different blocks would be one large sort; its suffixes are cut to 50
@@ -168,7 +168,8 @@ def _read(fs, path: str) -> bytes:
         return f.read()
 
 
-_RUN = np.dtype([("anchor", "<u8"), ("block", "<u8"), ("_id", "<i8"), ("ord", "<i4"), ("start", "<i4"), ("count", "<i4")])
+_RUN = np.dtype([("anchor", "<u8"), ("block", "<u8"), ("_id", "<i8"), ("ord", "<i4"), ("start", "<i4"), ("count", "<i4"),
+                 ("left", "<u4"), ("right", "<u4")])
 _WANTED = np.dtype([("ord", "<i4"), ("start", "<i4"), ("count", "<i4"), ("_id", "<i8"), ("anchor", "<u8")])
 _MARK = np.dtype([("ord", "<i4"), ("start", "<i4"), ("count", "<i4")])
 #: Kinds of packed values: covered runs, blocks to be sorted, blocks to be cut up, blocks that travel as rows.
@@ -255,8 +256,15 @@ def _judge(slice_: np.ndarray, r: np.ndarray):
     starts = np.flatnonzero(new_anchor[new_block])
     kinds = np.bincount(anchor)
     mixed = np.minimum.reduceat(least, starts) < np.maximum.reduceat(least, starts)
+    # a block shares a window with another only if they agree on half a window beside the anchor
+    agree = np.zeros(len(least), bool)
+    for side in ("left", "right"):
+        value = r[side][new_block]
+        k = np.flatnonzero((value != 0) & mixed[anchor])
+        _, back, times = np.unique((anchor[k].astype(np.uint64) << np.uint64(32)) | value[k], return_inverse=True, return_counts=True)
+        agree[k] |= times[back] > 1
     late = r["_id"] > least[block]
-    open_ = ~late & mixed[anchor[block]]
+    open_ = ~late & agree[block]
     crowded = kinds[anchor[block]] > CROWD
     return [(kind, slice_[k], r[k]) for kind, k in (
         (MARKS, late), (WANTED, open_ & ~crowded), (CROWDED, open_ & crowded))]
@@ -286,6 +294,8 @@ def _judged(slices: DataFrame, size: int, gram: int) -> DataFrame:
             records = np.zeros(len(k), _RUN)
             for name, column in (("anchor", r.anchor), ("block", r.block), ("ord", r.doc), ("start", r.start), ("count", r.count)):
                 records[name] = column[k]
+            for name, column in (("left", r.left), ("right", r.right)):
+                records[name] = column[k] >> np.uint64(32) | (column[k] > 0)
             records["_id"] = ids[r.doc[k]]
             deal = np.where(hot[back[k]], -1 - s % deals, ((records["anchor"] >> np.uint64(20)) % np.uint64(deals)).astype(np.int64))
             order = np.argsort(deal, kind="stable")

@@ -79,6 +79,8 @@ class Runs:
     place: np.ndarray    # anchor's distance from the first window
     anchor: np.ndarray   # hash of the anchor gram
     block: np.ndarray    # hash of the run's text, count and place
+    left: np.ndarray     # hash of the anchor with half a window's other tokens before it; 0 if the run ends short of that
+    right: np.ndarray    # the same after it. A window that two runs share reaches that far on one side in both
 
 
 def runs_of(hashes: list[np.ndarray], window: int, gram: int) -> Runs:
@@ -100,7 +102,7 @@ def runs_of(hashes: list[np.ndarray], window: int, gram: int) -> Runs:
         parts.append(_runs(hashes, group, window, gram))
     if not parts:
         empty = np.zeros(0, np.int64)
-        return Runs(empty, empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64))
+        return Runs(*[empty] * 4, *[empty.astype(np.uint64)] * 4)
     return Runs(*[np.concatenate([getattr(p, f) for p in parts]) for f in Runs.__dataclass_fields__])
 
 
@@ -124,8 +126,14 @@ def _runs(hashes, group, window, gram) -> Runs:
     text = spans.hash(start, count + window - 1)
     place = at - start
     block = mixed(text ^ (place * 4096 + count).astype(np.uint64))
+    half = -(-(window - gram) // 2)
+    sides = []
+    for reaches, shift in ((place >= half, -half), (count - 1 + window - gram - place >= half, 0)):
+        side, k = np.zeros(len(at), np.uint64), np.flatnonzero(reaches)
+        side[k] = spans.hash(at[k] + shift, gram + half) | np.uint64(1)
+        sides.append(side)
     docs, offsets = np.array([g[0] for g in group]), np.array([g[1] for g in group])
-    return Runs(docs[piece], start - begin[piece] + offsets[piece], count, place, grams[at], block)
+    return Runs(docs[piece], start - begin[piece] + offsets[piece], count, place, grams[at], block, *sides)
 
 
 def window_hashes(h: np.ndarray, start: np.ndarray, count: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
