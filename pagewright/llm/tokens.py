@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
-from array import array
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pagewright.llm.storage import put, store
 from pagewright.session import cut_lineage
 
 #: Distinct words whose ids a process remembers; at the limit the memory starts anew.
-CACHE_ENTRIES = 1_500_000
+CACHE_ENTRIES = 1_100_000
 #: Ids in one block of the separator scan.
 BLOCK_IDS = 1 << 20
 
@@ -63,6 +64,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}  # word: ids of " word"
         signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
         self.signs = dict(zip(signs, [i.tobytes() for i in self._ids(signs)]))
+        self.packed = [struct.Struct(f"<{n}{'H' if self.dtype == '<u2' else 'I'}").pack for n in range(32)]
         # byte-level vocabularies spell a byte that is no visible Latin-1 character as the next one past 255
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
@@ -76,11 +78,12 @@ class Encoder:
         such words go straight to its model; the rest is encoded as text."""
         known, signs, model = self.known, self.signs, self.tokenizer.model.tokenize
         space, table, rest = self.spell[32], self.spell, []
-        kind = "H" if self.dtype == "<u2" else "I"
+        packed, number = self.packed, attrgetter("id")
 
         def letters(word: str) -> bytes:
             spelt = word if word.isascii() else word.encode().decode("latin-1").translate(table)
-            return array(kind, [t.id for t in model(space + spelt)]).tobytes()
+            ids = list(map(number, model(space + spelt)))
+            return packed[len(ids)](*ids) if len(ids) < len(packed) else np.array(ids, self.dtype).tobytes()
 
         for word in words:
             if word.isalpha():
@@ -202,7 +205,9 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                 for at in range(0, len(ids), 10_000):
                     to = min(at + 10_000, len(ids))
                     local = offsets[at:to + 1] - offsets[0]
-                    crcs = [zlib.crc32(tokens[a:b].astype("<u4").tobytes()) for a, b in zip(local, local[1:])]
+                    some = memoryview(tokens[local[0]:local[-1]].astype("<u4").tobytes())
+                    cuts = ((local - local[0]) * 4).tolist()
+                    crcs = [zlib.crc32(some[a:b]) for a, b in zip(cuts, cuts[1:])]
                     yield pa.RecordBatch.from_pydict({
                         "_id": pa.array(ids[at:to], pa.int64()), "start": pa.array(offsets[at:to], pa.int64()),
                         "n_tokens": pa.array(np.diff(local), pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
