@@ -111,7 +111,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokens.write_tokens(
         table(spark, sf_dir, "documents"), folder, tokenizer_path(), end_id=END_OF_TEXT, ordered=False)
     counts = tokens.scan_tokens(spark, folder, END_OF_TEXT)
-    return tokens.document_numbers(manifest, folder).join(counts, "doc_no")
+    # both sides come from small manifests by mapInArrow, so their size can't be estimated: never broadcast
+    return tokens.document_numbers(manifest, folder).join(counts.hint("merge"), "doc_no")
 
 
 @query("op9_later_copies")
