@@ -11,12 +11,14 @@ import argparse
 import importlib
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession, functions as F
 
 from pagewright.config import EXPORT_FORMATS
 from pagewright.facade import Engine, default_output
-from pagewright.operators import intake
+from pagewright.functions.errors import ExportError
 from pagewright.session import SETTINGS
+from pagewright.sources import sinks
 from pagewright.sources.files import scan_documents
 
 
@@ -33,8 +35,11 @@ def _parser() -> argparse.ArgumentParser:
     batch.add_argument("--output-dir", "-o")
     batch.add_argument("--format", "-f", choices=EXPORT_FORMATS, action="append")
     batch.add_argument("--models", required=True)
-    info = commands.add_parser("info", help="show file facts without reading bytes")
+    batch.add_argument("--overlay", action="store_true", help="also write label rows")
+    batch.add_argument("--per-document", action="store_true", help="one output per document (txt, json, csv)")
+    info = commands.add_parser("info", help="show file facts; page facts need --models with a reader")
     info.add_argument("input")
+    info.add_argument("--models")
     return parser
 
 
@@ -55,9 +60,8 @@ def _show_summary(batch) -> None:
 def run(spark: SparkSession, argv: list[str]) -> int:
     args = _parser().parse_args(argv)
     if args.command == "info":
-        files = scan_documents(spark, args.input, supported_only=False)
-        intake.classify_files(files).select(
-            "path", intake.route_format("path").alias("type"), "length", "error_class").show(truncate=False)
+        engine = _engine(spark, args.models) if args.models else Engine(spark, detector=lambda files: files)
+        engine.info(args.input).show(truncate=False)
         return 0
     engine = _engine(spark, args.models)
     if args.command == "ocr":
@@ -70,10 +74,20 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         print(f"Output: {output}")
         _show_summary(batch)
         return 0
-    batch = engine.process_batch(args.input)
-    folder = args.output_dir or f"{args.input.rstrip('/')}/ocr_output"
-    for fmt in args.format or ["txt", "json"]:
-        engine.export(batch, f"{folder}/{fmt}", fmt)
+    try:
+        listed = scan_documents(spark, args.input)
+        if listed.select("path").first() is None:
+            raise ValueError(f"no supported files in {args.input}")
+        batch = engine.process_batch(args.input)
+        folder = args.output_dir or f"{args.input.rstrip('/')}/ocr_output"
+        for fmt in args.format or ["txt", "json"]:
+            write = engine.export_documents if args.per_document else engine.export
+            write(batch, f"{folder}/{fmt}", fmt)
+        if args.overlay:
+            sinks.write_overlay(batch.results, batch.regions, f"{folder}/overlay")
+    except (AnalysisException, ExportError, ValueError) as error:
+        print(f"Error: {error}", file=sys.stderr)
+        return 1
     counts = {r.status: r["count"] for r in batch.files.groupBy("status").count().collect()}
     print(f"Processed: {counts.get('ok', 0)} file(s), failed: {counts.get('failed', 0)}")
     print(f"Output folder: {folder}")

@@ -5,103 +5,47 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, field, fields
 from typing import Any
 
-#: File types, export formats, devices and back ends by name.
+#: File types, export formats and languages by name.
 IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".tiff", ".bmp", ".webp")
 PDF_EXTENSIONS = (".pdf",)
 SUPPORTED_EXTENSIONS = PDF_EXTENSIONS + IMAGE_EXTENSIONS
 EXPORT_FORMATS = ("txt", "json", "csv", "docx", "pdf", "searchable_pdf")
-DEVICES = ("cpu", "cuda", "mps")
-BACKENDS = ("craft_crnn", "dbnet_crnn", "east_crnn")
 SUPPORTED_LANGUAGES = ("en", "es", "fr", "de", "zh", "ja", "ko", "ar")
 DEFAULT_LANGUAGE = "en"
 
 
-def _one_of(name: str, value: str, allowed: tuple[str, ...]) -> None:
-    if value not in allowed:
-        raise ValueError(f"{name} must be one of {', '.join(allowed)}: {value!r}")
-
-
+# The defaults of the sections below. Every option is read by an operator that ``Engine`` calls.
 @dataclass(frozen=True)
 class OcrConfig:
-    backend: str = "craft_crnn"
-    device: str = "cpu"
     batch_size: int = 8
-    detection_threshold: float = 0.7
     recognition_threshold: float = 0.5
     max_image_dimension: int = 2048
-    enable_preprocessing: bool = True
-    enable_deskew: bool = True
-    enable_denoising: bool = True
-    language: str = DEFAULT_LANGUAGE
-    use_fp16: bool = False
-    onnx_optimization: bool = True
 
     def __post_init__(self):
-        _one_of("backend", self.backend, BACKENDS)
-        _one_of("device", self.device, DEVICES)
+        if self.batch_size < 1:
+            raise ValueError(f"batch_size must be at least 1: {self.batch_size}")
 
 
 @dataclass(frozen=True)
 class DocumentConfig:
     max_file_size_mb: int = 100
-    supported_image_formats: tuple[str, ...] = IMAGE_EXTENSIONS
-    supported_pdf_formats: tuple[str, ...] = PDF_EXTENSIONS
     dpi_for_pdf_render: int = 300
-    enable_layout_analysis: bool = True
     enable_table_detection: bool = True
     enable_kv_extraction: bool = True
 
 
-@dataclass(frozen=True)
-class StorageConfig:
-    """Folders are URIs Spark can write to; nothing is created until a writer runs."""
-
-    base_path: str = "pagewright"
-    output_path: str | None = None
-    cache_path: str | None = None
-    max_cache_size_gb: int = 10
-
-    @property
-    def outputs(self) -> str:
-        return self.output_path or f"{self.base_path}/output"
-
-    @property
-    def cache(self) -> str:
-        return self.cache_path or f"{self.base_path}/cache"
-
-
 @dataclass(frozen=True)
 class SecurityConfig:
     validate_file_types: bool = True
-    max_file_size_mb: int = 100
     allowed_extensions: tuple[str, ...] = SUPPORTED_EXTENSIONS
     rate_limit_per_minute: int = 60
 
 
-@dataclass(frozen=True)
-class ApiConfig:
-    log_level: str = "info"
-    max_upload_size_mb: int = 100
-
-
-@dataclass(frozen=True)
-class LicensingConfig:
-    enabled: bool = True
-    offline_mode: bool = True
-    usage_tracking_enabled: bool = True
-    sync_interval_hours: int = 24
-
-
 @dataclass(frozen=True)
 class Config:
     ocr: OcrConfig = field(default_factory=OcrConfig)
     document: DocumentConfig = field(default_factory=DocumentConfig)
-    storage: StorageConfig = field(default_factory=StorageConfig)
     security: SecurityConfig = field(default_factory=SecurityConfig)
-    api: ApiConfig = field(default_factory=ApiConfig)
-    licensing: LicensingConfig = field(default_factory=LicensingConfig)
-    debug: bool = False
-    log_level: str = "INFO"
 
     @classmethod
     def from_dict(cls, values: dict[str, Any]) -> "Config":

@@ -7,15 +7,17 @@ given by the user.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 import posixpath
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewright.config import Config
 from pagewright.functions.errors import ExportError
-from pagewright.operators import intake, reading
+from pagewright.functions.geometry import resize_plan
+from pagewright.operators import export_shapes as X, intake, layout, metering, reading
 from pagewright.operators.decode import Recognizer, apply_recognizer
 from pagewright.session import cut_lineage
 from pagewright.sources import sinks
@@ -23,11 +25,16 @@ from pagewright.sources.files import scan_documents
 
 #: Files with (path, length, content) to the same plus page_count, width and height.
 Reader = Callable[[DataFrame], DataFrame]
-#: Pages with (doc_id, page_number, content, ...) to boxes with x, y, w, h, confidence and,
-#: unless a recognizer is given, text and rec_confidence.
+#: Files with (doc_id, page_count, content, ...), one row each, to boxes with doc_id, page_number, x, y, w, h,
+#: confidence and, unless a recognizer is given, text and rec_confidence. The detector makes the pages, so that
+#: a file's bytes are handed over once and not once a page.
 Detector = Callable[[DataFrame], DataFrame]
 
 
+#: A folder or file, several of them, or a table with ``content``.
+Source = str | Iterable[str] | DataFrame
+
+
 @dataclass(frozen=True)
 class Batch:
     """What one run gives: every file with its outcome, page results, and kept boxes."""
@@ -50,38 +57,75 @@ class Engine:
         self.spark, self.config = spark, config
         self.reader, self.detector, self.recognizer = reader, detector, recognizer
 
-    def load(self, path: str) -> DataFrame:
-        """Checked files: accepted ones have a null ``error_class``."""
-        files = scan_documents(self.spark, path, content=True, supported_only=False)
-        limits = self.config.document.max_file_size_mb, self.config.security.validate_file_types
-        checked = intake.classify_files(files, *limits)
-        if self.reader is None:
-            return checked.withColumns({
-                "page_count": F.lit(1), "width": F.lit(None).cast("int"), "height": F.lit(None).cast("int")})
-        # Only files that pass the cheap checks have their bytes opened.
-        passed = checked.filter(F.col("error_class").isNull()).drop("error_class", "error_message")
-        opened = intake.classify_files(self.reader(passed), *limits)
-        failed = checked.filter(F.col("error_class").isNotNull())
-        return opened.unionByName(failed, allowMissingColumns=True)
+    def sources(self, source: Source) -> DataFrame:
+        """Files as (path, length, content): of a folder or file, a list of them, or a table.
 
-    def process_batch(self, path: str) -> Batch:
-        """All files of a folder. A rejected file keeps its row and gives no pages.
+        A table of in-memory sources has ``content`` and ``file_type`` (``pdf``, ``png``, ...) and gets
+        ``path`` from them unless it has one; its paths must then be distinct to tell documents apart.
+        """
+        if isinstance(source, str):
+            return scan_documents(self.spark, source, content=True, supported_only=False)
+        if isinstance(source, DataFrame):
+            if "path" not in source.columns:
+                named = intake.from_bytes(source, F.col("file_type"), strict=True)
+                source = named.withColumn("path", F.col("file_name"))
+            return source.withColumn("length", F.octet_length("content").cast("long"))
+        paths = list(source)
+        if not paths:
+            raise ValueError("no sources")
+        files = [scan_documents(self.spark, p, content=True, supported_only=False) for p in paths]
+        return reduce(DataFrame.unionByName, files)
+
+    def facts(self, files: DataFrame) -> DataFrame:
+        """Every file without its bytes, with page_count, width, height and ``error_class`` (null if accepted).
+
+        The reader runs once, over files that pass the cheap checks; what it finds is written to a working table.
+        """
+        limits = {"max_mb": self.config.document.max_file_size_mb,
+                  "validate_types": self.config.security.validate_file_types,
+                  "allowed": self.config.security.allowed_extensions}
+        checked = intake.classify_files(files, **limits)
+        passed = checked.filter(F.col("error_class").isNull()).drop("error_class", "error_message")
+        failed = checked.filter(F.col("error_class").isNotNull()).drop("content")
+        if self.reader is None:
+            if "page_count" not in passed.columns:
+                passed = passed.withColumn("page_count", F.lit(None).cast("int"))
+            opened = passed.drop("content").withColumns(
+                {c: F.lit(None).cast("int") for c in ("width", "height") if c not in passed.columns})
+            opened = opened.withColumns({c: F.lit(None).cast("string") for c in ("error_class", "error_message")})
+        else:
+            opened = intake.classify_files(self.reader(passed).drop("content"), **limits)
+        return cut_lineage(opened.unionByName(failed, allowMissingColumns=True))
+
+    def process_batch(self, source: Source) -> Batch:
+        """All files of a folder, list or table. A rejected file keeps its row and gives no pages.
 
         Files are opened once for their facts and once for their boxes. Both are written to
-        working tables, so that no later step or export runs the models again.
+        working tables, so that no later step or export runs the models again. Without a reader a file has the
+        pages its boxes are on, one at least; with one, boxes on pages the file does not have are an error.
         """
-        checked = self.load(path).withColumn("doc_id", F.col("path"))
+        scanned = self.sources(source)
         ok = F.col("error_class").isNull()
-        number = F.explode(F.sequence(F.lit(1), F.col("page_count"))).alias("page_number")
-        files = cut_lineage(checked.drop("content").withColumn(
-            "status", F.when(ok, "ok").otherwise("failed")))
-
-        regions = self.detector(checked.filter(ok).select("*", number))
+        files = self.facts(scanned).withColumn("doc_id", F.col("path")).withColumn(
+            "status", F.when(ok, "ok").otherwise("failed"))
+        accepted = files.filter(ok)
+        known = accepted.select("path", "doc_id", *[c for c in accepted.columns if c not in (
+            *scanned.columns, "doc_id", "error_class", "error_message", "status")])
+        regions = self.detector(scanned.join(known, "path"))
         if self.recognizer is not None:
             regions = apply_recognizer(regions, self.recognizer, self.config.ocr.batch_size)
-        kept = cut_lineage(reading.gate_recognition(regions, self.config.ocr.recognition_threshold))
-
+        found = cut_lineage(regions)
+        seen = found.groupBy("doc_id").agg(F.max("page_number").alias("_seen"), F.min("page_number").alias("_least"))
+        counted = accepted.join(seen, "doc_id", "left").withColumn(
+            "page_count", F.coalesce("page_count", F.greatest("_seen", F.lit(1)), F.lit(1)).cast("int"))
+        stray = counted.filter((F.col("_seen") > F.col("page_count")) | (F.col("_least") < 1)).select(
+            "path", "page_count", "_seen").first()
+        if stray is not None:
+            raise ValueError(f"{stray.path}: boxes on page {stray._seen} of {stray.page_count}")
+        files = cut_lineage(files.drop("page_count").join(counted.select("path", "page_count"), "path", "left"))
         accepted = files.filter(ok)
+        kept = cut_lineage(reading.gate_recognition(found, self.config.ocr.recognition_threshold))
+        number = F.explode(F.sequence(F.lit(1), F.col("page_count"))).alias("page_number")
         results = reading.page_results(accepted.select("doc_id", number), kept)
         if self.reader is not None:  # one point per pixel, for the searchable layer
             sizes = [F.col(side).alias(f"{sheet}_{side}")
@@ -89,14 +133,65 @@ class Engine:
             results = results.join(accepted.select("doc_id", *sizes), "doc_id")
         return Batch(files, results, kept)
 
-    def process(self, path: str) -> Batch:
+    def process(self, source: Source) -> Batch:
         """One file; its rejection is an error here."""
-        batch = self.process_batch(path)
+        batch = self.process_batch(source)
         bad = batch.failures.select("error_class", "error_message").first()
         if bad is not None:
             raise ValueError(f"{bad.error_class}: {bad.error_message}")
         return batch
 
+    def process_bytes(self, content: bytes, file_type: str) -> Batch:
+        """One document held in memory."""
+        return self.process(self.spark.createDataFrame([(content, file_type)], "content binary, file_type string"))
+
+    def info(self, source: Source) -> DataFrame:
+        """Facts per file: name, type, and the error; where a reader tells them also pages, page sizes, metadata, dpi
+        and the size its images are reduced to."""
+        files = self.facts(self.sources(source)).withColumn("file_id", F.col("path"))
+        pages = intake.explode_pages(
+            files.filter(F.col("error_class").isNull()), self.config.document.dpi_for_pdf_render)
+        facts = intake.document_info(pages).select("file_id", "total_pages", "page_sizes", "metadata")
+        dpi = pages.groupBy("file_id").agg(F.max("dpi").alias("dpi"))
+        reduced = resize_plan(F.col("width"), F.col("height"), self.config.ocr.max_image_dimension)
+        return files.join(facts, "file_id", "left").join(dpi, "file_id", "left").select(
+            "path", intake.route_format("path").alias("type"), "length", "total_pages", "page_sizes", "metadata", "dpi",
+            reduced.alias("reduced"), "error_class", "error_message")
+
+    def tables(self, batch: Batch) -> DataFrame:
+        """Table cells of a batch's pages; none where detection is switched off."""
+        found = layout.detect_tables(batch.regions)
+        return found if self.config.document.enable_table_detection else found.limit(0)
+
+    def key_values(self, batch: Batch) -> DataFrame:
+        """``key: value`` lines of a batch; none where extraction is switched off."""
+        lines = reading.line_texts(batch.regions).select(
+            "doc_id", "page_number", "line_no", F.col("line_text").alias("text"), F.lit(1.0).alias("confidence"))
+        found = layout.extract_key_values(lines)
+        return found if self.config.document.enable_kv_extraction else found.limit(0)
+
+    def limited(self, events: DataFrame) -> DataFrame:
+        """Requests marked where a user is past the configured limit of the minute."""
+        return metering.rate_limit(events, self.config.security.rate_limit_per_minute)
+
+    def output_collisions(self, batch: Batch, fmt: str) -> DataFrame:
+        """Names that more than one accepted document of the batch would be written under."""
+        named = batch.files.filter(F.col("status") == "ok").select(
+            X.output_name("path", F.lit(fmt)).alias("output"))
+        return X.output_collisions(named)
+
+    def export_documents(self, batch: Batch, path: str, fmt: str) -> str:
+        """One output per document, in the folder ``path``/output=stem.fmt, for txt, json and csv.
+
+        Two documents that would share a name are an error.
+        """
+        clash = self.output_collisions(batch, fmt).first()
+        if clash is not None:
+            raise ExportError(f"{clash.files} files would be written as {clash.output}")
+        names = batch.files.select("doc_id", X.output_name("path", F.lit(fmt)).alias("output"))
+        sinks.export_documents(batch.results, batch.regions, names, path, fmt)
+        return path
+
     def export(self, batch: Batch, path: str, fmt: str | None = None) -> str:
         """Write a batch; the format comes from the extension, ``txt`` if that is unknown."""
         if fmt is None:

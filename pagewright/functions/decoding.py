@@ -8,9 +8,9 @@ from pagewright.functions.text import characters
 
 #: The recogniser's character sets.
 DIGITS = "0123456789"
-ALPHANUMERIC = DIGITS + "abcdefghijklmnopqrstuvwxyz"
-ENGLISH = ALPHANUMERIC + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-EXTENDED = ENGLISH + "!@#$%^&*()-_=+[]{}|;:,.<>?/~` "
+ALPHANUMERIC = "0123456789abcdefghijklmnopqrstuvwxyz"
+ENGLISH = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+EXTENDED = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ!@#$%^&*()-_=+[]{}|;:,.<>?/~` "
 CHARSETS = {
     "english": ENGLISH,
     "alphanumeric": ALPHANUMERIC,

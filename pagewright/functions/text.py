@@ -35,3 +35,9 @@ def message_with_details(message: Column, details: Column) -> Column:
     pairs = F.transform(F.map_entries(details), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     shown = F.concat(message, F.lit(" ("), F.array_join(pairs, ", "), F.lit(")"))
     return F.when(F.coalesce(F.size(details), F.lit(0)) > 0, shown).otherwise(message)
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """Number as text with ``digits`` decimals, ties to the even digit."""
+    scale = 10 ** digits
+    return F.format_string(f"%.{digits}f", F.rint(value * scale) / scale)

@@ -33,13 +33,7 @@ def ctc_best_path(logits: DataFrame) -> DataFrame:
     return steps.select("region_id", "t", (-F.col("top.neg")).alias("idx"), (1.0 / total).alias("prob"))
 
 
-def ctc_collapse(steps: DataFrame, remove_duplicates: bool = True,
-                 charset: str = ALPHANUMERIC) -> DataFrame:
-    """Text per sequence: repeats joined, blanks (0) dropped. Steps count from 0 without gaps.
-
-    Sequences are cut into bands of steps, each collapsed as if it stood alone. Where a band
-    starts with the label the band before ended with, its first character goes.
-    """
+def _collapsed(steps: DataFrame, remove_duplicates: bool, charset: str, measured: bool) -> DataFrame:
     # Step and label share one number that sorts by step.
     packed = F.col("t").cast("long") * LABELS + F.col("idx")
     label = lambda i: F.get("_s", i) % LABELS
@@ -47,19 +41,36 @@ def ctc_collapse(steps: DataFrame, remove_duplicates: bool = True,
         idx = step % LABELS
         repeated = (i > 0) & (label(i - 1) == idx) if remove_duplicates else F.lit(False)
         return F.when((idx == 0) | repeated, "").otherwise(index_char(idx.cast("int"), charset))
+    seen = F.col("idx") != 0
+    measures = [F.sum(F.when(seen, F.col("prob"))).alias("sum"), F.count_if(seen).alias("n"),
+                F.transform(F.sort_array(F.collect_list(F.struct("t", "prob"))), lambda s: s["prob"]).alias("probs")]
+    names = ["sum", "n", "probs"] if measured else []
     pieces = (steps.groupBy("region_id", F.floor(F.col("t") / BAND).alias("band"))
-              .agg(F.sort_array(F.collect_list(packed)).alias("_s"))
+              .agg(F.sort_array(F.collect_list(packed)).alias("_s"), *(measures if measured else []))
               .select("region_id", "band", label(F.lit(0)).alias("first"),
                       label(F.size("_s") - 1).alias("last"),
-                      F.array_join(F.transform("_s", shown), "").alias("piece")))
-    bands = F.sort_array(F.collect_list(F.struct("band", "piece", "first", "last")))
+                      F.array_join(F.transform("_s", shown), "").alias("piece"), *names))
+    bands = F.sort_array(F.collect_list(F.struct("band", "piece", "first", "last", *names)))
 
     def trimmed(piece, i):
         goes_on = (i > 0) & (piece["first"] != 0) & (F.get("_b", i - 1)["last"] == piece["first"])
         return F.when(goes_on, F.substr(piece["piece"], F.lit(2))).otherwise(piece["piece"])
     joined = F.transform("_b", trimmed if remove_duplicates else lambda p: p["piece"])
-    return pieces.groupBy("region_id").agg(bands.alias("_b")).select(
-        "region_id", F.array_join(joined, "").alias("text"))
+    sums = [(F.sum("sum") / F.sum("n")).alias("_mean")] if measured else []
+    texts = pieces.groupBy("region_id").agg(bands.alias("_b"), *sums)
+    extra = [F.coalesce("_mean", F.lit(0.0)).alias("confidence"),
+             F.flatten(F.transform("_b", lambda p: p["probs"])).alias("char_confidences")] if measured else []
+    return texts.select("region_id", F.array_join(joined, "").alias("text"), *extra)
+
+
+def ctc_collapse(steps: DataFrame, remove_duplicates: bool = True,
+                 charset: str = ALPHANUMERIC) -> DataFrame:
+    """Text per sequence: repeats joined, blanks (0) dropped. Steps count from 0 without gaps.
+
+    Sequences are cut into bands of steps, each collapsed as if it stood alone. Where a band
+    starts with the label the band before ended with, its first character goes.
+    """
+    return _collapsed(steps, remove_duplicates, charset, False)
 
 
 def decode_with_lengths(steps: DataFrame, lengths: DataFrame, **options) -> DataFrame:
@@ -83,7 +94,7 @@ def ctc_confidence(logits: DataFrame) -> DataFrame:
 
 def recognize(logits: DataFrame) -> DataFrame:
     """Text, confidence and per-step confidences of each region's scores."""
-    return ctc_collapse(ctc_best_path(logits)).join(ctc_confidence(logits), "region_id")
+    return _collapsed(ctc_best_path(logits), True, ALPHANUMERIC, True)
 
 
 Recognizer = Callable[[pd.DataFrame], list[tuple[str, float, list[float]]]]

@@ -6,17 +6,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pagewright.config import EXPORT_FORMATS
 from pagewright.functions.geometry import corner_points
-from pagewright.functions.text import base_name, stem, suffix
+from pagewright.functions.text import base_name, fixed, stem, suffix
 from pagewright.operators.ordering import joined_in_order, ranked
 from pagewright.operators.reading import PAGE
 
 #: Input positions per band when a page's boxes are joined or counted.
 BAND = 4096
 PAGES_PER_BAND = 64
+# The headings, labels and field names that the shapes below write.
 #: The text page's layout in points.
 SHEET_WIDTH, SHEET_HEIGHT = 595, 842
 TITLE_Y, TITLE_SIZE, LEFT = 50, 16, 50
@@ -24,19 +25,23 @@ FIRST_LINE_Y, LINE_STEP, LINE_SIZE, LAST_Y = 80, 15, 11, 800
 LINES_PER_SHEET = (LAST_Y - FIRST_LINE_Y) // LINE_STEP + 1
 
 
-def _fixed(value: Column, digits: int) -> Column:
-    """Number as text, ties to the even digit."""
-    scale = 10 ** digits
-    return F.format_string(f"%.{digits}f", F.rint(value * scale) / scale)
+def _page_band() -> Column:
+    return F.floor(F.col("page_number") / PAGES_PER_BAND)
 
 
 def _with_total(results: DataFrame) -> DataFrame:
-    totals = results.groupBy("doc_id").agg(F.count("*").alias("total_pages"))
-    return results.join(totals, "doc_id")
-
+    """Add ``_band``, ``total_pages`` and the document's first and last page.
 
-def _page_band() -> Column:
-    return F.floor(F.col("page_number") / PAGES_PER_BAND)
+    Pages are counted per band of pages and the totals come back by (document, band), so a document of very many
+    pages is never joined in one task.
+    """
+    banded = results.withColumn("_band", F.coalesce(_page_band(), F.lit(-1)))
+    whole = W.partitionBy("doc_id")
+    bands = banded.groupBy("doc_id", "_band").agg(
+        F.count("*").alias("_n"), F.min("page_number").alias("_lo"), F.max("page_number").alias("_hi")).select(
+        "doc_id", "_band", F.sum("_n").over(whole).alias("total_pages"),
+        F.min("_lo").over(whole).alias("first_page"), F.max("_hi").over(whole).alias("last_page"))
+    return banded.join(bands, ["doc_id", "_band"])
 
 
 def txt_pages(results: DataFrame) -> DataFrame:
@@ -53,23 +58,26 @@ def export_txt(results: DataFrame) -> DataFrame:
     return joined_in_order(pages, ["doc_id"], ["_band"], ["page_number"], "content", "", "content")
 
 
-def _region_json(regions: DataFrame, points: bool) -> DataFrame:
-    """Each page's regions as the inside of a JSON array, in input order."""
+def _region_rows(regions: DataFrame, points: bool) -> DataFrame:
+    """Each region as JSON, with its band of the page's input order."""
     box = F.struct("x", "y", F.col("w").alias("width"), F.col("h").alias("height"))
     fields = [F.col("text"), F.col("confidence"), box.alias("bounding_box")]
     if points:
         corners = corner_points(*map(F.col, ("x", "y", "w", "h")))
         fields.append(F.transform(corners, lambda p: F.array(p["x"], p["y"])).alias("points"))
-    rows = regions.select(*PAGE, "region_ord", F.floor(F.col("region_ord") / BAND).alias("_band"),
+    return regions.select(*PAGE, "region_ord", F.floor(F.col("region_ord") / BAND).alias("_band"),
                           F.to_json(F.struct(*fields)).alias("_json"))
+
+
+def _region_json(regions: DataFrame, points: bool) -> DataFrame:
+    """Each page's regions as the inside of a JSON array, in input order."""
+    rows = _region_rows(regions, points)
     return joined_in_order(rows, PAGE, ["_band"], ["region_ord"], "_json", ",", "_regions")
 
 
 def json_pages(results: DataFrame, regions: DataFrame, points: bool = True) -> DataFrame:
     """One JSON object per page with its text, measures and regions."""
-    head = F.to_json(F.struct("page_number", "full_text", "confidence", "num_regions"))
-    opened = F.substring(head, F.lit(1), F.length(head) - 1)
-    body = F.concat(opened, F.lit(',"text_regions":['), F.coalesce("_regions", F.lit("")), F.lit("]}"))
+    body = F.concat(_page_head(), F.coalesce("_regions", F.lit("")), F.lit("]}"))
     return (results.join(_region_json(regions, points), PAGE, "left")
             .select(*PAGE, body.alias("page_json")))
 
@@ -88,6 +96,52 @@ def export_json(results: DataFrame, regions: DataFrame) -> DataFrame:
                            F.lit(',"pages":['), F.col("_pages"), F.lit("]}")).alias("document"))
 
 
+def _page_head() -> Column:
+    """A page's JSON object up to its regions."""
+    head = F.to_json(F.struct("page_number", "full_text", "confidence", "num_regions"))
+    return F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"text_regions":['))
+
+
+def _fragments(results: DataFrame, regions: DataFrame, points: bool, opening: Column, closing: Column) -> DataFrame:
+    """(doc_id, page_number, part, ord, text) whose texts, in that order, are each document's JSON.
+
+    Part 0 opens a page, and the document on its first page; part 1 are the regions; part 2 closes the page, and the
+    document on its last. No page or document is ever put in one value; what says whether a region is its page's
+    first comes back by (page, band), as totals do.
+    """
+    pages = _with_total(results)
+    is_first = F.col("page_number") == F.col("first_page")
+    heads = pages.select(*PAGE, F.lit(0).alias("part"), F.lit(0).cast("long").alias("ord"),
+                         F.concat(F.when(is_first, opening).otherwise(","), _page_head()).alias("text"))
+    tails = pages.select(*PAGE, F.lit(2).alias("part"), F.lit(0).cast("long").alias("ord"), F.concat(
+        F.lit("]}"), F.when(F.col("page_number") == F.col("last_page"), closing).otherwise("")).alias("text"))
+    rows = _region_rows(regions, points)
+    firsts = rows.groupBy(*PAGE, "_band").agg(F.min("region_ord").alias("_m")).select(
+        *PAGE, "_band", F.min("_m").over(W.partitionBy(*PAGE)).alias("_first"))
+    body = rows.join(firsts, PAGE + ["_band"]).select(
+        *PAGE, F.lit(1).alias("part"), F.col("region_ord").cast("long").alias("ord"),
+        F.concat(F.when(F.col("region_ord") == F.col("_first"), "").otherwise(","), F.col("_json")).alias("text"))
+    known = results.select(*PAGE)  # regions of pages that aren't asked for are left out, as in ``json_pages``
+    return heads.unionByName(body.join(known, PAGE, "left_semi")).unionByName(tails)
+
+
+def json_fragments(results: DataFrame, regions: DataFrame, points: bool = True) -> DataFrame:
+    """``export_json`` in ordered pieces, for documents and pages that don't fit in one value."""
+    opening = F.concat(F.lit('{"total_pages":'), F.col("total_pages").cast("string"), F.lit(',"pages":['))
+    return _fragments(results, regions, points, opening, F.lit("]}"))
+
+
+def api_fragments(results: DataFrame, regions: DataFrame, job_ids: DataFrame, fmt: str = "json") -> DataFrame:
+    """``api_response``'s bodies in ordered pieces."""
+    job = F.col("job_id").cast("string")
+    named = results.join(job_ids, "doc_id")
+    head = F.to_json(F.struct(job.alias("job_id"), F.lit("completed").alias("status"), "total_pages"))
+    opening = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"pages":['))
+    url = F.lit("null") if fmt == "json" else F.concat(
+        F.lit('"/download/'), job, F.lit("/"), job, F.lit(f'.{fmt}"'))
+    return _fragments(named, regions, False, opening, F.concat(F.lit('],"download_url":'), url, F.lit("}")))
+
+
 def api_response(results: DataFrame, regions: DataFrame, job_ids: DataFrame, fmt: str = "json") -> DataFrame:
     """The service's answer per document: job, status, pages, and a link unless JSON was asked for.
 
@@ -111,7 +165,7 @@ def export_csv(regions: DataFrame) -> DataFrame:
     placed = ranked(banded, PAGE, ["_band"], ["region_ord"], "_place")
     return placed.select(
         "doc_id", F.col("page_number").alias("Page"), F.col("_place").alias("Region_ID"),
-        F.col("text").alias("Text"), F.format_string("%.3f", "confidence").alias("Confidence"),
+        F.col("text").alias("Text"), fixed(F.col("confidence"), 3).alias("Confidence"),
         F.col("x").alias("X"), F.col("y").alias("Y"), F.col("w").alias("Width"), F.col("h").alias("Height"))
 
 
@@ -122,7 +176,7 @@ def word_blocks(results: DataFrame) -> DataFrame:
     several = F.col("total_pages") > 1
     measures = F.concat(
         F.lit("Detected Regions: "), F.col("num_regions").cast("string"), F.lit("  |  Confidence: "),
-        _fixed(F.col("confidence") * 100, 2), F.lit("%"))
+        fixed(F.col("confidence") * 100, 2), F.lit("%"))
     blocks = F.array_compact(F.array(
         F.when(several, block(1, "heading", F.concat(F.lit("Page "), F.col("page_number").cast("string")))),
         F.when(several, block(2, "measures", measures)),
@@ -176,7 +230,7 @@ def searchable_layer(pages: DataFrame, regions: DataFrame) -> DataFrame:
 def overlay_labels(regions: DataFrame) -> DataFrame:
     """Label text, its anchor above the box, and the box outline in whole pixels."""
     label = F.concat(F.substring("text", 1, 20), F.lit("... ("),
-                     F.format_string("%.2f", "confidence"), F.lit(")"))
+                     fixed(F.col("confidence"), 2), F.lit(")"))
     corners = corner_points(*map(F.col, ("x", "y", "w", "h")))
     outline = F.transform(corners, lambda p: F.struct(
         p["x"].cast("int").alias("x"), p["y"].cast("int").alias("y")))

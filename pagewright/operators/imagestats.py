@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from pagewright.functions.text import fixed
+
 
 def otsu_threshold(pixels: DataFrame, group: str = "image_id", value: str = "value") -> DataFrame:
     """The grey level that splits each image best: greatest between-class variance.
@@ -57,10 +59,14 @@ def profile_spread(pixels: DataFrame, group: str = "image_id", value: str = "val
 
 
 def needs_rotation(spread: DataFrame, sizes: DataFrame, group: str = "image_id") -> DataFrame:
-    """Add ``rotate_90``: a tall image whose columns vary much more than its rows."""
+    """Add ``rotate_90``: a tall image whose columns vary much more than its rows.
+
+    Every image keeps its row; one whose size is not known is not turned.
+    """
     tall = F.col("height") > 1.5 * F.col("width")
     sideways = F.col("col_std") > 1.5 * F.col("row_std")
-    return spread.join(sizes, group).withColumn("rotate_90", tall & sideways)
+    return spread.join(sizes, group, "left").withColumn(
+        "rotate_90", F.coalesce(tall & sideways, F.lit(False)))
 
 
 def transformation_log(color: Column, target_size: Column, denoise: Column, deskew: Column,
@@ -71,7 +77,7 @@ def transformation_log(color: Column, target_size: Column, denoise: Column, desk
         F.when(target_size.isNotNull() & (target_size > 0),
                F.concat(F.lit("resize_to_"), target_size.cast("string"))),
         F.when(denoise, "denoising"),
-        F.when(deskew, F.format_string("deskew_%.2fdeg", skew_angle)),
+        F.when(deskew, F.concat(F.lit("deskew_"), fixed(skew_angle, 2), F.lit("deg"))),
         F.when(contrast, "contrast_enhancement"),
         F.lit("binarization"),
         F.lit("morphological_ops"),

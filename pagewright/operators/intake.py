@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewright.config import IMAGE_EXTENSIONS, PDF_EXTENSIONS, SUPPORTED_EXTENSIONS
 from pagewright.functions.errors import error_taxonomy
-from pagewright.functions.text import base_name, suffix
+from pagewright.functions.text import base_name, fixed, suffix
 
+# The limits here and the message texts of the checks below.
 MEGABYTE = 1048576
 PDF_DPI, IMAGE_DPI = 300, 72
 MIN_SIDE = 10
@@ -31,7 +32,7 @@ def _size_mb() -> Column:
 def check_size(files: DataFrame, max_mb: int = 100) -> DataFrame:
     """Add ``size_ok`` and, for files over the limit, ``size_message``."""
     over = _size_mb() > max_mb
-    message = F.format_string(f"File size (%.1fMB) exceeds limit ({max_mb}MB)", _size_mb())
+    message = F.concat(F.lit("File size ("), fixed(_size_mb(), 1), F.lit(f"MB) exceeds limit ({max_mb}MB)"))
     return files.withColumns({"size_ok": ~over, "size_message": F.when(over, message)})
 
 
@@ -61,14 +62,14 @@ def from_bytes(contents: DataFrame, file_type: Column, strict: bool = False) ->
     return named.withColumn("file_name", checked).drop("error")
 
 
-def explode_pages(files: DataFrame) -> DataFrame:
-    """One row per page: 300 dpi for pdf and 72 for images. Files of no pages give none."""
+def explode_pages(files: DataFrame, pdf_dpi: int = PDF_DPI) -> DataFrame:
+    """One row per page: ``pdf_dpi`` for pdf and 72 for images. Files of no pages give none."""
     kind = route_format("path")
     numbered = files.filter((F.col("page_count") > 0) & (kind != "unsupported"))
     return numbered.select(
         "file_id", "path", F.explode(F.sequence(F.lit(1), F.col("page_count"))).alias("page_number"),
         "width", "height",
-        F.when(kind == "pdf", PDF_DPI).otherwise(IMAGE_DPI).alias("dpi"), kind.alias("source_type"))
+        F.when(kind == "pdf", pdf_dpi).otherwise(IMAGE_DPI).alias("dpi"), kind.alias("source_type"))
 
 
 def document_info(pages: DataFrame) -> DataFrame:
@@ -124,20 +125,21 @@ def validate_documents(documents: DataFrame, pages: DataFrame) -> tuple[DataFram
     return valid, checked.filter(F.col("reason").isNotNull())
 
 
-def classify_files(files: DataFrame, max_mb: int = 100, validate_types: bool = True) -> DataFrame:
+def classify_files(files: DataFrame, max_mb: int = 100, validate_types: bool = True,
+                   allowed: tuple[str, ...] = SUPPORTED_EXTENSIONS) -> DataFrame:
     """Add ``error_class`` (null if accepted) and ``error_message``; the first failing check wins.
 
     Checks run in the order size, format, no pages, page too small, on one pass over the
     manifest, whose width and height hold for each of a file's pages. A manifest without
     page facts gets the first two checks only.
     """
-    checked = check_extension(check_size(files, max_mb), validate_types)
+    checked = check_extension(check_size(files, max_mb), validate_types, allowed)
     problem = F.lit(None).cast("string")
     if "page_count" in files.columns:
         w, h = F.col("width"), F.col("height")
         size = F.concat(w.cast("string"), F.lit("x"), h.cast("string"))
         problem = (
-            F.when(F.col("page_count") < 1, "Document has no pages")
+            F.when(F.col("page_count").isNull() | (F.col("page_count") < 1), "Document has no pages")
             .when(w.isNull() | h.isNull() | (w == 0) | (h == 0), "Page 1 has invalid image")
             .when((w < MIN_SIDE) | (h < MIN_SIDE), F.concat(F.lit("Page 1 is too small: "), size)))
     return checked.withColumns({

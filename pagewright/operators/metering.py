@@ -8,8 +8,8 @@ from pagewright.operators.ordering import ranked, running_sum
 
 #: Features and limits by plan.
 BASIC = ["ocr_basic"]
-PRO = BASIC + ["ocr_advanced", "batch_processing", "priority_support"]
-ENTERPRISE = PRO + ["on_prem_deployment", "custom_models"]
+PRO = ["ocr_basic", "ocr_advanced", "batch_processing", "priority_support"]
+ENTERPRISE = ["ocr_basic", "ocr_advanced", "batch_processing", "priority_support", "on_prem_deployment", "custom_models"]
 FEATURES = {"free": BASIC, "pro": PRO, "enterprise": ENTERPRISE}
 HISTORY_CAP = 1000
 #: Fixed value: year, month, day (either may lack its leading zero) and what is left over.
@@ -67,20 +67,26 @@ def usage_running_total(usage: DataFrame) -> DataFrame:
 def usage_history(usage: DataFrame, cap: int = HISTORY_CAP, per_user: bool = False) -> DataFrame:
     """The latest ``cap`` events, of all or of each user.
 
-    Each task keeps at most ``cap`` rows (per user) before any shuffle.
+    Over all events each task keeps at most ``cap`` rows before any shuffle. A user's events are ranked
+    inside minutes and placed by their count, so any ``cap`` has the same plan and no task sorts all
+    events of a user. Events without a time are the oldest; those without a user are all kept.
     """
     if not per_user:
         return usage.orderBy(F.desc("ts"), F.desc("event_id")).limit(cap)
-    latest = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return (usage.withColumn("_rank", F.row_number().over(latest))
-            .filter(F.col("_rank") <= cap).drop("_rank"))
+    oldest = F.to_timestamp(F.lit("0001-01-01"))
+    banded = usage.withColumn("_minute", F.coalesce(F.date_trunc("minute", "ts"), oldest))
+    placed = ranked(banded, ["user_id"], ["_minute"], ["ts", "event_id"], "_rank")
+    totals = usage.groupBy("user_id").agg(F.count("*").alias("_n"))
+    return (placed.join(totals, "user_id", "left")
+            .filter(F.col("_rank").isNull() | (F.col("_n") - F.col("_rank") < cap))
+            .drop("_minute", "_rank", "_n"))
 
 
-def usage_stats(usage: DataFrame, as_of: str, history_cap: int | None = HISTORY_CAP,
+def usage_stats(usage: DataFrame, as_of: str, history_cap: int | None = None,
                 per_user: bool = False) -> DataFrame:
-    """Pages in all, and pages on the ``as_of`` day among the latest ``history_cap`` events.
+    """Pages in all, and pages on the ``as_of`` day.
 
-    ``history_cap=None`` counts the day over all events.
+    With a ``history_cap`` (``HISTORY_CAP`` is the service's) the day is counted over that many latest events only.
     """
     keys = ["user_id"] if per_user else []
     on_day = F.sum(F.when(F.to_date("ts") == F.lit(as_of).cast("date"), F.col("pages")))
@@ -211,25 +217,69 @@ def log_records(events: DataFrame) -> DataFrame:
 
     ``exception`` is a struct column and left out of the line where it is null.
     """
+    # fixed values: the fields of a log line, in order
     fields = ["timestamp", "level", "logger", "function", "line", "message", "exception"]
     stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     row = F.struct(*[stamp.alias(f) if f == "timestamp" else F.col(f) for f in fields])
     return events.select(F.to_json(row, {"ignoreNullFields": "true"}).alias("value"))
 
 
+def exact_percentiles(events: DataFrame, by: list[str], value: str, shares: dict[str, float],
+                      cuts: int = 1024) -> DataFrame:
+    """``by`` and one column per entry of ``shares``: the interpolated percentile of ``value``; nulls don't count.
+
+    Approximate quantiles cut each group's values in bands. Exact counts per band tell which bands hold the wanted
+    ranks, and only those bands are put in order, so no task sees all values of a group.
+    """
+    rows = events.filter(F.col(value).isNotNull()).select(
+        F.struct(*by).alias("_k"), F.col(value).cast("double").alias("_v"))
+    steps = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
+    groups = rows.groupBy("_k").agg(F.approx_percentile("_v", steps, 10 * cuts).alias("_cuts"), F.count("*").alias("_n"))
+    banded = (rows.groupBy("_k", "_v").agg(F.count("*").alias("_c")).join(groups.drop("_n"), "_k")
+              .select("_k", "_v", "_c", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_band")))
+    before = W.partitionBy("_k").orderBy("_band").rowsBetween(W.unboundedPreceding, -1)
+    totals = banded.groupBy("_k", "_band").agg(F.sum("_c").alias("_m")).withColumn(
+        "_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    wanted = groups.select("_k", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), (F.lit(share) * (F.col("_n") - 1)).alias("at"))
+        for name, share in shares.items()])).alias("_w")).select(
+        "_k", F.col("_w.name").alias("_name"), F.floor("_w.at").alias("_lo"), F.ceil("_w.at").alias("_hi"),
+        (F.col("_w.at") - F.floor("_w.at")).alias("_part"))
+    places = wanted.join(totals, "_k").filter(
+        (F.col("_before") <= F.col("_hi")) & (F.col("_before") + F.col("_m") > F.col("_lo"))).drop("_m")
+    upto = W.partitionBy("_k", "_band").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = (banded.join(places.select("_k", "_band").distinct(), ["_k", "_band"], "left_semi")
+              .withColumn("_to", F.sum("_c").over(upto)))
+    met = places.join(inside, ["_k", "_band"]).withColumns({
+        "_to": F.col("_before") + F.col("_to"), "_from": F.col("_before") + F.col("_to") - F.col("_c")})
+    at = lambda rank: F.when((F.col("_from") <= F.col(rank)) & (F.col(rank) < F.col("_to")), F.col("_v"))
+    found = met.groupBy("_k", "_name", "_part").agg(F.max(at("_lo")).alias("_a"), F.max(at("_hi")).alias("_b"))
+    value_ = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")
+    return found.groupBy("_k").agg(*[F.max(F.when(F.col("_name") == n, value_)).alias(n) for n in shares]).select(
+        *[F.col(f"_k.{c}").alias(c) for c in by], *shares)
+
+
+#: Percentiles of the service report.
+LATENCY_SHARES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
 def service_metrics(events: DataFrame, by: list[str], exact: bool = False) -> DataFrame:
     """Requests per second over the time seen, latency percentiles and error rate.
 
-    ``exact`` percentiles keep a count per distinct latency; the default sketch has a fixed size.
+    The default percentiles come from a sketch of fixed size; ``exact`` ones from ``exact_percentiles``.
     """
-    pick = F.percentile if exact else F.approx_percentile
     seconds = (F.max("ts").cast("double") - F.min("ts").cast("double"))
-    return events.groupBy(*by).agg(
+    sketch = [] if exact else [F.approx_percentile("latency", F.lit(s)).alias(n) for n, s in LATENCY_SHARES.items()]
+    measures = events.groupBy(*by).agg(
         F.count("*").alias("requests"),
-        F.try_divide(F.count("*").cast("double"), seconds).alias("per_second"),
-        pick("latency", F.lit(0.5)).alias("p50"), pick("latency", F.lit(0.95)).alias("p95"),
-        pick("latency", F.lit(0.99)).alias("p99"),
+        F.try_divide(F.count("*").cast("double"), seconds).alias("per_second"), *sketch,
         (F.count_if(F.col("is_error")) / F.count("*")).alias("error_rate"))
+    if not exact:
+        return measures
+    found = exact_percentiles(events, by, "latency", LATENCY_SHARES).select(
+        F.struct(*by).alias("_k"), *LATENCY_SHARES)
+    return measures.withColumn("_k", F.struct(*by)).join(found, "_k", "left").select(
+        *by, "requests", "per_second", *LATENCY_SHARES, "error_rate")
 
 
 def queue_report(usage: DataFrame, user_plans: DataFrame, limits: dict[str, int], as_of: str,

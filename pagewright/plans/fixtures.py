@@ -20,19 +20,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """The same table as a file stream."""
-    return (spark.readStream.schema(table(spark, sf, name).schema)
-            .option("pathGlobFilter", f"{name}.parquet").parquet(sf))
+    """The same table as a file stream, be it one file or a folder of part files."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parquet*")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores when the scan has fewer splits than there are cores.
+    """Deal rows out by ``keys`` before they are exploded, where the session asks for it.
 
-    A small file is one split, and rows that are exploded into many would stay in that
-    one task. Inputs of many files are left as they are.
+    A small file is one split, and rows that are exploded into many would stay in that one task.
+    ``pagewright.spread`` is the number of partitions; ``local_session`` sets it to the cores. Without
+    the setting, as on a cluster whose tables have many files, the rows stay where they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    parts = int(df.sparkSession.conf.get("pagewright.spread", "0"))
+    return df.repartition(parts, *keys) if parts else df
 
 
 def _lines(spark, sf):

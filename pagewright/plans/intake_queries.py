@@ -6,25 +6,17 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as G
 from pagewright.functions.errors import GROUPS, ROOT
-from pagewright.functions.text import base_name, message_with_details
+from pagewright.functions.text import message_with_details
 from pagewright.operators import imagestats as I, intake as A, reading as R
 from pagewright.plans import fixtures as fx
 from pagewright.plans.fixtures import with_views
 from pagewright.plans.registry import query
-from pagewright.sources.files import scan_documents
 
 EXTS = "('.pdf','.png','.jpg','.jpeg','.tiff','.bmp','.webp')"
 IMAGES = "('.png','.jpg','.jpeg','.tiff','.bmp','.webp')"
 r9 = lambda c: F.round(c, 9)
 
 
-@query("a1_scan_documents")
-def _(spark, sf):
-    """The data folder's own files: a scan of names and sizes that opens none of them."""
-    files = scan_documents(spark, sf, supported_only=False)
-    return files.select(base_name("path").alias("name"), "length", A.route_format("path").alias("route"))
-
-
 @query("a2_route_format", with_views(f"""
   SELECT file_id, path, CASE WHEN ext = '.pdf' THEN 'pdf' WHEN ext IN {IMAGES} THEN 'image'
          ELSE 'unsupported' END AS route FROM files_fx""", "files_fx"))
@@ -233,9 +225,12 @@ def _(spark, sf):
 
 @query("b7_needs_rotation", with_views(f"""
   SELECT image_id, width, height, height > 1.5 * width AND col_std > 1.5 * row_std AS rotate_90
-  FROM ({_STDS}) JOIN files_fx ON image_id = file_id""", "pixels_fx", "files_fx"))
+  FROM (SELECT *, CAST(image_id * 37 % 4000 AS INTEGER) AS width, CAST(image_id * 53 % 4000 AS INTEGER) AS height
+        FROM ({_STDS}))""", "pixels_fx"))
 def _(spark, sf):
-    sizes = fx.files_fx(spark, sf).select(F.col("file_id").alias("image_id"), "width", "height")
+    i = F.col("vec_id")
+    sizes = fx.table(spark, sf, "embeddings").select(
+        i.alias("image_id"), (i * 37 % 4000).cast("int").alias("width"), (i * 53 % 4000).cast("int").alias("height"))
     return I.needs_rotation(I.profile_spread(fx.pixels_fx(spark, sf)), sizes).select(
         "image_id", "width", "height", "rotate_90")
 

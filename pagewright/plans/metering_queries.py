@@ -81,7 +81,7 @@ def _(spark, sf):
 def _(spark, sf):
     usage = fx.usage_fx(spark, sf)
     exact = M.usage_stats(usage, CAPPED_AS_OF, None).select(F.col("daily_pages").alias("exact_daily_pages"))
-    return M.usage_stats(usage, CAPPED_AS_OF).crossJoin(F.broadcast(exact))  # one row each
+    return M.usage_stats(usage, CAPPED_AS_OF, M.HISTORY_CAP).crossJoin(F.broadcast(exact))  # one row each
 
 
 @query("g5_usage_stats_per_user", with_views("""

@@ -292,7 +292,8 @@ def _(spark, sf):
 
 @query("f12_export", with_views(f"""
   SELECT line, count(*) AS n FROM (
-    SELECT unnest(string_split(substr(content, 1, length(content) - 1), chr(10))) AS line FROM ({_TXT}))
+    SELECT unnest(string_split(substr(content, 1, length(content) - 1), chr(10))) AS line FROM ({_TXT})
+    UNION ALL SELECT '=== ' || doc_id || ' ===' FROM (SELECT DISTINCT doc_id FROM page_results_fx))
   GROUP BY line""", "page_results_fx"))
 def _(spark, sf):
     """The text export written by the format dispatcher and read back, line by line."""

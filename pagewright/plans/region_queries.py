@@ -246,18 +246,18 @@ def _toy_model():
         def read(batch: pd.DataFrame):
             if (batch["word"].str.len() > 12).any():
                 raise ValueError("word too long")
-            return [(w.upper(), min(len(w) / 8, 1.0), [1.0] * len(w)) for w in batch["word"]]
+            return [(f"{w}{len(w)}", min(len(w) / 8, 1.0), [1.0] * len(w)) for w in batch["word"]]
         return read
     return load
 
 
 @query("d8_apply_recognizer", with_views("""
-  SELECT doc_id, page_number, region_ord, CASE WHEN length(text) > 12 THEN '' ELSE upper(text) END AS text,
+  SELECT doc_id, page_number, region_ord, CASE WHEN length(text) > 12 THEN '' ELSE text || length(text) END AS text,
          CASE WHEN length(text) > 12 THEN 0.0 ELSE least(length(text) / 8.0::DOUBLE, 1.0) END AS rec_confidence,
          CAST(CASE WHEN length(text) > 12 THEN 0 ELSE length(text) END AS INTEGER) AS steps
-  FROM regions_fx WHERE regexp_full_match(text, '[a-zA-Z]+')""", "regions_fx"))
+  FROM regions_fx""", "regions_fx"))
 def _(spark, sf):
-    words = fx.regions_fx(spark, sf).filter(F.col("text").rlike("^[a-zA-Z]+$")).select(
+    words = fx.regions_fx(spark, sf).select(
         *R.PAGE, "region_ord", F.col("text").alias("word"))
     return D.apply_recognizer(words, _toy_model()).select(
         *R.PAGE, "region_ord", "text", "rec_confidence", F.size("char_confidences").alias("steps"))

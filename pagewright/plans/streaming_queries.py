@@ -22,45 +22,48 @@ def _usage(spark, sf):
 @query("h1_stream_intake", with_views(
     f"SELECT file_id, error_class, error_message FROM ({_CLASSIFIED})", "files_fx"))
 def _(spark, sf):
-    accepted, rejected = (scratch_path(spark, n) for n in ("accepted", "quarantine"))
     files = fx.files_of(fx.stream_table(spark, sf, "pages"))
+    accepted = S.ready_output(spark, "accepted", files.schema)
+    rejected = S.ready_output(spark, "quarantine", files.schema.add("error_class", "string").add("error_message", "string"))
     S.stream_intake(files, accepted, rejected, scratch_path(spark, "intake-state")).awaitTermination()
     none = F.lit(None).cast("string")
     good = spark.read.parquet(accepted).select("file_id", none.alias("error_class"), none.alias("error_message"))
     return good.unionByName(spark.read.parquet(rejected).select("file_id", "error_class", "error_message"))
 
 
-# Windows are given out once they end at or before the latest event less the delay.
+# Run in update mode, so that windows still open at the end are given out as they stand.
 @query("h2_stream_usage", with_views("""
   SELECT user_id, CAST(CAST(day AS DATE) AS VARCHAR) AS day, CAST(sum(pages) AS BIGINT) AS pages, count(*) AS events
   FROM (SELECT *, date_trunc('day', ts) AS day FROM usage_fx)
-  WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM usage_fx) - INTERVAL 1 HOUR
   GROUP BY ALL""", "usage_fx"))
 def _(spark, sf):
-    closed = S.run_available(S.stream_usage(_usage(spark, sf)), "usage")
-    return closed.select("user_id", F.col("day").cast("date").cast("string").alias("day"), "pages", "events")
+    days = S.latest_updates(
+        S.run_available(S.stream_usage(_usage(spark, sf)), "usage", "update"), ["user_id", "day"])
+    return days.select("user_id", F.col("day").cast("date").cast("string").alias("day"), "pages", "events")
+
+
+def _windows(stream, name):
+    return S.latest_updates(S.run_available(stream, name, "update"), ["user_id", "window_start", "window_end"])
 
 
 def _windows_sql(minutes: str) -> str:
     return f"""
       SELECT user_id, window_start, window_start + INTERVAL 1 MINUTE AS window_end, count(*) AS requests
       FROM ({minutes})
-      WHERE window_start + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM usage_fx) - INTERVAL 1 MINUTE
       GROUP BY ALL HAVING count(*) > 1"""
 
 
 @query("h3_stream_rate_limit", with_views(_windows_sql(
     "SELECT *, date_trunc('minute', ts) AS window_start FROM usage_fx"), "usage_fx"))
 def _(spark, sf):
-    return S.run_available(S.stream_rate_limit(_usage(spark, sf), 1), "rate").drop("batch_id")
+    return _windows(S.stream_rate_limit(_usage(spark, sf), 1), "rate")
 
 
 @query("h3_stream_rate_limit_sliding", with_views(_windows_sql("""
   SELECT *, time_bucket(INTERVAL 30 SECOND, ts) - k * INTERVAL 30 SECOND AS window_start
   FROM usage_fx, (VALUES (0), (1)) v(k)"""), "usage_fx"))
 def _(spark, sf):
-    sliding = S.stream_rate_limit(_usage(spark, sf), 1, "30 seconds")
-    return S.run_available(sliding, "rate-sliding").drop("batch_id")
+    return _windows(S.stream_rate_limit(_usage(spark, sf), 1, "30 seconds"), "rate-sliding")
 
 
 @query("h4_stream_jobs", with_views(f"""
@@ -86,7 +89,7 @@ def _(spark, sf):
 def _(spark, sf):
     documents = fx.stream_table(spark, sf, "documents").select(
         "doc_id", "text", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("ts"))
-    return S.run_available(S.stream_dedupe(documents, "text", "36500 days"), "dedupe").select("digest")
+    return S.run_available(S.stream_dedupe(documents, "text", "1 hour"), "dedupe").select("digest")
 
 
 @query("h6_stream_sessions", with_views("""

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # a user's sessions are merged before the shuffle, so a busy user sends few rows
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 
@@ -29,6 +31,7 @@ def local_session(cores: int | str = "*", app: str = "pagewright", **conf: str)
     }.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
+    spark.conf.set("pagewright.spread", spark.sparkContext.defaultParallelism)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

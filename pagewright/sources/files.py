@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagewright.config import SUPPORTED_EXTENSIONS
 from pagewright.operators.intake import is_supported_format
@@ -14,6 +16,16 @@ def _any_case_glob() -> str:
     return "*.{" + ",".join(names) + "}"
 
 
+def _directly_in(folder: str) -> Column:
+    """Whether ``path`` is the folder's own file, or the file itself; schemes and slashes may be written differently."""
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"
+    root = re.sub(scheme, "/", folder).rstrip("/")
+    full = F.regexp_replace("path", scheme, "/")
+    parent = F.regexp_replace(full, "/[^/]*$", "")
+    same = (lambda c: c == root) if root.startswith("/") or not root else (lambda c: c.endswith("/" + root))
+    return same(parent) | same(full)
+
+
 def scan_documents(spark: SparkSession, path: str, content: bool = False,
                    supported_only: bool = True) -> DataFrame:
     """Files directly in a folder (or one file) as (path, length, modified[, content]).
@@ -21,11 +33,14 @@ def scan_documents(spark: SparkSession, path: str, content: bool = False,
     Bytes are read only when ``content`` is asked for and used. ``supported_only=False``
     also lists files of other types, so that intake can reject them with a reason.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
+    # Folders below, such as earlier outputs, are neither read as documents nor taken for partitions.
+    plain = not re.search(r"[*?\[{]", path)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(plain).lower())
     if supported_only:
         reader = reader.option("pathGlobFilter", _any_case_glob())
     columns = ["path", "length", F.col("modificationTime").alias("modified")]
-    files = reader.load(path).select(*columns, *(["content"] if content else []))
+    loaded = reader.load(path)
+    files = (loaded.filter(_directly_in(path)) if plain else loaded).select(*columns, *(["content"] if content else []))
     return files.filter(is_supported_format("path")) if supported_only else files
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from pagewright.config import EXPORT_FORMATS
 from pagewright.functions.errors import ExportError
 from pagewright.operators import export_shapes as X
+from pagewright.operators.reading import PAGE
 
 Writer = Callable[[DataFrame, DataFrame, str], None]
 
@@ -21,15 +22,56 @@ def _ordered(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
+def _txt_lines(results: DataFrame) -> DataFrame:
+    """(doc_id, page_number, value): pages as text rows; the sink ends each with a page's last newline."""
+    return X.txt_pages(results).select(
+        *PAGE, F.expr("substring(content, 1, length(content) - 1)").alias("value"))
+
+
 def write_txt(results: DataFrame, regions: DataFrame, path: str, per_document: bool = False) -> None:
-    """Text files; ``per_document`` makes one folder per document id."""
-    pages = _ordered(X.txt_pages(results), "doc_id", "page_number")
-    # The sink ends each row with a newline, which is the last character of a page.
-    text = F.expr("substring(content, 1, length(content) - 1)").alias("value")
+    """Text files; ``per_document`` makes one folder per document id.
+
+    In files that hold several documents each document's text comes after a line with its id.
+    """
+    pages = _txt_lines(results)
     if per_document:
-        pages.select("doc_id", text).write.mode("overwrite").partitionBy("doc_id").text(path)
+        _ordered(pages, *PAGE).select("doc_id", "value").write.mode("overwrite").partitionBy("doc_id").text(path)
+        return
+    first = pages.groupBy("doc_id").agg(F.min("page_number").alias("page_number"))
+    several = F.broadcast(first.agg((F.count("*") > 1).alias("_several")))  # one row
+    names = first.crossJoin(several).filter("_several").select(
+        *PAGE, F.concat(F.lit("=== "), F.col("doc_id").cast("string"), F.lit(" ===")).alias("value"), F.lit(0).alias("_o"))
+    rows = names.unionByName(pages.withColumn("_o", F.lit(1)))
+    _ordered(rows, *PAGE, "_o").select("value").write.mode("overwrite").text(path)
+
+
+def export_documents(results: DataFrame, regions: DataFrame, names: DataFrame, path: str, fmt: str) -> None:
+    """One folder per document, named by ``names`` (doc_id, output): text, JSON or CSV rows in order.
+
+    Documents are written in pieces, so a huge one is the work of several tasks; its part files in name order are
+    its text.
+    """
+    if fmt == "txt":
+        rows, order = _txt_lines(results), PAGE
+    elif fmt == "json":
+        rows = X.json_fragments(results, regions).withColumnRenamed("text", "value")
+        order = [*PAGE, "part", "ord"]
+    elif fmt == "csv":
+        rows, order = X.export_csv(regions).withColumns(
+            {"page_number": F.col("Page"), "_id": F.col("Region_ID")}), ["doc_id", "page_number", "_id"]
     else:
-        pages.select(text).write.mode("overwrite").text(path)
+        raise ExportError(f"no output per document in format: {fmt}")
+    named = _ordered(rows.join(names, "doc_id"), "output", *order)
+    if fmt == "csv":
+        (named.drop("doc_id", "page_number", "_id").write.mode("overwrite").option("header", True)
+         .partitionBy("output").csv(path))
+    else:
+        named.select("output", "value").write.mode("overwrite").partitionBy("output").text(path)
+
+
+def write_overlay(results: DataFrame, regions: DataFrame, path: str) -> None:
+    """Labels and outlines to be drawn over the page images, as ordered rows."""
+    _ordered(X.overlay_labels(regions), *PAGE, "region_ord").write.mode("overwrite").parquet(path)
 
 
 def write_json(results: DataFrame, regions: DataFrame, path: str) -> None:

@@ -23,10 +23,17 @@ def _start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoin
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def ready_output(spark: SparkSession, name: str, schema) -> str:
+    """A fresh sink folder that already holds an empty batch, so that a stream without input is an empty table."""
+    out = scratch_path(spark, name)
+    spark.createDataFrame([], schema).write.parquet(f"{out}/batch_id=-1")
+    return out
+
+
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over all input there is and give its output as a table with ``batch_id``."""
     spark = stream.sparkSession
-    out = scratch_path(spark, name)
+    out = ready_output(spark, name, stream.schema)
     _start(stream, lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch_id={i}"),
            scratch_path(spark, f"{name}-state"), mode).awaitTermination()
     return spark.read.schema(stream.schema.add("batch_id", "long")).parquet(out)
@@ -61,9 +68,13 @@ def stream_rate_limit(events: DataFrame, per_minute: int = metering.RATE_PER_MIN
     return metering.rate_windows(events.withWatermark("ts", delay), per_minute, slide)
 
 
-def stream_dedupe(documents: DataFrame, content: str, delay: str) -> DataFrame:
-    """The first document of each digest within the watermark (``ts`` is the event time)."""
-    return (documents.withColumn("digest", digest(content)).withWatermark("ts", delay)
+def stream_dedupe(documents: DataFrame, content: str, delay: str, key: str = "doc_id") -> DataFrame:
+    """The first document of each digest within the watermark: (digest, key, ts), ``ts`` being the event time.
+
+    Contents are hashed where they are read; only digests are shuffled and kept, and a digest leaves
+    the state when event time has passed it by ``delay``.
+    """
+    return (documents.select(digest(content).alias("digest"), key, "ts").withWatermark("ts", delay)
             .dropDuplicatesWithinWatermark(["digest"]))
 
 
@@ -76,52 +87,63 @@ def stream_sessions(usage: DataFrame, gap_seconds: int = 1800, delay: str = "1 h
                     F.col("s.end").alias("session_end"), "events", "pages"))
 
 
+def latest_updates(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """The last row given out per key by a stream run in update mode: closed and still open groups alike."""
+    values = [c for c in updates.columns if c not in (*keys, "batch_id")]
+    return (updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_u"))
+            .select(*keys, *[F.col(f"_u.{c}").alias(c) for c in values]))
+
+
 JOB_UPDATE = "job_id long, status string, progress double, done long, failed long, error string"
-_JOB_STATE = "total long, done long, failed long, last_ms long"
-_JOB_PART = "job_id long, total long, done long, failed long, ts timestamp"
+_JOB_STATE = "total long, completed array<long>, failed array<long>, last_ms long"
+_JOB_PART = "job_id long, total long, completed array<long>, failed array<long>, ts timestamp"
 
 
 def stream_jobs(job_files: DataFrame, idle_seconds: int = 3600, delay: str = "10 minutes") -> DataFrame:
     """Progress of each job whenever its files change: processing, completed or failed.
 
-    Input rows are file outcomes (job_id, total, file_status, ts). A job that is still
-    processing when event time has passed its last file by ``idle_seconds`` fails as idle.
+    Input rows are file outcomes (job_id, file_id, total, file_status, ts). Each file counts once, by its last
+    outcome; a completed file stays completed. A finished job is remembered, so that repeated or late rows don't
+    start it anew, until event time has passed its last file by ``idle_seconds``; a job that is still processing
+    then fails as idle. The state of a job holds the ids of its finished files.
     """
     def count_parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Counts per job of each Arrow batch, so that a huge job sends few rows to its task."""
+        """Outcomes per job of each Arrow batch, so that a huge job sends few rows to its task."""
         for frame in frames:
-            counted = frame.assign(done=(frame.file_status != "processing").astype("int64"),
-                                   failed=(frame.file_status == "failed").astype("int64"))
-            parts = counted.groupby("job_id", as_index=False).agg(
-                total=("total", "max"), done=("done", "sum"), failed=("failed", "sum"), ts=("ts", "max"))
-            yield parts[["job_id", "total", "done", "failed", "ts"]]
+            rows = []
+            for job, own in frame.groupby("job_id"):
+                ids, failing = own.file_id.astype(int), own.file_status == "failed"
+                completed = sorted(set(ids[~failing & (own.file_status != "processing")]))
+                failed = sorted(set(ids[failing]) - set(completed))
+                rows.append((job, own.total.max(), completed, failed, own.ts.max()))
+            yield pd.DataFrame(rows, columns=["job_id", "total", "completed", "failed", "ts"])
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, done, failed, last_ms = state.get if state.exists else (0, 0, 0, 0)
+        total, completed, failed, last_ms = state.get if state.exists else (0, [], [], 0)
+        completed, failed = set(completed), set(failed)
+        done = lambda: len(completed) + len(failed)
         if state.hasTimedOut:
             state.remove()
-            row = ("failed", done, failed, "idle")
+            if done() >= total:
+                return
+            row = ("failed", "idle")
         else:
             for frame in frames:
                 total = max(total, int(frame.total.max()))
-                done, failed = done + int(frame.done.sum()), failed + int(frame.failed.sum())
+                completed.update(int(f) for files in frame.completed for f in files)
+                failed.update(int(f) for files in frame.failed for f in files)
                 last_ms = max(last_ms, int(frame.ts.max().timestamp() * 1000))
-            finished = done >= total
-            row = ("completed" if finished else "processing", done, failed,
-                   f"{failed} file(s) failed" if failed else None)
-            if finished:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((total, done, failed, last_ms))
-                due = last_ms + idle_seconds * 1000
-                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        status, done, failed, error = row
-        yield pd.DataFrame({"job_id": [key[0]], "status": [status],
-                            "progress": [done * 100.0 / total if total else None],
-                            "done": [done], "failed": [failed], "error": [error]})
-
-    parts = (job_files.select("job_id", "total", "file_status", "ts")
+            failed -= completed
+            row = ("completed" if done() >= total else "processing",
+                   f"{len(failed)} file(s) failed" if failed else None)
+            state.update((total, sorted(completed), sorted(failed), last_ms))
+            due = last_ms + idle_seconds * 1000
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"job_id": [key[0]], "status": [row[0]],
+                            "progress": [done() * 100.0 / total if total else None],
+                            "done": [done()], "failed": [len(failed)], "error": [row[1]]})
+
+    parts = (job_files.select("job_id", "file_id", "total", "file_status", "ts")
              .mapInPandas(count_parts, _JOB_PART).withWatermark("ts", delay))
     return parts.groupBy("job_id").applyInPandasWithState(
         advance, JOB_UPDATE, _JOB_STATE, "update", GroupStateTimeout.EventTimeTimeout)

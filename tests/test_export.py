@@ -1,5 +1,6 @@
 """Export shapes, writers, the facade and the command line."""
 
+import datetime as dt
 import json
 import pathlib
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewright import Engine
 from pagewright import __main__ as cli
+from pagewright.config import Config
 from pagewright.functions.errors import ExportError
 from pagewright.operators import export_shapes as X
 from pagewright.sources import sinks
@@ -31,7 +33,7 @@ def tables(spark):
 
 def test_txt(tables, tmp_path):
     sinks.export(*tables, str(tmp_path / "t"), "txt")
-    assert lines(tmp_path / "t") == "--- Page 1 ---\na\nb\n\n--- Page 2 ---\n\n\n" + 'say "c"\n\n'
+    assert lines(tmp_path / "t") == "=== 1 ===\n--- Page 1 ---\na\nb\n\n--- Page 2 ---\n\n\n=== 2 ===\n" + 'say "c"\n\n'
     whole = {r.doc_id: r.content for r in X.export_txt(tables[0]).collect()}
     assert whole[2] == 'say "c"\n\n' and whole[1].startswith("--- Page 1 ---\n")
     sinks.write_txt(*tables, str(tmp_path / "d"), per_document=True)
@@ -113,10 +115,11 @@ def test_names_and_collisions(spark):
         X.output_name("path", F.lit("txt"), "other")
 
 
-def word_boxes(pages):
-    """A stand-in for a vision model: the 'image' is text, one box per word."""
-    lines_ = F.posexplode(F.split(F.decode("content", "utf-8"), "\n")).alias("row", "line")
-    words = pages.select("doc_id", "page_number", lines_).select(
+def word_boxes(files):
+    """A stand-in for a vision model: the 'image' is text, a form feed ends a page, one box per word."""
+    pages = files.select("doc_id", F.posexplode(F.split(F.decode("content", "utf-8"), "\f")).alias("n", "page"))
+    lines_ = F.posexplode(F.split("page", "\n")).alias("row", "line")
+    words = pages.select("doc_id", (F.col("n") + 1).alias("page_number"), lines_).select(
         "doc_id", "page_number", "row", F.posexplode(F.split("line", " ")).alias("n", "word"))
     return words.select(
         "doc_id", "page_number", (F.col("row") * 1000 + F.col("n")).cast("long").alias("region_ord"),
@@ -125,7 +128,8 @@ def word_boxes(pages):
 
 
 def reader(files):
-    return files.withColumns({"page_count": F.lit(1), "width": F.lit(100), "height": F.lit(100)})
+    pages = F.size(F.split(F.decode("content", "utf-8"), "\f"))
+    return files.withColumns({"page_count": pages, "width": F.lit(100), "height": F.lit(100)})
 
 
 def models(spark):
@@ -157,6 +161,96 @@ def test_engine(spark, folder, tmp_path):
         engine.process(str(folder / "three.xyz"))
 
 
+def test_pages_come_from_the_file_or_its_boxes(spark, tmp_path):
+    (tmp_path / "two.pdf").write_text("first page\fsecond")
+    handed = []
+
+    def counting(files):
+        handed.append(files.columns)
+        return word_boxes(files)
+
+    load = models(spark)["recognizer"]
+    for kind in (reader, None):
+        batch = Engine(spark, detector=counting, reader=kind, recognizer=load).process_batch(str(tmp_path))
+        rows = [(r.page_number, r.full_text) for r in batch.results.orderBy("page_number").collect()]
+        assert rows == [(1, "FIRST PAGE"), (2, "SECOND")]
+        assert batch.files.first().page_count == 2
+    assert all("page_number" not in columns and "content" in columns for columns in handed)
+    short = lambda files: reader(files).withColumn("page_count", F.lit(1))
+    with pytest.raises(ValueError, match="boxes on page 2 of 1"):
+        Engine(spark, detector=word_boxes, reader=short, recognizer=load).process_batch(str(tmp_path))
+    none = lambda files: reader(files).withColumn("page_count", F.lit(None).cast("int"))
+    failed = Engine(spark, detector=word_boxes, reader=none, recognizer=load).process_batch(str(tmp_path)).failures
+    assert failed.first().error_message == "Document has no pages"
+
+
+def test_options_reach_their_operators(spark, tmp_path):
+    (tmp_path / "t.png").write_text("name: value\nother: thing\na b\nc d")
+    (tmp_path / "u.bmp").write_text("x")
+    plain = Engine(spark, **models(spark))
+    batch = plain.process_batch(str(tmp_path))
+    assert plain.tables(batch).count() > 0 and plain.key_values(batch).count() == 2
+    off = Config.from_dict({"document": {"enable_table_detection": False, "enable_kv_extraction": False, "dpi_for_pdf_render": 150},
+                            "security": {"allowed_extensions": (".png", ".pdf"), "rate_limit_per_minute": 1},
+                            "ocr": {"max_image_dimension": 50}})
+    engine = Engine(spark, config=off, **models(spark))
+    assert engine.tables(batch).count() == 0 and engine.key_values(batch).count() == 0
+    (tmp_path / "v.pdf").write_text("p")
+    info = {r.path.rsplit("/", 1)[1]: r for r in engine.info(str(tmp_path)).collect()}
+    assert info["u.bmp"].error_class == "UnsupportedFormatException"
+    assert info["v.pdf"].dpi == 150 and tuple(info["v.pdf"].reduced) == (50, 50)
+    events = spark.createDataFrame([(i, 1, dt.datetime(2024, 1, 1, 0, 0, i)) for i in range(3)], "event_id long, user_id long, ts timestamp")
+    assert engine.limited(events).filter("limited").count() == 2
+
+
+def test_memory_and_listed_sources(spark, folder):
+    engine = Engine(spark, **models(spark))
+    assert [r.full_text for r in engine.process_bytes(b"hello", "png").results.collect()] == ["HELLO"]
+    with pytest.raises(Exception, match="file_type must be specified"):
+        engine.process_bytes(b"hello", None)
+    both = engine.process_batch([str(folder / "one.png"), str(folder / "two.pdf")])
+    assert both.files.count() == 2 and both.results.count() == 2
+    with pytest.raises(ValueError, match="no sources"):
+        engine.process_batch([])
+
+
+def test_one_output_per_document(spark, folder, tmp_path_factory):
+    engine = Engine(spark, **models(spark))
+    batch = engine.process_batch(str(folder))
+    tmp_path = tmp_path_factory.mktemp("outputs")
+    out = tmp_path / "each"
+    for fmt in ("txt", "json", "csv"):
+        engine.export_documents(batch, str(out / fmt), fmt)
+        assert sorted(p.name for p in (out / fmt).iterdir() if p.is_dir()) == [f"output=one.{fmt}", f"output=two.{fmt}"]
+    assert lines(str(out / "txt" / "output=two.txt")) == "PAGE\n\n"
+    whole = json.loads(lines(str(out / "json" / "output=one.json")))
+    assert whole["total_pages"] == 1 and [r["text"] for r in whole["pages"][0]["text_regions"]][0] == "HELLO"
+    together = lines(engine.export(batch, str(tmp_path / "all.txt")))
+    assert together.index("one.png ===") < together.index("HELLO") < together.index("two.pdf ===") < together.index("PAGE")
+    (folder / "one.jpg").write_text("same name")
+    with pytest.raises(ValueError, match="would be written as one.txt"):
+        engine.export_documents(engine.process_batch(str(folder)), str(out / "clash"), "txt")
+
+
+def test_fragments_are_the_document(spark):
+    pages = [(d, p, f"text {d} {p}", 0.5, 2) for d, n in ((1, 1), (2, 150), (3, 2)) for p in range(1, n + 1)]
+    boxes = [(d, p, o, f"w{o}", 0.5, 1, 2, 3, 4) for d, p, *_ in pages if p != 2 for o in (3, 9_000, 20_000)]
+    results = spark.createDataFrame(pages, "doc_id long, page_number int, full_text string, confidence double, num_regions long")
+    regions = spark.createDataFrame(boxes + [(9, 1, 1, "stray", 0.5, 1, 2, 3, 4)],
+                                    "doc_id long, page_number int, region_ord long, text string, confidence double, x int, y int, w int, h int")
+    jobs = spark.createDataFrame([(d, f"j{d}") for d in (1, 2, 3)], "doc_id long, job_id string")
+    for pieces, whole, column in (
+            (X.json_fragments(results, regions), X.export_json(results, regions), "document"),
+            (X.api_fragments(results, regions, jobs), X.api_response(results, regions, jobs), "response"),
+            (X.api_fragments(results, regions, jobs, "pdf"), X.api_response(results, regions, jobs, "pdf"), "response")):
+        joined = {}
+        for r in pieces.orderBy("doc_id", "page_number", "part", "ord").collect():
+            joined[r.doc_id] = joined.get(r.doc_id, "") + r.text
+        assert joined == {r.doc_id: r[column] for r in whole.collect()}
+        plan = pieces._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Aggregate(keys=[doc_id#" in x and "_band" not in x]
+
+
 def test_command_line(spark, folder, capsys, monkeypatch):
     monkeypatch.syspath_prepend(str(pathlib.Path(__file__).parent))
     where = "test_export:models"
@@ -166,4 +260,15 @@ def test_command_line(spark, folder, capsys, monkeypatch):
     assert cli.run(spark, ["batch", str(folder), "--models", where]) == 0
     assert "Processed: 2 file(s), failed: 1" in capsys.readouterr().out
     assert (folder / "ocr_output" / "json").is_dir()
+    assert cli.run(spark, ["batch", str(folder), "--models", where, "--overlay", "--per-document", "-f", "txt"]) == 0
+    assert spark.read.parquet(str(folder / "ocr_output" / "overlay")).count() == 5
+    assert (folder / "ocr_output" / "txt" / "output=one.txt").is_dir()
     assert cli.run(spark, ["info", str(folder)]) == 0
+    capsys.readouterr()
+    assert cli.run(spark, ["info", str(folder), "--models", where]) == 0
+    assert "100x100" in capsys.readouterr().out
+    (folder / "none").mkdir()
+    (folder / "none" / "a.xyz").write_text("x")
+    assert cli.run(spark, ["batch", str(folder / "none"), "--models", where]) == 1
+    assert "no supported files" in capsys.readouterr().err
+    assert cli.run(spark, ["batch", str(folder / "missing"), "--models", where]) == 1

@@ -120,11 +120,12 @@ def test_otsu_by_brute_force(spark):
 
 
 def test_config_round_trip():
-    config = Config.from_dict({"ocr": {"batch_size": 16}, "debug": True})
-    assert config.ocr.batch_size == 16 and config.ocr.max_image_dimension == 2048 and config.debug
+    config = Config.from_dict({"ocr": {"batch_size": 16}, "security": {"rate_limit_per_minute": 3}})
+    assert config.ocr.batch_size == 16 and config.ocr.max_image_dimension == 2048
+    assert config.security.rate_limit_per_minute == 3
     assert Config.from_dict(config.to_dict()) == config
     assert Config.from_dict({}) == Config()
     with pytest.raises(ValueError):
-        OcrConfig(device="abacus")
+        OcrConfig(batch_size=0)
     with pytest.raises(TypeError):
         Config.from_dict({"ocr": {"no_such_key": 1}})

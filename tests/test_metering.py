@@ -58,7 +58,7 @@ def test_capped_history_changes_the_day_total(spark):
         F.col("id").alias("event_id"), F.lit(1).alias("user_id"), F.lit(2).alias("pages"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("id")).alias("ts"))
     assert M.usage_stats(df, "2024-01-01", 3).first().daily_pages == 6
-    assert M.usage_stats(df, "2024-01-01", None).first().daily_pages == 20
+    assert M.usage_stats(df, "2024-01-01").first().daily_pages == 20
     assert M.usage_stats(df, "2024-01-02", None).first().daily_pages == 0
     assert M.usage_stats(df, "2024-01-01", 3, per_user=True).first().total_pages == 20
 

@@ -2,12 +2,11 @@
 
 import pytest
 
-import __spark_entry__ as entry_points
-from pagewright.operators import reading as R
-from pagewright.plans import fixtures as fx
+from pagewright.operators import layout as L, reading as R
+from pagewright.plans import catalog, fixtures as fx
 from pagewright.plans.reading_queries import kept
 
-QUERIES = entry_points.queries()
+QUERIES = catalog.QUERIES
 #: A user model and per-job state are the only Python in tasks.
 PYTHON = {"d8_apply_recognizer", "h4_stream_jobs"}
 #: Joins of one-row aggregates.
@@ -55,9 +54,36 @@ def test_words_are_shuffled_twice_for_page_text(spark, sf):
     assert text.count("SortMergeJoin") == 1
 
 
+@pytest.mark.parametrize("name, most", [("d4_recognize", 3), ("i8_cached_results", 4)])
+def test_exchanges_without_broadcasts(spark, sf, name, most):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES[name](spark, sf))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len([x for x in text.splitlines() if "Exchange hashpartitioning" in x]) <= most
+
+
+def test_tables_shuffle_positions_not_boxes(spark):
+    boxes = spark.createDataFrame([(1, 1, i, 60 * (i % 3), 20 * (i // 3), "t") for i in range(12)],
+                                  "doc_id long, page_number int, region_ord long, x int, y int, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(L.detect_tables(boxes))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len([x for x in text.splitlines() if "Exchange hashpartitioning" in x]) <= 12
+    assert len([x for x in text.splitlines() if "Exchange hashpartitioning" in x and "text" in x]) <= 1
+    assert L.detect_tables(boxes).count() == 12
+
+
+def test_exact_percentiles_keep_no_group_whole(spark, sf):
+    assert "percentile(" not in plan(QUERIES["g14_service_metrics"](spark, sf)).replace("approx_percentile(", "")
+
+
 def test_top_k_is_not_a_full_sort(spark, sf):
     assert "TakeOrderedAndProject" in plan(QUERIES["g4_usage_history"](spark, sf))
-    assert "WindowGroupLimit" in plan(QUERIES["g4_usage_history_per_user"](spark, sf))
+    assert "_minute" in plan(QUERIES["g4_usage_history_per_user"](spark, sf))
 
 
 @pytest.mark.parametrize("name, band", [("g3_usage_running_total", "_minute"), ("g10_rate_limit", "_second"),
