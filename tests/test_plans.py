@@ -72,7 +72,7 @@ def test_tables_shuffle_positions_not_boxes(spark):
         text = plan(L.detect_tables(boxes))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert len([x for x in text.splitlines() if "Exchange hashpartitioning" in x]) <= 12
+    assert len([x for x in text.splitlines() if "Exchange hashpartitioning" in x]) <= 4
     assert len([x for x in text.splitlines() if "Exchange hashpartitioning" in x and "text" in x]) <= 1
     assert L.detect_tables(boxes).count() == 12
 
