@@ -87,10 +87,12 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, peri
     """Every row of ``docs`` with its place in the mix: doc_id, source, block, release, deadline, slot, in_mix.
 
     A document belongs to the block its first byte falls in; one longer than a block fills several.
-    ``in_mix`` is true before the first slot for which a source has no block left: up to there every
-    source has its weight to within one block. Later slots keep the others' proportions, so all
-    rows have a slot, but for rows of a source without weight: null slot, not in the mix. ``weights``
-    None: ``target_weights`` of the bytes found. Null is a source of its own. Null and empty
+    A source that has run out drops out: its later slots stay empty and the others go on in their
+    proportions to their ends, so every row has a slot and is in the mix, however small a source is.
+    ``weights`` None: ``target_weights`` of the bytes found. Only given ``weights`` leave rows out: a
+    source without weight has null slots, and ``in_mix`` is false from the first slot for which a source
+    that has bytes has no block left, so that up to there each has the weight asked for to within one block.
+    Null is a source of its own. Null and empty
     texts take no bytes. Rows with equal (doc_id, text) stand side by side in any order; a null doc_id
     stays null; other columns are ignored. An empty table gives an empty result.
     """
@@ -119,8 +121,10 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, peri
               .withColumn("block", F.expr(f"(_until - _bytes) div {block_bytes}"))
               .withColumn("_j", (F.col("block") % F.col("_per")).cast("int")))
     placed = blocks.join(F.broadcast(pattern), ["_s", "_j"], "left")
-    used_up = [(-(-max(sizes.get(s, 0), 1) // block_bytes), s) for s in slots]
-    horizon = min((n // slots[s] * period + place[s, n % slots[s]] for n, s in used_up), default=0)
+    mixed = F.col("slot").isNotNull()
+    used_up = [(-(-sizes[s] // block_bytes), s) for s in slots if sizes.get(s)]
+    if weights is not None and used_up:
+        mixed &= F.col("slot") < min(n // slots[s] * period + place[s, n % slots[s]] for n, s in used_up)
     return placed.select(
         "doc_id", "source", "block",
         F.expr(f"block * {period} div _per").alias("release"),
@@ -128,7 +132,7 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, peri
     ).select(
         "doc_id", "source", "block", "release",
         F.expr(f"((block + 1) * {period} + _per - 1) div _per").alias("deadline"), "slot",
-        F.coalesce(F.col("slot") < horizon, F.lit(False)).alias("in_mix"))
+        mixed.alias("in_mix"))
 
 
 def in_mix(docs: DataFrame, **options) -> DataFrame:

@@ -76,3 +76,41 @@ def test_given_weights_and_edges(spark):
     assert other["slot"] is None and other["in_mix"] is False
     assert mixing.mix(frame(spark, rows).limit(0)).count() == 0
     assert mixing.in_mix(frame(spark, rows)).columns == frame(spark, rows).columns
+
+
+@pytest.mark.parametrize("sources", [
+    {**{c: 9_000 for c in "abcdefgh"}, "tiny": 10}, {**{c: 9_000 for c in "abcdefgh"}, "empty": 0, None: 0},
+    {"a": 20_000, "b": 20_000, "c": 20_000, "tiny": 10}, {"hot": 40_000, **{c: 8_000 for c in "abcdefgh"}}])
+def test_no_source_that_runs_out_ends_the_mix(spark, sources):
+    """Kept bytes of every source are all its bytes, and each slot is what a plain round of the period gives."""
+    rows, period, size = [], 32, 100
+    for s, n in sources.items():
+        rows += [(len(rows) + i, "w" * min(n, 50), s) for i in range(max(1, n // 50))]
+    got = mixing.mix(frame(spark, rows), period=period, block_bytes=size).collect()
+    of = {d: len(t) for d, t, _ in rows}
+    kept = Counter()
+    for r in got:
+        kept[r["source"]] += of[r["doc_id"]] if r["in_mix"] else 0
+    assert {s: kept[s] for s in sources} == {s: sum(len(t) for _, t, x in rows if x == s) for s in sources}
+    assert all(r["in_mix"] for r in got) and len(got) == len(rows)
+    name = lambda s: "" if s is None else "=" + s
+    weights = mixing.target_weights({name(s): n for s, n in sources.items()})
+    least = min(weights.values()) / period
+    slots = mixing.quantised(weights | {name(s): least for s, n in sources.items() if not n}, period)
+    left = {name(s): max(1, -(-n // size)) for s, n in sources.items()}
+    order, taken, now = {}, Counter(), 0
+    pattern = [s for s, _ in mixing.pfair_period(slots)]
+    while any(left.values()):
+        s = pattern[now % period]
+        if left[s]:
+            order[s, taken[s]] = now
+            left[s], taken[s] = left[s] - 1, taken[s] + 1
+        now += 1
+    assert all(order[name(r["source"]), r["block"]] == r["slot"] for r in got)
+    assert len(mixing.in_mix(frame(spark, rows), period=period, block_bytes=size).collect()) == len(rows)
+
+
+def test_given_weight_of_an_absent_source_ends_nothing(spark):
+    rows = [(i, "z" * 100, "ab"[i % 2]) for i in range(40)] + [(90, "", "empty")]
+    got = mixing.mix(frame(spark, rows), weights={"a": 1, "b": 1, "empty": 1, "gone": 1}, period=4, block_bytes=100)
+    assert sum(r["in_mix"] for r in got.collect()) >= 40
