@@ -12,7 +12,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewright.llm.common import NULL_ID
 from pagewright.operators.ordering import running_sum
@@ -21,12 +21,10 @@ from pagewright.operators.ordering import running_sum
 PERIOD = 4_096
 #: Bytes of text in a source block, and bands of the order inside a source.
 BLOCK_BYTES, BANDS = 256 << 10, 4_096
-#: Default target: shares as found, but none above this where there are sources enough to fill the rest.
-MAX_SHARE = 0.25
 
 
-def target_weights(sizes: Mapping[str, int], max_share: float = MAX_SHARE) -> dict[str, float]:
-    """Shares in proportion to ``sizes`` with those above ``max_share`` held at it.
+def target_weights(sizes: Mapping[str, int], max_share: float = 1.0) -> dict[str, float]:
+    """Shares in proportion to ``sizes``, as found; those above a smaller ``max_share`` are held at it.
 
     With fewer than 1 / max_share sources of any size the shares stay as found.
     """
@@ -83,25 +81,42 @@ def pfair_period(slots: Mapping[str, int]) -> list[tuple[str, int]]:
 
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, period: int = PERIOD,
-        block_bytes: int = BLOCK_BYTES, max_share: float = MAX_SHARE) -> DataFrame:
+        block_bytes: int = BLOCK_BYTES, max_share: float = 1.0) -> DataFrame:
     """Every row of ``docs`` with its place in the mix: doc_id, source, block, release, deadline, slot, in_mix.
 
     A document belongs to the block its first byte falls in; one longer than a block fills several.
     A source that has run out drops out: its later slots stay empty and the others go on in their
     proportions to their ends, so every row has a slot and is in the mix, however small a source is.
-    ``weights`` None: ``target_weights`` of the bytes found. Only given ``weights`` leave rows out: a
+    ``weights`` None: ``target_weights`` of the bytes found, which are the shares as found; a ``max_share``
+    below 1 slows larger sources down, and what they have beyond it comes last. Only given ``weights`` leave rows out: a
     source without weight has null slots, and ``in_mix`` is false from the first slot for which a source
     that has bytes has no block left, so that up to there each has the weight asked for to within one block.
     Null is a source of its own. Null and empty
     texts take no bytes. Rows with equal (doc_id, text) stand side by side in any order; a null doc_id
     stays null; other columns are ignored. An empty table gives an empty result.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return _placed(docs, weights, period, block_bytes, max_share).drop("_s", "_h", "_until")
+
+
+def _row_hash() -> Column:
+    """Of a row's doc_id and text (null: empty); with the source it names a row."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)),
+                      F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def _source_key() -> Column:
+    source = F.col("source").cast("string")
+    return F.when(source.isNull(), "").otherwise(F.concat(F.lit("="), source))
+
+
+def _placed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, period: int = PERIOD,
+            block_bytes: int = BLOCK_BYTES, max_share: float = 1.0) -> DataFrame:
+    """``mix`` with _s, _h and _until: the row's source key, hash, and bytes of its source up to its end."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("source").cast("string"))).alias("_s"),
-        F.octet_length(text).cast("long").alias("_bytes"),
-        F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), text).alias("_h"))
+        _source_key().alias("_s"),
+        F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("_bytes"),
+        _row_hash().alias("_h"))
     rows = rows.withColumn("_band", F.pmod(F.shiftright("_h", 40), F.lit(BANDS)))
     sizes = {r["_s"]: r["n"] for r in  # one row per source
              rows.groupBy("_s").agg(F.sum("_bytes").alias("n")).orderBy("_s").limit(period + 1).collect()}
@@ -128,14 +143,23 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, peri
     return placed.select(
         "doc_id", "source", "block",
         F.expr(f"block * {period} div _per").alias("release"),
-        (F.expr("block div _per") * period + F.col("_at")).alias("slot"), "_per",
+        (F.expr("block div _per") * period + F.col("_at")).alias("slot"), "_per", "_s", "_h", "_until",
     ).select(
         "doc_id", "source", "block", "release",
         F.expr(f"((block + 1) * {period} + _per - 1) div _per").alias("deadline"), "slot",
-        mixed.alias("in_mix"))
+        mixed.alias("in_mix"), "_s", "_h", "_until")
 
 
 def in_mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows outside the mix (see ``mix``), all columns as they are; rows of one doc_id go together."""
-    kept = mix(docs, **options).filter("in_mix").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    """``docs`` in slot order without the rows outside the mix (see ``mix``), all columns as they are.
+
+    Inside a slot rows keep their source's order. Rows equal in doc_id, source and text go together, where the
+    first of them stands.
+    """
+    first = (_placed(docs, **options).filter("in_mix").groupBy("_s", "_h")
+             .agg(F.min("slot").alias("_slot"), F.min("_until").alias("_until")))
+    first = first.select(F.col("_s").alias("_mix_s"), F.col("_h").alias("_mix_h"),
+                         F.col("_slot").alias("_mix_slot"), F.col("_until").alias("_mix_until"))
+    placed = docs.join(first, (_source_key() == F.col("_mix_s")) & (_row_hash() == F.col("_mix_h")))
+    order = ["_mix_slot", "_mix_until"]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)

@@ -114,3 +114,29 @@ def test_given_weight_of_an_absent_source_ends_nothing(spark):
     rows = [(i, "z" * 100, "ab"[i % 2]) for i in range(40)] + [(90, "", "empty")]
     got = mixing.mix(frame(spark, rows), weights={"a": 1, "b": 1, "empty": 1, "gone": 1}, period=4, block_bytes=100)
     assert sum(r["in_mix"] for r in got.collect()) >= 40
+
+
+def test_default_target_is_the_shares_as_found():
+    sizes = {"hot": 60, **{c: 5 for c in "abcdefgh"}}
+    assert mixing.target_weights(sizes) == {s: n / 100 for s, n in sizes.items()}
+
+
+def test_stage_gives_all_rows_in_slot_order(spark):
+    rows = [(i, f"{i} " * 20, "hot" if i % 3 == 0 else "abcdefgh"[i % 8]) for i in range(300)]
+    rows += [(None, "first without id", "a"), (None, "second without id", "b"), (7, "other text", "c"), (8, "", None)]
+    docs, options = frame(spark, rows), {"period": 64, "block_bytes": 100}
+    got = [(r["doc_id"], r["text"], r["source"]) for r in mixing.in_mix(docs, **options).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, rows))
+    slot = defaultdict(set)
+    for r in mixing.mix(docs, **options).collect():
+        slot[r["doc_id"], r["source"]].add(r["slot"])
+    once = [min(slot[d, s]) for d, _, s in got if len(slot[d, s]) == 1]
+    assert once == sorted(once) and len(once) >= 300
+
+
+def test_rows_without_id_are_judged_one_by_one(spark):
+    rows = [(None, "z" * 100 + str(i), "ab"[i % 2]) for i in range(40)] + [(None, "no weight", "other")]
+    options = {"weights": {"a": 3, "b": 1}, "period": 4, "block_bytes": 100}
+    got = [r["source"] for r in mixing.in_mix(frame(spark, rows), **options).collect()]
+    mixed = Counter(r["source"] for r in mixing.mix(frame(spark, rows), **options).collect() if r["in_mix"])
+    assert Counter(got) == mixed and "other" not in got
