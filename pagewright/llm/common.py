@@ -18,16 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
+    """What ``keyed`` calls _id and _th, as columns of a table that may have columns of these names."""
+    return (F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)),
+            F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (_id, _th, _text): the id with a stand-in for null, a hash of the text, the text (null: empty).
 
     ``(_id, _th)`` names a row: rows that share both are equal in all an operator reads. Other
     columns are left out, so their names can't clash.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"),
-        F.xxhash64(text).alias("_th"), text.alias("_text"))
+    row_id, text_hash = row_key(id_col, text_col)
+    return docs.select(row_id.alias("_id"), text_hash.alias("_th"),
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
 
 
 def public_id(name: str = "_id") -> Column:

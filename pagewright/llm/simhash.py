@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pagewright.llm.common import components, keyed, public_id, text_slices
+from pagewright.llm.common import NULL_ID, components, keyed, public_id, row_key, text_slices
 from pagewright.session import cut_lineage
 
 SEED, WORDS, MAX_BITS, SEGMENTS = 42, 4, 4, 3
@@ -38,15 +38,15 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(_id, fp) for every row of ``docs``."""
+    """(_id, _th, fp) for every row of ``docs``."""
     def run(batches):
         for batch in batches:
             for first, texts in text_slices(batch, "_text"):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_id").slice(first, len(texts)),
-                     pa.array([fingerprint(t, words) for t in texts], pa.int64())], ["_id", "fp"])
+                    [batch.column("_id").slice(first, len(texts)), batch.column("_th").slice(first, len(texts)),
+                     pa.array([fingerprint(t, words) for t in texts], pa.int64())], ["_id", "_th", "fp"])
 
-    return keyed(docs).select("_id", "_text").mapInArrow(run, "_id long, fp long")
+    return keyed(docs).mapInArrow(run, "_id long, _th long, fp long")
 
 
 def _signed(value: int) -> int:
@@ -118,6 +118,13 @@ def linked(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -
         "fp", F.coalesce("root", "g").alias("root"))
 
 
+def _roots(rows: DataFrame, max_bits: int, segments: int) -> DataFrame:
+    """(fp, least, root) for the distinct fingerprints of ``rows``: the smallest id with it, and its component."""
+    classes = cut_lineage(rows.groupBy("fp").agg(F.min(public_id()).alias("least")))
+    groups = linked(classes.select("fp"), max_bits, segments)
+    return cut_lineage(classes.join(groups, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS,
                     segments: int = SEGMENTS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
@@ -129,9 +136,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
     ignored. Equal fingerprints are one entry, so copies cost nothing.
     """
     rows = cut_lineage(fingerprints(docs, words))
-    classes = cut_lineage(rows.groupBy("fp").agg(F.min(public_id()).alias("least")))
-    groups = linked(classes.select("fp"), max_bits, segments)
-    roots = cut_lineage(classes.join(groups, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    roots = _roots(rows, max_bits, segments)
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = roots.join(least, "root").select("fp", "component_id")
     return rows.join(ids, "fp").select(
@@ -141,16 +146,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
 def keep_one(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, all columns as they are.
 
-    The kept row is the one with the component's smallest doc_id; of repeated rows with that id
-    the one with the least hash, and of equal rows one. Rows whose doc_id is null are
-    kept only where no row of their component has an id, and then one.
+    The kept row is the one with the component's smallest doc_id; of rows with that id the one with the
+    least hashes of text and row, and of equal rows one. A row whose doc_id is null is
+    kept only where no row of its component has an id. Components are judged one by one, also where ids repeat.
     """
     columns = docs.columns
     numbered = docs.withColumn("_row", F.xxhash64(*columns))
-    found = near_duplicates(docs, words, max_bits, segments)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_keep")).distinct()
-    rest = numbered.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    least = rest.groupBy(F.col("doc_id").alias("_k")).agg(F.min("_row").alias("_m"))
-    one = rest.join(least, F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_m")))
+    rows = cut_lineage(fingerprints(docs, words))
+    order = F.struct((F.col("_id") == NULL_ID).alias("none"), "_id", "_th")
+    first = rows.groupBy("fp").agg(F.min(order).alias("first"))
+    kept = (first.join(_roots(rows, max_bits, segments), "fp").groupBy("root").agg(F.min("first").alias("first"))
+            .select(F.col("first._id").alias("_keep"), F.col("first._th").alias("_keep_th")))
+    row_id, text_hash = row_key()
+    rest = numbered.join(kept, (row_id == F.col("_keep")) & (text_hash == F.col("_keep_th")))
+    least = (rest.groupBy("_keep", "_keep_th").agg(F.min("_row").alias("_m"))
+             .select(F.col("_keep").alias("_k"), F.col("_keep_th").alias("_t"), "_m"))
+    one = rest.join(least, (F.col("_keep") == F.col("_k")) & (F.col("_keep_th") == F.col("_t"))
+                    & (F.col("_row") == F.col("_m")))
     return one.select(*columns).dropDuplicates()

@@ -62,3 +62,20 @@ def test_keep_one(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [2, 9]
     assert simhash.keep_one(docs.limit(0)).count() == 0
     assert simhash.keep_one(docs).columns == docs.columns
+
+
+def test_keep_one_of_every_component(spark):
+    """Null and repeated ids in several components: brute force picks one row of each."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, None, 7, 7, i]), t, rng.choice("ab")) for i, t in near_copies(rng, 80)]
+    rows += [(None, f"only without id {i} " + " ".join(rng.choices("uvwxyz", k=30)), "n") for i in range(10)]
+    rows += [(7, f"same id {i} " + " ".join(rng.choices("opqrst", k=30)), "m") for i in range(10)]
+    rows += [(None, rows[-1][1], "x"), (8, rows[-1][1], "x"), rows[-1], rows[-1]]
+    fps = [brute.simhash(t) for _, t, _ in rows]
+    roots = brute.linked_components(fps)
+    got = [tuple(r) for r in simhash.keep_one(
+        spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    assert sorted(roots[brute.simhash(t)] for _, t, _ in got) == sorted(set(roots.values())) and set(got) <= set(rows)
+    for d, t, _ in got:
+        ids = [x for (x, _, _), f in zip(rows, fps) if roots[f] == roots[brute.simhash(t)] and x is not None]
+        assert d == min(ids, default=None)
