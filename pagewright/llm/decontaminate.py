@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pagewright.llm.common import keyed, public_id, text_slices
+from pagewright.llm.common import keyed, public_id, row_key, text_slices
 
 K1, B, THRESHOLD, OVERLAP, NGRAM, MIN_WORDS = 1.2, 0.75, 0.5, 0.5, 3, 5
 #: Items per index block, and about the most items in one index shard (what a task holds and is sent).
@@ -209,10 +209,18 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     Other columns of either table are ignored. The index is handled in shards of about ``SHARD_ITEMS`` items, and
     the documents are read once per shard.
     """
+    best = _found(docs, items, threshold, min_overlap, min_words).groupBy("_id", "item_id").agg(
+        F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("m"))
+    return best.select(public_id().alias("doc_id"), "item_id", "m.*")
+
+
+def _found(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, min_overlap: float = OVERLAP,
+           min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows ``contaminated`` takes the best of: one per passage with a hit, with the _id and _th of its row."""
     index = item_index(items, min_words=min_words).persist()
     widths = index.groupBy("shard").agg(F.max("words").alias("words")).orderBy("shard").collect()  # a row a shard
     stride = max([64, *(r["words"] for r in widths)])
-    schema = "_id long, item_id long, score double, question_overlap double, answer_overlap double"
+    schema = "_id long, _th long, item_id long, score double, question_overlap double, answer_overlap double"
     found = docs.sparkSession.createDataFrame([], schema)
     for r in widths:
         rows = index.filter(F.col("shard") == r["shard"])
@@ -222,26 +230,28 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
         def run(batches, shard=shard):
             parts = [question_and_answer(t) for t in shard.texts]
             for batch in batches:
-                ids, out = batch.column("_id").to_pylist(), []
+                ids, hashes, out = batch.column("_id").to_pylist(), batch.column("_th").to_pylist(), []
                 for first, some in text_slices(batch, "_text", as_bytes=False):
                     documents = [words_of(t) for t in some]
                     for n, i, score, words in shard.search(documents, stride, threshold):
                         q, a = overlap(parts[i][0], words), overlap(parts[i][1], words)
                         if q >= min_overlap and a >= min_overlap:
-                            out.append((ids[first + n], int(shard.item_ids[i]), float(score), q, a))
+                            out.append((ids[first + n], hashes[first + n], int(shard.item_ids[i]), float(score), q, a))
                 if out:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), *[pa.float64()] * 3))],
-                        ["_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                        [pa.array(c, t) for c, t in zip(zip(*out), (*[pa.int64()] * 3, *[pa.float64()] * 3))],
+                        ["_id", "_th", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        found = found.union(keyed(docs).select("_id", "_text").mapInArrow(run, schema))
+        found = found.union(keyed(docs).mapInArrow(run, schema))
     index.unpersist()
-    best = found.groupBy("_id", "item_id").agg(
-        F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("m"))
-    return best.select(public_id().alias("doc_id"), "item_id", "m.*")
+    return found
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item, all columns as they are."""
-    hit = contaminated(docs, items, threshold).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("_hit")), "left_anti")
+    """``docs`` without the rows that hold a benchmark item, all columns as they are.
+
+    Every row is judged by its own text, also where a doc_id is null or repeated.
+    """
+    hit = _found(docs, items, threshold).select(F.col("_id").alias("_hit"), F.col("_th").alias("_hit_th")).distinct()
+    row_id, text_hash = row_key()
+    return docs.join(hit, (row_id == F.col("_hit")) & (text_hash == F.col("_hit_th")), "left_anti")

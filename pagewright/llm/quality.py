@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pagewright.llm.common import keyed, public_id, text_slices
+from pagewright.llm.common import keyed, public_id, row_key, text_slices
 
 #: Bounds of the training sample, in documents: trusted positives and unlabelled texts.
 POSITIVES, UNLABELLED = 6_000, 12_000
@@ -160,6 +160,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, p
     not held out and never trained on. An empty table gives an empty result. Other columns of either
     table are ignored.
     """
+    return _scored(docs, labels, positives, unlabelled).select(public_id().alias("doc_id"), "score").select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def _scored(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
+    """(_id, _th, score) for every row of ``docs``."""
     good, mixed, prior = _sample(docs, labels, positives, unlabelled)
     model = train_nnpu(good, mixed, prior) if len(good) and len(mixed) else None
 
@@ -169,17 +175,18 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, p
                 scores = (model.score(np.stack([features(t) for t in some])) if model
                           else np.full(len(some), prior))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_id").slice(first, len(some)), pa.array(scores, pa.float64())], ["_id", "score"])
+                    [batch.column("_id").slice(first, len(some)), batch.column("_th").slice(first, len(some)),
+                     pa.array(scores, pa.float64())], ["_id", "_th", "score"])
 
-    scored = keyed(docs).select("_id", "_text").mapInArrow(run, "_id long, score double")
-    return scored.select(public_id().alias("doc_id"), "score").select(
-        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return keyed(docs).mapInArrow(run, "_id long, _th long, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows the classifier rejects, all columns as they are.
 
-    Rows that share a doc_id are kept if any of them is accepted; a null doc_id likewise.
+    Every row is judged by its own text, also where a doc_id is null or repeated.
     """
-    kept = classify(docs, labels, threshold).filter("predicted = 1").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    kept = (_scored(docs, labels).filter(F.col("score") >= threshold)
+            .select(F.col("_id").alias("_keep"), F.col("_th").alias("_keep_th")).distinct())
+    row_id, text_hash = row_key()
+    return docs.join(kept, (row_id == F.col("_keep")) & (text_hash == F.col("_keep_th")), "left_semi")

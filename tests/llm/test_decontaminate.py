@@ -96,3 +96,9 @@ def test_on_the_given_table(spark, sf):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     rows = lambda df, k: [(r[k], r["text"]) for r in df.collect()]
     assert found(D.contaminated(docs, items)) == brute(rows(docs, "doc_id"), rows(items, "item_id"))
+
+
+def test_leaks_take_no_clean_row_of_their_id(spark):
+    leak, items = "Where does the old river end? In the wide sea.", [(1, "Where does the old river end? In the wide sea.")]
+    d, i = frames(spark, [(None, leak), (None, "clean one"), (None, "clean two"), (4, leak), (4, "clean three")], items)
+    assert sorted(r["text"] for r in D.without_leaks(d, i).collect()) == ["clean one", "clean three", "clean two"]

@@ -88,3 +88,13 @@ def test_without_labels_or_rows(spark):
     assert quality.classify(d.limit(0), l).count() == 0
     assert quality.classify(d, l.limit(0)).count() == 40
     assert quality.classify(d, l.filter("quality = 0")).count() == 40
+
+
+def test_rows_without_or_with_one_id_are_judged_one_by_one(spark):
+    docs, labels = tables(spark)
+    rng = random.Random(3)
+    docs += [(d, make(rng), 0.0, "x") for d in (None, 5_000) for make in (good_text, bad_text) for _ in range(5)]
+    d, l = frames(spark, docs, labels)
+    odd = lambda rows: sorted(map(repr, (r["doc_id"] for r in rows if r["doc_id"] in (None, 5_000))))
+    want = odd(r for r in quality.classify(d, l).collect() if r["predicted"])
+    assert odd(quality.keep_good(d, l).collect()) == want and 0 < len(want) < 20
