@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm import (
-    decontaminate, lz_dedup, mixing, quality, simhash, suffix_dedup, tokens, url_filters, vector_topk)
+    decontaminate, lz_dedup, mixing, prefix_trie, quality, simhash, suffix_dedup, tokens, url_filters, vector_topk)
 from pagewright.llm.common import table
 from pagewright.session import scratch_path
 
@@ -123,3 +123,46 @@ def op9_later_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_source_mix")
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+_OP11 = """
+WITH turns AS (
+  SELECT conv_id AS c, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t, turn, role, text
+  FROM conversations WHERE conv_id IS NOT NULL),
+plain AS (
+  SELECT c, list(t ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns FROM turns GROUP BY c),
+summed AS (
+  SELECT c, turns, xor(4294967295, list_reduce(
+      list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+      lambda crc, code: list_reduce(list_prepend(xor(crc, code), range(8)),
+                                    lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 4 AS h
+  FROM plain),
+rebuilt AS (
+  SELECT s.c, list_concat(coalesce(o.turns[1:s.h], []), s.turns[s.h + 1:]) AS turns
+  FROM summed s LEFT JOIN plain o ON o.c = s.c - s.c % 20),
+prefixes AS (
+  SELECT c, turns[1:d] AS node, d, d = len(turns) AS ends
+  FROM (SELECT c, turns, unnest(range(len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT node, d, min(c) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY node, d),
+own AS (
+  SELECT *, (n_convs - 1) * CASE WHEN d = 0 THEN 0 ELSE
+    len(regexp_extract_all(node[d].text, '[^\x20\x09-\x0D]+')) END AS saved FROM nodes),
+children AS (SELECT node[1:d - 1] AS node, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+shape AS (SELECT o.*, coalesce(k.n, 0) AS n_children FROM own o LEFT JOIN children k ON k.node = o.node AND k.d = o.d),
+above AS (
+  SELECT node[1:k] AS node, k AS d, saved, n_children
+  FROM (SELECT node, saved, n_children, unnest(range(d + 1)) AS k FROM shape)),
+totals AS (SELECT node, d, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM above GROUP BY node, d)
+SELECT s.conv_id, CAST(s.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, s.n_convs, s.n_children,
+       CAST(t.n_leaves AS BIGINT) AS n_leaves, CAST(t.saved_tokens AS BIGINT) AS saved_tokens, s.ends_sha256
+FROM shape s JOIN totals t ON t.node = s.node AND t.d = s.d
+LEFT JOIN nodes p ON s.d > 0 AND p.d = s.d - 1 AND p.node = s.node[1:s.d - 1]
+"""
+
+
+@query("op11_prefix_trie", _OP11)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))

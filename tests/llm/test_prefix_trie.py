@@ -1,0 +1,107 @@
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import pytest
+import xxhash
+
+from pagewright.llm import prefix_trie as T
+from tests.llm.brute import WORD
+
+SCHEMA = "conv_id long, turn long, role string, text string, depth int, a string, part string"
+
+
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+def brute(rows):
+    """Rows of the trie, straight from the definition."""
+    convs = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            convs[c].append((turn, role or "", text or ""))
+    tie = lambda r, t: signed(xxhash.xxh64_intdigest(t.encode(), xxhash.xxh64_intdigest(r.encode(), 42)))
+    order = lambda x: (x[0] is not None, x[0] or 0, x[1].encode(), tie(x[1], x[2]))
+    plain = {c: [t[1:] for t in sorted(ts, key=order)] for c, ts in convs.items()}
+    members, ends = defaultdict(list), defaultdict(list)
+    for c in plain:
+        h = zlib.crc32(str(c).encode()) % 4
+        first = c - (c % 20 if c >= 0 else -(-c % 20))
+        whole = tuple(plain.get(first, [])[:h] + plain[c][h:])
+        for d in range(len(whole) + 1):
+            members[whole[:d]].append(c)
+        ends[whole].append(c)
+    children = defaultdict(list)
+    for p in members:
+        if p:
+            children[p[:-1]].append(p)
+    leaves, saved = {}, {}
+    for p in sorted(members, key=len, reverse=True):
+        leaves[p] = sum(leaves[c] for c in children[p]) if children[p] else 1
+        own = (len(members[p]) - 1) * len(WORD.findall(p[-1][1])) if p else 0
+        saved[p] = own + sum(saved[c] for c in children[p])
+    return sorted(repr((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), len(children[p]), leaves[p], saved[p],
+                        hashlib.sha256(",".join(map(str, sorted(ends[p]))).encode()).hexdigest()))
+                  for p, m in members.items())
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, 1, "x", "y") for r in rows], SCHEMA).repartition(3)
+
+
+def found(df):
+    return sorted(repr(tuple(r)) for r in df.collect())
+
+
+def some_rows(seed, n=60):
+    rng = random.Random(seed)
+    text = lambda: rng.choice([None, "", "a b", "a  b c", "ü\x0bb", "long " * rng.randint(1, 30)])
+    rows = [(c, rng.choice([None, *range(6)]), rng.choice([None, "user", "assistant"]), text())
+            for c in rng.choices(range(-30, n), k=250)]
+    rows += [(None, 1, "user", "nobody's"), rows[0], rows[0], (45, None, None, None)]
+    rows += [(c, t, "user", "the same start") for c in range(200, 260) for t in range(c % 3 + 1)]
+    rows += [(400, t, "user", f"deep {t}") for t in range(90)] + [(401, t, "user", f"deep {t}") for t in range(70)]
+    return rows
+
+
+@pytest.mark.parametrize("levels,crowd,queue_rows", [(16, 4096, 1000), (2, 5, 3), (4, 0, 1), (200, 10 ** 9, 2)])
+def test_equals_brute_force(spark, levels, crowd, queue_rows):
+    rows = some_rows(levels)
+    assert found(T.prefix_trie(frame(spark, rows), levels, crowd, queue_rows)) == brute(rows)
+
+
+def test_whole_table(spark, sf):
+    table = spark.read.parquet(f"{sf}/conversations.parquet")
+    rows = [tuple(r) for r in table.select("conv_id", "turn", "role", "text").collect()]
+    assert found(T.prefix_trie(table)) == brute(rows)
+
+
+def test_long_lists_are_hashed_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(T, "PIECE_BYTES", 40)
+    rows = [(c, 0, "user", "one text") for c in range(0, 3000, 20)] + [(c, t, "user", "two") for c in range(7) for t in range(5)]
+    assert found(T.prefix_trie(frame(spark, rows))) == brute(rows)
+
+
+def test_empty_and_turnless(spark):
+    assert T.prefix_trie(frame(spark, [(1, 0, "a", "b")]).limit(0)).count() == 0
+    c = next(c for c in range(1, 99) if zlib.crc32(str(c).encode()) % 4 == 3)
+    rows = [(c, 0, "user", "borrowed away")]
+    assert found(T.prefix_trie(frame(spark, rows))) == brute(rows)
+    assert len(brute(rows)) == 1 and T.prefix_trie(frame(spark, rows)).columns == [
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def test_queue_spills_in_order(tmp_path):
+    rng = random.Random(3)
+    queue, waiting = T.SpillingQueue(str(tmp_path / "q"), "t", 10), []
+    for place in sorted((-rng.randrange(9), rng.randrange(20)) for _ in range(400)):
+        queue.push((*place, 1))
+        waiting.append(place)
+    assert len(queue.paths) > 20
+    for place in sorted(set(waiting)):
+        assert len(list(queue.pop(place))) == waiting.count(place)
+    assert not queue.heap and not queue.heads
+    queue.close()
+    assert not list((tmp_path / "q").iterdir())
