@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm import (
-    decontaminate, lz_dedup, mixing, prefix_trie, quality, simhash, suffix_dedup, tokens, url_filters, vector_topk)
+    decontaminate, hard_negatives, lz_dedup, mixing, prefix_trie, quality, secrets, simhash, suffix_dedup, tokens, url_filters,
+    vector_topk)
 from pagewright.llm.common import table
 from pagewright.session import scratch_path
 
@@ -166,3 +167,36 @@ LEFT JOIN nodes p ON s.d > 0 AND p.d = s.d - 1 AND p.node = s.node[1:s.d - 1]
 @query("op11_prefix_trie", _OP11)
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+_OP12 = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, x.vec_id, a.label = x.label AS same,
+         CAST(coalesce(list_sum(list_transform(list_zip(a.v, x.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  FROM rows a JOIN rows x ON a.vec_id % 50 = 0 AND x.vec_id <> a.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score,
+       score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
+@query("op12_hard_negatives", _OP12)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_secret_scans")
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
