@@ -26,7 +26,7 @@ from pagewright.llm.storage import put, store
 from pagewright.session import cut_lineage, scratch_path
 
 #: Depths of a shard, and members from which on a node's children are shard roots.
-LEVELS, CROWD = 16, 4_096
+LEVELS, CROWD = 16, 512
 #: Messages a queue holds in memory before it spills, and rows it reads back from a run at a time.
 QUEUE_ROWS, RUN_ROWS = 200_000, 8_192
 #: Bytes of the piece of a list of ids that is hashed at a time.
@@ -54,6 +54,7 @@ def _turns(conversations: DataFrame) -> DataFrame:
         F.xxhash64(role, text).alias("h1"), F.xxhash64(F.lit("second"), text, role).alias("h2"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"))
     order = [F.asc_nulls_first("turn"), F.asc("role"), F.asc("h1"), F.asc("h2")]
+    rows = cut_lineage(rows)  # a range sort reads its input twice: texts only once
     parts = cut_lineage(rows.repartitionByRange(F.asc("conv"), *order).withColumn("part", F.spark_partition_id()))
     counts = parts.groupBy("conv", "part").agg(F.count("*").alias("m"))
     whole = W.partitionBy("conv")
