@@ -35,6 +35,13 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column is called so."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def public_id(name: str = "_id") -> Column:
     return F.when(F.col(name) != NULL_ID, F.col(name))
 

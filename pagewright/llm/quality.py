@@ -44,8 +44,10 @@ def features(text: bytes) -> np.ndarray:
     """Fixed-size numbers of a whole text: byte shares, means and extremes of its pieces, length."""
     size = len(text)
     counts = np.bincount(np.frombuffer(text, np.uint8), minlength=256) if size else np.zeros(256)
-    pieces = np.stack([_piece_features(text[i:i + PIECE]) for i in range(0, max(1, size), PIECE)
-                       if i == 0 or size - i >= PIECE // 4])
+    cuts = list(range(0, max(1, size), PIECE))
+    if len(cuts) > 1 and size - cuts[-1] < PIECE // 4:
+        cuts.pop()  # a short end belongs to the piece before it
+    pieces = np.stack([_piece_features(text[i:j]) for i, j in zip(cuts, [*cuts[1:], size])])
     whole = np.array([np.log1p(size) / 10, np.log1p(text.count(b"\n")) / 5], np.float32)
     return np.concatenate([np.sqrt(counts / max(1, size)).astype(np.float32), whole,
                            pieces.mean(0), pieces.max(0), pieces.min(0)])

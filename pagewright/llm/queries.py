@@ -38,7 +38,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_token_files")
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "tokens")
-    manifest = tokens.write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer_path(), end_id=0)
+    manifest = tokens.write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer_path(), end_id=0, special=True)
     return tokens.read_tokens(manifest, folder)
 
 

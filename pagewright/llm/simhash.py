@@ -12,9 +12,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pagewright.llm.common import NULL_ID, components, keyed, public_id, row_key, text_slices
+from pagewright.llm.common import NULL_ID, components, public_id, row_key, text_slices, unused
 from pagewright.session import cut_lineage
 
 SEED, WORDS, MAX_BITS, SEGMENTS = 42, 4, 4, 3
@@ -37,16 +37,21 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(bits)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(_id, _th, fp) for every row of ``docs``."""
+def fingerprints(docs: DataFrame, words: int = WORDS, row: Column | None = None) -> DataFrame:
+    """(_id, _th, _row, fp) for every row of ``docs``; ``row`` is a long carried along as _row (none: null)."""
     def run(batches):
         for batch in batches:
             for first, texts in text_slices(batch, "_text"):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_id").slice(first, len(texts)), batch.column("_th").slice(first, len(texts)),
-                     pa.array([fingerprint(t, words) for t in texts], pa.int64())], ["_id", "_th", "fp"])
+                    [*(batch.column(c).slice(first, len(texts)) for c in ("_id", "_th", "_row")),
+                     pa.array([fingerprint(t, words) for t in texts], pa.int64())], ["_id", "_th", "_row", "fp"])
 
-    return keyed(docs).mapInArrow(run, "_id long, _th long, fp long")
+    row_id, text_hash = row_key()
+    row = F.lit(None) if row is None else row
+    return docs.select(
+        row_id.alias("_id"), text_hash.alias("_th"), row.cast("long").alias("_row"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"),
+    ).mapInArrow(run, "_id long, _th long, _row long, fp long")
 
 
 def _signed(value: int) -> int:
@@ -150,17 +155,19 @@ def keep_one(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, segm
     least hashes of text and row, and of equal rows one. A row whose doc_id is null is
     kept only where no row of its component has an id. Components are judged one by one, also where ids repeat.
     """
-    columns = docs.columns
-    numbered = docs.withColumn("_row", F.xxhash64(*columns))
-    rows = cut_lineage(fingerprints(docs, words))
-    order = F.struct((F.col("_id") == NULL_ID).alias("none"), "_id", "_th")
+    row = F.xxhash64(*docs.columns)
+    rows = cut_lineage(fingerprints(docs, words, row))
+    order = F.struct((F.col("_id") == NULL_ID).alias("none"), "_id", "_th", "_row")
     first = rows.groupBy("fp").agg(F.min(order).alias("first"))
     kept = (first.join(_roots(rows, max_bits, segments), "fp").groupBy("root").agg(F.min("first").alias("first"))
-            .select(F.col("first._id").alias("_keep"), F.col("first._th").alias("_keep_th")))
+            .select("first._id", "first._th", "first._row"))
+    key = ["_id", "_th", "_row"]
+    kept = cut_lineage(kept.join(rows, key).groupBy(*key).agg(F.count("*").alias("copies")))
+    # texts meet the narrow decisions once; the second branch is planned only where rows are equal throughout
+    name = {k: unused(k, docs.columns) for k in key}
     row_id, text_hash = row_key()
-    rest = numbered.join(kept, (row_id == F.col("_keep")) & (text_hash == F.col("_keep_th")))
-    least = (rest.groupBy("_keep", "_keep_th").agg(F.min("_row").alias("_m"))
-             .select(F.col("_keep").alias("_k"), F.col("_keep_th").alias("_t"), "_m"))
-    one = rest.join(least, (F.col("_keep") == F.col("_k")) & (F.col("_keep_th") == F.col("_t"))
-                    & (F.col("_row") == F.col("_m")))
-    return one.select(*columns).dropDuplicates()
+    named = docs.withColumns({name["_id"]: row_id, name["_th"]: text_hash, name["_row"]: row})
+    chosen = kept.select(*[F.col(k).alias(n) for k, n in name.items()], "copies")
+    only = lambda c: named.join(chosen.filter(c).drop("copies"), list(name.values()), "left_semi").select(*docs.columns)
+    one = only("copies = 1")
+    return one if kept.filter("copies > 1").isEmpty() else one.union(only("copies > 1").dropDuplicates())

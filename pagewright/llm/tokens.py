@@ -51,15 +51,17 @@ class Encoder:
 
     Byte-level BPE never joins across "non-space, one space, non-space". A text whose spaces all stand so is the ids of
     its first word and of every further word with the space before it; others are encoded whole.
-    Special-token strings in a text are ordinary text.
+    Special-token strings in a text are ordinary text, or with ``special`` the ids the vocabulary gives them, as the
+    library does by itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}  # word: ids of " word"
         signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
@@ -101,6 +103,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         even = [bool(t) and not ("  " in t or " \n" in t or "\n " in t or t[0] in " \n" or t[-1] in " \n"
                                  or _OTHER_SPACE.search(t)) for t in texts]
+        if self.special:
+            even = [e and not any(s in t for s in self.special) for e, t in zip(even, texts)]
         words = [t.split(" ") for t, e in zip(texts, even) if e]
         seen = set().union(*words)
         new = seen.difference(self.known)
@@ -115,17 +119,18 @@ class Encoder:
                 for e in even]
 
 
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, special: bool = False) -> Encoder:
     """This process's encoder. Worker processes outlive tasks, so what one task learned helps the next."""
     import tokenizers
 
     held = tokenizers.__dict__.setdefault("_pagewright_encoders", {})
-    if path not in held:
-        held[path] = Encoder(path)
-    return held[path]
+    if (path, special) not in held:
+        held[path, special] = Encoder(path, special)
+    return held[path, special]
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, ordered: bool = True) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, ordered: bool = True,
+                 special: bool = False) -> DataFrame:
     """Encode every row of ``docs`` (doc_id, text) into a token folder; returns its manifest.
 
     The manifest has a row per part: part, n_docs, n_tokens, base (ids in earlier parts), dtype.
@@ -134,7 +139,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     are ignored. Rows are dealt by ranges of (doc_id, hash of text, row), so neither a doc_id nor
     a text that fills a third of the rows makes a large part. Parts are written by tasks
     that can be run again; memory is bounded by a slice of rows, or by one document. Without ``ordered``
-    the rows are written as they are read, in no promised order and with no shuffle.
+    the rows are written as they are read, in no promised order and with no shuffle. ``special``: strings of special tokens
+    in a text get their ids; without it they are ordinary text, so no text can hold an end id.
     """
     key = keyed(docs).withColumn("_n", F.monotonically_increasing_id())
     # monotonically_increasing_id differs between equal rows only, whose files are equal in any order
@@ -143,7 +149,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     def write(batches):
         fs, root = store(folder)
         fs.create_dir(root, recursive=True)
-        part, encoder = TaskContext.get().partitionId(), encoder_of(tokenizer)
+        part, encoder = TaskContext.get().partitionId(), encoder_of(tokenizer, special)
         end = np.array([end_id], encoder.dtype).tobytes()
         ids, sizes = [], []
 

@@ -1,3 +1,4 @@
+import pytest
 import random
 import zlib
 
@@ -98,3 +99,13 @@ def test_rows_without_or_with_one_id_are_judged_one_by_one(spark):
     odd = lambda rows: sorted(map(repr, (r["doc_id"] for r in rows if r["doc_id"] in (None, 5_000))))
     want = odd(r for r in quality.classify(d, l).collect() if r["predicted"])
     assert odd(quality.keep_good(d, l).collect()) == want and 0 < len(want) < 20
+
+
+@pytest.mark.parametrize("length", [1_024, 1_030, 2_048, 3_000])
+@pytest.mark.parametrize("tail", [1, 40, 255])
+def test_every_closing_byte_reaches_the_pieces(length, tail):
+    body = b"the quick brown fox jumps over it. " * 200
+    with_tail = quality.features(body[:length] + b"#" * tail)
+    plain = quality.features(body[:length])
+    assert (with_tail[258:] != plain[258:]).any()
+    assert len(with_tail) == len(plain)

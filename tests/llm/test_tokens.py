@@ -91,3 +91,14 @@ def test_counts_of_documents(spark, plain):
     found = tokens.document_numbers(manifest, folder).join(tokens.scan_tokens(spark, folder, 50_256, block_ids=5_000), "doc_no")
     assert sorted((repr(r["doc_id"]), r["n_tokens"]) for r in found.collect()) == sorted(
         (repr(d), len(plain(t)) + 1) for d, t in ROWS)
+
+
+def test_special_strings_as_the_library_gives_them(spark):
+    library = Tokenizer.from_file(PATH)
+    rows = ROWS + [(20, "a <|endoftext|> b"), (21, "<|endoftext|>"), (22, "word<|endoftext|>word " * 50)]
+    folder = scratch_path(spark, "test-special")
+    got = tokens.read_tokens(tokens.write_tokens(frame(spark, rows), folder, PATH, special=True), folder).collect()
+    ids = lambda t: library.encode(t or "", add_special_tokens=False).ids + [0]
+    assert sorted((repr(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in got) == sorted(
+        (repr(d), len(ids(t)), crc(ids(t))) for d, t in rows)
+    assert 50_256 in ids("a <|endoftext|> b")
