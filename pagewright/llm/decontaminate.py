@@ -11,7 +11,9 @@ Items found are then checked for overlap of their question and of their answer w
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections import Counter
 from dataclasses import dataclass
 from itertools import chain, repeat
 
@@ -20,10 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pagewright.llm.common import keyed, public_id, row_key, text_slices
+from pagewright.llm.storage import put, store
+from pagewright.session import cut_lineage, scratch_path
 
 K1, B, THRESHOLD, OVERLAP, NGRAM, MIN_WORDS = 1.2, 0.75, 0.5, 0.5, 3, 5
 #: Items per index block, and about the most items in one index shard (what a task holds and is sent).
 BLOCK_ITEMS, SHARD_ITEMS = 8, 1_000
+#: Bytes of text a task takes through all shards at a time, and words searched at once.
+LOAD_BYTES, SEARCH_WORDS = 4 << 20, 150_000
 #: ASCII characters that are no letter or digit part words.
 _PARTS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -161,53 +167,86 @@ class Shard:
                 yield n, i, score, words
 
 
-def item_index(items: DataFrame, k1: float = K1, b: float = B, min_words: int = MIN_WORDS) -> DataFrame:
-    """(item_id, text, shard, words, term, weight): BM25 weights, scaled to sum 1 per item, statistics over all items.
+def item_index(items: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(item_id, key, text, shard, words, term, weight): BM25 weights, scaled to sum 1 per item, statistics over all items.
 
-    Items of fewer than ``min_words`` words name nothing in particular and are left out, as are null
-    ids and texts; of items with one id the first text in order counts.
+    Every distinct (item_id, text) with a word is an item of its own, named by ``key``; null ids and texts name nothing.
     """
     texts = (items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-             .groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text")))
+             .select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+             .withColumn("key", F.xxhash64("item_id", "text")))
 
     def split(batches):
         for batch in batches:
-            out = {"item_id": [], "text": [], "words": [], "term": [], "tf": []}
-            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+            out = {"item_id": [], "key": [], "text": [], "words": [], "term": [], "tf": []}
+            for item, key, text in zip(*(batch.column(c).to_pylist() for c in ("item_id", "key", "text"))):
                 words = words_of(text)
-                if len(words) < min_words:
-                    continue
-                for term in set(words):
-                    for name, value in zip(out, (item, text, len(words), term, words.count(term))):
+                for term, count in Counter(words).items():
+                    for name, value in zip(out, (item, key, text, len(words), term, count)):
                         out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, pa.schema([
-                ("item_id", pa.int64()), ("text", pa.string()), ("words", pa.int64()),
+                ("item_id", pa.int64()), ("key", pa.int64()), ("text", pa.string()), ("words", pa.int64()),
                 ("term", pa.binary()), ("tf", pa.int64())]))
 
-    terms = texts.mapInArrow(split, "item_id long, text string, words long, term binary, tf long")
+    terms = texts.mapInArrow(split, "item_id long, key long, text string, words long, term binary, tf long")
+    terms = cut_lineage(terms)
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
-    totals = terms.select("item_id", "words").distinct().agg(F.count("*").alias("n"), F.avg("words").alias("mean")).first()
+    totals = terms.select("key", "words").distinct().agg(F.count("*").alias("n"), F.avg("words").alias("mean")).first()
     n, mean = totals["n"], totals["mean"] or 1.0
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     raw = terms.join(df, "term").withColumn(
         "raw", idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("words") / mean)))
-    own = raw.groupBy("item_id").agg(F.sum("raw").alias("own"))
+    own = raw.groupBy("key").agg(F.sum("raw").alias("own"))
     shards = max(1, -(-n // SHARD_ITEMS))
-    return raw.join(own, "item_id").select(
-        "item_id", "text", F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int").alias("shard"), "words", "term",
+    return raw.join(own, "key").select(
+        "item_id", "key", "text", F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "words", "term",
         (F.col("raw") / F.col("own")).alias("weight"))
 
 
+def _write_shards(index: DataFrame, threshold: float) -> tuple[str, list[str], int]:
+    """Every shard's index as a file of the shared folder, built by the task that gets its rows; and the most words of an item."""
+    folder = scratch_path(index.sparkSession, "items")
+
+    def build(table: pa.Table) -> pa.Table:
+        keys, terms, weights = (table[c].to_pylist() for c in ("key", "term", "weight"))
+        texts = dict(zip(keys, table["text"].to_pylist()))
+        shard = Shard.build(list(zip(keys, terms, weights)), texts, threshold)
+        ids = dict(zip(keys, table["item_id"].to_pylist()))
+        parts = [(words_of(t), *question_and_answer(t)) for t in shard.texts]
+        data = pickle.dumps(({f: getattr(shard, f) for f in Shard.__dataclass_fields__}, [ids[int(k)] for k in shard.item_ids], parts))
+        fs, root = store(folder)
+        fs.create_dir(root, recursive=True)
+        name = f"shard-{table['shard'][0].as_py()}"
+        put(fs, f"{root}/{name}", [data])
+        return pa.table({"name": [name], "words": pa.array([max(table["words"].to_pylist())], pa.int64())})
+
+    built = index.groupBy("shard").applyInArrow(build, "name string, words long").collect()  # a file name per shard
+    return folder, sorted(r["name"] for r in built), max((r["words"] for r in built), default=0)
+
+
+def _load_shard(folder: str, name: str):
+    fs, root = store(folder)
+    with fs.open_input_file(f"{root}/{name}") as f:
+        fields, ids, parts = pickle.loads(f.read())
+    return Shard(**fields), ids, parts
+
+
+def _holds(words: list[bytes], passage: list[bytes]) -> bool:
+    n = len(words)
+    return any(passage[i:i + n] == words for i in range(len(passage) - n + 1))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, min_overlap: float = OVERLAP,
                  min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): items whose question and answer a document holds.
 
     Every passage of every document (windows of twice the longest item, half overlapping, so each item lies whole
     in one) is searched against every item; reported is each pair's passage with the best score. ``score`` is the share of the
-    item's own BM25 score. Null, empty and blank texts match nothing; nor does an empty table of items or documents.
+    item's own BM25 score. Every text under an item_id counts; an item of fewer than ``min_words`` words must stand
+    in the passage word for word. Null, empty and blank texts match nothing; nor does an empty table of items or documents.
     Rows that share a doc_id count as one document with several texts; a null doc_id stays null.
-    Other columns of either table are ignored. The index is handled in shards of about ``SHARD_ITEMS`` items, and
-    the documents are read once per shard.
+    Other columns of either table are ignored. The index is built by tasks as files of about ``SHARD_ITEMS`` items, and
+    the documents are read once: a task takes some megabytes of them through one file after another.
     """
     best = _found(docs, items, threshold, min_overlap, min_words).groupBy("_id", "item_id").agg(
         F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("m"))
@@ -217,34 +256,52 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 def _found(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, min_overlap: float = OVERLAP,
            min_words: int = MIN_WORDS) -> DataFrame:
     """The rows ``contaminated`` takes the best of: one per passage with a hit, with the _id and _th of its row."""
-    index = item_index(items, min_words=min_words).persist()
-    widths = index.groupBy("shard").agg(F.max("words").alias("words")).orderBy("shard").collect()  # a row a shard
-    stride = max([64, *(r["words"] for r in widths)])
+    folder, names, longest = _write_shards(item_index(items), threshold)
+    stride = max(64, longest)
     schema = "_id long, _th long, item_id long, score double, question_overlap double, answer_overlap double"
-    found = docs.sparkSession.createDataFrame([], schema)
-    for r in widths:
-        rows = index.filter(F.col("shard") == r["shard"])
-        texts = {x["item_id"]: x["text"] for x in rows.select("item_id", "text").distinct().collect()}
-        shard = Shard.build([tuple(x) for x in rows.select("item_id", "term", "weight").collect()], texts, threshold)
-
-        def run(batches, shard=shard):
-            parts = [question_and_answer(t) for t in shard.texts]
-            for batch in batches:
-                ids, hashes, out = batch.column("_id").to_pylist(), batch.column("_th").to_pylist(), []
-                for first, some in text_slices(batch, "_text", as_bytes=False):
-                    documents = [words_of(t) for t in some]
-                    for n, i, score, words in shard.search(documents, stride, threshold):
-                        q, a = overlap(parts[i][0], words), overlap(parts[i][1], words)
+
+    def run(batches):
+        held = {}  # the shard loaded last
+
+        def search(ids, hashes, texts):
+            documents, out = [words_of(t) for t in texts], []
+            for name in names:
+                if name not in held:
+                    held.clear()
+                    held[name] = _load_shard(folder, name)
+                shard, item_ids, parts = held[name]
+                for first, some in _runs(documents, SEARCH_WORDS):
+                    for n, i, score, words in shard.search(some, stride, threshold):
+                        whole, question, answer = parts[i]
+                        if len(whole) < min_words and not _holds(whole, words):
+                            continue
+                        q, a = overlap(question, words), overlap(answer, words)
                         if q >= min_overlap and a >= min_overlap:
-                            out.append((ids[first + n], hashes[first + n], int(shard.item_ids[i]), float(score), q, a))
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*out), (*[pa.int64()] * 3, *[pa.float64()] * 3))],
-                        ["_id", "_th", "item_id", "score", "question_overlap", "answer_overlap"])
-
-        found = found.union(keyed(docs).mapInArrow(run, schema))
-    index.unpersist()
-    return found
+                            out.append((ids[first + n], hashes[first + n], item_ids[i], float(score), q, a))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out), (*[pa.int64()] * 3, *[pa.float64()] * 3))],
+                ["_id", "_th", "item_id", "score", "question_overlap", "answer_overlap"]) if out else None
+
+        for batch in batches:
+            ids, hashes = batch.column("_id").to_pylist(), batch.column("_th").to_pylist()
+            for first, some in text_slices(batch, "_text", LOAD_BYTES, as_bytes=False):
+                found = search(ids[first:first + len(some)], hashes[first:first + len(some)], some)
+                if found is not None:
+                    yield found
+
+    return keyed(docs).mapInArrow(run, schema)
+
+
+def _runs(documents: list[list[bytes]], limit: int):
+    """(first, documents) for runs of about ``limit`` words."""
+    first, size = 0, 0
+    for i, d in enumerate(documents):
+        if size and size + len(d) > limit:
+            yield first, documents[first:i]
+            first, size = i, 0
+        size += len(d)
+    if documents[first:]:
+        yield first, documents[first:]
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

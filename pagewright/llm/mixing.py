@@ -3,24 +3,30 @@
 A source's texts, in an order hashed from its rows, are a stream cut in blocks of ``block_bytes``.
 With weight w, block j (from 0) is released at slot floor(j / w) and due before slot ceil((j + 1) / w);
 earliest deadline first puts one released block in every slot, which keeps each source within less
-than one block of w * slots at every slot. Weights are whole parts of ``period``, so the schedule
-repeats: one period is worked out (its size is a parameter), and every block's slot follows by division.
+than one block of w * slots at every slot until it runs out. Weights are whole numbers over a common sum (bytes, where the
+shares are kept as found), so windows are exact and no error is carried along.
+
+A schedule is one sequence: one task makes it, a step per block of 256 KB, holding an entry per source. Rows then get
+their slots by a join on source and block.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Collection, Iterable, Iterator, Mapping
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewright.llm.common import NULL_ID
 from pagewright.operators.ordering import running_sum
+from pagewright.session import cut_lineage
 
-#: Slots of one schedule period, the resolution of weights and the most sources there may be.
-PERIOD = 4_096
 #: Bytes of text in a source block, and bands of the order inside a source.
 BLOCK_BYTES, BANDS = 256 << 10, 4_096
+#: Slots in one batch of the schedule.
+BATCH_SLOTS = 10_000
 
 
 def target_weights(sizes: Mapping[str, int], max_share: float = 1.0) -> dict[str, float]:
@@ -44,58 +50,60 @@ def target_weights(sizes: Mapping[str, int], max_share: float = 1.0) -> dict[str
     return {}
 
 
-def quantised(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole slots per period, at least one for a positive weight, ``period`` in all (largest remainders)."""
-    weights = {s: w for s, w in weights.items() if w > 0}
-    if len(weights) > period:
-        raise ValueError(f"more than {period} sources; raise the period")
-    if not weights:
-        return {}
-    total = sum(weights.values())
-    exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    slots = {s: 1 + int(x) for s, x in exact.items()}
-    spare = period - sum(slots.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[:spare]:
-        slots[s] += 1
-    return slots
-
-
-def pfair_period(slots: Mapping[str, int]) -> list[tuple[str, int]]:
-    """[(source, block of the period)] for each slot: earliest deadline first among released blocks."""
-    period = sum(slots.values())
-    release = lambda s, j: j * period // slots[s]
-    deadline = lambda s, j: -(-(j + 1) * period // slots[s])
-    waiting = sorted((0, s, 0) for s in slots)
-    ready: list[tuple[int, str, int]] = []
-    heapq.heapify(waiting)
-    out = []
-    for now in range(period):
-        while waiting and waiting[0][0] <= now:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline(s, j), s, j))
-        _, s, j = heapq.heappop(ready)
-        out.append((s, j))
-        if j + 1 < slots[s]:
-            heapq.heappush(waiting, (release(s, j + 1), s, j + 1))
-    return out
+def whole_weights(weights: Mapping[str, float]) -> dict[str, int]:
+    """The positive weights in whole numbers of the same proportions."""
+    exact = {s: Fraction(w) for s, w in weights.items() if w > 0}
+    scale = 1
+    for w in exact.values():
+        scale = scale * w.denominator // Fraction(scale, w.denominator).numerator if scale % w.denominator else scale
+    return {s: int(w * scale) for s, w in exact.items()}
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, period: int = PERIOD,
-        block_bytes: int = BLOCK_BYTES, max_share: float = 1.0) -> DataFrame:
+def pfair(sources: Iterable[tuple[str, int, int]], total: int = 0, silent: Collection[str] = ()) -> Iterator[tuple[str, int, int, int, int, bool]]:
+    """(source, block, release, deadline, slot, in_mix) of every block, slot by slot: earliest deadline first.
+
+    ``sources``: (source, whole weight, blocks); ``total``: sum of all weights, more than theirs if some have no blocks. A source whose
+    next block is missing has run out: it drops out when that block would have its turn, and ``in_mix`` is false from that slot on, but for ``silent`` sources.
+    A slot in which no block is released stays empty.
+    """
+    sources = sorted(sources)
+    total = total or sum(w for _, w, _ in sources)
+    waiting = [(0, s, 0, w, n) for s, w, n in sources]  # (release, source, block, weight, blocks)
+    ready: list[tuple[int, str, int, int, int, int]] = []
+    heapq.heapify(waiting)
+    now, mixed = 0, True
+    while waiting or ready:
+        if not ready:
+            now = max(now, waiting[0][0])
+        while waiting and waiting[0][0] <= now:
+            release, s, j, w, n = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * total // w), s, j, w, n, release))
+        deadline, s, j, w, n, release = heapq.heappop(ready)
+        if j >= n:
+            mixed = mixed and s in silent
+            continue
+        yield s, j, release, deadline, now, mixed
+        heapq.heappush(waiting, ((j + 1) * total // w, s, j + 1, w, n))
+        now += 1
+
+
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES,
+        max_share: float = 1.0) -> DataFrame:
     """Every row of ``docs`` with its place in the mix: doc_id, source, block, release, deadline, slot, in_mix.
 
     A document belongs to the block its first byte falls in; one longer than a block fills several.
-    A source that has run out drops out: its later slots stay empty and the others go on in their
-    proportions to their ends, so every row has a slot and is in the mix, however small a source is.
-    ``weights`` None: ``target_weights`` of the bytes found, which are the shares as found; a ``max_share``
-    below 1 slows larger sources down, and what they have beyond it comes last. Only given ``weights`` leave rows out: a
+    A source that has run out drops out and the others go on by their weights to their ends, so every row has a slot and is in
+    the mix, however small a source is.
+    ``weights`` None: the bytes found, so the target is the shares as found; a ``max_share``
+    below 1 slows larger sources down (see ``target_weights``), and what they have beyond it comes last. Only given ``weights``
+    leave rows out: a
     source without weight has null slots, and ``in_mix`` is false from the first slot for which a source
     that has bytes has no block left, so that up to there each has the weight asked for to within one block.
     Null is a source of its own. Null and empty
-    texts take no bytes. Rows with equal (doc_id, text) stand side by side in any order; a null doc_id
-    stays null; other columns are ignored. An empty table gives an empty result.
+    texts take no bytes; a source of such texts only is mixed like one of a single byte. Rows with equal (doc_id, text) stand side by side in any order; a null doc_id
+    stays null; other columns are ignored. An empty table gives an empty result. There may be any number of sources.
     """
-    return _placed(docs, weights, period, block_bytes, max_share).drop("_s", "_h", "_until")
+    return _placed(docs, weights, block_bytes, max_share).drop("_s", "_h", "_until")
 
 
 def _row_hash() -> Column:
@@ -109,8 +117,40 @@ def _source_key() -> Column:
     return F.when(source.isNull(), "").otherwise(F.concat(F.lit("="), source))
 
 
-def _placed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, period: int = PERIOD,
-            block_bytes: int = BLOCK_BYTES, max_share: float = 1.0) -> DataFrame:
+def _schedule(sources: DataFrame, weights: Mapping[str, float] | None, max_share: float) -> DataFrame:
+    """(_s, block, release, deadline, slot, in_mix) of every block of ``sources`` (_s, bytes, blocks)."""
+    names = ["_s", "block", "release", "deadline", "slot", "in_mix"]
+    kinds = [pa.string(), *[pa.int64()] * 4, pa.bool_()]
+
+    def run(batches):
+        sizes = {s: (n, blocks) for batch in batches for s, n, blocks in
+                 zip(*(batch.column(c).to_pylist() for c in ("_s", "bytes", "blocks")))}
+        if weights is not None:
+            whole = whole_weights(weights)
+        elif max_share < 1:
+            shares = target_weights({s: n for s, (n, _) in sizes.items()}, max_share)
+            least = min(shares.values(), default=1.0)
+            whole = {s: max(1, round(shares.get(s, least * 2 ** -12) * 2 ** 50)) for s in sizes}
+        else:
+            whole = {s: max(1, n) for s, (n, _) in sizes.items()}
+        found = []
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names)
+        silent = {s for s, (n, _) in sizes.items() if not n}
+        some = [(s, w, sizes[s][1]) for s, w in whole.items() if s in sizes]
+        for s, j, release, deadline, slot, mixed in pfair(some, sum(whole.values()), silent):
+            found.append((s, j, release, deadline, slot, mixed or weights is None))
+            if len(found) == BATCH_SLOTS:
+                yield pack()
+                found = []
+        if found:
+            yield pack()
+
+    schema = "_s string, block long, release long, deadline long, slot long, in_mix boolean"
+    return cut_lineage(sources.select("_s", "bytes", "blocks").repartition(1).mapInArrow(run, schema))
+
+
+def _placed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES,
+            max_share: float = 1.0) -> DataFrame:
     """``mix`` with _s, _h and _until: the row's source key, hash, and bytes of its source up to its end."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
@@ -118,36 +158,16 @@ def _placed(docs: DataFrame, weights: Mapping[str | None, float] | None = None,
         F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("_bytes"),
         _row_hash().alias("_h"))
     rows = rows.withColumn("_band", F.pmod(F.shiftright("_h", 40), F.lit(BANDS)))
-    sizes = {r["_s"]: r["n"] for r in  # one row per source
-             rows.groupBy("_s").agg(F.sum("_bytes").alias("n")).orderBy("_s").limit(period + 1).collect()}
-    name = lambda s: "" if s is None else f"={s}"
-    shares = target_weights(sizes, max_share) if weights is None else {
-        name(s): w for s, w in weights.items() if w > 0}
-    if weights is None:
-        shares |= {s: min([x for x in shares.values()], default=1.0) / period for s in sizes if s not in shares}
-    slots = quantised(shares, period)
-    spark = docs.sparkSession
-    place = {block: at for at, block in enumerate(pfair_period(slots))}
-    pattern = spark.createDataFrame([(s, j, at) for (s, j), at in place.items()], "_s string, _j int, _at int")
-    each = spark.createDataFrame([(s, n) for s, n in slots.items()], "_s string, _per int")
-
+    rows = cut_lineage(rows)  # narrow: the running sum reads it twice
     summed = running_sum(rows, ["_s"], ["_band"], ["_h", "doc_id"], "_bytes", "_until")
-    blocks = (summed.join(F.broadcast(each), "_s", "left")  # at most ``period`` rows
-              .withColumn("block", F.expr(f"(_until - _bytes) div {block_bytes}"))
-              .withColumn("_j", (F.col("block") % F.col("_per")).cast("int")))
-    placed = blocks.join(F.broadcast(pattern), ["_s", "_j"], "left")
-    mixed = F.col("slot").isNotNull()
-    used_up = [(-(-sizes[s] // block_bytes), s) for s in slots if sizes.get(s)]
-    if weights is not None and used_up:
-        mixed &= F.col("slot") < min(n // slots[s] * period + place[s, n % slots[s]] for n, s in used_up)
-    return placed.select(
-        "doc_id", "source", "block",
-        F.expr(f"block * {period} div _per").alias("release"),
-        (F.expr("block div _per") * period + F.col("_at")).alias("slot"), "_per", "_s", "_h", "_until",
-    ).select(
-        "doc_id", "source", "block", "release",
-        F.expr(f"((block + 1) * {period} + _per - 1) div _per").alias("deadline"), "slot",
-        mixed.alias("in_mix"), "_s", "_h", "_until")
+    summed = cut_lineage(summed.withColumn("block", F.expr(f"(_until - _bytes) div {block_bytes}")))
+    sources = summed.groupBy("_s").agg(F.max("_until").alias("bytes"), F.greatest(
+        F.max("block") + 1, F.ceil(F.max("_until") / block_bytes)).alias("blocks"))
+    name = lambda s: "" if s is None else f"={s}"
+    asked = None if weights is None else {name(s): w for s, w in weights.items()}
+    placed = summed.join(_schedule(sources, asked, max_share), ["_s", "block"], "left")
+    return placed.select("doc_id", "source", "block", "release", "deadline", "slot",
+                         F.coalesce("in_mix", F.lit(False)).alias("in_mix"), "_s", "_h", "_until")
 
 
 def in_mix(docs: DataFrame, **options) -> DataFrame:

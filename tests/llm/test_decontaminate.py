@@ -7,33 +7,31 @@ import pytest
 from pagewright.llm import decontaminate as D
 
 
-def brute(docs, items, threshold=0.5, min_overlap=0.5):
-    """BM25 of every passage against every item, without an index."""
-    texts = {}
-    for i, t in items:
-        if i is not None and t is not None and len(D.words_of(t)) >= 5:
-            texts[i] = min(t, texts.get(i, t))
-    words = {i: D.words_of(t) for i, t in texts.items()}
+def brute(docs, items, threshold=0.5, min_overlap=0.5, min_words=5):
+    """BM25 of every passage against every text of every item, without an index."""
+    items = sorted({(i, t) for i, t in items if i is not None and t is not None and D.words_of(t)})
+    words = [D.words_of(t) for _, t in items]
     if not words:
         return []
-    df = Counter(t for w in words.values() for t in set(w))
-    mean = sum(map(len, words.values())) / len(words)
-    weights = {}
-    for i, w in words.items():
-        tf = Counter(w)
+    df = Counter(t for w in words for t in set(w))
+    mean = sum(map(len, words)) / len(words)
+    weights = []
+    for w in words:
         raw = {t: math.log(1 + (len(words) - df[t] + 0.5) / (df[t] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(w) / mean))
-               for t, n in tf.items()}
-        weights[i] = {t: x / sum(raw.values()) for t, x in raw.items()}
-    stride = max(64, *map(len, words.values()))
+               for t, n in Counter(w).items()}
+        weights.append({t: x / sum(raw.values()) for t, x in raw.items()})
+    stride = max(64, *map(len, words))
     best = {}
     for d, t in docs:
         w = D.words_of(t or "")
         for j in range(max(1, -(-len(w) // stride) - 1)):
             passage = w[j * stride:(j + 2) * stride]
             own = set(passage)
-            for i in words:
-                score = sum(x for t, x in weights[i].items() if t in own)
-                q, a = (D.overlap(p, passage) for p in D.question_and_answer(texts[i]))
+            for (i, text), own_words, weight in zip(items, words, weights):
+                score = sum(x for t, x in weight.items() if t in own)
+                if len(own_words) < min_words and b" %s " % b" ".join(own_words) not in b" %s " % b" ".join(passage):
+                    continue
+                q, a = (D.overlap(p, passage) for p in D.question_and_answer(text))
                 if score >= threshold - 1e-9 and q >= min_overlap and a >= min_overlap:
                     best[d, i] = max(best.get((d, i), (0,)), (score, q, a))
     return sorted((repr(k), tuple(round(x, 6) for x in v)) for k, v in best.items())
@@ -68,8 +66,11 @@ def test_equals_brute_force(spark, monkeypatch, seed, shard):
             parts.insert(rng.randint(0, 1), " ".join(x if rng.random() < keep else "zzz" for x in w))
         docs.append((d, ". ".join(parts)))
     docs += [(90, None), (91, ""), (92, " \n"), (5, items[2][1]), (None, items[4][1]), (93, (sentence(5_000) + " " + items[6][1] + " ") * 3)]
+    docs += [(94, "this text is too short to tell"), (95, "short too this"), (96, "seen before: Other text of one id, seen before it!")]
     got = found(D.contaminated(*frames(spark, docs, items)))
     assert got == brute(docs, items) and len(got) > 15
+    pairs = [k for k, _ in got]
+    assert "(94, 52)" in pairs and "(95, 52)" not in pairs and "(96, 3)" in pairs
 
 
 def test_empty_tables_and_stage(spark):
