@@ -81,7 +81,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         batch = engine.process_batch(args.input)
         folder = args.output_dir or f"{args.input.rstrip('/')}/ocr_output"
         for fmt in args.format or ["txt", "json"]:
-            write = engine.export_documents if args.per_document else engine.export
+            write = engine.export_files if args.per_document else engine.export
             write(batch, f"{folder}/{fmt}", fmt)
         if args.overlay:
             sinks.write_overlay(batch.results, batch.regions, f"{folder}/overlay")

@@ -185,12 +185,22 @@ class Engine:
 
         Two documents that would share a name are an error.
         """
+        sinks.export_documents(batch.results, batch.regions, self._names(batch, fmt), path, fmt)
+        return path
+
+    def export_files(self, batch: Batch, path: str, fmt: str) -> str:
+        """Exactly one file ``path``/stem.fmt per accepted document, for txt, json and csv; all or none appear.
+
+        Two documents that would share a name are an error.
+        """
+        names = self._names(batch, fmt).join(batch.files.filter(F.col("status") == "ok").select("doc_id"), "doc_id")
+        return sinks.export_files(batch.results, batch.regions, names, path, fmt)
+
+    def _names(self, batch: Batch, fmt: str) -> DataFrame:
         clash = self.output_collisions(batch, fmt).first()
         if clash is not None:
             raise ExportError(f"{clash.files} files would be written as {clash.output}")
-        names = batch.files.select("doc_id", X.output_name("path", F.lit(fmt)).alias("output"))
-        sinks.export_documents(batch.results, batch.regions, names, path, fmt)
-        return path
+        return batch.files.select("doc_id", X.output_name("path", F.lit(fmt)).alias("output"))
 
     def export(self, batch: Batch, path: str, fmt: str | None = None) -> str:
         """Write a batch; the format comes from the extension, ``txt`` if that is unknown."""

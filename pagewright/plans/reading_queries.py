@@ -10,6 +10,7 @@ from pagewright.plans.fixtures import with_views
 from pagewright.plans.registry import query
 from pagewright.session import scratch_path
 from pagewright.sources import sinks
+from pagewright.sources.document_files import write_document_files
 
 r9 = lambda c: F.round(c, 9)
 
@@ -134,30 +135,30 @@ _PAGE_JSON = T.StructType([
 
 
 def _flat_regions(pages, **extra):
-    """Parsed page objects, one row per region. The page text itself is not repeated per region."""
+    """Parsed page objects, one row per region, every field; page texts and corners as digest and list."""
     named = [c.alias(n) for n, c in extra.items()]
-    page = pages.select("doc_id", *named, "p.page_number", F.length("p.full_text").alias("n_chars"),
-                        "p.num_regions", F.col("p.text_regions").alias("regions"))
-    head = ["doc_id", *extra, "page_number", "n_chars", "num_regions"]
+    page = pages.select("doc_id", *named, "p.page_number", F.md5("p.full_text").alias("text_md5"),
+                        r9("p.confidence").alias("page_confidence"), "p.num_regions", F.col("p.text_regions").alias("regions"))
+    head = ["doc_id", *extra, "page_number", "text_md5", "page_confidence", "num_regions"]
+    corners = F.array_join(F.flatten("r.points").cast("array<long>").cast("array<string>"), ",")
     return page.select(*head, F.posexplode_outer("regions").alias("place", "r")).select(
-        *head, F.col("place").cast("bigint").alias("place"), "r.text", "r.confidence",
-        "r.bounding_box.x", "r.bounding_box.width", F.get(F.get("r.points", F.lit(2)), F.lit(1)).alias("bottom"))
+        *head, F.col("place").cast("bigint").alias("place"), "r.text", "r.confidence", "r.bounding_box.*",
+        corners.alias("corners"))
 
 
 _FLAT = """
-  SELECT p.doc_id, p.page_number, p.n_chars, p.num_regions,
+  SELECT p.doc_id, p.page_number, p.text_md5, p.page_confidence, p.num_regions,
          row_number() OVER (PARTITION BY p.doc_id, p.page_number ORDER BY k.region_ord) - 1 AS place,
-         k.text, k.confidence, k.x, k.w AS width, k.y, k.h
-  FROM (SELECT doc_id, page_number, CAST(length(full_text) AS INTEGER) AS n_chars, num_regions
+         k.text, k.confidence, k.x, k.y, k.w AS width, k.h AS height,
+         CASE WHEN k.x IS NOT NULL THEN concat_ws(',', x, y, x + w, y, x + w, y + h, x, y + h) END AS corners
+  FROM (SELECT doc_id, page_number, md5(full_text) AS text_md5, round(confidence, 9) AS page_confidence, num_regions
         FROM page_results_fx) p LEFT JOIN kept_fx k USING (doc_id, page_number)"""
 _FLAT = f"SELECT * EXCLUDE (place), CASE WHEN text IS NOT NULL THEN place END AS place FROM ({_FLAT})"
 
 _TOTALS = "(SELECT doc_id, count(*) AS total_pages FROM page_base_fx GROUP BY 1) USING (doc_id)"
 
 
-@query("f2_export_json", with_views(f"""
-  SELECT * EXCLUDE (y, h), CAST(y + h AS DOUBLE) AS bottom FROM ({_FLAT}) JOIN {_TOTALS}""",
-    "page_results_fx"))
+@query("f2_export_json", with_views(f"SELECT * FROM ({_FLAT}) JOIN {_TOTALS}", "page_results_fx"))
 def _(spark, sf):
     doc = T.StructType([T.StructField("total_pages", T.LongType()),
                         T.StructField("pages", T.ArrayType(_PAGE_JSON))])
@@ -167,8 +168,7 @@ def _(spark, sf):
     return _flat_regions(pages, total_pages=F.col("total_pages"))
 
 
-@query("f2_json_pages", with_views(f"""
-  SELECT * EXCLUDE (y, h), CAST(y + h AS DOUBLE) AS bottom FROM ({_FLAT})""", "page_results_fx"))
+@query("f2_json_pages", with_views(f"SELECT * FROM ({_FLAT})", "page_results_fx"))
 def _(spark, sf):
     pages = X.json_pages(results(spark, sf), kept(spark, sf))
     return _flat_regions(pages.select("doc_id", F.from_json("page_json", _PAGE_JSON).alias("p")))
@@ -271,23 +271,30 @@ def _(spark, sf):
     return fanned.select("file_id", "format", X.output_name("path", F.col("format")).alias("output"))
 
 
-@query("f11_api_response", with_views(f"""
-  SELECT * EXCLUDE (y, h), CAST(NULL AS DOUBLE) AS bottom, 'job-' || doc_id AS job_id, 'completed' AS status,
+_API_SQL = f"""
+  SELECT * EXCLUDE (corners), CAST(NULL AS VARCHAR) AS corners, 'job-' || doc_id AS job_id, 'completed' AS status,
          '/download/job-' || doc_id || '/job-' || doc_id || '.txt' AS download_url
-  FROM ({_FLAT}) JOIN {_TOTALS}""",
-    "page_results_fx"))
-def _(spark, sf):
-    jobs = fx.table(spark, sf, "documents").select(
+  FROM ({_FLAT}) JOIN {_TOTALS}"""
+_ANSWER = T.StructType([T.StructField("job_id", T.StringType()), T.StructField("status", T.StringType()),
+                        T.StructField("total_pages", T.LongType()),
+                        T.StructField("pages", T.ArrayType(_PAGE_JSON)),
+                        T.StructField("download_url", T.StringType())])
+
+
+def _jobs(spark, sf):
+    return fx.table(spark, sf, "documents").select(
         "doc_id", F.concat(F.lit("job-"), F.col("doc_id").cast("string")).alias("job_id"))
-    answer = T.StructType([T.StructField("job_id", T.StringType()), T.StructField("status", T.StringType()),
-                           T.StructField("total_pages", T.LongType()),
-                           T.StructField("pages", T.ArrayType(_PAGE_JSON)),
-                           T.StructField("download_url", T.StringType())])
-    parsed = X.api_response(results(spark, sf), kept(spark, sf), jobs, "txt").select(
-        "doc_id", F.from_json("response", answer).alias("a"))
+
+
+def _flat_answers(parsed):
     pages = parsed.select("doc_id", "a", F.explode("a.pages").alias("p"))
-    named = {n: F.col(f"a.{n}") for n in ("job_id", "status", "total_pages", "download_url")}
-    return _flat_regions(pages, **named)
+    return _flat_regions(pages, **{n: F.col(f"a.{n}") for n in ("job_id", "status", "total_pages", "download_url")})
+
+
+@query("f11_api_response", with_views(_API_SQL, "page_results_fx"))
+def _(spark, sf):
+    return _flat_answers(X.api_response(results(spark, sf), kept(spark, sf), _jobs(spark, sf), "txt").select(
+        "doc_id", F.from_json("response", _ANSWER).alias("a")))
 
 
 @query("f12_export", with_views(f"""
@@ -300,3 +307,64 @@ def _(spark, sf):
     path = sinks.export(results(spark, sf), kept(spark, sf), scratch_path(spark, "export"), "txt")
     return spark.read.option("lineSep", "\n").text(path).groupBy(F.col("value").alias("line")).agg(
         F.count("*").alias("n"))
+
+
+@query("f12_document_files", with_views(f"""
+  SELECT 'doc' || doc_id || '.txt' AS file, string_agg(content, '' ORDER BY page_number) AS content
+  FROM ({_TXT}) GROUP BY doc_id""", "page_results_fx"))
+def _(spark, sf):
+    """One real file per document, written with commit and abort and read back whole."""
+    pages = results(spark, sf)
+    names = pages.select("doc_id").distinct().select("doc_id", F.format_string("doc%d.txt", "doc_id").alias("output"))
+    path = sinks.export_files(pages, kept(spark, sf), names, scratch_path(spark, "files"), "txt")
+    files = _whole_files(spark, path)
+    return files.select("file", F.col("value").alias("content"))
+
+
+def _whole_files(spark, path):
+    """(file, value) of every document file of a folder."""
+    return spark.read.option("pathGlobFilter", "doc*").text(path, wholetext=True).select(
+        F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
+
+
+_DOC_JSON = T.StructType([T.StructField("total_pages", T.LongType()), T.StructField("pages", T.ArrayType(_PAGE_JSON))])
+_doc_id = lambda: F.regexp_extract("file", r"^doc(\d+)\.", 1).cast("long").alias("doc_id")
+
+
+@query("f2_json_files", with_views(f"SELECT * FROM ({_FLAT}) JOIN {_TOTALS}", "page_results_fx"))
+def _(spark, sf):
+    """Every document's JSON file, written from ordered fragments, read back and parsed."""
+    pages = results(spark, sf)
+    names = pages.select("doc_id").distinct().select("doc_id", F.format_string("doc%d.json", "doc_id").alias("output"))
+    path = sinks.export_files(pages, kept(spark, sf), names, scratch_path(spark, "files"), "json")
+    parsed = _whole_files(spark, path).select(_doc_id(), F.from_json("value", _DOC_JSON).alias("d"))
+    return _flat_regions(parsed.select("doc_id", "d.total_pages", F.explode("d.pages").alias("p")),
+                         total_pages=F.col("total_pages"))
+
+
+@query("f11_api_files", with_views(_API_SQL, "page_results_fx"))
+def _(spark, sf):
+    """Every answer's body, written from ordered fragments, read back and parsed."""
+    pages, jobs = results(spark, sf), _jobs(spark, sf)
+    body = X.api_fragments(pages, kept(spark, sf), jobs, "txt").withColumn(
+        "output", F.format_string("doc%d.json", "doc_id")).withColumnRenamed("text", "value")
+    path = write_document_files(body, scratch_path(spark, "files"), ["page_number", "part", "ord"])
+    parsed = _whole_files(spark, path).select(_doc_id(), F.from_json("value", _ANSWER).alias("a"))
+    return _flat_answers(parsed)
+
+
+@query("f3_csv_files", with_views("""
+  SELECT 'doc' || doc_id || '.csv' AS file, CAST(count(*) + 1 AS BIGINT) AS lines,
+         sum(region_id)::BIGINT AS region_ids, sum(x)::BIGINT AS xs, sum(length(text))::BIGINT AS chars FROM (
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY region_ord) AS region_id, x, text FROM kept_fx)
+  GROUP BY doc_id""", "kept_fx"))
+def _(spark, sf):
+    """Every document's CSV file with its header, read back by a CSV reader."""
+    boxes = kept(spark, sf)
+    names = boxes.select("doc_id").distinct().select("doc_id", F.format_string("doc%d.csv", "doc_id").alias("output"))
+    path = sinks.export_files(results(spark, sf), boxes, names, scratch_path(spark, "files"), "csv")
+    kinds = "Page int, Region_ID long, Text string, Confidence string, X int, Y int, Width int, Height int"
+    rows = spark.read.schema(kinds).csv(path, header=True, multiLine=True, escape="\\", pathGlobFilter="doc*")
+    return rows.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1)).groupBy("file").agg(
+        (F.count("*") + 1).alias("lines"), F.sum("Region_ID").alias("region_ids"), F.sum("X").alias("xs"),
+        F.sum(F.length("Text")).alias("chars"))

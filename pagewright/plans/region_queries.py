@@ -128,17 +128,19 @@ def _(spark, sf):
 
 
 @query("c8_detect_regions", _components_sql("""
-  SELECT p.page_id, round(s.mean_score, 9) AS confidence, round(s.x / 0.5::DOUBLE, 9) AS left_x,
-         round((s.y + s.h) / 0.25::DOUBLE, 9) AS bottom_y
+  SELECT p.page_id, round(s.mean_score, 9) AS confidence,
+         round(s.x / 0.5::DOUBLE, 9) AS x0, round(s.y / 0.25::DOUBLE, 9) AS y0,
+         round((s.x + s.w) / 0.5::DOUBLE, 9) AS x1, round(s.y / 0.25::DOUBLE, 9) AS y1,
+         round((s.x + s.w) / 0.5::DOUBLE, 9) AS x2, round((s.y + s.h) / 0.25::DOUBLE, 9) AS y2,
+         round(s.x / 0.5::DOUBLE, 9) AS x3, round((s.y + s.h) / 0.25::DOUBLE, 9) AS y3
   FROM (SELECT DISTINCT page_id FROM cells_fx) p
   LEFT JOIN (SELECT * FROM stats WHERE area >= 3 AND mean_score >= 0.7) s USING (page_id)"""))
 def _(spark, sf):
     cells = fx.cells_fx(spark, sf)
     pages = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("page_id"))
     regions = C.detect_regions(pages, cells, F.lit(0.5), F.lit(0.25), LOW_TEXT, MIN_AREA)
-    return regions.select(
-        "page_id", r9("confidence").alias("confidence"), r9(F.get("points", F.lit(0))["x"]).alias("left_x"),
-        r9(F.get("points", F.lit(2))["y"]).alias("bottom_y"))
+    corners = [r9(F.get("points", F.lit(i))[c]).alias(f"{c}{i}") for i in range(4) for c in "xy"]
+    return regions.select("page_id", r9("confidence").alias("confidence"), *corners)
 
 
 _CHARS = "'0123456789abcdefghijklmnopqrstuvwxyz'"

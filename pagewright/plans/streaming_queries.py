@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F, types as T
 
 from pagewright.plans import fixtures as fx
 from pagewright.plans.fixtures import with_views
@@ -93,13 +93,19 @@ def _(spark, sf):
 
 
 @query("h6_stream_sessions", with_views("""
-  SELECT * FROM (
-    SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end,
-           count(*) AS events, CAST(sum(pages) AS BIGINT) AS pages
-    FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
-          FROM (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)
-                                 + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS opens FROM usage_fx))
-    GROUP BY user_id, s)
-  WHERE session_end <= (SELECT max(ts) FROM usage_fx) - INTERVAL 1 HOUR""", "usage_fx"))
+  SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end,
+         count(*) AS events, CAST(sum(pages) AS BIGINT) AS pages
+  FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
+        FROM (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)
+                               + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS opens FROM usage_fx))
+  GROUP BY user_id, s""", "usage_fx"))
 def _(spark, sf):
-    return S.run_available(S.stream_sessions(_usage(spark, sf), GAP_SECONDS), "sessions").drop("batch_id")
+    """All sessions: a second run goes on after a heartbeat past the last event, which closes what the first left open."""
+    usage, beats = _usage(spark, sf), scratch_path(spark, "beats")
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in usage.schema])
+    closed = lambda: S.stream_sessions(usage.unionByName(S.heartbeats(spark, beats, schema)), GAP_SECONDS)
+    out, state = S.ready_output(spark, "sessions", closed().schema), scratch_path(spark, "sessions-state")
+    S.run_available(closed(), "sessions", out=out, state=state)
+    last = fx.usage_fx(spark, sf).agg(F.max("ts") + F.expr(f"INTERVAL {GAP_SECONDS + 2 * 3600} SECONDS")).first()[0]
+    S.land_heartbeat(spark, beats, schema, last)
+    return S.run_available(closed(), "sessions", out=out, state=state).drop("batch_id")

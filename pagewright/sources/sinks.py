@@ -14,6 +14,7 @@ from pagewright.config import EXPORT_FORMATS
 from pagewright.functions.errors import ExportError
 from pagewright.operators import export_shapes as X
 from pagewright.operators.reading import PAGE
+from pagewright.sources.document_files import write_document_files
 
 Writer = Callable[[DataFrame, DataFrame, str], None]
 
@@ -45,12 +46,8 @@ def write_txt(results: DataFrame, regions: DataFrame, path: str, per_document: b
     _ordered(rows, *PAGE, "_o").select("value").write.mode("overwrite").text(path)
 
 
-def export_documents(results: DataFrame, regions: DataFrame, names: DataFrame, path: str, fmt: str) -> None:
-    """One folder per document, named by ``names`` (doc_id, output): text, JSON or CSV rows in order.
-
-    Documents are written in pieces, so a huge one is the work of several tasks; its part files in name order are
-    its text.
-    """
+def _document_rows(results: DataFrame, regions: DataFrame, names: DataFrame, fmt: str) -> tuple[DataFrame, list[str]]:
+    """(doc_id, output, value or CSV columns, ...) of every document in pieces, and the order of a document's pieces."""
     if fmt == "txt":
         rows, order = _txt_lines(results), PAGE
     elif fmt == "json":
@@ -61,7 +58,17 @@ def export_documents(results: DataFrame, regions: DataFrame, names: DataFrame, p
             {"page_number": F.col("Page"), "_id": F.col("Region_ID")}), ["doc_id", "page_number", "_id"]
     else:
         raise ExportError(f"no output per document in format: {fmt}")
-    named = _ordered(rows.join(names, "doc_id"), "output", *order)
+    return rows.join(names, "doc_id"), order
+
+
+def export_documents(results: DataFrame, regions: DataFrame, names: DataFrame, path: str, fmt: str) -> None:
+    """One folder per document, named by ``names`` (doc_id, output): text, JSON or CSV rows in order.
+
+    Documents are written in pieces, so a huge one is the work of several tasks; its part files in name order are
+    its text. ``export_files`` writes one file per document instead.
+    """
+    rows, order = _document_rows(results, regions, names, fmt)
+    named = _ordered(rows, "output", *order)
     if fmt == "csv":
         (named.drop("doc_id", "page_number", "_id").write.mode("overwrite").option("header", True)
          .partitionBy("output").csv(path))
@@ -69,6 +76,23 @@ def export_documents(results: DataFrame, regions: DataFrame, names: DataFrame, p
         named.select("output", "value").write.mode("overwrite").partitionBy("output").text(path)
 
 
+def export_files(results: DataFrame, regions: DataFrame, names: DataFrame, path: str, fmt: str) -> str:
+    """Exactly one file per document in the folder ``path``, called as ``names`` (doc_id, output) says; all or none appear.
+
+    Text, JSON and CSV with a header; every named document gets its file, also one without pages or boxes. A document is written by
+    one task as a stream, so its size is bounded by nothing but the file system.
+    """
+    rows, order = _document_rows(results, regions, names, fmt)
+    if fmt == "csv":
+        columns = [c for c in X.export_csv(regions).columns if c != "doc_id"]
+        rows = rows.select("output", *order, F.to_csv(F.struct(*columns)).alias("value"))
+        first = F.lit(",".join(columns))
+    else:
+        rows, first = rows.select("output", *order, "value"), F.lit(None).cast("string")
+    heads = names.select("output", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in order], first.alias("value"))
+    return write_document_files(heads.unionByName(rows), path, [F.asc_nulls_first(c) for c in order])
+
+
 def write_overlay(results: DataFrame, regions: DataFrame, path: str) -> None:
     """Labels and outlines to be drawn over the page images, as ordered rows."""
     _ordered(X.overlay_labels(regions), *PAGE, "region_ord").write.mode("overwrite").parquet(path)

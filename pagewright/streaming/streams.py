@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pagewright.operators import intake, metering
 from pagewright.operators.layout import digest
@@ -30,12 +30,16 @@ def ready_output(spark: SparkSession, name: str, schema) -> str:
     return out
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all input there is and give its output as a table with ``batch_id``."""
+def run_available(stream: DataFrame, name: str, mode: str = "append", out: str | None = None,
+                  state: str | None = None) -> DataFrame:
+    """Run a stream over all input there is and give its output as a table with ``batch_id``.
+
+    With ``out`` and ``state`` of an earlier run it goes on where that run ended.
+    """
     spark = stream.sparkSession
-    out = ready_output(spark, name, stream.schema)
+    out = out or ready_output(spark, name, stream.schema)
     _start(stream, lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch_id={i}"),
-           scratch_path(spark, f"{name}-state"), mode).awaitTermination()
+           state or scratch_path(spark, f"{name}-state"), mode).awaitTermination()
     return spark.read.schema(stream.schema.add("batch_id", "long")).parquet(out)
 
 
@@ -78,11 +82,27 @@ def stream_dedupe(documents: DataFrame, content: str, delay: str, key: str = "do
             .dropDuplicatesWithinWatermark(["digest"]))
 
 
+def heartbeats(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stream of rows that only tell the time, with null in all columns but ``ts``; see ``land_heartbeat``.
+
+    A source that falls silent keeps its last windows open for ever. United with such a stream it needs no event to close them.
+    """
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def land_heartbeat(spark: SparkSession, path: str, schema, ts) -> None:
+    """Tell the streams that read ``path`` that event time has reached ``ts``."""
+    row = tuple(ts if f.name == "ts" else None for f in schema)
+    spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(path)
+
+
 def stream_sessions(usage: DataFrame, gap_seconds: int = 1800, delay: str = "1 hour") -> DataFrame:
-    """Closed bursts of a user's events."""
+    """Closed bursts of a user's events. Rows without a user only move the time (see ``heartbeats``)."""
     return (usage.withWatermark("ts", delay)
             .groupBy("user_id", F.session_window("ts", f"{gap_seconds} seconds").alias("s"))
-            .agg(F.count("*").alias("events"), F.sum("pages").alias("pages"))
+            .agg(F.count("user_id").alias("events"), F.sum("pages").alias("pages"))
+            .filter("events > 0")  # a filter on the user would move below the watermark
             .select("user_id", F.col("s.start").alias("session_start"),
                     F.col("s.end").alias("session_end"), "events", "pages"))
 
@@ -95,8 +115,63 @@ def latest_updates(updates: DataFrame, keys: list[str]) -> DataFrame:
 
 
 JOB_UPDATE = "job_id long, status string, progress double, done long, failed long, error string"
-_JOB_STATE = "total long, completed array<long>, failed array<long>, last_ms long"
-_JOB_PART = "job_id long, total long, completed array<long>, failed array<long>, ts timestamp"
+_ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class JobProgress(StatefulProcessor):
+    """The state of a job: one map entry per file, its counts, and a timer for the time it will have been idle too long.
+
+    A batch reads and writes the entries of the files it holds only, whatever the size of the job.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.files = handle.getMapState("files", "file_id long", "status string")
+        self.job = handle.getValueState("job", "total long, done long, failed long, last_ms long")
+
+    @staticmethod
+    def _outcomes(frame: pd.DataFrame) -> dict[int, str]:
+        """Outcome per file of some rows; completed wins over failed."""
+        told = frame[frame.file_status != "processing"]
+        failed = (told.file_status == "failed").groupby(told.file_id).all()
+        return {int(f): "failed" if bad else "completed" for f, bad in failed.items()}
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        total, done, failed, last_ms = (int(x) for x in self.job.get()) if self.job.exists() else (0, 0, 0, 0)
+        for frame in rows:
+            total = max(total, int(frame.total.max()))
+            last_ms = max(last_ms, int(frame.ts.max().timestamp() * 1000))
+            for file, status in self._outcomes(frame).items():
+                before = self.files.getValue((file,))
+                if before is not None and (before[0] == status or before[0] == "completed"):
+                    continue
+                self.files.updateValue((file,), (status,))
+                done += before is None
+                failed += (status == "failed") - (before is not None)
+        self.job.update((total, done, failed, last_ms))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(last_ms + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._row(key, "completed" if done >= total else "processing", total, done, failed,
+                        f"{failed} file(s) failed" if failed else None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        total, done, failed, _ = (int(x) for x in self.job.get())
+        self.files.clear()
+        self.job.clear()
+        if done < total:
+            yield self._row(key, "failed", total, done, failed, "idle")
+
+    @staticmethod
+    def _row(key, status: str, total: int, done: int, failed: int, error: str | None) -> pd.DataFrame:
+        return pd.DataFrame({"job_id": [key[0]], "status": [status], "progress": [done * 100.0 / total if total else None],
+                             "done": [done], "failed": [failed], "error": [error]})
+
+    def close(self) -> None:
+        pass
 
 
 def stream_jobs(job_files: DataFrame, idle_seconds: int = 3600, delay: str = "10 minutes") -> DataFrame:
@@ -105,48 +180,14 @@ def stream_jobs(job_files: DataFrame, idle_seconds: int = 3600, delay: str = "10
     Input rows are file outcomes (job_id, file_id, total, file_status, ts). Each file counts once, by its last
     outcome; a completed file stays completed. A finished job is remembered, so that repeated or late rows don't
     start it anew, until event time has passed its last file by ``idle_seconds``; a job that is still processing
-    then fails as idle. The state of a job holds the ids of its finished files.
+    then fails as idle. State lives in RocksDB, an entry per file; the session's state store provider is set to it, which
+    keyed state with maps and timers needs.
     """
-    def count_parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Outcomes per job of each Arrow batch, so that a huge job sends few rows to its task."""
-        for frame in frames:
-            rows = []
-            for job, own in frame.groupby("job_id"):
-                ids, failing = own.file_id.astype(int), own.file_status == "failed"
-                completed = sorted(set(ids[~failing & (own.file_status != "processing")]))
-                failed = sorted(set(ids[failing]) - set(completed))
-                rows.append((job, own.total.max(), completed, failed, own.ts.max()))
-            yield pd.DataFrame(rows, columns=["job_id", "total", "completed", "failed", "ts"])
-
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, completed, failed, last_ms = state.get if state.exists else (0, [], [], 0)
-        completed, failed = set(completed), set(failed)
-        done = lambda: len(completed) + len(failed)
-        if state.hasTimedOut:
-            state.remove()
-            if done() >= total:
-                return
-            row = ("failed", "idle")
-        else:
-            for frame in frames:
-                total = max(total, int(frame.total.max()))
-                completed.update(int(f) for files in frame.completed for f in files)
-                failed.update(int(f) for files in frame.failed for f in files)
-                last_ms = max(last_ms, int(frame.ts.max().timestamp() * 1000))
-            failed -= completed
-            row = ("completed" if done() >= total else "processing",
-                   f"{len(failed)} file(s) failed" if failed else None)
-            state.update((total, sorted(completed), sorted(failed), last_ms))
-            due = last_ms + idle_seconds * 1000
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"job_id": [key[0]], "status": [row[0]],
-                            "progress": [done() * 100.0 / total if total else None],
-                            "done": [done()], "failed": [len(failed)], "error": [row[1]]})
-
-    parts = (job_files.select("job_id", "file_id", "total", "file_status", "ts")
-             .mapInPandas(count_parts, _JOB_PART).withWatermark("ts", delay))
-    return parts.groupBy("job_id").applyInPandasWithState(
-        advance, JOB_UPDATE, _JOB_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    job_files.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS_DB)
+    rows = (job_files.select("job_id", F.col("file_id").cast("long").alias("file_id"), F.col("total").cast("long").alias("total"),
+                             "file_status", "ts").withWatermark("ts", delay))
+    return rows.groupBy("job_id").transformWithStateInPandas(
+        JobProgress(idle_seconds * 1000), JOB_UPDATE, "Update", "EventTime")
 
 
 def scan_stream(spark: SparkSession, path: str) -> DataFrame:

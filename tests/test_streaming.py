@@ -99,6 +99,55 @@ def test_a_finished_job_stays_finished_and_files_count_once(spark, tmp_path):
         (0, "processing", 1, 1), (1, "processing", 1, 1), (2, "processing", 1, 0), (3, "failed", 1, 0)]
 
 
+JOB_FILES = "job_id long, file_id long, total long, file_status string, ts timestamp"
+
+
+def run_jobs(spark, path, out, checkpoint, fail_after=None, **options):
+    """One run over what is there; with ``fail_after`` the sink dies once that many batches are written."""
+    def write(df, i):
+        if fail_after is not None and i >= fail_after:
+            raise RuntimeError("the sink died")
+        df.write.mode("overwrite").parquet(f"{out}/batch_id={i}")
+
+    query = (S.stream_jobs(stream_of(spark, path, JOB_FILES, **options), 600, "1 minute").writeStream.outputMode("update")
+             .foreachBatch(write).option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start())
+    try:
+        query.awaitTermination()
+    except Exception as e:
+        assert fail_after is not None and "the sink died" in str(e)
+    return query
+
+
+def test_a_large_job_writes_changed_entries_only(spark, tmp_path):
+    n = 20_000
+    land(spark, tmp_path / "j", [(1, f, n, "failed" if f % 4 == 0 else "completed", at(0)) for f in range(n - 3)], JOB_FILES)
+    run_jobs(spark, tmp_path / "j", tmp_path / "out", tmp_path / "state")
+    # two new files, one tried again with success, some repeated: three entries, the job's counts and its timer change
+    land(spark, tmp_path / "j", [(1, n - 3, n, "completed", at(1)), (1, n - 2, n, "failed", at(1)), (1, 8, n, "completed", at(2)),
+                                 (1, 1, n, "completed", at(2)), (1, 3, n, "failed", at(2)), (1, 4, n, "failed", at(2))], JOB_FILES)
+    query = run_jobs(spark, tmp_path / "j", tmp_path / "out", tmp_path / "state")
+    wrote = [o["numRowsUpdated"] for p in query.recentProgress for o in p["stateOperators"]]
+    held = max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"])
+    assert 0 < sum(wrote) < 20 and held >= n - 1
+    last = max(spark.read.parquet(str(tmp_path / "out")).collect(), key=lambda r: r.batch_id)
+    bad = sum(f % 4 == 0 for f in range(n - 3)) - 1 + 1
+    assert (last.status, last.done, last.failed) == ("processing", n - 1, bad)
+
+
+def test_jobs_survive_a_killed_run(spark, tmp_path):
+    rounds = [[(j, f, 4, ["completed", "failed"][(j + f) % 2], at(2 * r + j / 10)) for j in range(6) for f in range(r, 4, 3)] for r in range(3)]
+    rounds += [[(j, f, 4, "completed", at(8)) for j in range(3) for f in range(4)], rounds[0]]  # tried again; late and repeated
+    for rows in rounds:
+        land(spark, tmp_path / "j", rows, JOB_FILES)
+    run_jobs(spark, tmp_path / "j", tmp_path / "whole", tmp_path / "s1")
+    for stop in (1, 3, None):
+        run_jobs(spark, tmp_path / "j", tmp_path / "parts", tmp_path / "s2", stop)
+    final = lambda p: {r.job_id: r.u for r in spark.read.parquet(str(tmp_path / p)).groupBy("job_id").agg(F.max_by(F.struct(
+        "status", "progress", "done", "failed", "error"), "batch_id").alias("u")).collect()}
+    assert final("whole") == final("parts") and len(final("whole")) == 6
+    assert {j: (u.done, u.failed) for j, u in final("parts").items()} == {j: (4, 0 if j < 3 else 2) for j in range(6)}
+
+
 def test_update_mode_gives_open_windows_too(spark, tmp_path):
     rows = [(i, i % 3, at(i * 100), 2) for i in range(50)]
     land(spark, tmp_path / "o", rows[:30], EVENTS)
