@@ -49,7 +49,10 @@ class Config:
 
     @classmethod
     def from_dict(cls, values: dict[str, Any]) -> "Config":
-        """Absent sections and keys keep their defaults; unknown section keys are errors."""
+        """Absent sections and keys keep their defaults; unknown sections and keys are errors."""
+        unknown = sorted(set(values) - {f.name for f in fields(cls)})
+        if unknown:
+            raise TypeError(f"unknown configuration: {', '.join(unknown)}")
         made = {}
         for f in fields(cls):
             if f.name not in values:

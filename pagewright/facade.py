@@ -22,6 +22,7 @@ from pagewright.operators.decode import Recognizer, apply_recognizer
 from pagewright.session import cut_lineage
 from pagewright.sources import sinks
 from pagewright.sources.files import scan_documents
+from pagewright.sources.guarded import DETECT_ERROR, READ_ERROR
 
 #: Files with (path, length, content) to the same plus page_count, width and height.
 Reader = Callable[[DataFrame], DataFrame]
@@ -50,6 +51,10 @@ class Batch:
     def summary(self) -> DataFrame:
         return reading.document_summary(self.results)
 
+    def outcomes(self) -> DataFrame:
+        """Every file with its document's totals; a failed one has status failed, its error, and null totals."""
+        return reading.with_failures(self.files.drop("status"), self.summary(), ["doc_id"], "document")
+
 
 class Engine:
     def __init__(self, spark: SparkSession, detector: Detector, reader: Reader | None = None,
@@ -95,6 +100,11 @@ class Engine:
             opened = opened.withColumns({c: F.lit(None).cast("string") for c in ("error_class", "error_message")})
         else:
             opened = intake.classify_files(self.reader(passed).drop("content"), **limits)
+            if READ_ERROR in opened.columns:
+                broken = F.col(READ_ERROR).isNotNull()
+                opened = opened.withColumns({
+                    "error_class": F.when(broken, "DocumentLoadException").otherwise(F.col("error_class")),
+                    "error_message": F.coalesce(READ_ERROR, "error_message")}).drop(READ_ERROR)
         return cut_lineage(opened.unionByName(failed, allowMissingColumns=True))
 
     def process_batch(self, source: Source) -> Batch:
@@ -102,7 +112,9 @@ class Engine:
 
         Files are opened once for their facts and once for their boxes. Both are written to
         working tables, so that no later step or export runs the models again. Without a reader a file has the
-        pages its boxes are on, one at least; with one, boxes on pages the file does not have are an error.
+        pages its boxes are on, one at least; with one, boxes on pages the file does not have make the file fail.
+        A file that a guarded reader or detector (``sources.guarded``) fails on keeps its row like a rejected one; the
+        others go on.
         """
         scanned = self.sources(source)
         ok = F.col("error_class").isNull()
@@ -112,18 +124,32 @@ class Engine:
         known = accepted.select("path", "doc_id", *[c for c in accepted.columns if c not in (
             *scanned.columns, "doc_id", "error_class", "error_message", "status")])
         regions = self.detector(scanned.join(known, "path"))
+        told = DETECT_ERROR in regions.columns
         if self.recognizer is not None:
+            if told:
+                regions = cut_lineage(regions)  # the detector runs once for boxes and errors
+                bad = regions.filter(F.col(DETECT_ERROR).isNotNull())
+                regions = regions.filter(F.col(DETECT_ERROR).isNull()).drop(DETECT_ERROR)
             regions = apply_recognizer(regions, self.recognizer, self.config.ocr.batch_size)
+            if told:
+                regions = regions.unionByName(bad, allowMissingColumns=True)
         found = cut_lineage(regions)
-        seen = found.groupBy("doc_id").agg(F.max("page_number").alias("_seen"), F.min("page_number").alias("_least"))
+        error = F.max(DETECT_ERROR) if told else F.lit(None).cast("string")
+        seen = found.groupBy("doc_id").agg(F.max("page_number").alias("_seen"), F.min("page_number").alias("_least"),
+                                           error.alias("_error"))
         counted = accepted.join(seen, "doc_id", "left").withColumn(
             "page_count", F.coalesce("page_count", F.greatest("_seen", F.lit(1)), F.lit(1)).cast("int"))
-        stray = counted.filter((F.col("_seen") > F.col("page_count")) | (F.col("_least") < 1)).select(
-            "path", "page_count", "_seen").first()
-        if stray is not None:
-            raise ValueError(f"{stray.path}: boxes on page {stray._seen} of {stray.page_count}")
-        files = cut_lineage(files.drop("page_count").join(counted.select("path", "page_count"), "path", "left"))
+        stray = F.when((F.col("_seen") > F.col("page_count")) | (F.col("_least") < 1), F.concat(
+            F.lit("boxes on page "), F.when(F.col("_least") < 1, F.col("_least")).otherwise(F.col("_seen")).cast("string"),
+            F.lit(" of "), F.col("page_count").cast("string")))
+        judged = counted.select("path", "page_count", F.coalesce("_error", stray).alias("_problem"))
+        files = files.drop("page_count").join(judged, "path", "left")
+        files = cut_lineage(files.withColumns({
+            "status": F.when(F.col("_problem").isNotNull(), "failed").otherwise(F.col("status")),
+            "error_class": F.when(F.col("_problem").isNotNull(), "DetectionException").otherwise(F.col("error_class")),
+            "error_message": F.coalesce("_problem", "error_message")}).drop("_problem"))
         accepted = files.filter(ok)
+        found = found.drop(DETECT_ERROR).join(accepted.select("doc_id"), "doc_id", "left_semi")
         kept = cut_lineage(reading.gate_recognition(found, self.config.ocr.recognition_threshold))
         number = F.explode(F.sequence(F.lit(1), F.col("page_count"))).alias("page_number")
         results = reading.page_results(accepted.select("doc_id", number), kept)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -100,22 +103,30 @@ def recognize(logits: DataFrame) -> DataFrame:
 Recognizer = Callable[[pd.DataFrame], list[tuple[str, float, list[float]]]]
 
 
+def _loaded(token: str, load: Callable[[], Recognizer]) -> Recognizer:
+    """This process's model: worker processes outlive tasks, so the next task of a job finds what one has loaded."""
+    held = sys.modules.setdefault("_pagewright_models", types.ModuleType("_pagewright_models")).__dict__
+    if held.get("token") != token:
+        held.update(token=token, model=load())  # one model at a time
+    return held["model"]
+
+
 def apply_recognizer(regions: DataFrame, load: Callable[[], Recognizer],
                      batch_size: int = 8) -> DataFrame:
     """Add text, rec_confidence and char_confidences from a user model.
 
-    ``load`` runs once per task and returns a function from a batch of rows to one
-    (text, confidence, char confidences) per row. When a batch fails its rows are tried one
-    by one, and a row that fails alone gives ("", 0.0, []).
+    ``load`` runs once per worker process and returns a function from a batch of rows to one
+    (text, confidence, char confidences) per row. Batches are full whatever the sizes rows arrive in, but for a task's last. When a
+    batch fails its rows are tried one by one, and a row that fails alone gives ("", 0.0, []).
     """
     added = {"text": T.StringType(), "rec_confidence": T.DoubleType(),
              "char_confidences": T.ArrayType(T.DoubleType())}
     kept = [f for f in regions.schema.fields if f.name not in added]
     schema = T.StructType(kept + [T.StructField(n, t) for n, t in added.items()])
-    names = [f.name for f in kept]
+    names, token = [f.name for f in kept], uuid.uuid4().hex
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load()
+        model = _loaded(token, load)
 
         def attempt(batch: pd.DataFrame):
             results = list(model(batch))
@@ -129,18 +140,28 @@ def apply_recognizer(regions: DataFrame, load: Callable[[], Recognizer],
             except Exception:
                 return [("", 0.0, [])]
 
-        for frame in frames:
+        def read(rows: pd.DataFrame) -> pd.DataFrame:
             results = []
-            for start in range(0, len(frame), batch_size):
-                batch = frame.iloc[start:start + batch_size]
+            for start in range(0, len(rows), batch_size):
+                batch = rows.iloc[start:start + batch_size]
                 try:
                     results += attempt(batch)
                 except Exception:
                     for i in range(len(batch)):
                         results += one(batch.iloc[i:i + 1])
-            out = frame[names].copy()
+            out = rows[names].copy()
             for name, values in zip(added, zip(*results) if results else ([], [], [])):
                 out[name] = list(values)
-            yield out
+            return out
+
+        rest = None
+        for frame in frames:
+            rows = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            full = len(rows) // batch_size * batch_size
+            rest = rows.iloc[full:]
+            if full:
+                yield read(rows.iloc[:full])
+        if rest is not None and len(rest):
+            yield read(rest)
 
     return regions.mapInPandas(run, schema)

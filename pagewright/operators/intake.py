@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pagewright.config import IMAGE_EXTENSIONS, PDF_EXTENSIONS, SUPPORTED_EXTENSIONS
 from pagewright.functions.errors import error_taxonomy
 from pagewright.functions.text import base_name, fixed, suffix
+from pagewright.operators.lists import by_list
 
 # The limits here and the message texts of the checks below.
 MEGABYTE = 1048576
@@ -44,6 +45,11 @@ def check_extension(files: DataFrame, enabled: bool = True,
     return files.withColumns({"format_ok": ~bad, "format_message": F.when(bad, message)})
 
 
+def with_extensions(files: DataFrame, allowed: DataFrame, keep: bool = True) -> DataFrame:
+    """Files whose extension (with its dot, lower case) is in a table of extensions, or is not."""
+    return by_list(files, suffix("path"), allowed, keep)
+
+
 def from_bytes(contents: DataFrame, file_type: Column, strict: bool = False) -> DataFrame:
     """Name and type for in-memory ``content``; a missing type is an error.
 

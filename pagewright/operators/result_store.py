@@ -1,13 +1,15 @@
 """Results kept between runs by the digest of the content they were made from.
 
 A store is a folder: ``results`` and ``digests`` by batch, and ``commits`` with a row per finished batch. Whether a
-document's result is known is told where its content is read: digests are tested against a Bloom filter, which is
-broadcast and of bounded size. What the filter can't decide is decided by digests alone. Contents cross an exchange only for the few rows
+document's result is known is told where its content is read: digests are tested against a Bloom filter
+of bounded size. What the filter can't decide is decided by digests alone. Contents cross an exchange only for the few rows
 both filters are wrong about.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagewright.operators.layout import digest
@@ -34,15 +36,15 @@ def bloom_filter(digests: DataFrame, n: int) -> DataFrame:
     return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("_w", "_b"))), lambda x: x["_b"]).alias("_bits"))
 
 
-def _maybe(size_column: str = "_bits") -> Column:
-    """True where the filter may hold ``digest``."""
-    test = lambda i: (f"shiftright({size_column}[cast(pmod(xxhash64(digest, {i}), size({size_column}) * 64L) div 64 as int)],"
-                      f" cast(pmod(xxhash64(digest, {i}), 64L) as int)) & 1 = 1")
-    return F.expr(" AND ".join(f"({test(i)})" for i in range(HASHES)))
-
-
-def _tested(rows: DataFrame, bloom: DataFrame, name: str) -> DataFrame:
-    return rows.join(F.broadcast(bloom)).withColumn(name, _maybe()).drop("_bits")  # one row of bounded size
+def _tested(rows: DataFrame, digests: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``name``: whether a filter of ``digests`` may hold their digest. The filter is a value in the plan, no join."""
+    n = digests.count()
+    bits, size = cut_lineage(bloom_filter(digests, n)).scalar(), F.lit(_bits(max(1, n)))
+    at = lambda i: F.pmod(F.xxhash64("digest", F.lit(i)), size)
+    word = lambda i: F.get(bits, F.shiftright(at(i), 6).cast("int"))
+    held = [F.call_function("shiftright", word(i), (at(i) % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+            for i in range(HASHES)]
+    return rows.withColumn(name, reduce(Column.__and__, held))
 
 
 def split_known(documents: DataFrame, digests: DataFrame, content: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -53,12 +55,10 @@ def split_known(documents: DataFrame, digests: DataFrame, content: str = "text")
     meet the digests by a join.
     """
     known = cut_lineage(digests.filter(F.col("digest").isNotNull()).select("digest").distinct())
-    first = cut_lineage(bloom_filter(known, known.count()))
     named = documents.withColumn("digest", digest(content))
-    held = _tested(named.select("digest"), first, "_held").filter("_held").select("digest").distinct()
+    held = _tested(named.select("digest"), known, "_held").filter("_held").select("digest").distinct()
     wrong = cut_lineage(held.join(known, "digest", "left_anti"))
-    second = cut_lineage(bloom_filter(wrong, wrong.count()))
-    marked = _tested(_tested(named, first, "_held"), second, "_doubt")
+    marked = _tested(_tested(named, known, "_held"), wrong, "_doubt")
     none = F.col("digest").isNull()  # a null content has no result
     doubtful = marked.filter("_held AND _doubt")
     drop = ["_held", "_doubt"]

@@ -44,6 +44,15 @@ def _(spark, sf):
                       F.col("on_message").alias("format_message"), F.col("format_ok").alias("off_ok"))
 
 
+@query("a4_extension_list", with_views(f"SELECT file_id, ext IN {EXTS} AS listed FROM files_fx", "files_fx"))
+def _(spark, sf):
+    """The allow-list as a table: files on it and files off it."""
+    files = fx.files_fx(spark, sf)
+    allowed = files.select(A.suffix("path").alias("ext")).filter(F.col("ext").isin(*A.SUPPORTED_EXTENSIONS))
+    side = lambda keep: A.with_extensions(files, allowed, keep).select("file_id", F.lit(keep).alias("listed"))
+    return side(True).unionByName(side(False))
+
+
 @query("a5_from_bytes", """
   SELECT page_id, CASE WHEN page_id % 5 > 0 THEN 'document.' || t END AS file_name,
          CASE WHEN page_id % 5 > 0 THEN t END AS file_type,

@@ -8,6 +8,7 @@ from pagewright.operators import metering as M
 from pagewright.plans import fixtures as fx
 from pagewright.plans.fixtures import with_views
 from pagewright.plans.registry import query
+from pagewright.session import scratch_path
 
 AS_OF = "2024-01-15"
 CAPPED_AS_OF = "2024-01-27"
@@ -204,6 +205,39 @@ def _(spark, sf):
     return m.withColumns({c: F.round(c, d) for c, d in rounded.items()})
 
 
+@query("g14_sketch_percentiles", """
+  SELECT event_type, n, s.name, true AS within
+  FROM (SELECT event_type, count(*) AS n FROM events
+        WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-20' GROUP BY event_type),
+       (VALUES ('p50'), ('p95'), ('p99')) s(name)""")
+def _(spark, sf):
+    """Percentiles of a range of days from stored daily sketches; their true rank must be within a percent of the one asked for."""
+    events = fx.table(spark, sf, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("latency"))
+    path = scratch_path(spark, "sketches")
+    M.latency_sketches(events, ["event_type"]).write.parquet(path)
+    found = M.sketch_percentiles(spark.read.parquet(path), ["event_type"], M.LATENCY_SHARES, "2024-01-03", "2024-01-20")
+    asked = found.select("event_type", "n", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("name"), F.lit(s).alias("share"), F.col(n).alias("v")) for n, s in M.LATENCY_SHARES.items()])).alias("a"))
+    some = events.filter(F.col("ts").cast("date").between("2024-01-03", "2024-01-20"))
+    ranks = some.join(F.broadcast(asked), "event_type").groupBy("event_type", "n", "a").agg(  # three rows per type
+        F.avg((F.col("latency") < F.col("a.v")).cast("int")).alias("below"), F.avg((F.col("latency") <= F.col("a.v")).cast("int")).alias("upto"))
+    within = (F.col("below") <= F.col("a.share") + 0.01) & (F.col("upto") >= F.col("a.share") - 0.01)
+    return ranks.select("event_type", "n", "a.name", within.alias("within"))
+
+
+@query("g2_purge_stored", """
+  SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events WHERE NOT (CAST(ts AS DATE) < DATE '2024-01-04' OR event_id % 97 = 0)""")
+def _(spark, sf):
+    """Events stored by day, those of the first days and some others purged, twice."""
+    path = scratch_path(spark, "stored")
+    events = fx.table(spark, sf, "events").select("event_id", F.col("ts").cast("date").alias("day"))
+    events.write.partitionBy("day").parquet(path)
+    old = events.filter((F.col("day") < "2024-01-04") | (F.col("event_id") % 97 == 0)).select("event_id")
+    for _ in range(2):
+        M.purge_stored(spark, path, old, "event_id")
+    return spark.read.parquet(path).select("event_id", F.col("day").cast("string").alias("day"))
+
+
 @query("h6_usage_sessions", with_views("""
   SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end,
          count(*) AS events, CAST(sum(pages) AS BIGINT) AS pages

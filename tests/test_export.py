@@ -13,6 +13,7 @@ from pagewright.config import Config
 from pagewright.functions.errors import ExportError
 from pagewright.operators import export_shapes as X
 from pagewright.sources import sinks
+from pagewright.sources.guarded import file_detector, file_reader
 
 RESULT = "doc_id long, page_number int, full_text string, confidence double, num_regions long"
 
@@ -177,13 +178,58 @@ def test_pages_come_from_the_file_or_its_boxes(spark, tmp_path):
         assert batch.files.first().page_count == 2
     assert all("page_number" not in columns and "content" in columns for columns in handed)
     short = lambda files: reader(files).withColumn("page_count", F.lit(1))
+    engine = Engine(spark, detector=word_boxes, reader=short, recognizer=load)
+    assert [(r.error_class, r.error_message) for r in engine.process_batch(str(tmp_path)).failures.collect()] == [
+        ("DetectionException", "boxes on page 2 of 1")]
     with pytest.raises(ValueError, match="boxes on page 2 of 1"):
-        Engine(spark, detector=word_boxes, reader=short, recognizer=load).process_batch(str(tmp_path))
+        engine.process(str(tmp_path))
     none = lambda files: reader(files).withColumn("page_count", F.lit(None).cast("int"))
     failed = Engine(spark, detector=word_boxes, reader=none, recognizer=load).process_batch(str(tmp_path)).failures
     assert failed.first().error_message == "Document has no pages"
 
 
+def test_a_failing_file_ends_no_batch(spark, tmp_path):
+    """Five files: one the reader can't open, one the detector breaks on halfway, one with a stray box, two good ones."""
+    for name, text in {"a.png": "hello world", "b.png": "UNREADABLE", "c.png": "fine then broken", "d.png": "stray", "e.png": "last one"}.items():
+        (tmp_path / name).write_text(text)
+
+    def read(path, content):
+        if content == b"UNREADABLE":
+            raise OSError("can't open it")
+        return 1, 100, 100
+
+    def detect(content, page_count):
+        for n, word in enumerate(content.decode().split()):
+            if word == "broken":
+                raise RuntimeError("model error")
+            yield {"page_number": 2 if word == "stray" else 1, "region_ord": n, "x": 60 * n, "y": 0, "w": 50, "h": 12,
+                   "confidence": 0.75, "word": word}
+
+    guarded = dict(reader=file_reader(read), detector=file_detector(detect, "word string"), recognizer=models(spark)["recognizer"])
+    batch = Engine(spark, **guarded).process_batch(str(tmp_path))
+    name = lambda r: r.doc_id.rsplit("/", 1)[1]
+    assert {name(r): r.full_text for r in batch.results.collect()} == {"a.png": "HELLO WORLD", "e.png": "LAST ONE"}
+    assert {name(r): (r.error_class, r.error_message) for r in batch.failures.collect()} == {
+        "b.png": ("DocumentLoadException", "OSError: can't open it"), "c.png": ("DetectionException", "RuntimeError: model error"),
+        "d.png": ("DetectionException", "boxes on page 2 of 1")}
+    outcomes = {name(r): (r.status, r.total_regions) for r in batch.outcomes().collect()}
+    assert outcomes == {"a.png": ("ok", 2), "b.png": ("failed", None), "c.png": ("failed", None), "d.png": ("failed", None), "e.png": ("ok", 2)}
+    plain = Engine(spark, **{**guarded, "recognizer": None, "detector": file_detector(
+        lambda c, n: [{**b, "text": b.pop("word"), "rec_confidence": 0.9} for b in detect(c, n)], "text string, rec_confidence double")})
+    assert {name(r) for r in plain.process_batch(str(tmp_path)).results.collect()} == {"a.png", "e.png"}
+    out = tmp_path / "out"
+    Engine(spark, **guarded).export_files(batch, str(out), "txt")
+    assert sorted(p.name for p in out.iterdir() if not p.name.startswith(".")) == ["_SUCCESS", "a.txt", "e.txt"]
+    assert (out / "a.txt").read_text() == "HELLO WORLD\n\n"
+
+
+def test_unknown_configuration_is_an_error():
+    assert Config.from_dict({}) == Config()
+    for bad in ({"debug": True}, {"ocr": {"no_such": 1}}):
+        with pytest.raises(TypeError):
+            Config.from_dict(bad)
+
+
 def test_options_reach_their_operators(spark, tmp_path):
     (tmp_path / "t.png").write_text("name: value\nother: thing\na b\nc d")
     (tmp_path / "u.bmp").write_text("x")
@@ -262,7 +308,7 @@ def test_command_line(spark, folder, capsys, monkeypatch):
     assert (folder / "ocr_output" / "json").is_dir()
     assert cli.run(spark, ["batch", str(folder), "--models", where, "--overlay", "--per-document", "-f", "txt"]) == 0
     assert spark.read.parquet(str(folder / "ocr_output" / "overlay")).count() == 5
-    assert (folder / "ocr_output" / "txt" / "output=one.txt").is_dir()
+    assert (folder / "ocr_output" / "txt" / "one.txt").is_file()
     assert cli.run(spark, ["info", str(folder)]) == 0
     capsys.readouterr()
     assert cli.run(spark, ["info", str(folder), "--models", where]) == 0
