@@ -30,6 +30,8 @@ def test_equals_brute_force(spark):
         got = [tuple(r) for r in url_filters.filter_urls(pages, rules).collect()]
         want = [(i, *judge(u, rules)) for i, u, *_ in rows]
         assert sorted(map(repr, got)) == sorted(map(repr, want))
+        table = spark.createDataFrame([(v, h, p, 1) for v, h, p in rules + rules], "verdict string, host string, path string, _rh int")
+        assert sorted(map(repr, (tuple(r) for r in url_filters.filter_urls(pages, table).collect()))) == sorted(map(repr, want))
 
 
 def test_empty_and_plan(spark, sf):
@@ -37,3 +39,21 @@ def test_empty_and_plan(spark, sf):
     assert url_filters.filter_urls(pages.limit(0)).count() == 0
     plan = url_filters.filter_urls(pages)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "html" not in plan
+
+
+def test_very_long_hosts_and_paths(spark):
+    rows = [(1, "http://" + "a." * 20_000 + "example.com/en/" + "x/" * 50_000), (2, "http://" + "." * 9_000), (3, "http://" + "b" * 100_000 + ".net/es/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = [tuple(r) for r in url_filters.filter_urls(pages).collect()]
+    assert sorted(map(repr, got)) == sorted(repr((i, *judge(u, url_filters.RULES))) for i, u in rows)
+    assert {r[0]: r[3] for r in got} == {1: "example.com/en/", 2: None, 3: "net/es/"}
+
+
+def test_a_million_rules_are_not_sent(spark):
+    rules = spark.range(1_000_000).selectExpr("'block' AS verdict", "concat('h', id, '.org') AS host", "if(id % 2 = 0, '/', '/x/') AS path")
+    rows = [(i, f"https://www.h{i * 1001}.org/{'x/' if i % 2 else ''}y") for i in range(50)] + [(90, "https://other.org/"), (91, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    found = url_filters.filter_urls(pages, rules)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Broadcast" in x and "_rd" in x] and "Python" not in plan and plan.count("SortMergeJoin") >= 1
+    assert {r["page_id"]: r["verdict"] for r in found.collect()} == {**{i: "block" for i in range(50)}, 90: "allow", 91: "allow"}
