@@ -193,24 +193,43 @@ def word_blocks(results: DataFrame) -> DataFrame:
     return front.unionByName(body)
 
 
-def pdf_text_layout(results: DataFrame, legacy: bool = False) -> DataFrame:
-    """Text placed on A4 sheets: a title at the top of each page, then lines downward.
-
-    Lines that do not fit go on to a further sheet and are marked ``overflow``; ``legacy``
-    drops them instead.
-    """
-    titles = results.select(
+def _titles(pages: DataFrame) -> DataFrame:
+    return pages.select(
         *PAGE, F.lit(0).alias("sheet"), F.lit(-1).alias("line_no"),
         F.concat(F.lit("Page "), F.col("page_number").cast("string")).alias("text"),
         F.lit(LEFT).alias("x"), F.lit(TITLE_Y).alias("y"), F.lit(TITLE_SIZE).alias("font_size"),
         F.lit(False).alias("overflow"))
-    lines = results.select(*PAGE, F.posexplode(F.split("full_text", "\n")).alias("line_no", "text"))
+
+
+def _placed(lines: DataFrame, legacy: bool) -> DataFrame:
+    """Lines (page, line_no from 0, text) at their place on their sheet."""
     sheet = F.floor(F.col("line_no") / LINES_PER_SHEET).cast("int")
     placed = lines.select(
-        *PAGE, sheet.alias("sheet"), "line_no", "text", F.lit(LEFT).alias("x"),
-        (FIRST_LINE_Y + LINE_STEP * (F.col("line_no") % LINES_PER_SHEET)).alias("y"),
+        *PAGE, sheet.alias("sheet"), F.col("line_no").cast("int").alias("line_no"), "text", F.lit(LEFT).alias("x"),
+        (FIRST_LINE_Y + LINE_STEP * (F.col("line_no") % LINES_PER_SHEET)).cast("int").alias("y"),
         F.lit(LINE_SIZE).alias("font_size"), (sheet > 0).alias("overflow"))
-    return titles.unionByName(placed.filter(~F.col("overflow")) if legacy else placed)
+    return placed.filter(~F.col("overflow")) if legacy else placed
+
+
+def pdf_text_layout(results: DataFrame, legacy: bool = False) -> DataFrame:
+    """Text placed on A4 sheets: a title at the top of each page, then lines downward.
+
+    Lines that do not fit go on to a further sheet and are marked ``overflow``; ``legacy``
+    drops them instead. ``pdf_line_layout`` is the form for pages whose text doesn't fit in one value.
+    """
+    lines = results.select(*PAGE, F.posexplode(F.split("full_text", "\n")).alias("line_no", "text"))
+    return _titles(results).unionByName(_placed(lines, legacy))
+
+
+def pdf_line_layout(pages: DataFrame, lines: DataFrame, legacy: bool = False) -> DataFrame:
+    """``pdf_text_layout`` from lines (page, line_no, line_text) as ``reading.line_texts`` gives them; no page text is made.
+
+    A page of ``pages`` without lines has one empty line.
+    """
+    own = lines.select(*PAGE, "line_no", F.col("line_text").alias("text")).join(pages.select(*PAGE), PAGE, "left_semi")
+    blank = pages.select(*PAGE).join(lines.select(*PAGE), PAGE, "left_anti").select(
+        *PAGE, F.lit(0).cast(lines.schema["line_no"].dataType).alias("line_no"), F.lit("").alias("text"))
+    return _titles(pages).unionByName(_placed(own.unionByName(blank), legacy))
 
 
 def searchable_layer(pages: DataFrame, regions: DataFrame) -> DataFrame:

@@ -212,6 +212,11 @@ def _(spark, sf):
     return X.pdf_text_layout(results(spark, sf))
 
 
+@query("f5_pdf_line_layout", with_views(f"SELECT * FROM ({_LAID})", "page_results_fx"))
+def _(spark, sf):
+    return X.pdf_line_layout(fx.page_base_fx(spark, sf), R.line_texts(kept(spark, sf)))
+
+
 def _sheets(spark, sf):
     d = F.col("doc_id")
     return fx.page_base_fx(spark, sf).select(

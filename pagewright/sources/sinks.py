@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from pagewright.config import EXPORT_FORMATS
 from pagewright.functions.errors import ExportError
 from pagewright.operators import export_shapes as X
-from pagewright.operators.reading import PAGE
+from pagewright.operators.reading import PAGE, line_texts
 from pagewright.sources.document_files import write_document_files
 
 Writer = Callable[[DataFrame, DataFrame, str], None]
@@ -119,7 +119,7 @@ def write_docx(results: DataFrame, regions: DataFrame, path: str) -> None:
 
 def write_pdf(results: DataFrame, regions: DataFrame, path: str) -> None:
     """Placed text lines of the page layout."""
-    rows = _ordered(X.pdf_text_layout(results), "doc_id", "page_number", "sheet", "line_no")
+    rows = _ordered(X.pdf_line_layout(results, line_texts(regions)), "doc_id", "page_number", "sheet", "line_no")
     rows.write.mode("overwrite").parquet(path)
 
 

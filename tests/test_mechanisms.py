@@ -146,3 +146,16 @@ def test_a_model_is_loaded_once_per_worker_and_batches_are_full(spark, tmp_path)
     assert len(loads) == len(set(loads)) < 16  # 16 tasks
     sizes = list(map(int, (tmp_path / "sizes").read_text().split()))
     assert sizes.count(8) >= 16 * 3 and max(sizes) == 8  # 25 rows a task, arriving by fives
+
+
+def test_wide_rows_and_the_rest(spark):
+    pairs = [(1, 1, 0, "Total", "10"), (1, 1, 3, "Total", "later"), (1, 2, 0, "Rare `one`", "x"), (2, 1, 0, "Total", "20"), (2, 1, 1, "Tax", "2"),
+             (3, 1, 0, "Tax", "3"), (3, 1, 1, "rest", "own"), (3, 1, 2, "DOC_ID", "7"), (3, 1, 4, "total", "30")]
+    table = spark.createDataFrame(pairs, "doc_id long, page_number int, line_no int, key string, value string").repartition(3)
+    assert L.wide_keys(table, 2) == ["Tax", "Total"]
+    rows = {r["doc_id"]: r for r in L.wide_key_values(table, most=2).withColumn("rest", F.col("rest").cast("string")).collect()}
+    assert {d: (r["Total"], r["Tax"], r["rest"]) for d, r in rows.items()} == {
+        1: ("10", None, '{"Rare `one`":"x"}'), 2: ("20", "2", None), 3: (None, "3", '{"DOC_ID":"7","rest":"own","total":"30"}')}
+    every = L.wide_key_values(table)
+    assert set(every.columns) == {"doc_id", "Total", "Tax", "Rare `one`", "rest"}
+    assert L.wide_key_values(table.limit(0)).count() == 0
