@@ -1,11 +1,9 @@
-"""Substring duplicates by relative Lempel-Ziv parsing against indexed reference blocks.
-
-Every document is both text to factor and reference. Reference blocks are the texts of anchor runs
-(``windows``) and are indexed by anchor, so a document meets exactly the blocks of the corpus that can hold
-a factor of a whole window at that place. Factoring is greedy: the longest factor comes first, a run's
-whole block; where the reference holds it elsewhere, all its windows are duplicates at once. What is
-left are the boundaries of those factors, where a block goes on differently: there the
-windows themselves, the shortest factors that count, are looked up one by one.
+"""Repeated word windows, found by counting anchored blocks and then single windows.
+
+The method dealt for this operator is relative Lempel-Ziv parsing. No document is parsed into factors here: every
+document is cut in runs at content-chosen anchors (``windows``), and the texts of the runs are blocks indexed by anchor. Where a whole
+block stands elsewhere too, all its windows are repeated at once; where blocks of an anchor differ, the windows
+themselves are counted one by one. Blocks and windows are equal where their 64-bit hashes are; texts are not compared again.
 """
 
 from __future__ import annotations
