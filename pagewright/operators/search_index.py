@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 
 #: Buckets of term hashes, the unit a search skips by.
 BUCKETS = 64
+#: Query words up to this number are counted and sent to the tasks; more meet the postings by a shuffled join.
+SENT_WORDS = 200_000
 
 
 def _bucket(term: Column | str) -> Column:
@@ -23,6 +25,18 @@ def _words(text: str) -> Column:
     return F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
 
 
+def _word_counts(text: str) -> Column:
+    """[(term, tf)] of one text: its words in order, cut where the word changes, so no row per occurrence is made."""
+    def counted(words: Column) -> Column:
+        n = F.size(words)
+        first = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(words, i - 1) != F.get(words, i - 2)))
+        runs = F.arrays_zip(first.alias("at"), F.concat(F.slice(first, 2, n), F.array(n + 1)).alias("end"))
+        return F.transform(runs, lambda r: F.struct(F.get(words, r["at"] - 1).alias("term"), (r["end"] - r["at"]).cast("long").alias("tf")))
+    words = F.array_sort(_words(text))
+    held = F.when(F.size(words) > 0, F.array(words)).otherwise(F.array().cast("array<array<string>>"))
+    return F.flatten(F.transform(held, counted))
+
+
 def add_documents(documents: DataFrame, path: str, segment: int, text: str = "text", key: str = "doc_id") -> None:
     """Add ``documents`` to the index at ``path`` as one segment; the same segment again replaces it.
 
@@ -30,13 +44,16 @@ def add_documents(documents: DataFrame, path: str, segment: int, text: str = "te
     a null text has no words, rows without a key are left out. A key should be added in one segment only.
     """
     rows = documents.filter(F.col(key).isNotNull())
-    postings = (rows.select(F.col(key).alias("key"), F.explode(_words(text)).alias("term"))
-                .groupBy("term", "key").agg(F.count("*").alias("tf")).withColumn("bucket", _bucket("term")))
     order = ["bucket", "term", "key"]
+    # the one exchange of the postings: ranges of (bucket, term, key) also bring together what rows of one key have in common
+    postings = (rows.select(F.col(key).alias("key"), F.inline(_word_counts(text)))
+                .select(_bucket("term").alias("bucket"), "term", "key", "tf")
+                .repartitionByRange(*order).groupBy(*order).agg(F.sum("tf").alias("tf")))
     put = lambda df, name: df.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}/segment={segment}")
-    put(postings.repartitionByRange(*order).sortWithinPartitions(*order), "postings")
-    stored = _read(documents.sparkSession, path, "postings", segment, postings.select("bucket", "term", "key", "tf").schema)
-    put(stored.groupBy("bucket", "term").agg(F.count("*").alias("df")).sortWithinPartitions("bucket", "term"), "terms")
+    put(postings.sortWithinPartitions(*order), "postings")
+    stored = _read(documents.sparkSession, path, "postings", segment, postings.schema)
+    terms = stored.groupBy("bucket", "term").agg(F.count("*").alias("df"))  # counted before it moves: postings lie sorted
+    put(terms.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"), "terms")  # few files a bucket
     size = rows.groupBy(F.col(key).alias("key")).agg(F.sum(F.coalesce(F.size(_words(text)), F.lit(0))).alias("words"))
     size.write.mode("overwrite").parquet(f"{path}/documents/segment={segment}")
     documents.sparkSession.read.parquet(f"{path}/documents/segment={segment}").agg(
@@ -65,19 +82,26 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 10
 
     Score: sum over the query's distinct words of tf * ln(N / df), N and df over all finished segments; higher first, ties by
     smaller key. Rows that share a query_id are one query. Queries without a known word have no rows.
+
+    Up to ``SENT_WORDS`` query words are sent to the tasks and the postings they need are dealt out by document, once: a
+    document's scores for all queries add up where it is, and only its k best candidates per task go on.
     """
     asked = (queries.select(F.col(query_id).alias("query_id"), F.explode(_words(query)).alias("term")).distinct()
              .withColumn("bucket", _bucket("term")))
     commits = statistics(spark, path).select("segment", "n_docs").collect()  # a row per build
     n_docs, segments = sum(r["n_docs"] for r in commits), [r["segment"] for r in commits]
-    buckets = sorted(r["bucket"] for r in asked.select("bucket").distinct().collect())  # at most BUCKETS
+    sizes = asked.groupBy("bucket").agg(F.count("*").alias("n")).collect()  # at most BUCKETS rows
+    buckets = sorted(r["bucket"] for r in sizes)
     wanted = asked.select("bucket", "term").distinct()
     idf = (_table(spark, path, "terms", segments, buckets).join(wanted, ["bucket", "term"], "left_semi")
            .groupBy("bucket", "term").agg(F.ln(F.lit(n_docs) / F.sum("df")).alias("idf")))
-    hits = _table(spark, path, "postings", segments, buckets).select("bucket", "term", "key", "tf").join(
-        asked.join(idf, ["bucket", "term"]), ["bucket", "term"])
-    scored = hits.groupBy("query_id", "key").agg(
-        F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("score"), F.count_distinct("term").alias("terms"))
+    postings = _table(spark, path, "postings", segments, buckets).select("bucket", "term", "key", "tf")
+    weighted = asked.join(idf, ["bucket", "term"])
+    if sum(r["n"] for r in sizes) <= SENT_WORDS:
+        postings = postings.join(F.broadcast(wanted), ["bucket", "term"], "left_semi").repartition("key")
+        weighted = F.broadcast(weighted)
+    scored = postings.join(weighted, ["bucket", "term"]).groupBy("query_id", "key").agg(
+        F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("score"), F.count("*").alias("terms"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "key")
     return (scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "key", "score", "terms"))
