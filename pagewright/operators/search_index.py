@@ -1,9 +1,9 @@
 """An inverted index of documents as stored tables, and many queries searched in it at once.
 
 An index is a folder: ``postings`` (term, key, tf) and ``terms`` (term, df) by segment and by a bucket of the term's
-hash, ``documents`` (key, words) by segment, and ``commits`` with a row per finished segment. Postings are
-range-sorted by (bucket, term, key), so a frequent word lies in many files and a rare one in a few row groups. A search reads
-the buckets its words are in and never a text.
+hash, ``documents`` (key, words) by segment, and ``commits`` with a row per finished segment. A bucket's
+postings are dealt into pieces by key, so a frequent word is the work of many tasks, and sorted by (term, key) in each, so a rare word
+lies in a few row groups. A search reads the buckets its words are in and never a text.
 """
 
 from __future__ import annotations
@@ -44,19 +44,20 @@ def add_documents(documents: DataFrame, path: str, segment: int, text: str = "te
     a null text has no words, rows without a key are left out. A key should be added in one segment only.
     """
     rows = documents.filter(F.col(key).isNotNull())
-    order = ["bucket", "term", "key"]
-    # the one exchange of the postings: ranges of (bucket, term, key) also bring together what rows of one key have in common
+    spark, order = documents.sparkSession, ["bucket", "term", "key"]
+    pieces = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+    # the one exchange of the postings, by (bucket, piece), also brings together what rows of one key have in common
     postings = (rows.select(F.col(key).alias("key"), F.inline(_word_counts(text)))
-                .select(_bucket("term").alias("bucket"), "term", "key", "tf")
-                .repartitionByRange(*order).groupBy(*order).agg(F.sum("tf").alias("tf")))
+                .select(_bucket("term").alias("bucket"), F.pmod(F.xxhash64("key"), F.lit(pieces)).alias("piece"), "term", "key", "tf")
+                .repartition("bucket", "piece").groupBy(*order, "piece").agg(F.sum("tf").alias("tf")).drop("piece"))
     put = lambda df, name: df.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}/segment={segment}")
     put(postings.sortWithinPartitions(*order), "postings")
-    stored = _read(documents.sparkSession, path, "postings", segment, postings.schema)
+    stored = _read(spark, path, "postings", segment, postings.schema)
     terms = stored.groupBy("bucket", "term").agg(F.count("*").alias("df"))  # counted before it moves: postings lie sorted
     put(terms.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"), "terms")  # few files a bucket
     size = rows.groupBy(F.col(key).alias("key")).agg(F.sum(F.coalesce(F.size(_words(text)), F.lit(0))).alias("words"))
     size.write.mode("overwrite").parquet(f"{path}/documents/segment={segment}")
-    documents.sparkSession.read.parquet(f"{path}/documents/segment={segment}").agg(
+    spark.read.parquet(f"{path}/documents/segment={segment}").agg(
         F.count("*").alias("n_docs"), F.coalesce(F.sum("words"), F.lit(0)).cast("long").alias("words"),
     ).coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/segment={segment}")
 
