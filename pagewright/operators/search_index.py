@@ -25,18 +25,6 @@ def _words(text: str) -> Column:
     return F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
 
 
-def _word_counts(text: str) -> Column:
-    """[(term, tf)] of one text: its words in order, cut where the word changes, so no row per occurrence is made."""
-    def counted(words: Column) -> Column:
-        n = F.size(words)
-        first = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(words, i - 1) != F.get(words, i - 2)))
-        runs = F.arrays_zip(first.alias("at"), F.concat(F.slice(first, 2, n), F.array(n + 1)).alias("end"))
-        return F.transform(runs, lambda r: F.struct(F.get(words, r["at"] - 1).alias("term"), (r["end"] - r["at"]).cast("long").alias("tf")))
-    words = F.array_sort(_words(text))
-    held = F.when(F.size(words) > 0, F.array(words)).otherwise(F.array().cast("array<array<string>>"))
-    return F.flatten(F.transform(held, counted))
-
-
 def add_documents(documents: DataFrame, path: str, segment: int, text: str = "text", key: str = "doc_id") -> None:
     """Add ``documents`` to the index at ``path`` as one segment; the same segment again replaces it.
 
@@ -46,10 +34,10 @@ def add_documents(documents: DataFrame, path: str, segment: int, text: str = "te
     rows = documents.filter(F.col(key).isNotNull())
     spark, order = documents.sparkSession, ["bucket", "term", "key"]
     pieces = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
-    # the one exchange of the postings, by (bucket, piece), also brings together what rows of one key have in common
-    postings = (rows.select(F.col(key).alias("key"), F.inline(_word_counts(text)))
-                .select(_bucket("term").alias("bucket"), F.pmod(F.xxhash64("key"), F.lit(pieces)).alias("piece"), "term", "key", "tf")
-                .repartition("bucket", "piece").groupBy(*order, "piece").agg(F.sum("tf").alias("tf")).drop("piece"))
+    # the one exchange of the postings, by (bucket, piece); words are counted after it
+    postings = (rows.select(F.col(key).alias("key"), F.explode(F.split(F.lower(text), r"\s+")).alias("term")).filter("term <> ''")
+                .select(_bucket("term").alias("bucket"), F.pmod(F.xxhash64("key"), F.lit(pieces)).alias("piece"), "term", "key")
+                .repartition("bucket", "piece").groupBy(*order, "piece").agg(F.count("*").alias("tf")).drop("piece"))
     put = lambda df, name: df.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}/segment={segment}")
     put(postings.sortWithinPartitions(*order), "postings")
     stored = _read(spark, path, "postings", segment, postings.schema)
