@@ -2,8 +2,10 @@
 
 import math
 import random
+import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from pagewright.operators import layout as L, search_index as I
@@ -92,3 +94,45 @@ def test_postings_move_once_and_hits_not_at_all(spark, tables):
     dealt = [line for line in lines if "Exchange hashpartitioning(" in line]
     assert sum("hashpartitioning(key" in line for line in dealt) == 1
     assert not any("hashpartitioning(query_id" in line and ", key" in line for line in dealt)
+
+
+@pytest.mark.parametrize("limit", [1, 40, 1 << 20])
+def test_blocks_of_any_slice_hold_every_word(monkeypatch, limit):
+    rng = random.Random(limit)
+    blanks, words = [" ", "  ", "\t", "\n", "\x0b", "\x0c", "\r\n"], ["a", "é", "x\x1cy", " ", "wo", "日本"]
+    texts = ["", " ", "\n\t ", "a", " a ", "a" * 300] + [
+        "".join(rng.choice(words) + rng.choice(blanks) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    monkeypatch.setattr(I, "SLICE_BYTES", limit)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100, 100 + len(texts))), pa.array(texts)], ["key", "text"])
+    got = {}
+    for block in I._blocks([batch.slice(0, 10), batch.slice(10), batch.slice(0, 0)]):
+        for r in block.to_pylist():
+            assert len(r["keys"]) == len(r["tfs"]) == r["docs"] > 0 and r["keys"] == sorted(r["keys"])
+            for key, tf in zip(r["keys"], r["tfs"]):
+                assert (r["term"], key) not in got
+                got[r["term"], key] = tf
+    want = Counter((w, 100 + i) for i, t in enumerate(texts) for w in re.split("[ \t-\r]+", t) if w)
+    assert got == want
+
+
+def test_a_hot_shared_key_is_one_document(spark, tmp_path):
+    documents = [("hot", f"a a w{i % 7}") for i in range(200)] + [("hot", None), ("x", "a b"), ("y", "w1\x0bw1 \n"), (None, "a b"), ("z", None)]
+    I.add_documents(spark.createDataFrame(documents, "name string, body string"), str(tmp_path), 0, "body", "name")
+    queries = [(1, "a"), (2, "w1 b"), (3, "w6")]
+    got = I.search_index(spark, str(tmp_path), spark.createDataFrame(queries, "query_id long, query string")).collect()
+    want = brute([d for d in documents if d[0]], queries)
+    assert sorted((r["query_id"], r["rank"], r["key"], r["terms"]) for r in got) == [(*w[:3], w[4]) for w in want]
+    kept = {r["key"]: (r["words"], r["copies"]) for r in spark.read.parquet(f"{tmp_path}/documents").collect()}
+    assert kept == {"hot": (600, 201), "x": (2, 1), "y": (2, 1), "z": (0, 1)}
+
+
+def test_segments_without_words_or_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(1, " "), (2, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a")], "query_id long, query string")
+    I.add_documents(docs, str(tmp_path), 0)
+    I.add_documents(docs.limit(0), str(tmp_path), 1)
+    assert I.search_index(spark, str(tmp_path), asked).collect() == []
+    assert sorted(map(tuple, I.statistics(spark, str(tmp_path)).collect())) == [(0, 2, 0), (1, 0, 0)]
+    I.add_documents(spark.createDataFrame([(5, "A b"), (6, "b")], docs.schema), str(tmp_path), 2)
+    got = I.search_index(spark, str(tmp_path), asked).collect()
+    assert [(r["key"], r["score"]) for r in got] == [(5, round(math.log(4), 6))]
