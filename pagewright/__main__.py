@@ -1,4 +1,4 @@
-"""Command line: ``ocr`` one file, ``batch`` a folder, ``info`` on a file or folder.
+"""Command line: ``ocr`` one file, ``batch`` a folder, ``watch`` a folder for new files, ``info`` on a file or folder.
 
 ``--models module:function`` names a function that takes the session and returns keyword
 arguments for ``Engine`` (detector, reader, recognizer). Run with ``python -m pagewright``
@@ -37,6 +37,13 @@ def _parser() -> argparse.ArgumentParser:
     batch.add_argument("--models", required=True)
     batch.add_argument("--overlay", action="store_true", help="also write label rows")
     batch.add_argument("--per-document", action="store_true", help="one output per document (txt, json, csv)")
+    watch = commands.add_parser("watch", help="read the files of a folder that are new since the last run")
+    watch.add_argument("input")
+    watch.add_argument("--output-dir", "-o", required=True, help="tables of files, results and regions by micro-batch")
+    watch.add_argument("--state", required=True, help="checkpoint folder of the stream")
+    watch.add_argument("--files-per-batch", type=int)
+    watch.add_argument("--every", help="keep running and look this often, such as '1 minute'")
+    watch.add_argument("--models", required=True)
     info = commands.add_parser("info", help="show file facts; page facts need --models with a reader")
     info.add_argument("input")
     info.add_argument("--models")
@@ -74,6 +81,9 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         print(f"Output: {output}")
         _show_summary(batch)
         return 0
+    if args.command == "watch":
+        engine.watch(args.input, args.output_dir, args.state, args.files_per_batch, args.every).awaitTermination()
+        return 0
     try:
         listed = scan_documents(spark, args.input)
         if listed.select("path").first() is None:

@@ -13,6 +13,7 @@ from functools import reduce
 import posixpath
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from pagewright.config import Config
 from pagewright.functions.errors import ExportError
@@ -23,6 +24,7 @@ from pagewright.session import cut_lineage
 from pagewright.sources import sinks
 from pagewright.sources.files import scan_documents
 from pagewright.sources.guarded import DETECT_ERROR, READ_ERROR
+from pagewright.streaming.streams import scan_stream
 
 #: Files with (path, length, content) to the same plus page_count, width and height.
 Reader = Callable[[DataFrame], DataFrame]
@@ -56,6 +58,10 @@ class Batch:
         return reading.with_failures(self.files.drop("status"), self.summary(), ["doc_id"], "document")
 
 
+#: The tables of a ``Batch`` in the order they are written.
+_BATCH_TABLES = ("regions", "results", "files")
+
+
 class Engine:
     def __init__(self, spark: SparkSession, detector: Detector, reader: Reader | None = None,
                  recognizer: Callable[[], Recognizer] | None = None, config: Config = Config()):
@@ -159,6 +165,31 @@ class Engine:
             results = results.join(accepted.select("doc_id", *sizes), "doc_id")
         return Batch(files, results, kept)
 
+    def watch(self, folder: str, out: str, state: str, files_per_batch: int | None = None,
+              every: str | None = None) -> StreamingQuery:
+        """Process the files of a folder as they come, and write each micro-batch's tables under ``out``; see ``watched``.
+
+        Without ``every`` the stream ends when all there is has been processed; started again with the same ``state`` it goes on with
+        files of new names (``scan_stream``). With ``every`` ("1 minute") it runs until it is stopped. A micro-batch that is
+        tried again replaces what its first attempt left.
+        """
+        def write(files: DataFrame, batch_id: int) -> None:
+            batch = self.process_batch(files)
+            for name in _BATCH_TABLES:  # the files last: a batch counts once they are there
+                getattr(batch, name).write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
+
+        arriving = scan_stream(self.spark, folder, content=True, files_per_batch=files_per_batch)
+        trigger = {"processingTime": every} if every else {"availableNow": True}
+        return (arriving.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(**trigger).start())
+
+    def watched(self, out: str) -> Batch:
+        """What ``watch`` has written so far, as one batch. Of a file that was processed again, such as with a new state, the last
+        outcome counts."""
+        tables = {name: self.spark.read.parquet(f"{out}/{name}") for name in _BATCH_TABLES}
+        last = tables["files"].groupBy("doc_id").agg(F.max("batch_id").alias("batch_id"))
+        return Batch(**{name: t.join(last, ["doc_id", "batch_id"], "left_semi").drop("batch_id").select(
+            *[c for c in t.columns if c != "batch_id"]) for name, t in tables.items()})
+
     def process(self, source: Source) -> Batch:
         """One file; its rejection is an error here."""
         batch = self.process_batch(source)

@@ -16,7 +16,7 @@ def _any_case_glob() -> str:
     return "*.{" + ",".join(names) + "}"
 
 
-def _directly_in(folder: str) -> Column:
+def directly_in(folder: str) -> Column:
     """Whether ``path`` is the folder's own file, or the file itself; schemes and slashes may be written differently."""
     scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"
     root = re.sub(scheme, "/", folder).rstrip("/")
@@ -26,6 +26,11 @@ def _directly_in(folder: str) -> Column:
     return same(parent) | same(full)
 
 
+def is_plain(path: str) -> bool:
+    """Whether ``path`` names one folder or file, not a pattern."""
+    return not re.search(r"[*?\[{]", path)
+
+
 def scan_documents(spark: SparkSession, path: str, content: bool = False,
                    supported_only: bool = True) -> DataFrame:
     """Files directly in a folder (or one file) as (path, length, modified[, content]).
@@ -34,13 +39,13 @@ def scan_documents(spark: SparkSession, path: str, content: bool = False,
     also lists files of other types, so that intake can reject them with a reason.
     """
     # Folders below, such as earlier outputs, are neither read as documents nor taken for partitions.
-    plain = not re.search(r"[*?\[{]", path)
+    plain = is_plain(path)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(plain).lower())
     if supported_only:
         reader = reader.option("pathGlobFilter", _any_case_glob())
     columns = ["path", "length", F.col("modificationTime").alias("modified")]
     loaded = reader.load(path)
-    files = (loaded.filter(_directly_in(path)) if plain else loaded).select(*columns, *(["content"] if content else []))
+    files = (loaded.filter(directly_in(path)) if plain else loaded).select(*columns, *(["content"] if content else []))
     return files.filter(is_supported_format("path")) if supported_only else files
 
 

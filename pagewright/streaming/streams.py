@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pagewright.operators import intake, metering
 from pagewright.operators.layout import digest
 from pagewright.session import scratch_path
+from pagewright.sources.files import directly_in, is_plain
 
 
 def _start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str):
@@ -190,8 +191,18 @@ def stream_jobs(job_files: DataFrame, idle_seconds: int = 3600, delay: str = "10
         JobProgress(idle_seconds * 1000), JOB_UPDATE, "Update", "EventTime")
 
 
-def scan_stream(spark: SparkSession, path: str) -> DataFrame:
-    """New files of a folder as (path, length), without reading their bytes."""
+def scan_stream(spark: SparkSession, path: str, content: bool = False, files_per_batch: int | None = None,
+                max_age: str = "36500d") -> DataFrame:
+    """New files directly in a folder, or of a pattern, as (path, length[, modified, content]); bytes are read only when ``content`` is asked for.
+
+    A path comes once, also when its file changes, and whatever its time: paths are remembered for as long as ``max_age`` before the
+    newest file's time, so move files out of the folder before lowering it. ``files_per_batch`` bounds a micro-batch (none: all there is).
+    """
     schema = "path string, modificationTime timestamp, length long, content binary"
-    return (spark.readStream.format("binaryFile").schema(schema).load(path)
-            .select("path", "length"))
+    reader = spark.readStream.format("binaryFile").schema(schema).option("maxFileAge", max_age).option(
+        "recursiveFileLookup", str(is_plain(path)).lower())
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    more = [F.col("modificationTime").alias("modified"), "content"] if content else []
+    files = reader.load(path)
+    return (files.filter(directly_in(path)) if is_plain(path) else files).select("path", "length", *more)

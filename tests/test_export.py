@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 import pathlib
 
 import pytest
@@ -318,3 +319,31 @@ def test_command_line(spark, folder, capsys, monkeypatch):
     assert cli.run(spark, ["batch", str(folder / "none"), "--models", where]) == 1
     assert "no supported files" in capsys.readouterr().err
     assert cli.run(spark, ["batch", str(folder / "missing"), "--models", where]) == 1
+
+
+def test_a_watched_folder(spark, folder, tmp_path, monkeypatch):
+    """A file that comes between two runs and is old, one that changes, a rejected one, a folder below, and a batch that died."""
+    engine, out, state = Engine(spark, **models(spark)), str(tmp_path / "w" / "out"), str(tmp_path / "w" / "state")
+    name = lambda r: r.doc_id.rsplit("/", 1)[1]
+    texts = lambda: {name(r): r.full_text for r in engine.watched(out).results.collect()}
+    (folder / "below").mkdir()
+    (folder / "below" / "four.png").write_text("not this one")
+    engine.watch(str(folder), out, state, files_per_batch=2).awaitTermination()
+    first = engine.process_batch(str(folder))
+    same = lambda table: sorted(map(str, table.select(sorted(table.columns)).collect()))
+    seen = engine.watched(out)
+    for table in ("files", "results", "regions"):
+        assert set(getattr(seen, table).columns) == set(getattr(first, table).columns)
+        assert same(getattr(seen, table)) == same(getattr(first, table))
+    (folder / "five.png").write_text("late")
+    os.utime(folder / "five.png", (1_000_000_000, 1_000_000_000))
+    (folder / "two.pdf").write_text("another page")
+    monkeypatch.syspath_prepend(str(pathlib.Path(__file__).parent))
+    assert cli.run(spark, ["watch", str(folder), "-o", out, "--state", state, "--models", "test_export:models"]) == 0
+    assert texts() == {"one.png": "HELLO WORLD\nSECOND LINE", "two.pdf": "PAGE", "five.png": "LATE"}
+    assert [name(r) for r in engine.watched(out).failures.collect()] == ["three.xyz"]
+    # an attempt that died before its files were written does not count
+    engine.watched(out).results.withColumn("full_text", F.lit("half done")).write.parquet(f"{out}/results/batch_id=99")
+    assert "half done" not in texts().values()
+    engine.export_files(engine.watched(out), str(tmp_path / "each"), "txt")
+    assert sorted(f for f in os.listdir(tmp_path / "each") if f.endswith(".txt")) == ["five.txt", "one.txt", "two.txt"]

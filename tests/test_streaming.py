@@ -176,3 +176,12 @@ def test_scan_stream_lists_new_files(spark, tmp_path):
     (tmp_path / "f" / "a.pdf").write_bytes(b"123")
     out = S.run_available(S.scan_stream(spark, str(tmp_path / "f")), "f")
     assert [r.length for r in out.collect()] == [3]
+
+
+def test_scan_stream_of_a_pattern_and_of_nested_folders(spark, tmp_path):
+    for name in ("a.pdf", "b.png", "below/c.pdf"):
+        (tmp_path / "f" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "f" / name).write_bytes(b"12")
+    names = lambda path, **how: sorted(r.path.rsplit("/", 1)[1] for r in S.run_available(S.scan_stream(spark, path, **how), "f").collect())
+    assert names(str(tmp_path / "f" / "*.pdf")) == ["a.pdf"]
+    assert names(str(tmp_path / "f") + "/", content=True, files_per_batch=1) == ["a.pdf", "b.png"]
