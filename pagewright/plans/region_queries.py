@@ -151,7 +151,7 @@ _CHARS = "'0123456789abcdefghijklmnopqrstuvwxyz'"
     SELECT region_id, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY t) AS labels
     FROM steps_fx WHERE idx > 0 OR ch = '-' GROUP BY region_id) ON region_id = doc_id""", "steps_fx"))
 def _(spark, sf):
-    texts = fx.spread(fx.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    texts = fx.dealt(spark, sf, "documents", "doc_id", "text")
     labels = F.array_join(ctc_encode("text").cast("array<string>"), ",")
     return texts.select(F.col("doc_id").alias("region_id"), labels.alias("labels"))
 
@@ -246,9 +246,10 @@ def _toy_model():
     """Loader of a model that fails on any batch with a word of more than 12 letters."""
     def load():
         def read(batch: pd.DataFrame):
-            if (batch["word"].str.len() > 12).any():
+            words = batch["word"].tolist()
+            if any(len(w) > 12 for w in words):
                 raise ValueError("word too long")
-            return [(f"{w}{len(w)}", min(len(w) / 8, 1.0), [1.0] * len(w)) for w in batch["word"]]
+            return [(f"{w}{len(w)}", min(len(w) / 8, 1.0), [1.0] * len(w)) for w in words]
         return read
     return load
 

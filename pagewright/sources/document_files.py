@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext, cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from pagewright.functions.errors import ExportError
@@ -121,15 +121,23 @@ class DocumentFiles(DataSource):
         return DocumentWriter(self.options["path"], overwrite, self.options.get("lineEnd", "\n"))
 
 
-def document_rows(rows: DataFrame, order: list[str]) -> DataFrame:
-    """(output, value) with every document in one task, its lines in ``order``: the file is written as one stream."""
-    return rows.repartition("output").sortWithinPartitions("output", *order).select(
+def document_rows(rows: DataFrame, order: list[str], key: tuple[str, ...] = ("output",)) -> DataFrame:
+    """(output, value) with every document in one task, its lines in ``order``: the file is written as one stream.
+
+    A window groups and sorts the lines, which moves no line of a document that is in one task already.
+    """
+    inside = W.partitionBy(*key).orderBy(*order)
+    return rows.withColumn("_line", F.row_number().over(inside)).filter("_line > 0").select(
         "output", F.col("value").cast("string").alias("value"))
 
 
-def write_document_files(rows: DataFrame, path: str, order: list[str], overwrite: bool = True) -> str:
-    """One file per ``output`` in the folder ``path``, all of them or none; lines in ``order``."""
+def write_document_files(rows: DataFrame, path: str, order: list[str], overwrite: bool = True,
+                         key: tuple[str, ...] = ("output",)) -> str:
+    """One file per ``output`` in the folder ``path``, all of them or none; lines in ``order``.
+
+    ``key``: the columns a file's lines are grouped by, output among them. With more than output each output must have one value of the others.
+    """
     spark: SparkSession = rows.sparkSession
     spark.dataSource.register(DocumentFiles)
-    document_rows(rows, order).write.format(NAME).mode("overwrite" if overwrite else "append").save(path)
+    document_rows(rows, order, key).write.format(NAME).mode("overwrite" if overwrite else "append").save(path)
     return path
