@@ -89,8 +89,13 @@ def export_files(results: DataFrame, regions: DataFrame, names: DataFrame, path:
         first = F.lit(",".join(columns))
     else:
         rows, first = rows.select("output", *order, "value"), F.lit(None).cast("string")
-    heads = names.select("output", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in order], first.alias("value"))
-    return write_document_files(heads.unionByName(rows), path, [F.asc_nulls_first(c) for c in order])
+    rest = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in order if c != "doc_id"]
+    heads = names.select("output", F.lit(0).alias("_body"), "doc_id", *rest, first.alias("value"))
+    lines = heads.unionByName(rows.withColumn("_body", F.lit(1)))
+    # lines stay with their document, but for names that several documents share
+    shared = names.groupBy("output").agg((F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))).alias("n"))
+    key = ("output",) if not shared.filter("n > 1").isEmpty() else ("doc_id", "output")
+    return write_document_files(lines, path, ["_body", *[F.asc_nulls_first(c) for c in order]], key=key)
 
 
 def write_overlay(results: DataFrame, regions: DataFrame, path: str) -> None:
