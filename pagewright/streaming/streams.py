@@ -136,24 +136,29 @@ class JobProgress(StatefulProcessor):
     @staticmethod
     def _outcomes(frame: pd.DataFrame) -> dict[int, str]:
         """Outcome per file of some rows; completed wins over failed."""
-        told = frame[frame.file_status != "processing"]
-        failed = (told.file_status == "failed").groupby(told.file_id).all()
-        return {int(f): "failed" if bad else "completed" for f, bad in failed.items()}
+        out = {}
+        for file, status in zip(frame.file_id.tolist(), frame.file_status.tolist()):
+            if status != "processing" and not pd.isna(file) and out.get(int(file)) != "completed":
+                out[int(file)] = "failed" if status == "failed" else "completed"
+        return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        total, done, failed, last_ms = (int(x) for x in self.job.get()) if self.job.exists() else (0, 0, 0, 0)
+        known = self.job.get()  # a job without state has no files and no timer either, which saves asking for them
+        total, done, failed, last_ms = (int(x) for x in known) if known else (0, 0, 0, 0)
+        seen = set()
         for frame in rows:
             total = max(total, int(frame.total.max()))
             last_ms = max(last_ms, int(frame.ts.max().timestamp() * 1000))
             for file, status in self._outcomes(frame).items():
-                before = self.files.getValue((file,))
+                before = self.files.getValue((file,)) if known or file in seen else None
+                seen.add(file)
                 if before is not None and (before[0] == status or before[0] == "completed"):
                     continue
                 self.files.updateValue((file,), (status,))
                 done += before is None
                 failed += (status == "failed") - (before is not None)
         self.job.update((total, done, failed, last_ms))
-        for timer in list(self.handle.listTimers()):
+        for timer in list(self.handle.listTimers()) if known else ():
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(max(last_ms + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1))
         yield self._row(key, "completed" if done >= total else "processing", total, done, failed,
