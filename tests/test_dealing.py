@@ -1,9 +1,12 @@
 """Rows dealt out by their document are moved once, whatever is made of them."""
 
+import pathlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from pagewright.plans import catalog, fixtures as fx
+from pagewright.session import ensure_checkpoint_dir
 from pagewright.sources import sinks
 from pagewright.sources.document_files import document_rows
 
@@ -39,6 +42,24 @@ def test_only_dealt_rows_are_moved(spark, folder, name):
     assert moved and all("REPARTITION_BY_NUM" in m or "documents" in m or "ENSURE" in m and name == "f11_api_response" for m in moved), moved
 
 
+def test_box_matching_moves_only_dealt_rows(spark, folder):
+    """Pairs of the first round are neither moved nor written."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    kept = pathlib.Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    tables = set(kept.glob("step-*"))
+    try:
+        df = catalog.QUERIES["i10_box_accuracy"](spark, folder)
+        moved = exchanges(df)
+        assert moved and all("REPARTITION_BY_NUM" in m or "hashpartitioning(source" in m for m in moved), moved
+        got = {r["source"]: r["invented"] for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    written = [spark.read.parquet(str(t)).count() for t in set(kept.glob("step-*")) - tables]
+    assert written == [0], written
+    assert got == {"web": 15}  # one a row of the table
+
+
 def test_parts_grow_with_the_files(spark, folder, monkeypatch):
     least = fx.dealt(spark, folder, "documents", "doc_id", "text").rdd.getNumPartitions()
     monkeypatch.setattr(fx, "PART_BYTES", 100)

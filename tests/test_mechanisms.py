@@ -50,6 +50,15 @@ def test_accuracy_counts_missed_and_invented(spark):
     assert L.match_boxes(spark.createDataFrame(truth, BOXES), spark.createDataFrame([], BOXES)).count() == 0
 
 
+def test_boxes_without_a_number_are_in_no_pair(spark):
+    truth = spark.createDataFrame([(1, 1, None, 0, 0, 9, 9, "a", "s"), (1, 1, 2, 0, 0, 9, 9, "b", "s")], BOXES)
+    output = spark.createDataFrame([(1, 1, 5, 0, 0, 9, 9, "b", "s")], BOXES)
+    assert [tuple(r) for r in L.match_boxes(truth, output).collect()] == [(1, 1, 2, 5, 81)]
+    assert L.match_boxes(truth.filter("region_ord is null"), output).count() == 0
+    got = L.box_accuracy(truth, output, ["source"]).first()
+    assert (got.words, got.matched, got.missed, got.invented) == (2, 1, 1, 0)
+
+
 def test_a_dense_page_makes_few_pairs(spark):
     """A page with a third of all boxes: pairs met grow with the boxes, not with their square."""
     boxes = [(1, 1, i, 60 * (i % 100), 20 * (i // 100), 50, 12, "t", "s") for i in range(4000)]
