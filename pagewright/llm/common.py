@@ -24,15 +24,15 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Col
             F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only (_id, _th, _text): the id with a stand-in for null, a hash of the text, the text (null: empty).
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *extra: Column) -> DataFrame:
+    """Only (_id, _th, _text) and ``extra``: the id with a stand-in for null, a hash of the text, the text (null: empty).
 
     ``(_id, _th)`` names a row: rows that share both are equal in all an operator reads. Other
     columns are left out, so their names can't clash.
     """
     row_id, text_hash = row_key(id_col, text_col)
     return docs.select(row_id.alias("_id"), text_hash.alias("_th"),
-                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *extra)
 
 
 def unused(name: str, columns: list[str]) -> str:

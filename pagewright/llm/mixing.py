@@ -17,7 +17,8 @@ from collections.abc import Collection, Iterable, Iterator, Mapping
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pagewright.llm.common import NULL_ID
 from pagewright.operators.ordering import running_sum
@@ -183,3 +184,22 @@ def in_mix(docs: DataFrame, **options) -> DataFrame:
     placed = docs.join(first, (_source_key() == F.col("_mix_s")) & (_row_hash() == F.col("_mix_h")))
     order = ["_mix_slot", "_mix_until"]
     return placed.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+
+
+def with_stored_place(docs: DataFrame, name: str) -> DataFrame:
+    """Add ``name``: each row's place from 0 in the order ``docs`` is stored in, as ``in_mix`` leaves it once written.
+
+    Of a table read from Parquet that is the order of its part files by name and of their rows; of any other the order of its
+    partitions. Rows are counted per part, so no row is moved; the counts, a row per part, are sent to all tasks.
+    """
+    try:
+        file = F.col("_metadata.file_path")  # a number with more digits makes a longer name
+        placed = docs.select("*", F.struct(F.length(file), file).alias("_part"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        n = F.monotonically_increasing_id()
+        placed = docs.withColumn("_n", n).select(
+            *docs.columns, F.shiftright("_n", 33).alias("_part"), F.col("_n").bitwiseAND((1 << 33) - 1).alias("_row"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row per part
+    firsts = placed.groupBy("_part").agg((F.max("_row") + 1).alias("_m")).select(
+        "_part", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_first"))
+    return placed.join(F.broadcast(firsts), "_part").select(*docs.columns, (F.col("_first") + F.col("_row")).alias(name))

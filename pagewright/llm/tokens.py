@@ -6,7 +6,8 @@ A token folder holds, for every part ``p`` in ascending document order:
   as little-endian unsigned integers of 2 bytes (vocabularies up to 65,536 ids) or 4;
 - ``part-p.idx``: n + 1 little-endian unsigned 64-bit offsets, counted in ids from the start of the
   first part (prefix sums over the parts give each part's base), so document i is [idx[i], idx[i+1]);
-- ``part-p.ids``: the n document ids as signed 64-bit integers (-2**63: null).
+- ``part-p.ids``: the n document ids as signed 64-bit integers (-2**63: null);
+- ``part-p.place``, if places were given: the n documents' places in the order they are to be read in, as signed 64-bit integers.
 """
 
 from __future__ import annotations
@@ -130,7 +131,7 @@ def encoder_of(path: str, special: bool = False) -> Encoder:
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, ordered: bool = True,
-                 special: bool = False) -> DataFrame:
+                 special: bool = False, place: str | None = None) -> DataFrame:
     """Encode every row of ``docs`` (doc_id, text) into a token folder; returns its manifest.
 
     The manifest has a row per part: part, n_docs, n_tokens, base (ids in earlier parts), dtype.
@@ -140,22 +141,27 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     a text that fills a third of the rows makes a large part. Parts are written by tasks
     that can be run again; memory is bounded by a slice of rows, or by one document. Without ``ordered``
     the rows are written as they are read, in no promised order and with no shuffle. ``special``: strings of special tokens
-    in a text get their ids; without it they are ordinary text, so no text can hold an end id.
+    in a text get their ids; without it they are ordinary text, so no text can hold an end id. ``place``: a long column
+    without nulls, kept beside the ids; it decides nothing but which of two equal rows stands first.
     """
-    key = keyed(docs).withColumn("_n", F.monotonically_increasing_id())
+    key = keyed(docs) if place is None else keyed(docs, "doc_id", "text", F.col(place).cast("long").alias("_place"))
+    key = key.withColumn("_n", F.monotonically_increasing_id())
     # monotonically_increasing_id differs between equal rows only, whose files are equal in any order
-    rows = key.repartitionByRange("_id", "_th", "_n").sortWithinPartitions("_id", "_th", "_text") if ordered else key
+    rows = key.repartitionByRange("_id", "_th", "_n").sortWithinPartitions(
+        "_id", "_th", "_text", *([] if place is None else ["_place"])) if ordered else key
 
     def write(batches):
         fs, root = store(folder)
         fs.create_dir(root, recursive=True)
         part, encoder = TaskContext.get().partitionId(), encoder_of(tokenizer, special)
         end = np.array([end_id], encoder.dtype).tobytes()
-        ids, sizes = [], []
+        ids, sizes, places = [], [], []
 
         def pieces():
             for batch in batches:
                 ids.extend(batch.column("_id").to_pylist())
+                if place is not None:
+                    places.extend(batch.column("_place").to_pylist())
                 for _, texts in text_slices(batch, "_text", as_bytes=False):
                     found = encoder.encode(texts)
                     sizes.extend(len(x) // len(end) + 1 for x in found)
@@ -168,6 +174,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
         name = f"{root}/part-{part:05d}"
         put(fs, f"{name}.bin", (p for chunk in ([first], stream) for p in chunk))
         put(fs, f"{name}.ids", [np.array(ids, "<i8").tobytes()])
+        if place is not None:
+            put(fs, f"{name}.place", [np.array(places, "<i8").tobytes()])
         offsets = np.zeros(len(sizes) + 1, "<u8")
         np.cumsum(sizes, out=offsets[1:])
         put(fs, f"{name}.off", [offsets.tobytes()])
@@ -196,10 +204,11 @@ def _dealt(parts: DataFrame) -> DataFrame:
     return parts.repartition(max(1, parts.count() // 2), "part")
 
 
-def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
+def read_tokens(manifest: DataFrame, folder: str, place: str | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from a token folder's files.
 
-    ``ids_crc32`` is the unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers.
+    ``ids_crc32`` is the unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers. ``place`` names a further column
+    for the places the folder was written with.
     """
     def read(batches):
         fs, root = store(folder)
@@ -208,6 +217,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                 name = f"{root}/part-{part:05d}"
                 tokens, offsets = _ids(fs, f"{name}.bin", dtype), _ids(fs, f"{name}.idx", "<u8").astype("i8")
                 ids = _ids(fs, f"{name}.ids", "<i8")
+                places = None if place is None else _ids(fs, f"{name}.place", "<i8")
                 for at in range(0, len(ids), 10_000):
                     to = min(at + 10_000, len(ids))
                     local = offsets[at:to + 1] - offsets[0]
@@ -216,10 +226,13 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                     crcs = [zlib.crc32(some[a:b]) for a, b in zip(cuts, cuts[1:])]
                     yield pa.RecordBatch.from_pydict({
                         "_id": pa.array(ids[at:to], pa.int64()), "start": pa.array(offsets[at:to], pa.int64()),
-                        "n_tokens": pa.array(np.diff(local), pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
+                        "n_tokens": pa.array(np.diff(local), pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())} | (
+                            {} if place is None else {"_place": pa.array(places[at:to], pa.int64())}))
 
-    rows = _dealt(manifest).mapInArrow(read, "_id long, start long, n_tokens long, ids_crc32 long")
-    return rows.select(public_id().alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    schema = "_id long, start long, n_tokens long, ids_crc32 long"
+    rows = _dealt(manifest).mapInArrow(read, schema if place is None else f"{schema}, _place long")
+    named = [] if place is None else [F.col("_place").alias(place)]
+    return rows.select(public_id().alias("doc_id"), "start", "n_tokens", "ids_crc32", *named)
 
 
 def scan_tokens(spark: SparkSession, folder: str, end_id: int, dtype: str = "<u2",

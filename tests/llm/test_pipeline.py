@@ -77,6 +77,21 @@ def test_token_stage(stages):
     assert sorted(tuple(r[c] for c in ("doc_id", "start", "n_tokens", "ids_crc32")) for r in after) == want
 
 
+def test_the_mix_decides_the_places_of_the_token_files(stages, spark, sf, tmp_path):
+    """Places are those of the rows as the mix wrote them, also if they are read back from part files of another order."""
+    before, after, _ = stages["token_files"]
+    place = {r["doc_id"]: r["mix_place"] for r in after}
+    assert [r["doc_id"] for r in before] == sorted(place, key=place.get) and sorted(place.values()) == list(range(len(before)))
+    assert [r["doc_id"] for r in before] != sorted(place)
+    docs = spark.createDataFrame([tuple(r[c] for c in P.COLUMNS) for r in before], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(5, "doc_id").write.parquet(str(tmp_path / "dealt"))
+    stored = []
+    for part in sorted((tmp_path / "dealt").glob("part-*")):
+        stored += [r["doc_id"] for r in spark.read.parquet(str(part)).collect()]
+    again = {r["mix_place"]: r["doc_id"] for r in P.token_files(spark, spark.read.parquet(str(tmp_path / "dealt")), sf).collect()}
+    assert [again[i] for i in range(len(stored))] == stored
+
+
 def test_run_chains_the_stages(spark, sf, stages):
     got = sorted(repr(sorted(r.asDict().items())) for r in P.run(spark, sf).collect())
     assert got == sorted(repr(sorted(r.items())) for r in stages["token_files"][1])
