@@ -29,9 +29,9 @@ def bbox(points: Column) -> Column:
 
 def order_points(points: Column) -> Column:
     """Four points clockwise from top-left; the two with the least y are the top ones."""
-    by_y = F.sort_array(F.transform(points, lambda p: F.struct(p["y"].alias("y"), p["x"].alias("x"))))
-    by_x = lambda part: F.sort_array(
-        F.transform(part, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
+    # Fields are zipped, which is compiled; a lambda over the points would be interpreted for every row.
+    by_y = F.sort_array(F.arrays_zip(points["y"].alias("y"), points["x"].alias("x")))
+    by_x = lambda part: F.sort_array(F.arrays_zip(part["x"].alias("x"), part["y"].alias("y")))
     return F.concat(by_x(F.slice(by_y, 1, 2)), F.reverse(by_x(F.slice(by_y, 3, 2))))
 
 

@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from pagewright.functions import geometry
 from pagewright.operators import components as C
 
 
@@ -72,3 +74,21 @@ def test_pages_without_regions_are_kept(spark):
     by_page = {r.page_id: r for r in got}
     assert by_page[2].points is None
     assert (by_page[1].points[2].x, by_page[1].points[2].y) == (5.0, 2.0)
+
+
+def test_points_are_ordered_by_compiled_code(spark):
+    """No lambda, which Spark interprets for every row; and the order of points with ties, nulls, too few or too many of them."""
+    rng = random.Random(4)
+    coordinate = lambda: rng.choice([None, 0.0, 1.0, 2.0, 3.5, -1.0])
+    some = [[(coordinate(), coordinate()) for _ in range(n)] for n in [4] * 60 + [0, 1, 2, 3, 5, 6]] + [None]
+    rows = spark.createDataFrame(list(enumerate(some)), "n long, points array<struct<x: double, y: double>>")
+    ordered = rows.select("n", geometry.order_points(F.col("points")).alias("p"))
+    assert "lambda" not in ordered._sc._jvm.PythonSQLUtils.explainString(ordered._jdf.queryExecution(), "simple")
+    nulls_first = lambda values: [(v is not None, v or 0.0) for v in values]
+    for n, got in ordered.collect():
+        if some[n] is None:
+            assert got is None
+            continue
+        by_y = sorted(some[n], key=lambda p: nulls_first((p[1], p[0])))
+        top, bottom = (sorted(part, key=nulls_first) for part in (by_y[:2], by_y[2:4]))
+        assert [tuple(p) for p in got] == top + bottom[::-1]
