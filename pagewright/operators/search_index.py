@@ -23,6 +23,8 @@ BUCKETS = 64
 SLICE_BYTES = 16 << 20
 #: Query words up to this number are counted and sent to the tasks; more meet the postings by a shuffled join.
 SENT_WORDS = 200_000
+#: Words whose postings are sorted by one task of a build, and (query, document) pairs one task of a search can meet at most.
+PIECE_WORDS, TASK_PAIRS = 2_000_000, 1_000_000
 
 
 def _bucket(term: Column | str) -> Column:
@@ -77,12 +79,13 @@ def add_documents(documents: DataFrame, path: str, segment: int, text: str = "te
     spark, order = documents.sparkSession, ["bucket", "term"]
     rows = documents.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("key"), F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text"))
-    pieces = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
     bare = F.btrim("text", F.lit(" \t\n\x0b\f\r"))
     words = F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"\s+")))
     (rows.groupBy("key").agg(F.sum(words).alias("words"), F.count("*").alias("copies"))
      .write.mode("overwrite").parquet(f"{path}/documents/segment={segment}"))
     known = spark.read.parquet(f"{path}/documents/segment={segment}")
+    all_words = known.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    pieces = max(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS), -(-all_words // (BUCKETS * PIECE_WORDS)))
     schema = _postings_schema(rows.schema["key"].dataType)
     shared = known.filter("copies > 1").select("key")
     if shared.isEmpty():
@@ -131,7 +134,8 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 10
     smaller key. Rows that share a query_id are one query. Queries without a known word have no rows.
 
     Up to ``SENT_WORDS`` query words are sent to the tasks and the postings they need are dealt out by document, once: a
-    document's scores for all queries add up where it is, and only its k best candidates per task go on.
+    document's scores for all queries add up where it is, and only its k best candidates per task go on. The parts grow with the
+    documents and the queries, as the scores of a part are far more than its postings.
     """
     asked = (queries.select(F.col(query_id).alias("query_id"), F.explode(_words(query)).alias("term")).distinct()
              .withColumn("bucket", _bucket("term")))
@@ -152,7 +156,9 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 10
         weighted = F.broadcast(weighted)
     postings = blocks.select("bucket", "term", F.inline(F.arrays_zip("keys", "tfs")).alias("key", "tf"))
     if sent:
-        postings = postings.repartition("key")
+        n_queries = asked.agg(F.count_distinct("query_id")).first()[0]
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_docs * n_queries // TASK_PAIRS))
+        postings = postings.repartition(parts, "key")
     scored = postings.join(weighted, ["bucket", "term"]).groupBy("query_id", "key").agg(
         F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("score"), F.count("*").alias("terms"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "key")

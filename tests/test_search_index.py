@@ -136,3 +136,22 @@ def test_segments_without_words_or_documents(spark, tmp_path):
     I.add_documents(spark.createDataFrame([(5, "A b"), (6, "b")], docs.schema), str(tmp_path), 2)
     got = I.search_index(spark, str(tmp_path), asked).collect()
     assert [(r["key"], r["score"]) for r in got] == [(5, round(math.log(4), 6))]
+
+
+def test_parts_of_builds_and_searches_grow(spark, tables, monkeypatch):
+    """A task's scores and postings are bounded, so their parts grow with documents, queries and words."""
+    documents, asked, queries, path = tables
+    dealt = lambda: int(re.search(r"hashpartitioning\(key#\w+, (\d+)\), REPARTITION_BY_NUM",
+                                  I.search_index(spark, path, asked, 7)._jdf.queryExecution().toString())[1])
+    few = dealt()
+    want = sorted(map(tuple, I.search_index(spark, path, asked, 7).collect()))
+    monkeypatch.setattr(I, "TASK_PAIRS", 300)
+    assert dealt() == -(-304 * 27 // 300) > few  # two queries have no words
+    assert sorted(map(tuple, I.search_index(spark, path, asked, 7).collect())) == want
+    monkeypatch.setattr(I, "PIECE_WORDS", 30)
+    docs = spark.createDataFrame(documents, "doc_id long, text string")
+    for segment in range(3):
+        I.add_documents(docs.filter(f"doc_id % 3 = {segment}"), path + "-pieces", segment)
+    files = lambda at: len(spark.read.parquet(f"{at}/postings/segment=0").inputFiles())
+    assert files(path + "-pieces") > files(path)
+    assert sorted(map(tuple, I.search_index(spark, path + "-pieces", asked, 7).collect())) == want
