@@ -42,6 +42,13 @@ def test_only_dealt_rows_are_moved(spark, folder, name):
     assert moved and all("REPARTITION_BY_NUM" in m or "documents" in m or "ENSURE" in m and name == "f11_api_response" for m in moved), moved
 
 
+@pytest.mark.parametrize("name,joins", [("i1_detect_columns", 1), ("d6_slice_batches", 0)])
+def test_dealt_rows_are_ranked_in_place(spark, folder, name, joins):
+    df = catalog.QUERIES[name](spark, folder)
+    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    assert plan.count("Join [") == joins, plan
+
+
 def test_box_matching_moves_only_dealt_rows(spark, folder):
     """Pairs of the first round are neither moved nor written."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

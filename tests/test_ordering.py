@@ -70,3 +70,14 @@ def test_rate_limit_flags_what_is_past_the_limit(spark):
 def test_rows_without_a_key_are_kept(spark):
     df = spark.createDataFrame([(1, 1, 1), (None, 1, 2)], "g int, b int, i int")
     assert {r.i: r.r for r in ranked(df, ["g"], ["b"], ["i"], "r").collect()} == {1: 1, 2: None}
+
+
+def test_rows_that_lie_together_are_ranked_alike(spark):
+    rng = random.Random(6)
+    some = lambda n: rng.choice([None, *range(n)])
+    rows = [(some(4), some(3), some(3), rng.randrange(5), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, b int, c int, v int, n int").repartition(3, "g")
+    banded, whole = (ranked(df, ["g"], ["b", "c"], ["v", "n"], "rank", together) for together in (False, True))
+    assert sorted(whole.dtypes) == sorted(banded.dtypes)
+    plain = lambda found: sorted(repr(sorted(r.asDict().items())) for r in found.collect())
+    assert plain(whole) == plain(banded)
