@@ -34,10 +34,10 @@ def reading_order(regions: DataFrame) -> DataFrame:
     return ranked(banded, PAGE, ["y", "_xb"], ["x", "region_ord"], "reading_pos").drop("_xb")
 
 
-def slice_batches(regions: DataFrame, batch_size: int = 8) -> DataFrame:
-    """Add ``batch_no``: 0-based batch of ``batch_size`` boxes in input order on the page."""
+def slice_batches(regions: DataFrame, batch_size: int = 8, together: bool = False) -> DataFrame:
+    """Add ``batch_no``: 0-based batch of ``batch_size`` boxes in input order on the page. ``together``: see ``ordering.ranked``."""
     banded = regions.withColumn("_ob", F.floor(F.col("region_ord") / BAND))
-    placed = ranked(banded, PAGE, ["_ob"], ["region_ord"], "_pos")
+    placed = ranked(banded, PAGE, ["_ob"], ["region_ord"], "_pos", together)
     return placed.withColumn("batch_no", F.floor((F.col("_pos") - 1) / batch_size)).drop("_ob", "_pos")
 
 

@@ -224,7 +224,7 @@ def _(spark, sf):
   FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id, page_number ORDER BY region_ord) - 1) // 8 AS batch_no
         FROM regions_fx) GROUP BY ALL""", "regions_fx"))
 def _(spark, sf):
-    return R.slice_batches(fx.regions_fx(spark, sf)).groupBy(*R.PAGE, "batch_no").agg(
+    return R.slice_batches(fx.regions_fx(spark, sf), together=True).groupBy(*R.PAGE, "batch_no").agg(
         F.count("*").alias("boxes"), F.min("region_ord").alias("first_box"))
 
 
