@@ -1,6 +1,7 @@
 """Substring duplicates by a distributed suffix array built with difference covers.
 
-1. Texts are packed into slices, one table row of about a megabyte each. All 50-byte strings of a slice are
+1. Texts are packed into slices of half a megabyte, the batches of one Arrow file per task in the shared checkpoint
+   folder; a table row only names a slice, so a pass holds one slice at a time. All 50-byte strings of a slice are
    split among content-chosen anchors (``windows``), and neighbours with one anchor form a block.
    Blocks deal the suffixes out: equal 50-byte strings always lie in blocks of one anchor.
 2. Anchors that stand in one block of the corpus only are left out (short anchor keys are compared by bucket).
@@ -38,6 +39,8 @@ SIZE, GRAM = 50, 16
 SLICE_BYTES = 1 << 19
 #: Bytes of anchor keys in a bucket; bytes of text sorted at once; different blocks from which an anchor is cut up.
 BUCKET_BYTES, SORT_BYTES, CROWD = 4 << 20, 1 << 19, 2_000
+#: Bytes of text that a task of a pass over the slices reads.
+TASK_BYTES = 8 << 20
 #: Bytes of block records in a bucket if all were shared; slices from which an anchor's blocks travel as rows.
 RECORD_BYTES, HOT_SLICES = 16 << 20, 4_096
 _KEY_BYTES = 5
@@ -103,29 +106,48 @@ def later_windows(texts: list[bytes], counts: np.ndarray, owners: np.ndarray, si
     return number[late], offset[late]
 
 
-def _slices(docs: DataFrame) -> DataFrame:
-    """(slice, ids, texts, bytes): rows packed as they are read."""
-    def pack(batches):
-        part, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for first, texts in text_slices(batch, "_text", SLICE_BYTES):
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([(part << 32) + n], pa.int64()),
-                    pa.array([batch.column("_id").slice(first, len(texts)).to_pylist()], pa.list_(pa.int64())),
-                    pa.array([texts], pa.list_(pa.binary())), pa.array([sum(map(len, texts))], pa.int64())],
-                    ["slice", "ids", "texts", "bytes"])
-                n += 1
+_TEXTS = pa.schema([("ids", pa.int64()), ("texts", pa.binary())])
+
+
+def _slices(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(slice, file) of rows packed as they are read, dealt out by size, and the bytes of all texts.
 
-    return cut_lineage(keyed(docs).select("_id", "_text").mapInArrow(
-        pack, "slice long, ids array<long>, texts array<binary>, bytes long"))
+    Slice s is batch s % 2 ** 32 of its file. Every attempt of a task writes a file of its own, and the rows that
+    Spark keeps of it name that file.
+    """
+    folder = scratch_path(docs.sparkSession, "slices")
+
+    def pack(batches):
+        context, sizes = TaskContext.get(), []
+        part, path = context.partitionId(), f"{folder}/{context.partitionId()}-{context.taskAttemptId()}"
+        fs, root = store(folder)
+        fs.create_dir(root, recursive=True)
+        options = pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)
+        with fs.open_output_stream(store(path)[1]) as sink, pa.ipc.new_file(sink, _TEXTS, options=options) as out:
+            for batch in batches:
+                for first, texts in text_slices(batch, "_text", SLICE_BYTES):
+                    out.write_batch(pa.RecordBatch.from_arrays(
+                        [batch.column("_id").slice(first, len(texts)), pa.array(texts, pa.binary())], schema=_TEXTS))
+                    sizes.append(sum(map(len, texts)))
+        yield pa.RecordBatch.from_arrays([
+            pa.array([(part << 32) + n for n in range(len(sizes))], pa.int64()), pa.array([path] * len(sizes), pa.string()),
+            pa.array(sizes, pa.int64())], ["slice", "file", "bytes"])
+
+    slices = cut_lineage(keyed(docs).select("_id", "_text").mapInArrow(pack, "slice long, file string, bytes long"))
+    total = slices.agg(F.sum("bytes").alias("b")).first()["b"] or 0
+    return slices.select("slice", "file").repartition(total // TASK_BYTES + 1), total
 
 
 def _each(batches):
     """(slice number, ids, texts) of every slice row."""
+    path = reader = None
     for batch in batches:
-        for n in range(batch.num_rows):
-            yield (batch.column("slice")[n].as_py(), np.asarray(batch.column("ids")[n].values),
-                   batch.column("texts")[n].as_py())
+        for s, file in zip(batch.column("slice").to_pylist(), batch.column("file").to_pylist()):
+            if file != path:
+                fs, name = store(file)
+                path, reader = file, pa.ipc.open_file(fs.open_input_file(name), options=pa.ipc.IpcReadOptions(use_threads=False))
+            ids, texts = reader.get_batch(s % (1 << 32)).columns
+            yield s, ids.to_numpy(), texts.to_pylist()
 
 
 def _runs(texts: list[bytes], size: int, gram: int):
@@ -270,9 +292,8 @@ def _judge(slice_: np.ndarray, r: np.ndarray):
         (MARKS, late), (WANTED, open_ & ~crowded), (CROWDED, open_ & crowded))]
 
 
-def _judged(slices: DataFrame, size: int, gram: int) -> DataFrame:
+def _judged(slices: DataFrame, size: int, gram: int, total: int) -> DataFrame:
     """(kind, slice, data) over all blocks of shared anchors."""
-    total = slices.agg(F.sum("bytes").alias("b")).first()["b"] or 0
     folder, buckets = _shared_anchors(slices, size, gram, total)
     deals = max(1, int(total * 2 / (size - gram + 2) * _RUN.itemsize) // RECORD_BYTES + 1)
 
@@ -313,7 +334,7 @@ def _judged(slices: DataFrame, size: int, gram: int) -> DataFrame:
             return pa.Table.from_batches([_by_slice(HOT, owner, records)])
         return pa.Table.from_batches([_by_slice(*found) for found in _judge(owner, records)])
 
-    packed = cut_lineage(slices.select("slice", "ids", "texts").mapInArrow(
+    packed = cut_lineage(slices.mapInArrow(
         keep, "deal int, slice long, data binary").groupBy("deal").applyInArrow(judge, _PACKED))
     hot = packed.filter(F.col("kind") == HOT)
     return packed.union(_judged_rows(hot)) if not hot.isEmpty() else packed
@@ -363,7 +384,7 @@ def _texts(slices: DataFrame, folder: str, size: int, windows: bool) -> DataFram
                      pa.array(np.ascontiguousarray(some["anchor"]).view(np.int64)), pa.array(cut, pa.binary())],
                     ["slice", "ord", "start", "count", "_id", "anchor", "text"])
 
-    return slices.select("slice", "ids", "texts").mapInArrow(
+    return slices.mapInArrow(
         run, "slice long, ord int, start int, count int, _id long, anchor long, text binary")
 
 
@@ -400,10 +421,19 @@ def _sorted_marks(blocks: DataFrame, size: int) -> DataFrame:
     return blocks.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _PACKED)
 
 
-def _marks(slices: DataFrame, size: int, gram: int) -> DataFrame:
+def _later_rows(rows: DataFrame) -> DataFrame:
+    """Rows whose text a row of a smaller _id has too.
+
+    Always a merge join: rows come from a table of names, so Spark takes them for far smaller than they are.
+    """
+    values = rows.groupBy("text").agg(F.min("_id").alias("least"))
+    return rows.join(values.hint("merge"), "text").filter("_id > least")
+
+
+def _marks(slices: DataFrame, size: int, gram: int, total: int) -> DataFrame:
     """(kind, slice, data): packed runs of windows that also start in a document of a smaller id."""
     spark = slices.sparkSession
-    judged = _judged(slices, size, gram)
+    judged = _judged(slices, size, gram, total)
     of = lambda kind: judged.filter(F.col("kind") == kind)
     wanted = scratch_path(spark, "wanted")
     _per_slice(of(WANTED), wanted, [])
@@ -412,9 +442,7 @@ def _marks(slices: DataFrame, size: int, gram: int) -> DataFrame:
         return marks
     folder = scratch_path(spark, "crowded")
     _per_slice(of(CROWDED), folder, [])
-    rows = _texts(slices, folder, size, True)
-    values = rows.groupBy("text").agg(F.min("_id").alias("least"))
-    return marks.union(_pack(rows.join(values, "text").filter("_id > least"), MARKS))
+    return marks.union(_pack(_later_rows(_texts(slices, folder, size, True)), MARKS))
 
 
 def remove_later_copies(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
@@ -426,9 +454,9 @@ def remove_later_copies(docs: DataFrame, size: int = SIZE, gram: int = GRAM) ->
     doc_id counts as smaller than any other and stays null. An empty table gives an empty result; other
     columns are ignored.
     """
-    slices = _slices(docs)
+    slices, total = _slices(docs)
     folder = scratch_path(docs.sparkSession, "marks")
-    _per_slice(_marks(slices, size, gram), folder, [])
+    _per_slice(_marks(slices, size, gram, total), folder, [])
 
     def run(batches):
         fs, root = store(folder)
@@ -450,6 +478,6 @@ def remove_later_copies(docs: DataFrame, size: int = SIZE, gram: int = GRAM) ->
                  pa.array(spans, pa.int64()), pa.array(digests), pa.array(kept, pa.binary())],
                 ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    done = slices.select("slice", "ids", "texts").mapInArrow(
+    done = slices.mapInArrow(
         run, "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done.select(public_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
