@@ -7,10 +7,10 @@ if the batch is retried, so a restart neither loses nor doubles rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pagewright.operators import intake, metering
@@ -120,61 +120,83 @@ _ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStorePro
 
 
 class JobProgress(StatefulProcessor):
-    """The state of a job: one map entry per file, its counts, and a timer for the time it will have been idle too long.
+    """The state of a job: its counts, its files' outcomes, and a timer for the time it will have been idle too long.
 
-    A batch reads and writes the entries of the files it holds only, whatever the size of the job.
+    Up to ``FEW`` files are kept with the counts, so that an ordinary job is read and written by one call each; every call goes from the
+    Python worker to the state store and back. A larger job has a map entry per file, and a batch reads and writes the entries of
+    the files it holds only, whatever the size of the job.
     """
 
+    #: Files of a job that are kept in one value, and rows taken together from a batch.
+    FEW, ROWS = 32, 10_000
+
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.files = handle.getMapState("files", "file_id long", "status string")
-        self.job = handle.getValueState("job", "total long, done long, failed long, last_ms long")
+        self.job = handle.getValueState("job", "total long, done long, failed long, last_ms long, timer_ms long, mapped boolean, "
+                                               "completed_files array<long>, failed_files array<long>")
 
     @staticmethod
-    def _outcomes(frame: pd.DataFrame) -> dict[int, str]:
+    def _outcomes(rows: Iterable[Row]) -> dict[int, str]:
         """Outcome per file of some rows; completed wins over failed."""
         out = {}
-        for file, status in zip(frame.file_id.tolist(), frame.file_status.tolist()):
-            if status != "processing" and not pd.isna(file) and out.get(int(file)) != "completed":
-                out[int(file)] = "failed" if status == "failed" else "completed"
+        for r in rows:
+            if r.file_status != "processing" and r.file_id is not None and out.get(r.file_id) != "completed":
+                out[r.file_id] = "failed" if r.file_status == "failed" else "completed"
         return out
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known = self.job.get()  # a job without state has no files and no timer either, which saves asking for them
-        total, done, failed, last_ms = (int(x) for x in known) if known else (0, 0, 0, 0)
+        total, done, failed, last_ms, timer, mapped, good, bad = known or (0, 0, 0, 0, None, False, [], [])
+        few = dict.fromkeys(good, "completed") | dict.fromkeys(bad, "failed")
         seen = set()
-        for frame in rows:
-            total = max(total, int(frame.total.max()))
-            last_ms = max(last_ms, int(frame.ts.max().timestamp() * 1000))
-            for file, status in self._outcomes(frame).items():
-                before = self.files.getValue((file,)) if known or file in seen else None
-                seen.add(file)
-                if before is not None and (before[0] == status or before[0] == "completed"):
+        while some := list(islice(rows, self.ROWS)):
+            total = max(total, max((r.total for r in some if r.total is not None), default=0))
+            last_ms = max(last_ms, max((r.ms for r in some if r.ms is not None), default=0))
+            for file, status in self._outcomes(some).items():
+                if not mapped:
+                    before = few.get(file)
+                else:
+                    entry = self.files.getValue((file,)) if known or file in seen else None
+                    before = entry and entry[0]
+                    seen.add(file)
+                if before is not None and before in (status, "completed"):
                     continue
-                self.files.updateValue((file,), (status,))
                 done += before is None
                 failed += (status == "failed") - (before is not None)
-        self.job.update((total, done, failed, last_ms))
-        for timer in list(self.handle.listTimers()) if known else ():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max(last_ms + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1))
+                if mapped:
+                    self.files.updateValue((file,), (status,))
+                    continue
+                few[file] = status
+                if len(few) > self.FEW:  # from now on an entry each
+                    for f, outcome in few.items():
+                        self.files.updateValue((f,), (outcome,))
+                    seen.update(few)
+                    mapped, few = True, {}
+        due = max(last_ms + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1)
+        self.job.update((total, done, failed, last_ms, due, mapped, [f for f, s in few.items() if s == "completed"],
+                         [f for f, s in few.items() if s == "failed"]))
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
         yield self._row(key, "completed" if done >= total else "processing", total, done, failed,
                         f"{failed} file(s) failed" if failed else None)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        total, done, failed, _ = (int(x) for x in self.job.get())
-        self.files.clear()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        total, done, failed, _, _, mapped, *_ = self.job.get()
+        if mapped:
+            self.files.clear()
         self.job.clear()
         if done < total:
             yield self._row(key, "failed", total, done, failed, "idle")
 
     @staticmethod
-    def _row(key, status: str, total: int, done: int, failed: int, error: str | None) -> pd.DataFrame:
-        return pd.DataFrame({"job_id": [key[0]], "status": [status], "progress": [done * 100.0 / total if total else None],
-                             "done": [done], "failed": [failed], "error": [error]})
+    def _row(key, status: str, total: int, done: int, failed: int, error: str | None) -> Row:
+        return Row(job_id=key[0], status=status, progress=done * 100.0 / total if total else None, done=done, failed=failed, error=error)
 
     def close(self) -> None:
         pass
@@ -186,13 +208,13 @@ def stream_jobs(job_files: DataFrame, idle_seconds: int = 3600, delay: str = "10
     Input rows are file outcomes (job_id, file_id, total, file_status, ts). Each file counts once, by its last
     outcome; a completed file stays completed. A finished job is remembered, so that repeated or late rows don't
     start it anew, until event time has passed its last file by ``idle_seconds``; a job that is still processing
-    then fails as idle. State lives in RocksDB, an entry per file; the session's state store provider is set to it, which
+    then fails as idle. State lives in RocksDB, see ``JobProgress``; the session's state store provider is set to it, which
     keyed state with maps and timers needs.
     """
     job_files.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS_DB)
     rows = (job_files.select("job_id", F.col("file_id").cast("long").alias("file_id"), F.col("total").cast("long").alias("total"),
-                             "file_status", "ts").withWatermark("ts", delay))
-    return rows.groupBy("job_id").transformWithStateInPandas(
+                             "file_status", "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")).withWatermark("ts", delay))
+    return rows.groupBy("job_id").transformWithState(
         JobProgress(idle_seconds * 1000), JOB_UPDATE, "Update", "EventTime")
 
 

@@ -185,3 +185,33 @@ def test_scan_stream_of_a_pattern_and_of_nested_folders(spark, tmp_path):
     names = lambda path, **how: sorted(r.path.rsplit("/", 1)[1] for r in S.run_available(S.scan_stream(spark, path, **how), "f").collect())
     assert names(str(tmp_path / "f" / "*.pdf")) == ["a.pdf"]
     assert names(str(tmp_path / "f") + "/", content=True, files_per_batch=1) == ["a.pdf", "b.png"]
+
+
+def test_an_ordinary_job_is_one_state_row(spark, tmp_path):
+    """Five files a job: no entry per file, only the job's value and its timer."""
+    land(spark, tmp_path / "j", [(j, f, 5, "completed", at(f)) for j in range(20) for f in range(4)], JOB_FILES)
+    query = run_jobs(spark, tmp_path / "j", tmp_path / "out", tmp_path / "state")
+    held = max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"])
+    assert 20 <= held < 20 * 4
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {(r.job_id, r.status, r.done, r.failed) for r in rows} == {(j, "processing", 4, 0) for j in range(20)}
+
+
+def test_a_job_grows_out_of_its_one_value(spark, tmp_path):
+    """Outcomes are kept when a job gets more files than its value holds; null files and totals count for nothing."""
+    few, n = S.JobProgress.FEW, S.JobProgress.FEW + 8
+    rounds = [[(1, f, n, "failed" if f % 3 == 0 else "completed", at(0)) for f in range(few - 2)],
+              [(1, 0, n, "completed", at(1)), (1, 1, n, "failed", at(1)), (1, 3, n, "failed", at(1)), (1, None, None, "failed", at(1)),
+               *[(1, f, n, "completed", at(1)) for f in range(few - 2, n - 1)], (1, few, n, "failed", at(1))],
+              [(1, 6, n, "completed", at(2)), (1, n - 1, n, "processing", at(2)), (1, 2, n, "failed", at(2))],
+              [(1, n - 1, n, "failed", at(3))]]
+    bad, done = set(), set()
+    for rows in rounds:
+        land(spark, tmp_path / "j", rows, JOB_FILES)
+        run_jobs(spark, tmp_path / "j", tmp_path / "out", tmp_path / "state")
+        good = {f for *_, f, _, s, _ in ((0, *r) for r in rows) if s == "completed"}
+        bad = (bad | {f for *_, f, _, s, _ in ((0, *r) for r in rows) if s == "failed" and f is not None} - done) - good
+        done |= good
+        last = max(spark.read.parquet(str(tmp_path / "out")).collect(), key=lambda r: r.batch_id)
+        assert (last.done, last.failed) == (len(done | bad), len(bad))
+    assert last.status == "completed" and last.progress == 100.0
