@@ -106,3 +106,60 @@ def test_registers_as_a_format(spark, sf, tmp_path):
     finally:
         del sinks.WRITERS["md"]
     assert files(tmp_path / "md") == ["0.md", "1.md", "2.md", "_SUCCESS"]
+
+
+def test_files_are_read_back_by_their_lists(spark, tmp_path, monkeypatch):
+    """Every file whole, over several writes of one folder; the driver takes a few names at a time and lists no folder of documents."""
+    monkeypatch.setattr(D, "STEP", 3)
+    rows = lambda lo, hi, text: spark.range(lo, hi).select(
+        F.format_string("d%d.txt", F.col("id")).alias("output"), F.explode(F.array(F.lit(1), F.lit(2))).alias("n"), F.lit(text).alias("value"))
+    path = D.write_document_files(rows(0, 40, "é one").repartition(5), str(tmp_path / "out"), ["n"])
+    D.write_document_files(rows(30, 50, "two"), path, ["n"], overwrite=False)  # ten are replaced, ten are new
+    (tmp_path / "out" / "notes.md").write_text("not of the writer's")
+    got = D.read_document_files(spark, path).collect()
+    assert {r["output"]: r["value"] for r in got} == {f"d{i}.txt": "é one\né one\n" if i < 30 else "two\ntwo\n" for i in range(50)}
+    assert len(got) == 50
+    D.write_document_files(rows(7, 9, "three"), path, ["n"])
+    assert files(path) == ["_SUCCESS", "d7.txt", "d8.txt"]
+    assert sorted(tuple(r) for r in D.read_document_files(spark, path).collect()) == [(f"d{i}.txt", "three\nthree\n") for i in (7, 8)]
+    (tmp_path / "out" / "d7.txt").unlink()
+    with pytest.raises(Exception, match="d7.txt"):
+        D.read_document_files(spark, path).collect()
+
+
+def test_the_driver_is_told_of_no_names(tmp_path):
+    import pickle
+
+    import pyarrow as pa
+
+    writer = D.DocumentWriter(str(tmp_path / "out"), True, "\n")
+    batch = pa.RecordBatch.from_pydict({"output": [f"document-{i}" for i in range(3000)], "value": ["x"] * 3000})
+    told = writer.write(iter([batch]))
+    assert len(pickle.dumps(told)) < 1000
+    writer.commit([told])
+    assert len(files(tmp_path / "out")) == 3001
+
+
+def test_runs_of_lines_in_sliced_batches(tmp_path):
+    import pyarrow as pa
+
+    writer = D.DocumentWriter(str(tmp_path / "out"), True, "|")
+    whole = pa.RecordBatch.from_pydict({"output": ["a", "a", "b", "b", "c"], "value": ["é", None, "", "2", "3"]})
+    writer.commit([writer.write(iter([whole.slice(0, 1), whole.slice(1, 2), whole.slice(3, 0), whole.slice(3, 2)]))])
+    assert {n: (tmp_path / "out" / n).read_text() for n in "abc"} == {"a": "é|", "b": "|2|", "c": "3|"}
+
+
+def test_records_of_csv_files_with_odd_words(spark, tmp_path):
+    """Read back by their lists as a reader of CSV files finds them."""
+    from pagewright.plans.reading_queries import _csv_rows
+
+    odd = ['a,b', 'say "x"', 'back\\slash', 'end\\', '"', '\\"', 'two\nlines', 'a\rb', ' space ', "é", '"q", \\ "r"\n\n"', "#x", "plain"]
+    boxes = spark.createDataFrame([(d, 1, i, t, 0.5, 1, 2, 3, 4) for d in (1, 2) for i, t in enumerate(odd * d)],
+                                  "doc_id long, page_number int, region_ord long, text string, confidence double, x int, y int, w int, h int")
+    names = boxes.select("doc_id").distinct().select("doc_id", F.format_string("doc%d.csv", "doc_id").alias("output"))
+    path = sinks.export_files(None, boxes, names, str(tmp_path / "out"), "csv")
+    kinds = "Page int, Region_ID long, Text string, Confidence string, X int, Y int, Width int, Height int"
+    plain = spark.read.schema(kinds).csv(path, header=True, multiLine=True, escape="\\", pathGlobFilter="doc*").select(
+        F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "*")
+    want = sorted(map(str, plain.collect()))
+    assert sorted(map(str, _csv_rows(spark, path, kinds).collect())) == want and len(want) == 3 * len(odd)
