@@ -93,3 +93,13 @@ def test_row_windows_are_banded(spark, sf, name, band):
     windows = [line for line in plan(QUERIES[name](spark, sf)).splitlines() if "Window [" in line]
     per_row = [line for line in windows if "sum(_m#" not in line]
     assert per_row and all(band in line.rsplit("], [", 2)[-2] for line in per_row)
+
+
+def test_region_json_is_compiled(spark, sf):
+    """No lambda is interpreted for every region, and lists of a part's groups are collected by hash, not by sorting at 128 groups."""
+    from pagewright.operators import export_shapes as X
+
+    boxes = kept(spark, sf)
+    for text in (plan(X._region_json(boxes, True)), plan(X.joined_in_order(boxes, R.PAGE, ["y"], ["x", "region_ord"], "text", " ", "t"))):
+        assert "lambda" not in text
+    assert int(spark.conf.get("spark.sql.objectHashAggregate.sortBased.fallbackThreshold")) > 10_000
